@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.operators.profile import label_index
+from equipoise.sources.session import checkpoint
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:
@@ -38,3 +39,8 @@ def read_table(
     """
     values = F.col(features) if isinstance(features, str) else F.array(*[c.cast("double") for c in features.values()])
     return spark.read.parquet(path).select(*key, label.alias("label"), values.alias("features"), *carry)
+
+
+def with_row_key(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """Give a table without a unique key one; materialised, so that the ids stay the same on recomputation."""
+    return checkpoint(df.withColumn(out, F.monotonically_increasing_id()))
