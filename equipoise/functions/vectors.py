@@ -112,3 +112,16 @@ def min_max_scale(df: DataFrame, features: Features, bounds: tuple[list[float],
 
 def min_max_unscale(df: DataFrame, features: Features, bounds: tuple[list[float], list[float]]) -> DataFrame:
     return with_array(df, features, unscale_array(as_array(df, features), *bounds))
+
+
+def feature_summary(df: DataFrame, features: Features) -> DataFrame:
+    """(j, low, high, sd) per feature, from one partially aggregated pass."""
+    stats = df.select(as_vector(df, features).alias("v")).agg(
+        Summarizer.metrics("min", "max", "variance").summary(F.col("v")).alias("s")
+    )
+    parts = F.arrays_zip(
+        vector_to_array("s.min").alias("low"), vector_to_array("s.max").alias("high"), vector_to_array("s.variance").alias("var")
+    )
+    return stats.select(F.posexplode(parts).alias("j", "f")).select(
+        "j", F.col("f.low").alias("low"), F.col("f.high").alias("high"), F.sqrt("f.var").alias("sd")
+    )

@@ -196,7 +196,7 @@ def evaluate_each_iteration(
     running = F.aggregate(
         steps,
         F.array().cast("array<double>"),
-        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.lit(-1)), F.lit(0.0)) + s)),
+        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + s)),
     )
     unfolded = scores.select(F.col(y).alias("_y"), w.alias("_w"), F.posexplode(running).alias("_i", "_margin"))
     return unfolded.groupBy((F.col("_i") + 1).alias("iteration")).agg(

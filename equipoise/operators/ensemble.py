@@ -129,6 +129,10 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
                 out.append((ClassProfile(tuple(sorted(sizes, key=lambda c: (c[1], c[0])))), lost))
         return out
 
+    def member_counts(self, rows: DataFrame) -> list[Column]:
+        """How often each member draws a row, as one Column per member over (key…, ``label`` 0/1)."""
+        return [self._member_counts(m, *drawn) for m, drawn in enumerate(self._bootstrap_profiles(rows))]
+
     def _member_counts(self, member: int, profile: ClassProfile, lost: Sequence[float]) -> Column:
         seed, label = self.getSeed(), F.col("label")
         boot = self._bootstrap_count(member)

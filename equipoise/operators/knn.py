@@ -410,7 +410,7 @@ def tau_points(
             square = square[square > 0]
             if len(square):
                 nearest.append(math.sqrt(square.min()))
-        mean = float(np.mean(nearest)) if nearest else None
+        mean = math.fsum(nearest) / len(nearest) if nearest else None
         return pa.table(
             {
                 "sample": pa.array([table.column("sample")[0].as_py()], pa.int32()),
@@ -431,7 +431,7 @@ def tau_fit(points: DataFrame, rows: int) -> DataFrame:
     x, y = F.log("n"), F.log("mean_distance")
     fit = (
         points.filter(F.col("mean_distance") > 0)
-        .select("n", "mean_distance")
+        .select("n", F.round("mean_distance", 9).alias("mean_distance"))
         .distinct()
         .agg(
             F.regr_slope(y, x).alias("slope"),

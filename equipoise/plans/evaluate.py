@@ -28,6 +28,12 @@ def kfold_assign(df: DataFrame, key: Sequence[str], folds: int, repetitions: int
     return df.withColumns({f"fold_{r}": fold_of(key, folds, seed, r) for r in range(1, repetitions + 1)})
 
 
+def _confusion(true: str, predicted: str, positive: object) -> list[Column]:
+    actual, guess = F.col(true) == F.lit(positive), F.col(predicted) == F.lit(positive)
+    cells = {"tp": actual & guess, "tn": ~actual & ~guess, "fp": ~actual & guess, "fn": actual & ~guess}
+    return [F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(name) for name, cond in cells.items()]
+
+
 def confusion_counts(
     predictions: DataFrame,
     positive: object,
@@ -36,35 +42,13 @@ def confusion_counts(
     predicted: str = "predicted",
 ) -> DataFrame:
     """tp, tn, fp, fn per group, in one partially aggregated pass."""
-    actual, guess = F.col(true) == F.lit(positive), F.col(predicted) == F.lit(positive)
-
-    def count(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
-
-    return predictions.groupBy(*by).agg(
-        count(actual & guess).alias("tp"),
-        count(~actual & ~guess).alias("tn"),
-        count(~actual & guess).alias("fp"),
-        count(actual & ~guess).alias("fn"),
-    )
+    return predictions.groupBy(*by).agg(*_confusion(true, predicted, positive))
 
 
 def experiment_summary(predictions: DataFrame, positive: object) -> DataFrame:
     """dataset, algorithm, repetition, fold, tp, tn, fp, fn, train_time, predict_time (nanoseconds)."""
-    by = ["dataset", "algorithm", "repetition", "fold"]
-    timed = predictions.withColumn("true", F.col("true").cast("string")).withColumn(
-        "predicted", F.col("predicted").cast("string")
-    )
-    actual, guess = F.col("true") == F.lit(str(positive)), F.col("predicted") == F.lit(str(positive))
-
-    def count(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
-
-    return timed.groupBy(*by).agg(
-        count(actual & guess).alias("tp"),
-        count(~actual & ~guess).alias("tn"),
-        count(~actual & guess).alias("fp"),
-        count(actual & ~guess).alias("fn"),
+    return predictions.groupBy("dataset", "algorithm", "repetition", "fold").agg(
+        *_confusion("true", "predicted", positive),
         F.max("train_time").alias("train_time"),
         F.max("prediction_time").alias("predict_time"),
     )
