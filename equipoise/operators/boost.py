@@ -89,7 +89,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
     def _grow(self, rows: DataFrame, round_: int) -> DecisionTreeRegressionModel:
         rate = self.value("subsamplingRate")
         if rate < 1:
-            rows = rows.filter(uniform(self.getKeyCols(), self.getSeed(), f"subsample{round_}") < rate)
+            rows = rows.filter(uniform(self.getKeyCols(), self.draw_seed(), f"subsample{round_}") < rate)
         model = self._learner(round_).fit(rows)
         return model if isinstance(model, DecisionTreeRegressionModel) else model.trees[0]
 
@@ -97,7 +97,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
         """Turn the resampler's draw into the rows' ``_weight``."""
         v = self.value
         how, on_class = v("resampling"), v("balanceOn") == "class"
-        seed = derive_seed(self.getSeed(), "round", round_ if on_class else 0)
+        seed = derive_seed(self.draw_seed(), "round", round_ if on_class else 0)
         u = uniform(self.getKeyCols(), seed, "boost")
         if how == "none":
             return rows

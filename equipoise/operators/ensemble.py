@@ -112,7 +112,7 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
         return out._set(labelCol=v("labelCol"))
 
     def _bootstrap_count(self, member: int) -> Column:
-        u = uniform(self.getKeyCols(), self.getSeed(), f"bootstrap{member}")
+        u = uniform(self.getKeyCols(), self.draw_seed(), f"bootstrap{member}")
         return poisson(u, self.value("subsamplingRate"))
 
     def _bootstrap_profiles(self, rows: DataFrame) -> list[tuple[ClassProfile, list[float]]]:
@@ -134,7 +134,7 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
         return [self._member_counts(m, *drawn) for m, drawn in enumerate(self._bootstrap_profiles(rows))]
 
     def _member_counts(self, member: int, profile: ClassProfile, lost: Sequence[float]) -> Column:
-        seed, label = self.getSeed(), F.col("label")
+        seed, label = self.draw_seed(), F.col("label")
         boot = self._bootstrap_count(member)
         for c in lost:  # a bootstrap that lost a class takes that class whole
             boot = F.when(label == c, F.lit(1)).otherwise(boot)
@@ -165,18 +165,18 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
         return learner.setWeightCol("_weight").fit(sample)
 
 
-def soft_vote(scores: DataFrame, key: Sequence[str], score: str = "score", klass: str = "class") -> DataFrame:
-    """Sum member scores per (row, class), normalise, and predict the best class (ties: the smallest class).
+def soft_vote(
+    scores: DataFrame, key: Sequence[str], classes: Sequence[int] = (0, 1), score: str = "score", klass: str = "class"
+) -> DataFrame:
+    """Sum member scores per row and class, normalise, and predict the best class (ties: the first class).
 
-    ``scores`` is long: (key…, class, score), one row per member and class.
+    ``scores`` is long: (key…, class, score), one row per member and class.  One shuffle, partially aggregated.
     """
-    sums = scores.groupBy(*key, klass).agg(F.sum(score).alias("_raw"))
-    out = sums.groupBy(*key).agg(
-        F.sum("_raw").alias("_total"),
-        F.max(F.struct(F.col("_raw"), (-F.col(klass)).alias("_order"))).alias("_best"),
-    )
+    per_class = [F.sum(F.when(F.col(klass) == c, F.col(score)).otherwise(0.0)) for c in classes]
+    out = scores.groupBy(*key).agg(F.array(*per_class).alias("_raw"))
+    best = F.array_max("_raw")
     return out.select(
         *key,
-        (-F.col("_best._order")).alias("prediction"),
-        (F.col("_best._raw") / F.col("_total")).alias("probability"),
+        F.get(F.lit(list(classes)), F.array_position("_raw", best).cast("int") - 1).alias("prediction"),
+        (best / F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)).alias("probability"),
     )

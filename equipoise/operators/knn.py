@@ -35,8 +35,9 @@ from equipoise.sources.session import checkpoint
 MAX_PIVOTS = 4096
 MAX_PIVOT_BYTES = 32 << 20
 BASE_CELL = 16_384
-QUERY_CELL = 32_768
+QUERY_CELL = 131_072
 MIN_QUERY_CELL = 256
+_REPEATED = 1_000_000  # repeated base rows a task writes
 _SLAB = 4_000_000  # distances held at once inside a task
 _CELL = ("_region", "_salt", "_chunk")
 
@@ -200,7 +201,11 @@ def _search(
     q = _spread(routed.select(*query_key, "_v", "_region"), sizes)
     q = q.withColumn("_chunk", F.pmod(F.xxhash64(*query_key), F.col("_chunks")).cast("int"))
     q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_chunks")
-    b = _spread(base.select(*base_cols, "_v", "_region"), sizes)
+    b = base.select(*base_cols, "_v", "_region")
+    repeated = sum(base_rows[r] * c for r, _, c in sizes)
+    if repeated > _REPEATED:  # a small base against many queries: share the repetition out over tasks
+        b = b.repartition(math.ceil(repeated / _REPEATED), *base_key)
+    b = _spread(b, sizes)
     b = b.withColumn("_salt", F.pmod(F.xxhash64(*base_key), F.col("_salts")).cast("int"))
     b = b.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_salts", "_chunks")
 

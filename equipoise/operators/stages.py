@@ -24,7 +24,7 @@ _INT, _FLOAT, _BOOL, _TEXT = TypeConverters.toInt, TypeConverters.toFloat, TypeC
 
 class _Stage(LabelledRows, Transformer, DefaultParamsReadable, DefaultParamsWritable):
     def _rows(self) -> dict[str, Any]:
-        return {"key": self.getKeyCols(), "label": self.value("labelCol"), "seed": self.getSeed()}
+        return {"key": self.getKeyCols(), "label": self.value("labelCol"), "seed": self.draw_seed()}
 
 
 class NoResampler(_Stage):
@@ -143,7 +143,7 @@ class NearestNeighbors(LabelledRows, Estimator):
     def _fit(self, dataset: DataFrame) -> NearestNeighborsModel:
         tau = None
         if self.value("estimateBuffer"):
-            tau = estimate_tau(dataset, self.getKeyCols(), self.value("featuresCol"), self.getSeed())
+            tau = estimate_tau(dataset, self.getKeyCols(), self.value("featuresCol"), self.draw_seed())
         elif self.value("bufferSize") >= 0:
             tau = self.value("bufferSize")
         return NearestNeighborsModel(dataset, self, tau)
@@ -168,7 +168,7 @@ class NearestNeighborsModel(Model):
             distance_col=s.value("distanceCol") or None,
             tau=self.buffer,
             pivots=s.value("pivots") or None,
-            seed=s.getSeed(),
+            seed=s.draw_seed(),
         )
 
 

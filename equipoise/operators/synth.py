@@ -10,12 +10,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.randomness import bind, gaussians, poisson, uniform
+from equipoise.functions.randomness import FastSeed, bind, gaussian_columns, gaussians, poisson, uniform
 from equipoise.functions.vectors import Features, as_array, as_vector, dimension, min_max, scale_array, with_array
 from equipoise.operators.knn import knn_pairs
 from equipoise.operators.profile import ClassProfile, class_profile
 from equipoise.operators.sampling import balanced_fraction
 
+_UNROLLED = 16  # up to this many features the noise is written out as plain expressions
+
 
 def smote_rate(p: ClassProfile, perc_over: float) -> float:
     """Synthetic rows per row of the class: ``perc_over`` per cent, or the class gap when 0."""
@@ -161,9 +163,15 @@ def rose(
     numbers = F.when(minority, _rose_numbers(u, f_min, keep_orig)).otherwise(majority_numbers)
     rows = df.withColumn("_x", as_array(df, features)).withColumn("_i", F.explode(numbers))
 
-    scale = F.when(minority, F.lit(width[p.minority])).otherwise(F.lit(width[p.majority]))
-    noise = F.zip_with(gaussians([*key, "_i"], seed, "rose-noise", dim), scale, lambda z, s: z * s)
-    noisy = F.zip_with("_x", noise, lambda x, e: x + e)
+    draw = [*key, "_i"]
+    if isinstance(seed, FastSeed) and dim <= _UNROLLED:
+        low, high = width[p.minority], width[p.majority]
+        noise = gaussian_columns(draw, seed, "rose-noise", dim)
+        noisy = F.array(*[F.col("_x")[j] + z * F.when(minority, low[j]).otherwise(high[j]) for j, z in enumerate(noise)])
+    else:
+        scale = F.when(minority, F.lit(width[p.minority])).otherwise(F.lit(width[p.majority]))
+        noise = F.zip_with(gaussians(draw, seed, "rose-noise", dim), scale, lambda z, s: z * s)
+        noisy = F.zip_with("_x", noise, lambda x, e: x + e)
     out = with_array(rows, features, F.when(F.col("_i") == 0, F.col("_x")).otherwise(noisy))
     if copy_col:
         out = out.withColumn(copy_col, F.col("_i"))

@@ -387,7 +387,7 @@ def boost_draw_balance(spark, sf):
 
 def _bagging_draw(spark: SparkSession, sf: str, how: str) -> DataFrame:
     df = events(spark, sf).withColumn("label", F.col("label").cast("double"))
-    bagging = RebalancedBaggingClassifier(keyCols=EVENT, resampling=how, numResamples=1, seed=SEED)
+    bagging = RebalancedBaggingClassifier(keyCols=EVENT, resampling=how, numResamples=1, seed=SEED, generator="md5")
     return df.select(*EVENT, bagging.member_counts(df)[0].cast("int").alias("copies"))
 
 
