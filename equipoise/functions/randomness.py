@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 _HEX = 12  # 12 hex digits = 48 bits, exactly representable in a double
 _SPAN = float(1 << 48)
 _HALF = float(1 << 32)
+_WRITTEN_OUT = 64
 _WIDE_POISSON = 10_000.0
 
 
@@ -125,6 +128,10 @@ def poisson_cdf(rate: float) -> tuple[int, list[float]]:
 def poisson(u: Column, rate: float) -> Column:
     """Poisson(rate) count for the uniform ``u`` by inversion (int Column).
 
+    Give ``u`` as a column of the table rather than an expression: short tables of
+    cumulative probabilities are written out as one comparison each, which compiles
+    to straight code but mentions ``u`` once per step.
+
     Rates above 10,000 copies per row use the normal limit, which is within
     half a percent of the Poisson quantiles there and needs no lookup table.
     """
@@ -137,6 +144,8 @@ def poisson(u: Column, rate: float) -> Column:
         z = gaussians([u], 0, "wide-poisson", 1)[0]
         return F.greatest(F.lit(0), F.round(F.lit(rate) + F.lit(math.sqrt(rate)) * z).cast("int"))
     low, cdf = poisson_cdf(rate)
+    if len(cdf) <= _WRITTEN_OUT:
+        return reduce(add, [(u > c).cast("int") for c in cdf], F.lit(low))
     steps = F.lit(cdf)
     return F.lit(low) + bind(u, lambda v: F.size(F.filter(steps, lambda c: c < v)))
 

@@ -2,9 +2,9 @@
 
 The margin of a row is a function of the trees so far, so the loop keeps no chain
 of updated tables: each ``checkpointInterval`` rounds the margin of the whole
-ensemble is folded into a freshly cached table computed from the input, and the
-rounds in between add the newest trees in one scoring call.  A lost executor
-recomputes its rows from the input with a single ensemble score.
+ensemble is folded into a freshly cached table computed from the training rows,
+and the rounds in between add the newest trees in one scoring call.  A lost
+executor recomputes its rows from the input with a single ensemble score.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from equipoise.operators.assemble import boosted_classifier, boosted_margin
 from equipoise.operators.ensemble import drawn_copies
 from equipoise.operators.params import LabelledRows, param
 from equipoise.operators.profile import ClassProfile, class_profile
+from equipoise.sources.session import training_table
 
 
 def residual_profile(rows: DataFrame, residual: str) -> ClassProfile:
@@ -90,7 +91,11 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
         rate = self.value("subsamplingRate")
         if rate < 1:
             rows = rows.filter(uniform(self.getKeyCols(), self.draw_seed(), f"subsample{round_}") < rate)
-        model = self._learner(round_).fit(rows)
+        rows = rows.select("features", "_target", "_weight").persist()
+        try:
+            model = self._learner(round_).fit(rows)
+        finally:
+            rows.unpersist()
         return model if isinstance(model, DecisionTreeRegressionModel) else model.trees[0]
 
     def _rebalance(self, rows: DataFrame, round_: int, classes: ClassProfile) -> DataFrame:
@@ -98,9 +103,9 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
         v = self.value
         how, on_class = v("resampling"), v("balanceOn") == "class"
         seed = derive_seed(self.draw_seed(), "round", round_ if on_class else 0)
-        u = uniform(self.getKeyCols(), seed, "boost")
         if how == "none":
             return rows
+        rows, u = rows.withColumn("_u", uniform(self.getKeyCols(), seed, "boost")), F.col("_u")
         if on_class:
             copies = drawn_copies(u, F.col("_y"), classes, how, v("percSampling"), seed)
         else:
@@ -110,7 +115,9 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             copies = drawn_copies(u, F.col("_target"), cells, how, v("percSampling"), seed)
             if how == "ros":  # only the rarest value grows
                 copies = F.when(F.col("_target") == cells.minority, copies).otherwise(1)
-        drawn = rows.withColumn("_copies", F.explode(F.array(copies.cast("double")))).filter(F.col("_copies") > 0)
+        drawn = rows.withColumn("_copies", copies.cast("double"))
+        if how != "ros":
+            drawn = drawn.filter(F.col("_copies") > 0)
         return drawn.withColumn("_weight", F.col("_weight") * F.col("_copies"))
 
     def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
@@ -123,27 +130,27 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             raise ValueError("maxIter must be positive")
         validate = self.isDefined(self.validationIndicatorCol)
         weight = F.col(v("weightCol")).cast("double") if self.isDefined(self.weightCol) else F.lit(1.0)
-        base = dataset.select(
+        table = dataset.select(
             *self.getKeyCols(),
             signed_label(F.col(v("labelCol"))).alias("_y"),
             weight.alias("_weight"),
             as_vector(dataset, v("featuresCol")).alias("features"),
             (F.col(v("validationIndicatorCol")) if validate else F.lit(False)).alias("_held_out"),
         )
-        cached = [base.withColumn("_margin", F.lit(0.0)).persist()]
-        try:
-            trees, weights = self._boost(base, cached, validate)
-        finally:
-            for df in cached:
-                df.unpersist()
+        with training_table(table, self.getKeyCols()) as base:
+            margins = [base.withColumn("_margin", F.lit(0.0))]
+            try:
+                trees, weights = self._boost(base, margins, validate)
+            finally:
+                margins[-1].unpersist()
         out = boosted_classifier(trees, weights).setFeaturesCol(v("featuresCol"))
         return out._set(labelCol=v("labelCol"))
 
     def _boost(
-        self, base: DataFrame, cached: list[DataFrame], validate: bool
+        self, base: DataFrame, margins: list[DataFrame], validate: bool
     ) -> tuple[list[DecisionTreeRegressionModel], list[float]]:
         v = self.value
-        classes = class_profile(cached[0].filter(~F.col("_held_out")), "_y").require_binary("rebalanced boosting")
+        classes = class_profile(base.filter(~F.col("_held_out")), "_y").require_binary("rebalanced boosting")
         if {c for c, _ in classes.classes} != {-1.0, 1.0}:
             raise ValueError("labels must be 0 and 1")
         trees: list[DecisionTreeRegressionModel] = []
@@ -152,9 +159,9 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
 
         def state() -> DataFrame:
             if folded == len(trees):
-                return cached[-1]
+                return margins[-1]
             newest = boosted_margin(trees[folded:], weights[folded:]).setFeaturesCol("features").setPredictionCol("_new")
-            return newest.transform(cached[-1]).withColumn("_margin", F.col("_margin") + F.col("_new")).drop("_new")
+            return newest.transform(margins[-1]).withColumn("_margin", F.col("_margin") + F.col("_new")).drop("_new")
 
         for round_ in range(v("maxIter")):
             train = state().filter(~F.col("_held_out"))
@@ -173,8 +180,8 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
                     break
             if len(trees) - folded >= v("checkpointInterval") > 0:
                 whole = boosted_margin(trees, weights).setFeaturesCol("features").setPredictionCol("_margin")
-                cached.append(whole.transform(base).persist())
-                cached.pop(0).unpersist()
+                margins.append(whole.transform(base).persist())
+                margins.pop(0).unpersist()
                 folded = len(trees)
         keep = best_size if validate else len(trees)
         return trees[:keep], weights[:keep]

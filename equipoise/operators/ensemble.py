@@ -1,9 +1,9 @@
 """Bagging whose members each see a rebalanced bootstrap.
 
-A member's sample is an integer count per row (how often the row was drawn), not a
-copied table: the counts become instance weights of the member's trees, so an
-over-sampled member reads the same rows as the others.  The table is cached once;
-members differ only in a column expression and can be trained side by side.
+A member's sample is its bootstrap with an integer count per row: how often the
+resampler took it.  The counts become instance weights of the member's trees, so an
+over-sampled member holds no more rows than the others.  The table is cached once;
+members are column expressions on it and are trained side by side.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from equipoise.operators.params import LabelledRows, param
 from equipoise.operators.profile import ClassProfile, class_profile
 from equipoise.operators.resample import random_balance_sizes
 from equipoise.operators.sampling import balanced_fraction, repeat_rows
+from equipoise.sources.session import training_table
 
 _MEMBERS_PER_SCAN = 20
 
@@ -89,69 +90,60 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
     def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
         key, v = self.getKeyCols(), self.value
         label = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
-        rows = dataset.select(
+        table = dataset.select(
             *key,
             F.col(v("labelCol")).cast("double").alias("label", metadata=label),
             as_vector(dataset, v("featuresCol")).alias("features"),
-        ).persist()
-        try:
+        )
+        with training_table(table, key) as rows:
             class_profile(rows, "label").require_binary("a rebalanced ensemble")
             size = dimension(rows, "features")
-            profiles = self._bootstrap_profiles(rows)
-            members = range(v("numResamples"))
-            workers = min(v("parallelism"), len(members))
-            train = inheritable_thread_target(dataset.sparkSession)(lambda r: self._train_member(rows, r, profiles[r]))
-            pool = ThreadPool(workers)
+            bootstraps = self.bootstrap_profiles(rows)
+            train = inheritable_thread_target(dataset.sparkSession)(lambda m: self._train_member(rows, m, bootstraps[m]))
+            pool = ThreadPool(min(v("parallelism"), v("numResamples")))
             try:
-                models = pool.map(train, members, chunksize=1)
+                models = pool.map(train, range(v("numResamples")), chunksize=1)
             finally:
                 pool.close()
-        finally:
-            rows.unpersist()
         out = forest(models, size).setFeaturesCol(v("featuresCol"))
         return out._set(labelCol=v("labelCol"))
 
-    def _bootstrap_count(self, member: int) -> Column:
-        u = uniform(self.getKeyCols(), self.draw_seed(), f"bootstrap{member}")
-        return poisson(u, self.value("subsamplingRate"))
+    def _bootstrap_draw(self, member: int) -> Column:
+        return uniform(self.getKeyCols(), self.draw_seed(), f"bootstrap{member}")
 
-    def _bootstrap_profiles(self, rows: DataFrame) -> list[tuple[ClassProfile, list[float]]]:
-        """Class sizes of every member's bootstrap, many members per scan; classes it lost are noted."""
+    def bootstrap_profiles(self, rows: DataFrame) -> list[tuple[ClassProfile, list[float]]]:
+        """Class sizes of every member's bootstrap, many members per scan, and the classes it lost."""
         total = self.value("numResamples")
         out = []
         for start in range(0, total, _MEMBERS_PER_SCAN):
             members = range(start, min(total, start + _MEMBERS_PER_SCAN))
-            sums = [F.sum(self._bootstrap_count(m)).alias(f"n{m}") for m in members]
-            counts = rows.groupBy("label").agg(F.count("*").alias("rows"), *sums).collect()
+            drawn = rows.select("label", *[self._bootstrap_draw(m).alias(f"u{m}") for m in members])
+            sums = [F.sum(poisson(F.col(f"u{m}"), self.value("subsamplingRate"))).alias(f"n{m}") for m in members]
+            counts = drawn.groupBy("label").agg(F.count("*").alias("rows"), *sums).collect()
             for m in members:
                 lost = [r["label"] for r in counts if not r[f"n{m}"]]
                 sizes = [(r["label"], int(r[f"n{m}"] or r["rows"])) for r in counts]
                 out.append((ClassProfile(tuple(sorted(sizes, key=lambda c: (c[1], c[0])))), lost))
         return out
 
-    def member_counts(self, rows: DataFrame) -> list[Column]:
-        """How often each member draws a row, as one Column per member over (key…, ``label`` 0/1)."""
-        return [self._member_counts(m, *drawn) for m, drawn in enumerate(self._bootstrap_profiles(rows))]
-
-    def _member_counts(self, member: int, profile: ClassProfile, lost: Sequence[float]) -> Column:
-        seed, label = self.draw_seed(), F.col("label")
-        boot = self._bootstrap_count(member)
+    def member_sample(self, rows: DataFrame, member: int, bootstrap: tuple[ClassProfile, list[float]]) -> DataFrame:
+        """A member's rebalanced bootstrap: the rows it drew, with how often the resampler took each as ``_weight``."""
+        profile, lost = bootstrap
+        key, seed, how = self.getKeyCols(), self.draw_seed(), self.value("resampling")
+        count = poisson(F.col("_u"), self.value("subsamplingRate"))
         for c in lost:  # a bootstrap that lost a class takes that class whole
-            boot = F.when(label == c, F.lit(1)).otherwise(boot)
-
-        def taken(i: Column) -> Column:
-            u = uniform([*self.getKeyCols(), i], seed, f"resample{member}")
-            draw = derive_seed(seed, "balance", member)
-            return drawn_copies(u, label, profile, self.value("resampling"), self.value("perc"), draw).cast("int")
-
-        copies = F.transform(F.array_repeat(F.lit(True), boot), lambda _, i: taken(i))
-        return F.aggregate(copies, F.lit(0), lambda a, b: a + b)
+            count = F.when(F.col("label") == c, F.lit(1)).otherwise(count)
+        boot = repeat_rows(rows.withColumn("_u", self._bootstrap_draw(member)), count, "_i", first=0)
+        boot = boot.withColumn("_u", uniform([*key, "_i"], seed, f"resample{member}"))
+        draw = derive_seed(seed, "balance", member)
+        copies = drawn_copies(F.col("_u"), F.col("label"), profile, how, self.value("perc"), draw)
+        out = boot.withColumn("_weight", copies.cast("double")).drop("_u", "_i")
+        return out if how in ("none", "ros") else out.filter(F.col("_weight") > 0)
 
     def _train_member(
-        self, rows: DataFrame, member: int, drawn: tuple[ClassProfile, list[float]]
+        self, rows: DataFrame, member: int, bootstrap: tuple[ClassProfile, list[float]]
     ) -> RandomForestClassificationModel:
         v = self.value
-        counts = self._member_counts(member, *drawn)
         learner = RandomForestClassifier(
             labelCol="label", featuresCol="features", numTrees=v("numTrees"), subsamplingRate=1.0,
             bootstrap=v("memberBootstrap"), maxDepth=v("maxDepth"), maxBins=v("maxBins"),
@@ -159,10 +151,16 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
             cacheNodeIds=v("cacheNodeIds"), checkpointInterval=v("checkpointInterval"),
             featureSubsetStrategy=v("featureSubsetStrategy"), seed=derive_seed(self.getSeed(), "member", member),
         )
+        sample = self.member_sample(rows, member, bootstrap).select("label", "features", "_weight")
         if v("minInstancesPerNode") > 1:  # the minimum counts rows, so copies must be rows
-            return learner.fit(repeat_rows(rows, counts))
-        sample = rows.withColumn("_weight", F.explode(F.array(counts.cast("double")))).filter(F.col("_weight") > 0)
-        return learner.setWeightCol("_weight").fit(sample)
+            sample = repeat_rows(sample, F.col("_weight"))
+        else:
+            learner.setWeightCol("_weight")
+        sample = sample.persist()
+        try:
+            return learner.fit(sample)
+        finally:
+            sample.unpersist()
 
 
 def soft_vote(

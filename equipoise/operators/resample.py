@@ -74,8 +74,9 @@ def random_oversample(
         each, rest = whole_copies(total, p.minority_size)
         extra = F.lit(each) + exact_cutoff(df.filter(minority), rest, key, seed, "over").cast("int")
         return repeat_rows(df, F.when(minority, F.lit(1) + extra).otherwise(1), copy_col, first=0)
-    copies = F.when(minority, F.lit(1) + poisson(uniform(key, seed, "over"), rate)).otherwise(1)
-    return repeat_rows(df, copies, copy_col, first=0)
+    drawn = df.withColumn("_u", uniform(key, seed, "over"))
+    copies = F.when(minority, F.lit(1) + poisson(F.col("_u"), rate)).otherwise(1)
+    return repeat_rows(drawn, copies, copy_col, first=0).drop("_u")
 
 
 def random_balance_sizes(p: ClassProfile, seed: int) -> tuple[int, int]:
@@ -113,6 +114,6 @@ def random_balance(
         more = exact_cutoff(df.filter(grows), rest, key, seed, "grow").cast("int")
         kept = exact_cutoff(df.filter(~grows), shrink_new, key, seed, "shrink").cast("int")
         return repeat_rows(df, F.when(grows, F.lit(each) + more).otherwise(kept), copy_col)
-    u = uniform(key, seed, "balance")
+    drawn, u = df.withColumn("_u", uniform(key, seed, "balance")), F.col("_u")
     kept = (u < shrink_new / shrink_old).cast("int")
-    return repeat_rows(df, F.when(grows, poisson(u, grow_new / grow_old)).otherwise(kept), copy_col)
+    return repeat_rows(drawn, F.when(grows, poisson(u, grow_new / grow_old)).otherwise(kept), copy_col).drop("_u")

@@ -33,7 +33,8 @@ def poisson_copies(
     df: DataFrame, rate: float, key: Sequence[str], seed: int, tag: str = "poisson", copy_col: str | None = None
 ) -> DataFrame:
     """Sample with replacement: each row appears Poisson(rate) times."""
-    return repeat_rows(df, poisson(uniform(key, seed, tag), rate), copy_col)
+    drawn = df.withColumn(_U, uniform(key, seed, tag))
+    return repeat_rows(drawn, poisson(F.col(_U), rate), copy_col).drop(_U)
 
 
 def bootstrap(df: DataFrame, key: Sequence[str], seed: int, rate: float = 1.0, copy_col: str | None = None) -> DataFrame:

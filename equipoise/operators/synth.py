@@ -154,14 +154,15 @@ def rose(
     width = {c: [shrink * rose_bandwidth(dim, n) * s for s in spread[c]] for c, n in p.classes}
     minority = F.col(label) == F.lit(p.minority)
 
-    u = uniform(key, seed, "rose")
+    u = F.col("_u")
     if majo_rus:
         kept = F.lit(1) if keep_majo_size else (u < min(1.0, f_maj)).cast("int")
         majority_numbers = _copy_numbers(kept, 0)
     else:
         majority_numbers = _rose_numbers(u, f_maj, keep_orig)
     numbers = F.when(minority, _rose_numbers(u, f_min, keep_orig)).otherwise(majority_numbers)
-    rows = df.withColumn("_x", as_array(df, features)).withColumn("_i", F.explode(numbers))
+    drawn = df.withColumns({"_x": as_array(df, features), "_u": uniform(key, seed, "rose")})
+    rows = drawn.withColumn("_i", F.explode(numbers)).drop("_u")
 
     draw = [*key, "_i"]
     if isinstance(seed, FastSeed) and dim <= _UNROLLED:

@@ -366,8 +366,8 @@ def residual_counts(spark, sf):
 def _boost_draw(spark: SparkSession, sf: str, how: str, perc: float) -> DataFrame:
     df = events(spark, sf)
     seed = derive_seed(SEED, "round", 1)
-    copies = drawn_copies(uniform(EVENT, seed, "boost"), F.col("label"), class_profile(df, "label"), how, perc, seed)
-    return df.select(*EVENT, copies.cast("int").alias("copies"))
+    copies = drawn_copies(F.col("_u"), F.col("label"), class_profile(df, "label"), how, perc, seed)
+    return df.withColumn("_u", uniform(EVENT, seed, "boost")).select(*EVENT, copies.cast("int").alias("copies"))
 
 
 @query
@@ -388,7 +388,8 @@ def boost_draw_balance(spark, sf):
 def _bagging_draw(spark: SparkSession, sf: str, how: str) -> DataFrame:
     df = events(spark, sf).withColumn("label", F.col("label").cast("double"))
     bagging = RebalancedBaggingClassifier(keyCols=EVENT, resampling=how, numResamples=1, seed=SEED, generator="md5")
-    return df.select(*EVENT, bagging.member_counts(df)[0].cast("int").alias("copies"))
+    taken = bagging.member_sample(df, 0, bagging.bootstrap_profiles(df)[0]).groupBy(*EVENT).agg(F.sum("_weight").alias("n"))
+    return df.join(taken, EVENT, "left").select(*EVENT, F.coalesce("n", F.lit(0.0)).cast("int").alias("copies"))
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def training_table(df: DataFrame, key: Sequence[str]) -> Iterator[DataFrame]:
+    """``df`` cached for repeated passes; a table with fewer partitions than cores is spread over them by key."""
+    cached = df.persist()
+    try:
+        cached.count()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if cached.rdd.getNumPartitions() < cores:
+            spread = cached.repartition(cores, *key).persist()
+            spread.count()
+            cached.unpersist()
+            cached = spread
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
