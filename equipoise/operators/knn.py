@@ -24,6 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,9 @@ BASE_CELL = 16_384
 QUERY_CELL = 131_072
 MIN_QUERY_CELL = 256
 _REPEATED = 1_000_000  # repeated base rows a task writes
-_SLAB = 4_000_000  # distances held at once inside a task
+_SLAB = 4_000_000  # pivot distances held at once inside a task
+_CELL_SLAB = 1_000_000  # base distances held at once, about a core's cache
+_PROBE = 2048  # base rows that bound the k-th distance
 _CELL = ("_region", "_salt", "_chunk")
 
 
@@ -68,36 +72,47 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _slabs(rows: int, width: int) -> Iterator[slice]:
-    step = max(1, _SLAB // max(1, width))
+def _slabs(rows: int, width: int, cells: int = 0) -> Iterator[slice]:
+    step = max(1, (cells or _SLAB) // max(1, width))
     return (slice(i, min(rows, i + step)) for i in range(0, rows, step))
 
 
 def nearest_in_cell(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, distance) of the k nearest, ties by base row order.
 
-    The matrix product finds the finalists with a margin for its rounding error;
-    finalists are then measured feature by feature in plain double arithmetic.
+    One matrix product ranks the base rows by |b|² - 2qb.  The k-th value among every
+    n-th base row bounds the true k-th value, so only rows under it need sorting.
+    Comparisons leave a margin for the product's rounding error; the finalists are
+    then measured feature by feature in plain double arithmetic.
     """
     centre = base.mean(0)
     q, b = queries - centre, base - centre
     qn, bn = (q * q).sum(1), (b * b).sum(1)
-    k = min(k, len(b))
+    n, k = len(b), min(k, len(b))
+    left = np.hstack([-2.0 * q, np.ones((len(q), 1))])
+    right = np.ascontiguousarray(np.hstack([b, bn[:, None]]).T)
+    probe = np.ascontiguousarray(right[:, :: max(1, n // max(_PROBE, 8 * k))])
+    margins = 2e-12 * (b.shape[1] + 4) * (qn + bn.max())
     parts = []
-    for rows in _slabs(len(q), len(b)):
-        square = qn[rows, None] + bn[None, :] - 2.0 * (q[rows] @ b.T)
-        kth = np.partition(square, k - 1, axis=1)[:, k - 1]
-        margin = 1e-12 * (b.shape[1] + 4) * (qn[rows] + bn.max())
-        qi, bi = np.nonzero(square <= (kth + margin)[:, None])
-        qi += rows.start
+    for rows in _slabs(len(q), n, _CELL_SLAB):
+        margin = margins[rows]
+        bound = np.partition(left[rows] @ probe, k - 1, axis=1)[:, k - 1] + margin
+        value = left[rows] @ right
+        hit = np.flatnonzero(value <= bound[:, None])
+        qi, bi = np.divmod(hit, n)
+        value = value.ravel()[hit]
+        order = np.lexsort((value, qi))
+        qi, bi, value = qi[order], bi[order], value[order]
+        first = np.searchsorted(qi, np.arange(len(margin)))
+        near = value <= (value[first + k - 1] + margin)[qi]
+        qi, bi = qi[near] + rows.start, bi[near]
         exact = np.zeros(len(qi))
         for j in range(b.shape[1]):
             gap = queries[qi, j] - base[bi, j]
             exact += gap * gap
         order = np.lexsort((bi, exact, qi))
         qi, bi, exact = qi[order], bi[order], exact[order]
-        start = np.searchsorted(qi, qi, side="left")
-        best = np.arange(len(qi)) - start < k
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
         parts.append((qi[best], bi[best], np.sqrt(exact[best])))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
@@ -134,7 +149,6 @@ def _route(queries: DataFrame, regions: Regions, rule: str, slack: float = 0.0,
         routed = queries.withColumn("_region", F.lit(0))
         return routed.filter(F.lit(False)) if rule == "within" else routed
     pivots, rows, radius = regions.pivots, regions.rows, regions.radius
-    apart = _distances(pivots, pivots)
 
     def visits(v: np.ndarray, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         d = _distances(v, pivots)
@@ -149,7 +163,7 @@ def _route(queries: DataFrame, regions: Regions, rule: str, slack: float = 0.0,
         full = np.where(rows >= keep, d + radius, np.inf).min(1)
         reach = (np.minimum(bound, full) + error)[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            across = (d * d - (nearest * nearest)[:, None]) / (2.0 * apart[home])
+            across = (d * d - (nearest * nearest)[:, None]) / (2.0 * _distances(pivots[home], pivots))
         near = (d - radius[None, :] <= reach) & ~(across > reach) & (rows > 0)
         near[np.arange(len(d)), home] = False
         return np.nonzero(near)
@@ -178,7 +192,8 @@ def _spread(df: DataFrame, sizes: Sequence[tuple[int, int, int]]) -> DataFrame:
     if len(sizes) == 1:
         region, salts, chunks = sizes[0]
         return df.filter(F.col("_region") == region).withColumns({"_salts": F.lit(salts), "_chunks": F.lit(chunks)})
-    table = df.sparkSession.createDataFrame([tuple(map(int, s)) for s in sizes], "_region int, _salts int, _chunks int")
+    columns = [pa.array(c, pa.int32()) for c in zip(*sizes, strict=True)] if sizes else [pa.array([], pa.int32())] * 3
+    table = df.sparkSession.createDataFrame(pa.table(columns, names=["_region", "_salts", "_chunks"]))
     return df.join(F.broadcast(table), "_region")
 
 
@@ -256,14 +271,15 @@ def default_pivots(rows: int, dim: int) -> int:
 
 
 def _choose_pivots(base: DataFrame, base_key: Sequence[str], rows: int, wanted: int, seed: int) -> np.ndarray:
-    """``wanted`` hash-sampled base vectors; bounded by MAX_PIVOTS and MAX_PIVOT_BYTES."""
-    u = uniform(base_key, seed, "pivot")
-    share = min(1.0, 4.0 * wanted / max(1, rows) + 16.0 / max(1, rows))
-    sample = base.select("_v", u.alias("_u")).filter(F.col("_u") < share).orderBy("_u").limit(wanted)
-    vectors = np.array([r["_v"] for r in sample.collect()], dtype=float)
-    if not len(vectors):
-        vectors = np.array([base.select("_v").first()["_v"]], dtype=float)
-    return np.unique(vectors, axis=0)
+    """Up to ``wanted`` distinct hash-sampled base vectors (``wanted`` is at most MAX_PIVOTS).
+
+    The sample holds four times as many rows, since a hot vector may fill much of it.
+    """
+    share = min(1.0, (8.0 * wanted + 16.0) / rows)
+    draws = base.select("_v", uniform(base_key, seed, "pivot").alias("_u")).filter(F.col("_u") < share)
+    sample = draws.orderBy("_u").limit(4 * wanted).collect() or base.select("_v").limit(1).collect()
+    _, first = np.unique(np.array([r["_v"] for r in sample], dtype=float), axis=0, return_index=True)
+    return np.array([sample[i]["_v"] for i in np.sort(first)[:wanted]], dtype=float)
 
 
 def build_regions(base: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Regions]:
@@ -302,24 +318,25 @@ def knn_pairs(
     query_key, base_key = list(key), list(base_key or key)
     nb = [f"nb_{c}" for c in base_key]
     aux = [c for c in aux_cols if c not in base_key]
+    packed = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
     keep = k + 1 if exclude_self else k
     q = query.select(*query_key, as_array(query, features).alias("_v"))
     b = base.select(
         *[F.col(c).alias(n) for c, n in zip(base_key, nb, strict=True)],
-        *[F.col(c).alias(f"aux_{c}") for c in aux],
+        *[(vector_to_array(F.col(c)) if c in packed else F.col(c)).alias(f"aux_{c}") for c in aux],
         as_array(base, features).alias("_v"),
     )
     base_cols = [*nb, *[f"aux_{c}" for c in aux]]
-    b = _distinct_copies(b, nb, keep)
     rows = base.count()
     if rows == 0:
         raise ValueError("the base table is empty")
     wanted = min(MAX_PIVOTS, pivots or default_pivots(rows, dimension(base, features)))
+    kept = _distinct_copies(b, nb, keep)
     if wanted == 1:
         regions = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
-        assigned = _assign(b, regions.pivots)
+        assigned = _assign(kept, regions.pivots)
     else:
-        assigned, regions = build_regions(b, _choose_pivots(b, nb, rows, wanted, seed))
+        assigned, regions = build_regions(kept, _choose_pivots(b, nb, rows, wanted, seed))
     sizes = {i: int(n) for i, n in enumerate(regions.rows) if n}
 
     if tau is not None:
@@ -344,6 +361,8 @@ def knn_pairs(
         found = found.filter(~_same_key(query_key, nb))
     best = _best(found, query_key, nb, k)
     for c in aux:
+        if c in packed:
+            best = best.withColumn(f"aux_{c}", array_to_vector(f"aux_{c}"))
         best = best.withColumnRenamed(f"aux_{c}", c if c not in query_key else f"aux_{c}")
     return best
 

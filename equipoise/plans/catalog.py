@@ -26,6 +26,7 @@ from equipoise.operators.profile import class_counts, class_profile, class_weigh
 from equipoise.operators.resample import random_balance, random_oversample, random_undersample
 from equipoise.operators.sampling import bernoulli, bootstrap, exact_sample, poisson_copies
 from equipoise.operators.synth import rose, smote
+from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
 from equipoise.plans.algorithms import experiment
 from equipoise.plans.evaluate import confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv
 from equipoise.plans.fixtures import DOC, EVENT, LINE, ORDER, VEC, embeddings, events, labelled_documents, lineitem, orders
@@ -183,6 +184,18 @@ def random_balance_exact(spark, sf):
     return out.select(*EVENT, "label", "copy")
 
 
+@query
+def union_missing_columns(spark, sf):
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    return union_with_missing_columns(customers, suppliers)
+
+
+@query
+def shuffled_rows(spark, sf):
+    return shuffle_rows(events(spark, sf), EVENT, SEED).select(*EVENT, "label")
+
+
 # ---- nearest neighbours ---------------------------------------------------------------------------------------------
 
 

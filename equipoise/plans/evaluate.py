@@ -89,7 +89,11 @@ def _run(
         if experiment.weighted:
             train_rows = class_weights(train_rows, "label", "weight")
         indexed, indexer = label_index(train_rows, "label", "label_index")
-        model = experiment.classifier(seed).fit(_apply(experiment.resample(seed), indexed))
+        sample = _apply(experiment.resample(seed), indexed).persist()  # learners pass over it several times
+        try:
+            model = experiment.classifier(seed).fit(sample)
+        finally:
+            sample.unpersist()
         train_time = time.perf_counter_ns() - started
     finally:
         train.unpersist()
@@ -115,12 +119,14 @@ def repeated_cv(
     scale: str | None = "fold",
     resume: bool = True,
     fmt: str = "parquet",
+    files: int | None = None,
 ) -> DataFrame:
     """Repeated k-fold evaluation; every finished (repetition, fold) is written under ``out``.
 
     Runs already written in full are skipped, so an interrupted job continues where it stopped.
     ``folds=1`` trains and tests on everything.  ``scale`` fits the min-max scaling on each training part
     (``"fold"``), once on the whole table (``"global"``), or not at all (None).
+    ``files`` sets the number of files per run; by default Spark's partitions decide.
     Returns the predictions of all runs, read back from ``out``.
     """
     if repetitions < 1 or folds < 1:
@@ -149,7 +155,7 @@ def repeated_cv(
                 F.lit(train_time).cast("bigint").alias("train_time"),
                 F.lit(per_row).cast("bigint").alias("prediction_time"),
             )
-            write_fold_predictions(stamped, out, repetition, fold, fmt)
+            write_fold_predictions(stamped, out, repetition, fold, fmt, files)
             scored.unpersist()
     finally:
         rows.unpersist()

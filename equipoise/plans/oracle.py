@@ -154,6 +154,10 @@ ORACLE["random_balance_exact"] = f"""WITH {sizes(EVENTS)}, {_draw(SEED)},
           ELSE CAST(i <= new_shrink AS INTEGER) END AS n FROM r, t)
     SELECT event_id, label, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM d"""
 
+ORACLE["union_missing_columns"] = """SELECT c_custkey, NULL AS s_suppkey, c_nationkey AS nation FROM customer
+    UNION ALL SELECT NULL, s_suppkey, s_nationkey FROM supplier"""
+ORACLE["shuffled_rows"] = f"SELECT event_id, label FROM {EVENTS}"
+
 # ---- nearest neighbours ---------------------------------------------------------------------------------------------
 
 

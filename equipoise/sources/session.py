@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; make one only for an in-process local master."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,4 +50,4 @@ def training_table(df: DataFrame, key: Sequence[str]) -> Iterator[DataFrame]:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

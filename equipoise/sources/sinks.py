@@ -10,8 +10,11 @@ PREDICTIONS = (
 )
 
 
-def write_fold_predictions(df: DataFrame, out: str, repetition: int, fold: int, fmt: str = "parquet") -> None:
-    """Write one run; writing it again replaces it."""
+def write_fold_predictions(
+    df: DataFrame, out: str, repetition: int, fold: int, fmt: str = "parquet", files: int | None = None
+) -> None:
+    """Write one run, optionally as a fixed number of files; writing it again replaces it."""
+    df = df.repartition(files) if files else df
     path = f"{out}/repetition={repetition}/fold={fold}"
     df.drop("repetition", "fold").write.mode("overwrite").format(fmt).save(path)
 

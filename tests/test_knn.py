@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from equipoise.functions.vectors import as_vector
 from equipoise.operators import knn
 from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs
 from equipoise.operators.stages import NearestNeighbors
@@ -42,6 +43,26 @@ def tiny_cells(monkeypatch):
     monkeypatch.setattr(knn, "_SLAB", 700)
 
 
+@pytest.mark.parametrize("probe", [1, 16, 2048])
+@pytest.mark.parametrize("shape", ["spread", "grid", "far"])
+def test_cell_search_equals_brute_force(monkeypatch, probe, shape):
+    monkeypatch.setattr(knn, "_PROBE", probe)
+    monkeypatch.setattr(knn, "_CELL_SLAB", 900)
+    rng = np.random.default_rng(7)
+    base, query = rng.normal(0, 1, (300, 5)), rng.normal(0, 1, (80, 5))
+    if shape == "grid":
+        base, query = np.round(base), np.round(query)
+    if shape == "far":
+        base, query = base + 1e6, query + 1e6
+    qi, bi, distance = knn.nearest_in_cell(query, base, 7)
+    exact = np.sqrt(((query[:, None] - base[None]) ** 2).sum(2))
+    want = np.lexsort((np.tile(np.arange(300), (80, 1)), np.round(exact, 9)))[:, :7]
+    assert np.array_equal(qi, np.repeat(np.arange(80), 7))
+    assert np.allclose(distance.reshape(80, 7), np.sort(exact, 1)[:, :7], atol=1e-9)
+    if shape != "far":
+        assert np.array_equal(bi.reshape(80, 7), want)
+
+
 @pytest.mark.parametrize("pivots", [1, 12])
 def test_exact_with_hot_copies_and_ties(spark, tiny_cells, pivots):
     """A third of the rows are one point and the rest lie on a grid full of equal distances."""
@@ -103,3 +124,10 @@ def test_plan_limits_copies_before_the_shuffle(spark, blobs):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert df.filter(F.col("rank") > 3).count() == 0
+
+
+def test_vector_columns(spark, blobs):
+    df = blobs.select("id", as_vector(blobs, "features").alias("features"))
+    out = knn_join(df, df.filter("id < 50"), ["id"], "features", 2, aux_cols=["id", "features"])
+    row = out.filter("id = 7").first()
+    assert row["neighbors"][0]["features"] == row["features"] and row["neighbors"][0]["id"] == 7

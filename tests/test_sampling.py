@@ -10,6 +10,7 @@ from equipoise.functions.randomness import FastSeed, gaussian_columns, gaussians
 from equipoise.operators.profile import class_profile, class_weights
 from equipoise.operators.resample import random_balance, random_balance_sizes, random_oversample, random_undersample
 from equipoise.operators.sampling import exact_sample
+from equipoise.operators.tables import shuffle_rows
 
 
 def counts(df, label="label"):
@@ -127,3 +128,11 @@ def test_errors(spark):
         random_undersample(small(spark, {0: 2, 1: 1}), ["id"], perc_under=120)
     with pytest.raises(ValueError, match="empty"):
         class_profile(one.filter("false"), "label")
+
+
+def test_shuffle_depends_on_key_and_seed_only(spark):
+    df = spark.range(300)
+    order = [r["id"] for r in shuffle_rows(df, ["id"], 1).collect()]
+    assert order == [r["id"] for r in shuffle_rows(df.repartition(5), ["id"], 1).collect()]
+    assert sorted(order) == list(range(300)) and order != list(range(300))
+    assert order != [r["id"] for r in shuffle_rows(df, ["id"], 2).collect()]
