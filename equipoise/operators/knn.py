@@ -292,57 +292,84 @@ def build_regions(base: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Regio
     return assigned, Regions(pivots, rows, radius)
 
 
-def knn_pairs(
-    query: DataFrame,
+@dataclass(frozen=True)
+class NeighbourIndex:
+    """A base table assigned to regions, ready for any number of searches."""
+
+    assigned: DataFrame
+    regions: Regions
+    key: tuple[str, ...]
+    aux: tuple[str, ...]
+    vectors: frozenset[str]
+    copies: int
+
+    @property
+    def nb(self) -> list[str]:
+        return [f"nb_{c}" for c in self.key]
+
+
+def build_index(
     base: DataFrame,
     key: Sequence[str],
     features: Features,
-    k: int = 5,
-    base_key: Sequence[str] | None = None,
+    copies: int,
     aux_cols: Sequence[str] = (),
-    max_distance: float = math.inf,
-    exclude_self: bool = False,
-    tau: float | None = None,
     pivots: int | None = None,
     seed: int = 0,
-) -> DataFrame:
-    """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first.
-
-    ``tau=None`` is exact.  A number routes approximately with that buffer.  ``exclude_self`` drops the
-    base row that has the query's own key.  ``pivots`` overrides the number of regions.
-    """
-    if k < 1:
-        raise ValueError("k must be positive")
-    if not max_distance > 0:
-        raise ValueError("max_distance must be positive")
-    query_key, base_key = list(key), list(base_key or key)
-    nb = [f"nb_{c}" for c in base_key]
-    aux = [c for c in aux_cols if c not in base_key]
-    packed = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
-    keep = k + 1 if exclude_self else k
-    q = query.select(*query_key, as_array(query, features).alias("_v"))
-    b = base.select(
-        *[F.col(c).alias(n) for c, n in zip(base_key, nb, strict=True)],
-        *[(vector_to_array(F.col(c)) if c in packed else F.col(c)).alias(f"aux_{c}") for c in aux],
-        as_array(base, features).alias("_v"),
-    )
-    base_cols = [*nb, *[f"aux_{c}" for c in aux]]
+) -> NeighbourIndex:
+    """Index ``base`` for searches that need at most ``copies`` rows of one identical vector (k, or k + 1
+    when a row must not find itself).  ``pivots`` overrides the number of regions."""
     rows = base.count()
     if rows == 0:
         raise ValueError("the base table is empty")
+    nb = [f"nb_{c}" for c in key]
+    aux = [c for c in aux_cols if c not in key]
+    vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
+    b = base.select(
+        *[F.col(c).alias(n) for c, n in zip(key, nb, strict=True)],
+        *[(vector_to_array(F.col(c)) if c in vectors else F.col(c)).alias(f"aux_{c}") for c in aux],
+        as_array(base, features).alias("_v"),
+    )
+    kept = _distinct_copies(b, nb, copies)
     wanted = min(MAX_PIVOTS, pivots or default_pivots(rows, dimension(base, features)))
-    kept = _distinct_copies(b, nb, keep)
     if wanted == 1:
         regions = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
         assigned = _assign(kept, regions.pivots)
     else:
         assigned, regions = build_regions(kept, _choose_pivots(b, nb, rows, wanted, seed))
+    return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies)
+
+
+def search_index(
+    query: DataFrame,
+    index: NeighbourIndex,
+    key: Sequence[str],
+    features: Features,
+    k: int = 5,
+    max_distance: float = math.inf,
+    exclude_self: bool = False,
+    tau: float | None = None,
+) -> DataFrame:
+    """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    if not max_distance > 0:
+        raise ValueError("max_distance must be positive")
+    keep = k + 1 if exclude_self else k
+    if keep > index.copies:
+        raise ValueError(f"the index holds {index.copies} copies per vector, this search needs {keep}")
+    query_key, nb, regions = list(key), index.nb, index.regions
+    base_cols = [*nb, *[f"aux_{c}" for c in index.aux]]
+    q = query.select(*query_key, as_array(query, features).alias("_v"))
     sizes = {i: int(n) for i, n in enumerate(regions.rows) if n}
 
+    def search(routed: DataFrame) -> DataFrame:
+        return _search(routed, index.assigned, query_key, base_cols, sizes, keep)
+
     if tau is not None:
-        found = _search(_route(q, regions, "tau", tau), assigned, query_key, base_cols, sizes, keep)
+        found = search(_route(q, regions, "tau", tau))
     else:
-        found = _search(_route(q, regions, "home"), assigned, query_key, base_cols, sizes, keep)
+        found = search(_route(q, regions, "home"))
         if regions.count > 1:
             home = checkpoint(_best(found, query_key, nb, keep).drop("rank"))
             reached = home.groupBy(*query_key).agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
@@ -352,21 +379,43 @@ def knn_pairs(
                 .withColumn("_bound", F.least(bound, F.lit(float(max_distance))))
                 .drop("_found", "_far")
             )
-            away = _search(_route(pending, regions, "within", keep=keep), assigned, query_key, base_cols, sizes, keep)
-            found = home.unionByName(away)
+            found = home.unionByName(search(_route(pending, regions, "within", keep=keep)))
 
     if math.isfinite(max_distance):
         found = found.filter(F.col("distance") <= max_distance)
     if exclude_self:
         found = found.filter(~_same_key(query_key, nb))
     best = _best(found, query_key, nb, k)
-    for c in aux:
-        if c in packed:
+    for c in index.aux:
+        if c in index.vectors:
             best = best.withColumn(f"aux_{c}", array_to_vector(f"aux_{c}"))
         best = best.withColumnRenamed(f"aux_{c}", c if c not in query_key else f"aux_{c}")
     return best
 
 
+def knn_pairs(
+    query: DataFrame,
+    base: DataFrame,
+    key: Sequence[str],
+    features: Features,
+    k: int = 5,
+    base_key: Sequence[str] | None = None,
+    aux_cols: Sequence[str] = (),
+    max_distance: float = math.inf,
+    exclude_self: bool = False,
+    tau: float | None = None,
+    pivots: int | None = None,
+    seed: int = 0,
+) -> DataFrame:
+    """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first.
+
+    ``tau=None`` is exact.  A number routes approximately with that buffer.  ``exclude_self`` drops the
+    base row that has the query's own key.  ``pivots`` overrides the number of regions.
+    """
+    index = build_index(base, list(base_key or key), features, k + 1 if exclude_self else k, aux_cols, pivots, seed)
+    return search_index(query, index, key, features, k, max_distance, exclude_self, tau)
+
+
 def _same_key(left: Sequence[str], right: Sequence[str]) -> Column:
     out = F.lit(True)
     for a, b in zip(left, right, strict=True):
@@ -374,31 +423,26 @@ def _same_key(left: Sequence[str], right: Sequence[str]) -> Column:
     return out
 
 
-def knn_join(
+def nest_neighbours(
     query: DataFrame,
-    base: DataFrame,
+    pairs: DataFrame,
     key: Sequence[str],
-    features: Features,
-    k: int = 5,
-    base_key: Sequence[str] | None = None,
-    aux_cols: Sequence[str] | None = None,
-    max_distance: float = math.inf,
+    base_key: Sequence[str],
+    aux_cols: Sequence[str],
     neighbors_col: str = "neighbors",
     distance_col: str | None = None,
-    **options: object,
 ) -> DataFrame:
-    """Query rows with ``neighbors: array<struct<aux…>>``, nearest first; no hit leaves an empty array."""
-    base_key = list(base_key or key)
-    aux = list(aux_cols or base_key)
-    pairs = knn_pairs(query, base, key, features, k, base_key, aux, max_distance, **options)
+    """Attach pairs to their query rows as arrays, nearest first; no hit leaves an empty array."""
 
     def source(c: str) -> Column:
         if c in base_key:
             return F.col(f"nb_{c}")
         return F.col(f"aux_{c}") if c in key else F.col(c)
 
-    entry = F.struct("rank", F.struct(*[source(c).alias(c) for c in aux]).alias("row"), F.col("distance").alias("distance"))
-    lists = pairs.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_hits"))
+    row = F.struct(*[source(c).alias(c) for c in aux_cols]).alias("row")
+    hits = F.collect_list(F.struct("rank", row, "distance"))
+    # compared by rank alone: neighbour rows may hold types without an order
+    lists = pairs.groupBy(*key).agg(F.array_sort(hits, lambda a, b: a["rank"] - b["rank"]).alias("_hits"))
     out = query.join(lists, list(key), "left")
     hits = F.coalesce(F.col("_hits"), F.array().cast(lists.schema["_hits"].dataType))
     out = out.withColumn(neighbors_col, F.transform(hits, lambda h: h["row"]))
@@ -407,6 +451,26 @@ def knn_join(
     return out.drop("_hits")
 
 
+def knn_join(
+    query: DataFrame,
+    base: DataFrame,
+    key: Sequence[str],
+    features: Features,
+    k: int = 5,
+    base_key: Sequence[str] | None = None,
+    aux_cols: Sequence[str] | None = None,
+    max_distance: float = math.inf,
+    neighbors_col: str = "neighbors",
+    distance_col: str | None = None,
+    **options: object,
+) -> DataFrame:
+    """Query rows with ``neighbors: array<struct<aux…>>``, nearest first; no hit leaves an empty array."""
+    base_key = list(base_key or key)
+    aux = list(aux_cols or base_key)
+    pairs = knn_pairs(query, base, key, features, k, base_key, aux, max_distance, **options)
+    return nest_neighbours(query, pairs, key, base_key, aux, neighbors_col, distance_col)
+
+
 TAU_SAMPLES = tuple(range(100, 1001, 100))  # fixed values: sample sizes of the estimate
 
 

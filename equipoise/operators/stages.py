@@ -14,7 +14,7 @@ from pyspark.ml.param import TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 
-from equipoise.operators.knn import estimate_tau, knn_join
+from equipoise.operators.knn import NeighbourIndex, build_index, estimate_tau, nest_neighbours, search_index
 from equipoise.operators.params import LabelledRows, param
 from equipoise.operators.resample import random_balance, random_oversample, random_undersample
 from equipoise.operators.synth import rose, smote
@@ -141,35 +141,28 @@ class NearestNeighbors(LabelledRows, Estimator):
         self._set(**kwargs)
 
     def _fit(self, dataset: DataFrame) -> NearestNeighborsModel:
+        v, key = self.value, self.getKeyCols()
         tau = None
-        if self.value("estimateBuffer"):
-            tau = estimate_tau(dataset, self.getKeyCols(), self.value("featuresCol"), self.draw_seed())
-        elif self.value("bufferSize") >= 0:
-            tau = self.value("bufferSize")
-        return NearestNeighborsModel(dataset, self, tau)
+        if v("estimateBuffer"):
+            tau = estimate_tau(dataset, key, v("featuresCol"), self.draw_seed())
+        elif v("bufferSize") >= 0:
+            tau = v("bufferSize")
+        aux = v("auxCols") if self.isDefined(self.auxCols) else key
+        index = build_index(dataset, key, v("featuresCol"), v("k"), aux, v("pivots") or None, self.draw_seed())
+        return NearestNeighborsModel(index, self, aux, tau)
 
 
 class NearestNeighborsModel(Model):
-    def __init__(self, base: DataFrame, settings: NearestNeighbors, buffer: float | None) -> None:
+    """Searches the index built by the fit; any number of tables can be transformed."""
+
+    def __init__(self, index: NeighbourIndex, settings: NearestNeighbors, aux: list[str], buffer: float | None) -> None:
         super().__init__()
-        self.base, self.settings, self.buffer = base, settings, buffer
+        self.index, self.settings, self.aux, self.buffer = index, settings, aux, buffer
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        s = self.settings
-        return knn_join(
-            dataset,
-            self.base,
-            s.getKeyCols(),
-            s.value("featuresCol"),
-            s.value("k"),
-            aux_cols=s.value("auxCols") if s.isDefined(s.auxCols) else None,
-            max_distance=s.value("maxDistance"),
-            neighbors_col=s.value("neighborsCol"),
-            distance_col=s.value("distanceCol") or None,
-            tau=self.buffer,
-            pivots=s.value("pivots") or None,
-            seed=s.draw_seed(),
-        )
+        v, key = self.settings.value, self.settings.getKeyCols()
+        pairs = search_index(dataset, self.index, key, v("featuresCol"), v("k"), v("maxDistance"), tau=self.buffer)
+        return nest_neighbours(dataset, pairs, key, key, self.aux, v("neighborsCol"), v("distanceCol") or None)
 
 
 def _at_least(value: int, low: int) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.vectors import as_vector
 from equipoise.operators import knn
-from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs
+from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, search_index
 from equipoise.operators.stages import NearestNeighbors
 
 
@@ -119,6 +119,17 @@ def test_stage(spark, blobs):
     assert all(r["neighbors"][0]["features"] == r["features"] for r in rows)
 
 
+@pytest.mark.parametrize("buffer", [-1.0, 0.3])
+def test_stage_reuses_its_index(spark, blobs, buffer):
+    model = NearestNeighbors(keyCols=["id"], featuresCol="features", k=3, pivots=10, bufferSize=buffer).fit(blobs)
+    first, second = blobs.filter("id % 50 = 1"), blobs.filter("id % 50 = 2")
+    for part in (first, second):
+        rows = model.transform(part).collect()
+        assert all(r["neighbors"][0]["id"] == r["id"] and len(r["neighbors"]) == 3 for r in rows)
+    with pytest.raises(ValueError, match="copies per vector"):
+        search_index(first, model.index, ["id"], "features", 9)
+
+
 def test_plan_limits_copies_before_the_shuffle(spark, blobs):
     df = knn_pairs(blobs, blobs, ["id"], "features", 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
