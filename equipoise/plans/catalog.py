@@ -254,6 +254,14 @@ def knn_routed(spark, sf):
     return pairs.select(*LINE, "rank", *[f"nb_{c}" for c in LINE], _r("distance", 9).alias("distance"))
 
 
+@query
+def knn_routed_vectors(spark, sf):
+    """Approximate search with a fixed buffer."""
+    df = embeddings(spark, sf)
+    pairs = knn_pairs(df, df, VEC, "features", 5, tau=0.05, pivots=8)
+    return pairs.select("vec_id", "rank", "nb_vec_id", _r("distance").alias("distance"))
+
+
 @query
 def tau_samples(spark, sf):
     points = tau_points(embeddings(spark, sf), VEC, "features", SEED)

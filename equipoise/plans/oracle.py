@@ -200,6 +200,19 @@ def _line_neighbours(scale_on: str, k: int) -> str:
 ORACLE["knn_regions"] = f"""WITH {_line_neighbours(f"(SELECT * FROM {LINEITEM} WHERE label = 1)", 5)}
     SELECT {LINE}, rank, {", ".join(f"nb_{c}" for c in LINE_LIST)}, round(distance, 9) AS distance FROM r"""
 
+_PIVOT_DRAW = u("pivot", "vec_id", seed=0)
+ORACLE["knn_routed_vectors"] = f"""WITH v AS (SELECT * FROM {vectors()}),
+    p AS (SELECT vec_id AS pid, features AS place FROM v WHERE {_PIVOT_DRAW} < least(1.0, 80.0 / (SELECT count(*) FROM v))
+          ORDER BY {_PIVOT_DRAW} LIMIT 8),
+    d AS (SELECT vec_id, features, pid, list_distance(features, place) AS reach FROM v, p),
+    near AS (SELECT vec_id, min(reach) AS nearest FROM d GROUP BY vec_id),
+    home AS (SELECT vec_id, any_value(features) AS features, arg_min(pid, reach) AS pid FROM d GROUP BY vec_id),
+    visit AS (SELECT d.vec_id, features, pid FROM d JOIN near USING (vec_id) WHERE reach - nearest <= 0.05),
+    x AS (SELECT a.vec_id, b.vec_id AS nb_vec_id, list_distance(a.features, b.features) AS distance
+          FROM visit AS a JOIN home AS b ON a.pid = b.pid),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, nb_vec_id) AS INTEGER) AS rank FROM x)
+    SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 5"""
+
 _TAU_DRAWS = " UNION ALL ".join(
     f"SELECT {i} AS sample, vec_id, features FROM {vectors()} "
     f"WHERE {u(f'tau{i}', 'vec_id')} < least(1.0, {s} / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings))"
