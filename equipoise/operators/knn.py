@@ -213,7 +213,8 @@ def _search(
     cells = sum(s * c for _, s, c in sizes)
     partitions = max(1, min(cells, max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
-    q = _spread(routed.select(*query_key, "_v", "_region"), sizes)
+    bounded = "_bound" in routed.columns
+    q = _spread(routed.select(*query_key, "_v", "_region", *(["_bound"] if bounded else [])), sizes)
     q = q.withColumn("_chunk", F.pmod(F.xxhash64(*query_key), F.col("_chunks")).cast("int"))
     q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_chunks")
     b = base.select(*base_cols, "_v", "_region")
@@ -235,6 +236,9 @@ def _search(
         if left.num_rows and right.num_rows:
             right = right.sort_by([(c, "ascending") for c in base_key])
             qi, bi, distance = nearest_in_cell(_matrix(left, "_v"), _matrix(right, "_v"), k)
+            if bounded:  # nothing beyond the k-th distance found at home can be in the answer
+                useful = distance <= left.column("_bound").to_numpy()[qi]
+                qi, bi, distance = qi[useful], bi[useful], distance[useful]
         else:
             qi = bi = distance = np.empty(0)
         lt = left.select(list(query_key)).take(pa.array(qi.astype(np.int64)))

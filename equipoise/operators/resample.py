@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.randomness import driver_uniform, poisson, uniform
 from equipoise.operators.profile import ClassProfile, class_profile
-from equipoise.operators.sampling import balanced_fraction, exact_cutoff, repeat_rows, whole_copies
+from equipoise.operators.sampling import balanced_fraction, exact_cutoff, per_growth, repeat_rows, whole_copies
 
 
 def no_resample(df: DataFrame) -> DataFrame:
@@ -73,10 +73,15 @@ def random_oversample(
         total = p.majority_size - p.minority_size if perc_over == 0 else math.floor(p.minority_size * rate)
         each, rest = whole_copies(total, p.minority_size)
         extra = F.lit(each) + exact_cutoff(df.filter(minority), rest, key, seed, "over").cast("int")
-        return repeat_rows(df, F.when(minority, F.lit(1) + extra).otherwise(1), copy_col, first=0)
-    drawn = df.withColumn("_u", uniform(key, seed, "over"))
-    copies = F.when(minority, F.lit(1) + poisson(F.col("_u"), rate)).otherwise(1)
-    return repeat_rows(drawn, copies, copy_col, first=0).drop("_u")
+    else:
+        extra = poisson(F.col("_u"), rate)
+    copies = F.when(minority, F.lit(1) + extra).otherwise(1)
+
+    def grow(part: DataFrame, expected: float) -> DataFrame:
+        drawn = part.withColumn("_u", uniform(key, seed, "over")) if mode == "hash" else part
+        return repeat_rows(drawn, copies, copy_col, 0, key, expected).drop("_u")
+
+    return per_growth(df, minority, rate, grow)
 
 
 def random_balance_sizes(p: ClassProfile, seed: int) -> tuple[int, int]:
@@ -111,9 +116,15 @@ def random_balance(
     grows = F.col(label) == F.lit(grow)
     if mode == "exact":
         each, rest = whole_copies(grow_new, grow_old)
-        more = exact_cutoff(df.filter(grows), rest, key, seed, "grow").cast("int")
+        more = F.lit(each) + exact_cutoff(df.filter(grows), rest, key, seed, "grow").cast("int")
         kept = exact_cutoff(df.filter(~grows), shrink_new, key, seed, "shrink").cast("int")
-        return repeat_rows(df, F.when(grows, F.lit(each) + more).otherwise(kept), copy_col)
-    drawn, u = df.withColumn("_u", uniform(key, seed, "balance")), F.col("_u")
-    kept = (u < shrink_new / shrink_old).cast("int")
-    return repeat_rows(drawn, F.when(grows, poisson(u, grow_new / grow_old)).otherwise(kept), copy_col).drop("_u")
+    else:
+        more = poisson(F.col("_u"), grow_new / grow_old)
+        kept = (F.col("_u") < shrink_new / shrink_old).cast("int")
+    copies = F.when(grows, more).otherwise(kept)
+
+    def redraw(part: DataFrame, expected: float) -> DataFrame:
+        drawn = part.withColumn("_u", uniform(key, seed, "balance")) if mode == "hash" else part
+        return repeat_rows(drawn, copies, copy_col, 1, key, expected).drop("_u")
+
+    return per_growth(df, grows, grow_new / grow_old, redraw)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from equipoise.functions.randomness import poisson, uniform
 _BUCKETS = 4096
 _RANKED_ROWS = 100_000
 _U = "_u"
+_BLOCK = 1000
+SPREAD_RATE = 16.0
 
 
 def bernoulli(df: DataFrame, fraction: float | Column, key: Sequence[str], seed: int, tag: str = "bernoulli") -> DataFrame:
@@ -20,21 +22,54 @@ def bernoulli(df: DataFrame, fraction: float | Column, key: Sequence[str], seed:
     return df.filter(uniform(key, seed, tag) < fraction)
 
 
-def repeat_rows(df: DataFrame, copies: Column, copy_col: str | None = None, first: int = 1) -> DataFrame:
-    """Repeat each row ``copies`` times (0 drops it), numbering the copies from ``first``."""
+def repeat_rows(
+    df: DataFrame,
+    copies: Column,
+    copy_col: str | None = None,
+    first: int = 1,
+    key: Sequence[str] = (),
+    rate: float = 1.0,
+) -> DataFrame:
+    """Repeat each row ``copies`` times (0 drops it), numbering the copies from ``first``.
+
+    ``rate`` is the expected number of copies.  Above SPREAD_RATE the work is shared out by ``key``:
+    rows are cut into blocks of copies and the blocks shuffled before they unfold, so a few rare rows
+    stored together do not fill one task.
+    """
     # posexplode over n repeated elements evaluates the count once and drops n = 0 by itself
-    out = df.select("*", F.posexplode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("_pos", "_hit"))
+    if rate <= SPREAD_RATE:
+        out = df.select("*", F.posexplode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("_pos", "_hit"))
+    else:
+        spark = df.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        counted = df.withColumn("_n", copies.cast("int"))
+        blocks = F.ceil(F.col("_n") / F.lit(_BLOCK)).cast("int")
+        cut = counted.select("*", F.posexplode(F.array_repeat(F.lit(True), blocks)).alias("_block", "_hit")).drop("_hit")
+        inside = F.least(F.lit(_BLOCK), F.col("_n") - F.col("_block") * _BLOCK)
+        out = (
+            cut.repartition(tasks, *key, "_block")
+            .select("*", F.posexplode(F.array_repeat(F.lit(True), inside)).alias("_pos", "_hit"))
+            .withColumn("_pos", F.col("_pos") + F.col("_block") * _BLOCK)
+            .drop("_n", "_block")
+        )
     if copy_col:
         out = out.withColumn(copy_col, F.col("_pos") + F.lit(first))
     return out.drop("_pos", "_hit")
 
 
+def per_growth(df: DataFrame, grows: Column, rate: float, apply: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """``apply(part, rate)`` in one pass, or the growing class on its own when its rows must be spread."""
+    if rate <= SPREAD_RATE:
+        return apply(df, rate)
+    return apply(df.filter(~grows), 1.0).unionByName(apply(df.filter(grows), rate))
+
+
 def poisson_copies(
     df: DataFrame, rate: float, key: Sequence[str], seed: int, tag: str = "poisson", copy_col: str | None = None
 ) -> DataFrame:
     """Sample with replacement: each row appears Poisson(rate) times."""
     drawn = df.withColumn(_U, uniform(key, seed, tag))
-    return repeat_rows(drawn, poisson(F.col(_U), rate), copy_col).drop(_U)
+    return repeat_rows(drawn, poisson(F.col(_U), rate), copy_col, key=key, rate=rate).drop(_U)
 
 
 def bootstrap(df: DataFrame, key: Sequence[str], seed: int, rate: float = 1.0, copy_col: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from equipoise.functions.randomness import FastSeed, bind, gaussian_columns, gau
 from equipoise.functions.vectors import Features, as_array, as_vector, dimension, min_max, scale_array, with_array
 from equipoise.operators.knn import knn_pairs
 from equipoise.operators.profile import ClassProfile, class_profile
-from equipoise.operators.sampling import balanced_fraction
+from equipoise.operators.sampling import balanced_fraction, per_growth, repeat_rows
 
 _UNROLLED = 16  # up to this many features the noise is written out as plain expressions
 
@@ -62,13 +62,11 @@ def smote(
     if rate == 0:
         return original
     considered = math.ceil(rate)
-    numbers = F.sequence(F.lit(1), F.lit(considered))
-    if rate < considered:
-        kept_share = rate / considered
-        numbers = F.filter(numbers, lambda i: uniform([*key, i], seed, "smote-keep") < kept_share)
-
+    kept_share = rate / considered
     members = df.filter(F.col(label) == F.lit(target)).withColumn("_x", as_array(df, features))
-    seeds = members.withColumn("_numbers", numbers).filter(F.size("_numbers") > 0)
+    seeds = members
+    if kept_share < 1 and considered == 1:  # rows that keep no synthetic need no neighbours
+        seeds = members.filter(uniform([*key, F.lit(1)], seed, "smote-keep") < kept_share)
     if neighbors is None:
         low, high = min_max(df, features)
         space = members.select(*key, "_x", scale_array(F.col("_x"), low, high).alias("_scaled"))
@@ -80,7 +78,9 @@ def smote(
         pairs = neighbors.filter(F.col("rank") <= k)
     near = pairs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "nb_features"))).alias("_near"))
 
-    rows = seeds.join(near, list(key)).withColumn("_i", F.explode("_numbers"))
+    rows = repeat_rows(seeds.join(near, list(key)), F.lit(considered), "_i", 1, key, rate)
+    if kept_share < 1 and considered > 1:
+        rows = rows.filter(uniform([*key, "_i"], seed, "smote-keep") < kept_share)
     pick = F.floor(uniform([*key, "_i"], seed, "smote-pick") * F.size("_near")).cast("int")
     other = F.get(F.col("_near"), pick)["nb_features"]
     values = bind(
@@ -103,17 +103,11 @@ def rose_bandwidth(dim: int, rows: int) -> float:
     return (4.0 / ((dim + 2) * rows)) ** (1.0 / (dim + 4))
 
 
-def _copy_numbers(count: Column, first: int) -> Column:
-    return F.transform(F.array_repeat(F.lit(True), count), lambda _, i: i + F.lit(first))
-
-
-def _rose_numbers(u: Column, fraction: float, keep: bool) -> Column:
-    """Copy numbers of one row: 0 is the row itself, 1, 2, … are noisy copies."""
+def _rose_copies(u: Column, fraction: float, keep: bool) -> Column:
+    """Rows made of one row: with ``keep`` the first is the row itself, all others are noisy."""
     if keep and fraction > 1:
-        return _copy_numbers(F.lit(1) + poisson(u, fraction - 1), 0)
-    if keep:
-        return _copy_numbers((u < fraction).cast("int"), 0)
-    return _copy_numbers(poisson(u, fraction), 1)
+        return F.lit(1) + poisson(u, fraction - 1)
+    return (u < fraction).cast("int") if keep else poisson(u, fraction)
 
 
 def rose(
@@ -154,16 +148,21 @@ def rose(
     width = {c: [shrink * rose_bandwidth(dim, n) * s for s in spread[c]] for c, n in p.classes}
     minority = F.col(label) == F.lit(p.minority)
 
-    u = F.col("_u")
+    u, keep_majority = F.col("_u"), keep_orig or majo_rus
     if majo_rus:
-        kept = F.lit(1) if keep_majo_size else (u < min(1.0, f_maj)).cast("int")
-        majority_numbers = _copy_numbers(kept, 0)
+        majority_copies = F.lit(1) if keep_majo_size else (u < min(1.0, f_maj)).cast("int")
     else:
-        majority_numbers = _rose_numbers(u, f_maj, keep_orig)
-    numbers = F.when(minority, _rose_numbers(u, f_min, keep_orig)).otherwise(majority_numbers)
-    drawn = df.withColumns({"_x": as_array(df, features), "_u": uniform(key, seed, "rose")})
-    rows = drawn.withColumn("_i", F.explode(numbers)).drop("_u")
+        majority_copies = _rose_copies(u, f_maj, keep_orig)
+    copies = F.when(minority, _rose_copies(u, f_min, keep_orig)).otherwise(majority_copies)
+
+    def draw_rows(part: DataFrame, expected: float) -> DataFrame:
+        return repeat_rows(part, copies, "_i", 0, key, expected)
 
+    drawn = df.withColumns({"_x": as_array(df, features), "_u": uniform(key, seed, "rose")})
+    rows = per_growth(drawn, minority, f_min, draw_rows).drop("_u")
+    # copy 0 is the row itself where originals are kept; elsewhere noisy copies count from 1
+    kept = F.lit(keep_orig) if keep_orig == keep_majority else F.when(minority, keep_orig).otherwise(keep_majority)
+    rows = rows.withColumn("_i", F.col("_i") + F.when(kept, 0).otherwise(1))
     draw = [*key, "_i"]
     if isinstance(seed, FastSeed) and dim <= _UNROLLED:
         low, high = width[p.minority], width[p.majority]

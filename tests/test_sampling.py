@@ -136,3 +136,17 @@ def test_shuffle_depends_on_key_and_seed_only(spark):
     assert order == [r["id"] for r in shuffle_rows(df.repartition(5), ["id"], 1).collect()]
     assert sorted(order) == list(range(300)) and order != list(range(300))
     assert order != [r["id"] for r in shuffle_rows(df, ["id"], 2).collect()]
+
+
+@pytest.mark.parametrize("mode", ["hash", "exact"])
+def test_spread_copies_are_the_same_rows(spark, monkeypatch, mode):
+    df = small(spark, {0: 600, 1: 20})
+    runs = (
+        lambda: random_oversample(df, ["id"], seed=3, perc_over=0, mode=mode, copy_col="c"),
+        lambda: random_balance(df, ["id"], seed=3, mode=mode, copy_col="c"),
+    )
+    monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 1e9)
+    plain = [sorted(map(tuple, run().collect())) for run in runs]
+    monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 0.5)
+    monkeypatch.setattr("equipoise.operators.sampling._BLOCK", 4)
+    assert [sorted(map(tuple, run().collect())) for run in runs] == plain

@@ -78,3 +78,15 @@ def test_rose_options(spark, blobs):
     assert rose(blobs, ["id"], mino_prob=1.0).filter("label = 0").count() == 0
     with pytest.raises(ValueError, match="mino_prob"):
         rose(blobs, ["id"], mino_prob=0)
+
+
+def test_spread_synthetics_are_the_same_rows(spark, blobs, monkeypatch):
+    def both():
+        made = smote(blobs, ["id"], seed=5, perc_over=0, copy_col="c"), rose(blobs, ["id"], seed=5, copy_col="c")
+        return [sorted((r["id"], r["c"], tuple(r["features"])) for r in d.collect()) for d in made]
+
+    monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 1e9)
+    plain = both()
+    monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 0.5)
+    monkeypatch.setattr("equipoise.operators.sampling._BLOCK", 4)
+    assert both() == plain
