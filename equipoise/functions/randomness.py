@@ -64,12 +64,6 @@ def _halves(h: Column) -> tuple[Column, Column]:
     return high, h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") / F.lit(_HALF)
 
 
-def _one_normal(h: Column, second: int) -> Column:
-    u, v = _halves(h)
-    angle = F.lit(2.0 * math.pi) * v
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * (F.sin(angle) if second else F.cos(angle))
-
-
 def _normal_pair(u: Column, v: Column) -> Column:
     """Two N(0, 1) draws from two uniforms (Box-Muller)."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u))
@@ -77,9 +71,30 @@ def _normal_pair(u: Column, v: Column) -> Column:
     return bind(polar, lambda p: F.array(p["r"] * F.cos(p["a"]), p["r"] * F.sin(p["a"])))
 
 
-def gaussian_columns(keys: Sequence[str | Column], seed: FastSeed, tag: str, count: int) -> list[Column]:
+def _part(digest: Column, start: int) -> Column:
+    """A 32-bit uniform of eight hex digits."""
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(_HALF)
+
+
+def normal_sources(keys: Sequence[str | Column], seed: int, tag: str, count: int) -> list[Column]:
+    """The hashes behind ``count`` draws of :func:`gaussians`; add them as columns for :func:`normals_from`."""
+    if isinstance(seed, FastSeed):
+        return [_hash64([*keys, F.lit(b)], seed, tag) for b in range((count + 1) // 2)]
+    return [_digest([*keys, F.lit(b)], seed, tag) for b in range((count + 3) // 4)]
+
+
+def normals_from(sources: Sequence[Column], seed: int, count: int) -> list[Column]:
     """The draws of :func:`gaussians` as separate expressions, which stay inside generated code."""
-    return [_one_normal(_hash64([*keys, F.lit(j // 2)], seed, tag), j % 2) for j in range(count)]
+    out = []
+    for j in range(count):
+        if isinstance(seed, FastSeed):
+            u, v = _halves(sources[j // 2])
+        else:
+            start = 1 + 16 * (j % 4 // 2)
+            u, v = _part(sources[j // 4], start), _part(sources[j // 4], start + 8)
+        angle = F.lit(2.0 * math.pi) * v
+        out.append(F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * (F.sin(angle) if j % 2 else F.cos(angle)))
+    return out
 
 
 def gaussians(keys: Sequence[str | Column], seed: int, tag: str, count: int) -> Column:
@@ -98,13 +113,10 @@ def gaussians(keys: Sequence[str | Column], seed: int, tag: str, count: int) ->
     stem = F.concat_ws("|", F.lit(f"{tag}|{seed}"), *[c.cast("string") for c in _columns(keys)])
     blocks = F.sequence(F.lit(0), F.lit((count - 1) // 4))
 
-    def part(digest: Column, start: int) -> Column:
-        return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(_HALF)
-
     def four(stem: Column, block: Column) -> Column:
         digest = F.md5(F.concat_ws("|", stem, block.cast("string")))
         return bind(
-            digest, lambda d: F.concat(_normal_pair(part(d, 1), part(d, 9)), _normal_pair(part(d, 17), part(d, 25)))
+            digest, lambda d: F.concat(_normal_pair(_part(d, 1), _part(d, 9)), _normal_pair(_part(d, 17), _part(d, 25)))
         )
 
     drawn = bind(stem, lambda s: F.flatten(F.transform(blocks, lambda b: four(s, b))))

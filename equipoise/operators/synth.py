@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.randomness import FastSeed, bind, gaussian_columns, gaussians, poisson, uniform
+from equipoise.functions.randomness import bind, gaussians, normal_sources, normals_from, poisson, uniform
 from equipoise.functions.vectors import Features, as_array, as_vector, dimension, min_max, scale_array, with_array
 from equipoise.operators.knn import knn_pairs
 from equipoise.operators.profile import ClassProfile, class_profile
@@ -164,9 +164,12 @@ def rose(
     kept = F.lit(keep_orig) if keep_orig == keep_majority else F.when(minority, keep_orig).otherwise(keep_majority)
     rows = rows.withColumn("_i", F.col("_i") + F.when(kept, 0).otherwise(1))
     draw = [*key, "_i"]
-    if isinstance(seed, FastSeed) and dim <= _UNROLLED:
+    hashes: dict[str, Column] = {}
+    if dim <= _UNROLLED:
+        hashes = {f"_h{b}": h for b, h in enumerate(normal_sources(draw, seed, "rose-noise", dim))}
+        rows = rows.withColumns(hashes)
+        noise = normals_from([F.col(h) for h in hashes], seed, dim)
         low, high = width[p.minority], width[p.majority]
-        noise = gaussian_columns(draw, seed, "rose-noise", dim)
         noisy = F.array(*[F.col("_x")[j] + z * F.when(minority, low[j]).otherwise(high[j]) for j, z in enumerate(noise)])
     else:
         scale = F.when(minority, F.lit(width[p.minority])).otherwise(F.lit(width[p.majority]))
@@ -175,4 +178,4 @@ def rose(
     out = with_array(rows, features, F.when(F.col("_i") == 0, F.col("_x")).otherwise(noisy))
     if copy_col:
         out = out.withColumn(copy_col, F.col("_i"))
-    return out.drop("_x", "_i")
+    return out.drop("_x", "_i", *hashes)

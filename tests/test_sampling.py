@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from equipoise.functions.randomness import FastSeed, gaussian_columns, gaussians, poisson, uniform
+from equipoise.functions.randomness import FastSeed, gaussians, normal_sources, normals_from, poisson, uniform
 from equipoise.operators.profile import class_profile, class_weights
 from equipoise.operators.resample import random_balance, random_balance_sizes, random_oversample, random_undersample
 from equipoise.operators.sampling import exact_sample
@@ -48,9 +48,12 @@ def test_draws_are_uniform_normal_and_poisson(spark, seed):
     assert abs(m["z_m"] - 20000) < 5 and abs(m["z_v"] / 20000 - 1) < 0.05
 
 
-def test_gaussian_columns_equal_the_array(spark):
-    seed = FastSeed(4)
-    both = spark.range(50).select(gaussians(["id"], seed, "g", 5).alias("a"), F.array(*gaussian_columns(["id"], seed, "g", 5)).alias("b"))
+@pytest.mark.parametrize("seed", [4, FastSeed(4)])
+def test_written_out_normals_equal_the_array(spark, seed):
+    sources = normal_sources(["id"], seed, "g", 7)
+    both = spark.range(50).select(
+        gaussians(["id"], seed, "g", 7).alias("a"), F.array(*normals_from(sources, seed, 7)).alias("b")
+    )
     for r in both.collect():
         assert np.allclose(r["a"], r["b"], atol=0, rtol=1e-12)
 
