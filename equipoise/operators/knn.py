@@ -271,17 +271,22 @@ def default_pivots(rows: int, dim: int) -> int:
     """About sqrt(rows) / 4, one region for small tables, bounded by the broadcast size."""
     if rows <= 4 * BASE_CELL:
         return 1
-    return max(1, min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim), round(math.sqrt(rows) / 4)))
+    return min(most_pivots(dim), max(1, round(math.sqrt(rows) / 4)))
+
+
+def most_pivots(dim: int) -> int:
+    """Pivots travel to every task, so their number and bytes are bounded."""
+    return max(1, min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim)))
 
 
 def _choose_pivots(base: DataFrame, base_key: Sequence[str], rows: int, wanted: int, seed: int) -> np.ndarray:
     """Up to ``wanted`` distinct hash-sampled base vectors (``wanted`` is at most MAX_PIVOTS).
 
-    The sample holds four times as many rows, since a hot vector may fill much of it.
+    The sample holds twice as many rows, since a hot vector may fill a third of it.
     """
     share = min(1.0, (8.0 * wanted + 16.0) / rows)
     draws = base.select("_v", uniform(base_key, seed, "pivot").alias("_u")).filter(F.col("_u") < share)
-    sample = draws.orderBy("_u").limit(4 * wanted).collect() or base.select("_v").limit(1).collect()
+    sample = draws.orderBy("_u").limit(2 * wanted).collect() or base.select("_v").limit(1).collect()
     _, first = np.unique(np.array([r["_v"] for r in sample], dtype=float), axis=0, return_index=True)
     return np.array([sample[i]["_v"] for i in np.sort(first)[:wanted]], dtype=float)
 
@@ -335,7 +340,8 @@ def build_index(
         as_array(base, features).alias("_v"),
     )
     kept = _distinct_copies(b, nb, copies)
-    wanted = min(MAX_PIVOTS, pivots or default_pivots(rows, dimension(base, features)))
+    dim = dimension(base, features)
+    wanted = min(most_pivots(dim), pivots or default_pivots(rows, dim))
     if wanted == 1:
         regions = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
         assigned = _assign(kept, regions.pivots)
