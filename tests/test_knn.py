@@ -130,10 +130,12 @@ def test_stage_reuses_its_index(spark, blobs, buffer):
         search_index(first, model.index, ["id"], "features", 9)
 
 
-def test_plan_limits_copies_before_the_shuffle(spark, blobs):
-    df = knn_pairs(blobs, blobs, ["id"], "features", 3)
+@pytest.mark.parametrize("pivots", [1, 10])
+def test_plan_has_partial_limits_and_no_cross_join(spark, blobs, pivots):
+    df = knn_pairs(blobs, blobs, ["id"], "features", 3, pivots=pivots)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Partial" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert df.filter(F.col("rank") > 3).count() == 0
 
 
