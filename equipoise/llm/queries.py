@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from equipoise.llm import bpe, exact, language
+from equipoise.llm import bpe, exact, language, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,10 +26,15 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"), words=3, distance=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language": op3_language,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
