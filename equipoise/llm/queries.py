@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from equipoise.llm import bpe, exact, language, simhash
+from equipoise.llm import bpe, exact, hostrules, language, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(spark, _table(spark, sf, "documents"))
 
 
+def op5_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return hostrules.judge(_table(spark, sf, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf, "documents"))
 
@@ -33,11 +37,36 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language": op3_language,
+    "op5_host_rules": op5_host_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
+    "op5_host_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+places AS (SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS g FROM (
+        SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w)),
+twice AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last
+          FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM places) WHERE c > 1),
+covered AS (SELECT doc_id, sum(least(5, coalesce(i - last, 5)))::BIGINT AS n FROM twice GROUP BY doc_id),
+s AS (SELECT w.doc_id, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines
+      FROM w LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeated,
+        100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM s),
+h AS (SELECT source, rule, count(*) AS n, sum(fails::INT) AS x
+      FROM (SELECT source, unnest(['short', 'repeated', 'symbols', 'dup_lines']) AS rule,
+              unnest([short, repeated, symbols, dup_lines]) AS fails FROM f) GROUP BY ALL),
+m AS (SELECT rule, sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS spread FROM h GROUP BY rule),
+k AS (SELECT rule, mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1e6) ELSE 1e6 END AS k FROM m),
+v AS (SELECT source, bool_or((x + mean * k) / (n + k) > 0.5) AS host_rejected FROM h JOIN k USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeated AS base_failed,
+       NOT (short OR repeated) AND NOT host_rejected AS kept, host_rejected
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
     "op6_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents)
