@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from equipoise.llm import bpe, exact, hostrules, language, mixing, simhash
+from equipoise.llm import bpe, exact, hostrules, language, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf, "documents"), window=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(spark, _table(spark, sf, "documents"))
 
@@ -40,6 +46,7 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language": op3_language,
     "op5_host_rules": op5_host_rules,
     "op6_exact_dedup": op6_exact_dedup,
@@ -48,6 +55,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+           FROM documents),
+p AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM p) WHERE owner < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM r),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op5_host_rules": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
