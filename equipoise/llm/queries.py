@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import bpe, exact, hostrules, language, mixing, simhash, substrings
+from equipoise.llm import bpe, exact, hostrules, language, mixing, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(spark, _table(spark, sf, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_round_trip(spark, _table(spark, sf, "pages"), "page_id", "url", "html")
+
+
 def op5_host_rules(spark: SparkSession, sf: str) -> DataFrame:
     return hostrules.judge(_table(spark, sf, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language": op3_language,
+    "op4_warc": op4_warc,
     "op5_host_rules": op5_host_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
