@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 STEP_BYTES = 4 << 20
 
 #: The bytes that separate words: space and U+0009 to U+000D. All are ASCII, so UTF-8 can be cut at them.
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_WORDS = np.ones(256, np.int8)
+_WORDS[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
@@ -42,15 +42,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def flat_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all rows: (bytes, first byte, end byte, first word of rows + 1 entries)."""
+def flat_tokens(texts: pa.Array, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes of one kind (0 separates): (bytes, first byte, end byte, first token of rows + 1 entries)."""
     data, offsets = text_bytes(texts)
-    inside = np.append(~_SEPARATOR[data], False)
-    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
-    before[offsets[:-1]] = False  # words end with their row
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    kind = kinds[data]
+    starts, ends = kind != 0, kind != 0
+    if len(data):
+        change = kind[1:] != kind[:-1]
+        edge = offsets[(offsets > 0) & (offsets < len(data))]
+        change[edge - 1] = True  # tokens end with their row
+        starts[1:] &= change
+        ends[:-1] &= change
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -59,3 +62,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def flat_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all rows: (bytes, first byte, end byte, first word of rows + 1 entries)."""
+    return flat_tokens(texts, _WORDS)

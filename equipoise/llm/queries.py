@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import bpe, exact, hostrules, language, mixing, simhash, substrings, warc
+from equipoise.llm import bpe, exact, hostrules, language, mixing, quality, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.assess(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"), words=3, distance=3)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_host_rules": op5_host_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
 
