@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import bpe, exact, hostrules, language, mixing, quality, simhash, substrings, warc
+from equipoise.llm import bpe, exact, hostrules, language, mixing, quality, secrets, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assess(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digests(_table(spark, sf, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"), words=3, distance=3)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
