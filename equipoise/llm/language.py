@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,13 +116,15 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BU
     return LanguageModel(names, np.log(docs / docs.sum()), table)
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` without ``text``, with the likeliest language and its posterior probability.
+def predict(
+    df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score", keep_text: bool = False
+) -> DataFrame:
+    """``df`` (without ``text`` unless ``keep_text``), with the likeliest language and its posterior probability.
 
     A text that is null or has no letter, and every text under a model without languages, gives ``und`` and 0. Ties go
     to the language that sorts first. Only ``text`` is looked at; other columns pass through.
     """
-    rest = [f for f in df.schema if f.name not in (text, pred, score)]
+    rest = [f for f in df.schema if f.name not in (pred, score) and (keep_text or f.name != text)]
     names = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -141,7 +143,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", pred: str =
                 best[rows], chance[rows] = top, 1 / np.exp(sums - sums.max(0)).sum(0)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(langs[best], pa.string()), pa.array(chance)], [f.name for f in schema])
 
-    return df.select(*names, text).mapInArrow(run, schema)
+    return df.select(*names, *(() if keep_text else (text,))).mapInArrow(run, schema)
 
 
 def identify(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -149,6 +151,21 @@ def identify(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: st
 
     Rows whose crc32 of the key as text leaves 2 modulo 4 are held out (a null key never is).
     """
-    held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
+    held = held_out(key)
     model = fit(docs.where(~held), text, lang)
     return predict(docs.select(key, held.alias("held_out"), text), model, text)
+
+
+def held_out(key: str) -> Column:
+    """Rows whose crc32 of the key as text leaves 2 modulo 4; a null key never is."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.5) -> DataFrame:
+    """``df`` without the rows whose language is ``und`` or less likely than ``min_score``; all columns stay.
+
+    The model is learned from the rows of ``df`` that are not held out.
+    """
+    model = fit(df.where(~held_out(key)), text, lang)
+    found = predict(df, model, text, "_lang", "_score", keep_text=True)
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*df.columns)
