@@ -54,5 +54,6 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sal
 
 def drop_exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
     """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay."""
-    kept = exact_duplicates(df, key, text, salts).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = exact_duplicates(df, key, text, salts).where("kept").select(F.col(key).alias("_kept"), F.col("text_sha256").alias("_digest")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_kept")) & (F.sha2(ascii_lower(text), 256) == F.col("_digest"))
+    return df.join(kept, same, "left_semi")

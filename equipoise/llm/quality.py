@@ -190,7 +190,7 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"))
     known = known.withColumn("_at", F.xxhash64("_key")).orderBy("_at", "_key", "_y").limit(max_train)
     rows = known.join(vectors, F.col("_key") == F.col(key)).select("_at", "_key", "_y", "vector").toArrow().sort_by([("_at", "ascending"), ("_key", "ascending"), ("_y", "ascending")])
-    x = np.array(rows.column("vector").combine_chunks().flatten(), float).reshape(len(rows), -1)
+    x = np.array(rows.column("vector").combine_chunks().flatten(), float).reshape(len(rows), WIDTH + 3)
     net = train(x, rows.column("_y").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(net)  # two layers, a few kilobytes
     names = [key, "held_out"]

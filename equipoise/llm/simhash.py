@@ -193,7 +193,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """``df`` with the row of the smallest key of each near-duplicate group; all columns stay."""
+    """``df`` with the row of the smallest key of each near-duplicate group; all columns stay.
+
+    Rows that share a key stay or go together: they stay if the key is the smallest of any of their groups.
+    """
     kept = near_duplicates(df, key, text, **how).where(F.col(key).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col(key).alias("_kept")).distinct()
     return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
