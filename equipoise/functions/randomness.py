@@ -38,8 +38,13 @@ def _hash64(keys: Sequence[str | Column], seed: int, tag: str) -> Column:
     return F.xxhash64(F.lit(f"{tag}|{int(seed)}"), *_columns(keys))
 
 
+def _texts(keys: Sequence[str | Column]) -> list[Column]:
+    """Key parts as text; a null is a text of its own, so that (1, null, 2) and (1, 2, null) draw apart."""
+    return [F.coalesce(c.cast("string"), F.lit("\x00")) for c in _columns(keys)]
+
+
 def _digest(keys: Sequence[str | Column], seed: int, tag: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(f"{tag}|{seed}"), *[c.cast("string") for c in _columns(keys)]))
+    return F.md5(F.concat_ws("|", F.lit(f"{tag}|{seed}"), *_texts(keys)))
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -110,7 +115,7 @@ def gaussians(keys: Sequence[str | Column], seed: int, tag: str, count: int) ->
         blocks = F.sequence(F.lit(0), F.lit((count - 1) // 2))
         return F.slice(F.flatten(F.transform(blocks, two)), 1, count)
 
-    stem = F.concat_ws("|", F.lit(f"{tag}|{seed}"), *[c.cast("string") for c in _columns(keys)])
+    stem = F.concat_ws("|", F.lit(f"{tag}|{seed}"), *_texts(keys))
     blocks = F.sequence(F.lit(0), F.lit((count - 1) // 4))
 
     def four(stem: Column, block: Column) -> Column:
@@ -144,17 +149,17 @@ def poisson(u: Column, rate: float) -> Column:
     cumulative probabilities are written out as one comparison each, which compiles
     to straight code but mentions ``u`` once per step.
 
-    Rates above 10,000 copies per row use the normal limit, which is within
-    half a percent of the Poisson quantiles there and needs no lookup table.
+    A rate above 10,000 is cut into equal parts below it: the sum of independent Poisson counts, each
+    with a uniform that follows from ``u``, has the same law, and the table stays short.
     """
     if rate < 0:
         raise ValueError("a Poisson rate cannot be negative")
     if rate == 0:
         return F.lit(0)
     if rate > _WIDE_POISSON:
-        # Spark has no inverse normal CDF; a digest of the uniform feeds Box-Muller
-        z = gaussians([u], 0, "wide-poisson", 1)[0]
-        return F.greatest(F.lit(0), F.round(F.lit(rate) + F.lit(math.sqrt(rate)) * z).cast("int"))
+        parts = math.ceil(rate / _WIDE_POISSON)
+        drawn = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: poisson(uniform([u, i], 0, "poisson-part"), rate / parts))
+        return F.aggregate(drawn, F.lit(0), lambda a, n: a + n)
     low, cdf = poisson_cdf(rate)
     if len(cdf) <= _WRITTEN_OUT:
         return reduce(add, [(u > c).cast("int") for c in cdf], F.lit(low))

@@ -34,7 +34,7 @@ def residual_profile(rows: DataFrame, residual: str) -> ClassProfile:
     cells = rows.groupBy(residual).count().select(F.struct("count", residual).alias("c"))
     r = cells.agg(F.min("c").alias("low"), F.max("c").alias("high")).first()
     ends = [(r["low"][residual], r["low"]["count"]), (r["high"][residual], r["high"]["count"])]
-    return ClassProfile(tuple((float(c), int(n)) for c, n in ends))
+    return ClassProfile(tuple((float(c), int(n)) for c, n in ends), sum(n for _, n in ends), 2)
 
 
 class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, DefaultParamsWritable):
@@ -63,6 +63,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
     cacheNodeIds = param("cacheNodeIds", "cache node ids per row", TypeConverters.toBoolean)
     checkpointInterval = param("checkpointInterval", "rounds between fresh margin tables", TypeConverters.toInt)
     featureSubsetStrategy = param("featureSubsetStrategy", "features tried per split", TypeConverters.toString)
+    partitions = param("partitions", "partitions of the training table, 0 leaves them as they are", TypeConverters.toInt)
     lossType = param("lossType", "logistic", TypeConverters.toString)
 
     def __init__(self, **kwargs: Any) -> None:
@@ -71,7 +72,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             resampling="rus", percSampling=0.0, balanceOn="class", validationTol=0.01, maxIter=20, stepSize=0.1,
             subsamplingRate=1.0, maxDepth=5, maxBins=32, minInstancesPerNode=1, minWeightFractionPerNode=0.0,
             minInfoGain=0.0, maxMemoryInMB=256, cacheNodeIds=False, checkpointInterval=10, featureSubsetStrategy="all",
-            lossType="logistic",
+            lossType="logistic", partitions=0,
         )
         self._set(**kwargs)
 
@@ -137,7 +138,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             as_vector(dataset, v("featuresCol")).alias("features"),
             (F.col(v("validationIndicatorCol")) if validate else F.lit(False)).alias("_held_out"),
         )
-        with training_table(table, self.getKeyCols()) as base:
+        with training_table(table, self.getKeyCols(), v("partitions")) as base:
             margins = [base.withColumn("_margin", F.lit(0.0))]
             try:
                 trees, weights = self._boost(base, margins, validate)

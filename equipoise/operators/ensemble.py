@@ -8,7 +8,7 @@ members are column expressions on it and are trained side by side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -76,6 +76,7 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
     checkpointInterval = param("checkpointInterval", "checkpoint interval of cached node ids", TypeConverters.toInt)
     featureSubsetStrategy = param("featureSubsetStrategy", "features tried per split", TypeConverters.toString)
     memberBootstrap = param("memberBootstrap", "bootstrap again inside each member", TypeConverters.toBoolean)
+    partitions = param("partitions", "partitions of the training table, 0 leaves them as they are", TypeConverters.toInt)
     parallelism = param("parallelism", "members trained at the same time", TypeConverters.toInt)
 
     def __init__(self, **kwargs: Any) -> None:
@@ -83,9 +84,16 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
         self._setDefault(
             resampling="rus", perc=0.0, numResamples=100, numTrees=1, subsamplingRate=1.0, maxDepth=5, maxBins=32,
             minInstancesPerNode=1, minInfoGain=0.0, maxMemoryInMB=256, cacheNodeIds=False, checkpointInterval=10,
-            featureSubsetStrategy="auto", memberBootstrap=False, parallelism=4,
+            featureSubsetStrategy="auto", memberBootstrap=False, parallelism=4, partitions=0,
         )
         self._set(**kwargs)
+        self.resampler: Callable[[DataFrame, int], DataFrame] | None = None
+
+    def setResampler(self, resampler: Callable[[DataFrame, int], DataFrame] | None) -> RebalancedBaggingClassifier:
+        """Any resampling in place of ``resampling``: gets a member's bootstrap (key columns, label, features as a vector,
+        ``_copy`` numbering a row's repeats) and a seed, and returns rows with at least label and features. Not saved."""
+        self.resampler = resampler
+        return self
 
     def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
         key, v = self.getKeyCols(), self.value
@@ -95,7 +103,7 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
             F.col(v("labelCol")).cast("double").alias("label", metadata=label),
             as_vector(dataset, v("featuresCol")).alias("features"),
         )
-        with training_table(table, key) as rows:
+        with training_table(table, key, v("partitions")) as rows:
             class_profile(rows, "label").require_binary("a rebalanced ensemble")
             size = dimension(rows, "features")
             bootstraps = self.bootstrap_profiles(rows)
@@ -123,7 +131,7 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
             for m in members:
                 lost = [r["label"] for r in counts if not r[f"n{m}"]]
                 sizes = [(r["label"], int(r[f"n{m}"] or r["rows"])) for r in counts]
-                out.append((ClassProfile(tuple(sorted(sizes, key=lambda c: (c[1], c[0])))), lost))
+                out.append((ClassProfile.of(sizes), lost))
         return out
 
     def member_sample(self, rows: DataFrame, member: int, bootstrap: tuple[ClassProfile, list[float]]) -> DataFrame:
@@ -133,7 +141,11 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
         count = poisson(F.col("_u"), self.value("subsamplingRate"))
         for c in lost:  # a bootstrap that lost a class takes that class whole
             count = F.when(F.col("label") == c, F.lit(1)).otherwise(count)
-        boot = repeat_rows(rows.withColumn("_u", self._bootstrap_draw(member)), count, "_i", first=0)
+        rate = self.value("subsamplingRate")
+        boot = repeat_rows(rows.withColumn("_u", self._bootstrap_draw(member)), count, "_i", first=0, key=key, rate=rate)
+        if self.resampler:
+            drawn = self.resampler(boot.drop("_u").withColumnRenamed("_i", "_copy"), derive_seed(seed, "resampler", member))
+            return drawn.withColumn("_weight", F.lit(1.0))
         boot = boot.withColumn("_u", uniform([*key, "_i"], seed, f"resample{member}"))
         draw = derive_seed(seed, "balance", member)
         copies = drawn_copies(F.col("_u"), F.col("label"), profile, how, self.value("perc"), draw)
@@ -151,12 +163,15 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
             cacheNodeIds=v("cacheNodeIds"), checkpointInterval=v("checkpointInterval"),
             featureSubsetStrategy=v("featureSubsetStrategy"), seed=derive_seed(self.getSeed(), "member", member),
         )
-        sample = self.member_sample(rows, member, bootstrap).select("label", "features", "_weight")
-        if v("minInstancesPerNode") > 1:  # the minimum counts rows, so copies must be rows
-            sample = repeat_rows(sample, F.col("_weight"))
+        sample = self.member_sample(rows, member, bootstrap)
+        if v("minInstancesPerNode") > 1 and not self.resampler:  # the minimum counts rows, so copies must be rows
+            profile, how = bootstrap[0], v("resampling")
+            gap = balanced_fraction(profile.majority_size - profile.minority_size, profile.minority_size, v("perc"))
+            growth = {"ros": 1 + gap, "balance": profile.size / profile.minority_size}.get(how, 1.0)
+            sample = repeat_rows(sample, F.col("_weight"), key=self.getKeyCols(), rate=growth)
         else:
             learner.setWeightCol("_weight")
-        sample = sample.persist()
+        sample = sample.select("label", "features", "_weight").persist()
         try:
             return learner.fit(sample)
         finally:

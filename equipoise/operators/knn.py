@@ -13,7 +13,12 @@ one matrix product; only the k best per query leave it.  Copies of one vector ar
 cut to the k with the smallest keys before anything is compared; more of them can
 never be among the k nearest, so the answer is unchanged.
 
-Equal distances are ordered by base key, so the result is deterministic.
+A routed query that finds fewer than k rows although the base has them is answered exactly.
+
+Equal distances are ordered by base key, so the result is deterministic.  Keys must be unique and not null on either
+side.  A row with a null, NaN or infinite feature is nobody's neighbour and has none.  Distances to pivots are taken
+from the pivots' centre, and their bounds allow for rounding by the size of the numbers, so an offset of all data does
+not matter.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +50,7 @@ _REPEATED = 1_000_000  # repeated base rows a task writes
 _SLAB = 4_000_000  # pivot distances held at once inside a task
 _CELL_SLAB = 1_000_000  # base distances held at once, about a core's cache
 _PROBE = 2048  # base rows that bound the k-th distance
+_SPARK_LIMITS, _COPY_SALTS = 1000, 64  # rows per group that Spark cuts before a shuffle; groups of a hot vector beyond
 _CELL = ("_region", "_salt", "_chunk")
 
 
@@ -58,6 +66,11 @@ class Regions:
     def count(self) -> int:
         return len(self.pivots)
 
+    @property
+    def extent(self) -> float:
+        """How far from the pivots' centre a base row can be."""
+        return float((np.sqrt(((self.pivots - self.pivots.mean(0)) ** 2).sum(1)) + np.where(self.rows > 0, self.radius, 0.0)).max())
+
 
 def _matrix(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     column = batch.column(name)
@@ -67,9 +80,15 @@ def _matrix(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+def _squares(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances to the pivots, from their centre: an offset common to all data does not cost digits."""
+    centre = pivots.mean(0)
+    a, b = a - centre, pivots - centre
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
+
+
+def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squares(a, pivots))
 
 
 def _slabs(rows: int, width: int, cells: int = 0) -> Iterator[slice]:
@@ -148,7 +167,8 @@ def _route(queries: DataFrame, regions: Regions, rule: str, slack: float = 0.0,
     if regions.count == 1:
         routed = queries.withColumn("_region", F.lit(0))
         return routed.filter(F.lit(False)) if rule == "within" else routed
-    pivots, rows, radius = regions.pivots, regions.rows, regions.radius
+    pivots, rows, radius, extent = regions.pivots, regions.rows, regions.radius, regions.extent
+    centre = pivots.mean(0)
 
     def visits(v: np.ndarray, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         d = _distances(v, pivots)
@@ -158,12 +178,15 @@ def _route(queries: DataFrame, regions: Regions, rule: str, slack: float = 0.0,
             return np.arange(len(v)), home
         if rule == "tau":
             return np.nonzero((d - nearest[:, None] <= slack) & (rows > 0))
-        # both tests are lower bounds on the distance from the query to any row of the region
-        error = 1e-9 * (1.0 + d.max(1))
+        # Both tests are lower bounds on the distance from the query to any row of the region.  A squared distance is
+        # off by no more than ``lost``, which follows from the lengths of the vectors and not from their distance.
+        lost = 1e-15 * (v.shape[1] + 8) * (np.sqrt(((v - centre) ** 2).sum(1)) + extent) ** 2
+        error = 4.0 * np.sqrt(lost)
         full = np.where(rows >= keep, d + radius, np.inf).min(1)
         reach = (np.minimum(bound, full) + error)[:, None]
+        gap = np.sqrt(((pivots[home][:, None, :] - pivots[None, :, :]) ** 2).sum(2)) if v.shape[1] * d.size <= _SLAB else _distances(pivots[home], pivots)
         with np.errstate(divide="ignore", invalid="ignore"):
-            across = (d * d - (nearest * nearest)[:, None]) / (2.0 * _distances(pivots[home], pivots))
+            across = (d * d - (nearest * nearest)[:, None] - 8.0 * lost[:, None]) / (2.0 * gap)
         near = (d - radius[None, :] <= reach) & ~(across > reach) & (rows > 0)
         near[np.arange(len(d)), home] = False
         return np.nonzero(near)
@@ -260,16 +283,27 @@ def _best(candidates: DataFrame, query_key: Sequence[str], base_key: Sequence[st
 def _distinct_copies(base: DataFrame, base_key: Sequence[str], keep: int) -> DataFrame:
     """At most ``keep`` rows of each identical vector, smallest keys first.
 
-    Spark limits each task's copies before the shuffle, so a hot vector stays small.
+    Spark limits each task's copies before the shuffle, so a hot vector stays small; it does so up to a
+    thousand copies, so for more the copies are cut in salted groups first.
     """
-    w = Window.partitionBy("_hash", "_v").orderBy(*base_key)
-    ranked = base.withColumn("_hash", F.xxhash64("_v")).withColumn("_n", F.row_number().over(w))
-    return ranked.filter(F.col("_n") <= keep).drop("_n", "_hash")
-
-
-def default_pivots(rows: int, dim: int) -> int:
-    """About sqrt(rows) / 4, one region for small tables, bounded by the broadcast size."""
-    if rows <= 4 * BASE_CELL:
+    ranked = base.withColumn("_hash", F.xxhash64("_v"))
+    groups = [["_hash", "_v"]]
+    if keep > _SPARK_LIMITS:
+        ranked = ranked.withColumn("_salt", F.pmod(F.xxhash64(*base_key), F.lit(_COPY_SALTS)))
+        groups.insert(0, ["_hash", "_v", "_salt"])
+    for group in groups:
+        w = Window.partitionBy(*group).orderBy(*base_key)
+        ranked = ranked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep).drop("_n")
+    return ranked.drop("_hash", "_salt")
+
+
+def default_pivots(rows: int, dim: int, routed: bool = False) -> int:
+    """About sqrt(rows) / 4, bounded by the broadcast size.
+
+    An exact search of a small table has one region, since its answer does not depend on them; a routed one follows
+    the same rule at every size.
+    """
+    if rows <= 4 * BASE_CELL and not routed:
         return 1
     return min(most_pivots(dim), max(1, round(math.sqrt(rows) / 4)))
 
@@ -311,12 +345,28 @@ class NeighbourIndex:
     aux: tuple[str, ...]
     vectors: frozenset[str]
     copies: int
+    rows: int
 
     @property
     def nb(self) -> list[str]:
         return [f"nb_{c}" for c in self.key]
 
 
+def _finite(vector: str) -> Column:
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
+    return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+def check_key(df: DataFrame, key: Sequence[str], what: str) -> None:
+    """Refuse a key that is null or shared; counts are combined before the shuffle."""
+    lost = reduce(or_, [F.col(c).isNull() for c in key])
+    r = df.groupBy(*key).count().agg(F.max("count").alias("most"), F.max(lost).alias("lost")).first()
+    if r["lost"]:
+        raise ValueError(f"the {what} key {list(key)} has nulls")
+    if (r["most"] or 0) > 1:
+        raise ValueError(f"the {what} key {list(key)} is not unique: {r['most']} rows share one")
+
+
 def build_index(
     base: DataFrame,
     key: Sequence[str],
@@ -325,13 +375,15 @@ def build_index(
     aux_cols: Sequence[str] = (),
     pivots: int | None = None,
     seed: int = 0,
+    routed: bool = False,
 ) -> NeighbourIndex:
     """Index ``base`` for searches that need at most ``copies`` rows of one identical vector (k, or k + 1
-    when a row must not find itself).  ``pivots`` overrides the number of regions."""
-    rows = base.count()
-    if rows == 0:
-        raise ValueError("the base table is empty")
+    when a row must not find itself).  ``pivots`` sets the number of regions, at most :func:`most_pivots`;
+    ``routed`` prepares for a search with ``tau``."""
     nb = [f"nb_{c}" for c in key]
+    limit = most_pivots(dimension(base, features))
+    if pivots and pivots > limit:
+        raise ValueError(f"{pivots} pivots are too many for this table, the most is {limit}")
     aux = [c for c in aux_cols if c not in key]
     vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
     b = base.select(
@@ -339,15 +391,19 @@ def build_index(
         *[(vector_to_array(F.col(c)) if c in vectors else F.col(c)).alias(f"aux_{c}") for c in aux],
         as_array(base, features).alias("_v"),
     )
+    check_key(b, nb, "base")
+    b = b.filter(_finite("_v"))
+    rows = b.count()
+    if rows == 0:
+        raise ValueError("the base table has no row whose features are all finite")
     kept = _distinct_copies(b, nb, copies)
-    dim = dimension(base, features)
-    wanted = min(most_pivots(dim), pivots or default_pivots(rows, dim))
+    wanted = pivots or default_pivots(rows, dimension(base, features), routed)
     if wanted == 1:
         regions = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
         assigned = _assign(kept, regions.pivots)
     else:
         assigned, regions = build_regions(kept, _choose_pivots(b, nb, rows, wanted, seed))
-    return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies)
+    return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies, rows)
 
 
 def search_index(
@@ -370,26 +426,35 @@ def search_index(
         raise ValueError(f"the index holds {index.copies} copies per vector, this search needs {keep}")
     query_key, nb, regions = list(key), index.nb, index.regions
     base_cols = [*nb, *[f"aux_{c}" for c in index.aux]]
-    q = query.select(*query_key, as_array(query, features).alias("_v"))
+    check_key(query, query_key, "query")
+    q = query.select(*query_key, as_array(query, features).alias("_v")).filter(_finite("_v"))
     sizes = {i: int(n) for i, n in enumerate(regions.rows) if n}
 
     def search(routed: DataFrame) -> DataFrame:
         return _search(routed, index.assigned, query_key, base_cols, sizes, keep)
 
-    if tau is not None:
-        found = search(_route(q, regions, "tau", tau))
-    else:
+    def exact(q: DataFrame) -> DataFrame:
         found = search(_route(q, regions, "home"))
-        if regions.count > 1:
-            home = checkpoint(_best(found, query_key, nb, keep).drop("rank"))
-            reached = home.groupBy(*query_key).agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
-            bound = F.when(F.col("_found") >= keep, F.col("_far")).otherwise(F.lit(math.inf))
-            pending = (
-                q.join(reached, query_key, "left")
-                .withColumn("_bound", F.least(bound, F.lit(float(max_distance))))
-                .drop("_found", "_far")
-            )
-            found = home.unionByName(search(_route(pending, regions, "within", keep=keep)))
+        if regions.count == 1:
+            return found
+        home = checkpoint(_best(found, query_key, nb, keep).drop("rank"))
+        reached = home.groupBy(*query_key).agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
+        bound = F.when(F.col("_found") >= keep, F.col("_far")).otherwise(F.lit(math.inf))
+        pending = (
+            q.join(reached, query_key, "left").withColumn("_bound", F.least(bound, F.lit(float(max_distance)))).drop("_found", "_far")
+        )
+        return home.unionByName(search(_route(pending, regions, "within", keep=keep)))
+
+    if tau is None or regions.count == 1:
+        found = exact(q)
+    else:
+        near = checkpoint(_best(search(_route(q, regions, "tau", tau)), query_key, nb, keep).drop("rank"))
+        counts = near.groupBy(*query_key).agg(F.count("*").alias("_found"))
+        enough = F.coalesce("_found", F.lit(0)) >= min(keep, index.rows)
+        short = checkpoint(q.join(counts, query_key, "left").filter(~enough).drop("_found"))
+        found = near
+        if not short.isEmpty():
+            found = near.join(short.select(*query_key), query_key, "left_anti").unionByName(exact(short))
 
     if math.isfinite(max_distance):
         found = found.filter(F.col("distance") <= max_distance)
@@ -419,10 +484,12 @@ def knn_pairs(
 ) -> DataFrame:
     """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first.
 
-    ``tau=None`` is exact.  A number routes approximately with that buffer.  ``exclude_self`` drops the
-    base row that has the query's own key.  ``pivots`` overrides the number of regions.
+    ``tau=None`` is exact.  A number routes approximately with that buffer; queries that it leaves short of k are
+    answered exactly.  ``exclude_self`` drops the base row that has the query's own key.  ``pivots`` sets the number
+    of regions.
     """
-    index = build_index(base, list(base_key or key), features, k + 1 if exclude_self else k, aux_cols, pivots, seed)
+    copies = k + 1 if exclude_self else k
+    index = build_index(base, list(base_key or key), features, copies, aux_cols, pivots, seed, tau is not None)
     return search_index(query, index, key, features, k, max_distance, exclude_self, tau)
 
 
@@ -500,15 +567,16 @@ def tau_points(
     def run(table: pa.Table) -> pa.Table:
         v = _matrix(table, "_v")
         nearest = []
-        for row in v:
-            square = np.zeros(len(v))
+        for rows in _slabs(len(v), len(v)):
+            square = np.zeros((len(v[rows]), len(v)))
             for j in range(v.shape[1]):
-                gap = v[:, j] - row[j]
+                gap = v[rows, j][:, None] - v[:, j]
                 square += gap * gap
-            square = square[square > 0]
-            if len(square):
-                nearest.append(math.sqrt(square.min()))
-        mean = math.fsum(nearest) / len(nearest) if nearest else None
+            square[square == 0] = np.inf
+            nearest.append(square.min(1))
+        nearest = np.concatenate(nearest)
+        nearest = np.sqrt(nearest[np.isfinite(nearest)])
+        mean = math.fsum(nearest) / len(nearest) if len(nearest) else None
         return pa.table(
             {
                 "sample": pa.array([table.column("sample")[0].as_py()], pa.int32()),
@@ -529,7 +597,7 @@ def tau_fit(points: DataFrame, rows: int) -> DataFrame:
     x, y = F.log("n"), F.log("mean_distance")
     fit = (
         points.filter(F.col("mean_distance") > 0)
-        .select("n", F.round("mean_distance", 9).alias("mean_distance"))
+        .select("n", "mean_distance")
         .distinct()
         .agg(
             F.regr_slope(y, x).alias("slope"),

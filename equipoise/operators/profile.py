@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -9,8 +10,6 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
-
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """(label, count), one row per class."""
@@ -19,9 +18,11 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class ClassProfile:
-    """Classes in ascending order of size; equal sizes are ordered by label."""
+    """The rarest and the most frequent class (equal sizes are ordered by label), and what all classes sum up to."""
 
     classes: tuple[tuple[Any, int], ...]
+    size: int
+    count: int
 
     @property
     def minority(self) -> Any:
@@ -39,26 +40,29 @@ class ClassProfile:
     def majority_size(self) -> int:
         return self.classes[-1][1]
 
-    @property
-    def size(self) -> int:
-        return sum(n for _, n in self.classes)
+    @classmethod
+    def of(cls, sizes: Iterable[tuple[Any, int]]) -> ClassProfile:
+        """From (class, rows) of every class."""
+        ordered = sorted(sizes, key=lambda c: (c[1], c[0]))
+        return cls(tuple(dict.fromkeys((ordered[0], ordered[-1]))), sum(n for _, n in ordered), len(ordered))
 
     def require_binary(self, what: str) -> ClassProfile:
-        if len(self.classes) != 2:
-            raise ValueError(f"{what} needs exactly two classes, found {len(self.classes)}")
+        if self.count != 2:
+            raise ValueError(f"{what} needs exactly two classes, found {self.count}")
         return self
 
 
 def class_profile(df: DataFrame, label: str) -> ClassProfile:
-    """Class sizes on the driver.  The number of classes is checked before collecting."""
-    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} distinct values; it is not a class label")
-    if not rows:
+    """The two ends of the class sizes; one row reaches the driver, however many classes there are."""
+    cells = class_counts(df, label).select(F.col(label).isNull().alias("lost"), "count", F.struct("count", label).alias("c"))
+    ends = F.min("c").alias("low"), F.max("c").alias("high")
+    r = cells.agg(*ends, F.sum("count").alias("size"), F.count("*").alias("classes"), F.max("lost").alias("lost")).first()
+    if not r["classes"]:
         raise ValueError("the table is empty")
-    if any(r[label] is None for r in rows):
+    if r["lost"]:
         raise ValueError(f"{label!r} has null labels")
-    return ClassProfile(tuple(sorted(((r[label], int(r["count"])) for r in rows), key=lambda c: (c[1], c[0]))))
+    found = [(r[end][label], int(r[end]["count"])) for end in ("low", "high")]
+    return ClassProfile(tuple(dict.fromkeys(found)), int(r["size"]), int(r["classes"]))
 
 
 def by_class(label: str, values: dict[Any, Column | float], default: Column | float) -> Column:

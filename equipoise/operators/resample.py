@@ -75,13 +75,12 @@ def random_oversample(
         extra = F.lit(each) + exact_cutoff(df.filter(minority), rest, key, seed, "over").cast("int")
     else:
         extra = poisson(F.col("_u"), rate)
-    copies = F.when(minority, F.lit(1) + extra).otherwise(1)
-
-    def grow(part: DataFrame, expected: float) -> DataFrame:
-        drawn = part.withColumn("_u", uniform(key, seed, "over")) if mode == "hash" else part
-        return repeat_rows(drawn, copies, copy_col, 0, key, expected).drop("_u")
-
-    return per_growth(df, minority, rate, grow)
+    # Only rows of the rarest class unfold; the others pass through a filter.
+    part = df.filter(minority)
+    drawn = part.withColumn("_u", uniform(key, seed, "over")) if mode == "hash" else part
+    grown = repeat_rows(drawn, F.lit(1) + extra, copy_col, 0, key, rate).drop("_u")
+    rest = df.filter(~minority)
+    return (rest.withColumn(copy_col, F.lit(0)) if copy_col else rest).unionByName(grown)
 
 
 def random_balance_sizes(p: ClassProfile, seed: int) -> tuple[int, int]:

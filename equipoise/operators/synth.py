@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.ml.stat import Summarizer
@@ -15,6 +17,7 @@ from equipoise.functions.vectors import Features, as_array, as_vector, dimension
 from equipoise.operators.knn import knn_pairs
 from equipoise.operators.profile import ClassProfile, class_profile
 from equipoise.operators.sampling import balanced_fraction, per_growth, repeat_rows
+from equipoise.sources.session import scratch_path
 
 _UNROLLED = 16  # up to this many features the noise is written out as plain expressions
 
@@ -63,12 +66,18 @@ def smote(
         return original
     considered = math.ceil(rate)
     kept_share = rate / considered
+    if p.minority_size < 2 and target == p.minority and neighbors is None and not include_self:
+        raise ValueError("SMOTE needs two rows of the class, since a row is not its own neighbour")
     members = df.filter(F.col(label) == F.lit(target)).withColumn("_x", as_array(df, features))
+    if neighbors is None:  # the class is read several times from here on, the table only for the union
+        path = scratch_path(df.sparkSession, "smote")
+        members.write.parquet(path)
+        members = df.sparkSession.read.parquet(path)
     seeds = members
     if kept_share < 1 and considered == 1:  # rows that keep no synthetic need no neighbours
         seeds = members.filter(uniform([*key, F.lit(1)], seed, "smote-keep") < kept_share)
     if neighbors is None:
-        low, high = min_max(df, features)
+        low, high = min_max(df, features)  # of all classes
         space = members.select(*key, "_x", scale_array(F.col("_x"), low, high).alias("_scaled"))
         queries = seeds.select(*key, scale_array(F.col("_x"), low, high).alias("_scaled"))
         pairs = knn_pairs(
@@ -78,11 +87,18 @@ def smote(
         pairs = neighbors.filter(F.col("rank") <= k)
     near = pairs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "nb_features"))).alias("_near"))
 
-    rows = repeat_rows(seeds.join(near, list(key)), F.lit(considered), "_i", 1, key, rate)
+    near = near.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_near")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key])
+    found = seeds.join(near, same, "left").drop(*[f"_of_{c}" for c in key])
+    if neighbors is not None:
+        lost = F.raise_error(F.lit("a row of the class has no precomputed neighbours"))
+        found = found.withColumn("_near", F.when(F.col("_near").isNull(), lost).otherwise(F.col("_near")))
+    rows = repeat_rows(found, F.lit(considered), "_i", 1, key, rate)
     if kept_share < 1 and considered > 1:
         rows = rows.filter(uniform([*key, "_i"], seed, "smote-keep") < kept_share)
     pick = F.floor(uniform([*key, "_i"], seed, "smote-pick") * F.size("_near")).cast("int")
-    other = F.get(F.col("_near"), pick)["nb_features"]
+    # a row whose features are not all finite has no neighbours: its synthetics repeat it
+    other = F.coalesce(F.get(F.col("_near"), pick)["nb_features"], F.col("_x"))
     values = bind(
         uniform([*key, "_i"], seed, "smote-gap"), lambda g: F.zip_with("_x", other, lambda a, b: a + g * (b - a))
     )

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.functions.losses import log_loss, pseudo_residual, signed_label, weighted_mean
-from equipoise.functions.randomness import derive_seed, uniform
+from equipoise.functions.randomness import uniform
 from equipoise.functions.vectors import (
     as_array,
     as_vector,
@@ -19,8 +19,8 @@ from equipoise.functions.vectors import (
     min_max_scale,
     min_max_unscale,
 )
-from equipoise.operators.boost import RebalancedGBTClassifier, evaluate_each_iteration
-from equipoise.operators.ensemble import RebalancedBaggingClassifier, drawn_copies, soft_vote
+from equipoise.operators.boost import RebalancedGBTClassifier, evaluate_each_iteration, residual_profile
+from equipoise.operators.ensemble import RebalancedBaggingClassifier, soft_vote
 from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, tau_fit, tau_points
 from equipoise.operators.profile import class_counts, class_profile, class_weights, label_decode, label_index
 from equipoise.operators.resample import random_balance, random_oversample, random_undersample
@@ -29,7 +29,7 @@ from equipoise.operators.synth import rose, smote
 from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
 from equipoise.plans.algorithms import experiment
 from equipoise.plans.evaluate import confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv
-from equipoise.plans.fixtures import DOC, EVENT, LINE, ORDER, VEC, embeddings, events, labelled_documents, lineitem, orders
+from equipoise.plans.fixtures import CUSTOMER, DOC, EVENT, LINE, ORDER, VEC, customers, embeddings, events, labelled_documents, lineitem, orders
 from equipoise.sources.session import scratch_path
 from equipoise.sources.sinks import read_predictions, write_all_predictions
 from equipoise.sources.tables import read_libsvm
@@ -193,7 +193,14 @@ def union_missing_columns(spark, sf):
 
 @query
 def shuffled_rows(spark, sf):
-    return shuffle_rows(events(spark, sf), EVENT, SEED).select(*EVENT, "label")
+    """Each row's place in the order: its rank within its partition after all earlier partitions."""
+    placed = shuffle_rows(events(spark, sf), EVENT, SEED).select(*EVENT, "label", F.monotonically_increasing_id().alias("_at"))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("part")).count()
+    earlier = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    starts = counts.select("part", F.coalesce(earlier, F.lit(0)).alias("start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(starts, part == F.col("part")).select(*EVENT, "label", (F.col("start") + inside).alias("place"))
 
 
 # ---- nearest neighbours ---------------------------------------------------------------------------------------------
@@ -231,10 +238,27 @@ def knn_max_distance(spark, sf):
 
 @query
 def knn_regions(spark, sf):
-    """Exact search through pivot regions within the rare class."""
-    df = min_max_scale(lineitem(spark, sf).filter("label = 1"), "features")
-    pairs = knn_pairs(df, df, LINE, "features", 5, exclude_self=True, pivots=24)
-    return pairs.select(*LINE, "rank", *[f"nb_{c}" for c in LINE], _r("distance", 9).alias("distance"))
+    """Exact search through pivot regions, all customers among all."""
+    df = min_max_scale(customers(spark, sf), "features")
+    pairs = knn_pairs(df, df, CUSTOMER, "features", 5, exclude_self=True, pivots=24)
+    return pairs.select("c_custkey", "rank", "nb_c_custkey", _r("distance", 9).alias("distance"))
+
+
+@query
+def knn_offset(spark, sf):
+    """Exact search through regions of data far from the origin."""
+    df = embeddings(spark, sf)
+    df = df.withColumn("features", F.transform("features", lambda x: x + 1e8))
+    pairs = knn_pairs(df, df, VEC, "features", 5, exclude_self=True, pivots=16)
+    return pairs.select("vec_id", "rank", "nb_vec_id", _r("distance").alias("distance"))
+
+
+@query
+def knn_routed_short(spark, sf):
+    """Home regions only, many of which hold fewer than k rows: those queries are answered exactly."""
+    df = embeddings(spark, sf)
+    pairs = knn_pairs(df, df, VEC, "features", 40, tau=0.0, pivots=16)
+    return pairs.select("vec_id", "rank", "nb_vec_id", _r("distance").alias("distance"))
 
 
 @query
@@ -247,10 +271,10 @@ def knn_routed_unbounded(spark, sf):
 
 @query
 def knn_routed(spark, sf):
-    """Approximate search with the estimated buffer."""
-    df = min_max_scale(lineitem(spark, sf).filter("label = 1"), "features")
+    """Approximate search with the estimated buffer, all line items among all."""
+    df = min_max_scale(lineitem(spark, sf), "features")
     tau = estimate_tau(df, LINE, "features", SEED)
-    pairs = knn_pairs(df, df, LINE, "features", 5, exclude_self=True, tau=tau, pivots=24)
+    pairs = knn_pairs(df, df, LINE, "features", 5, exclude_self=True, tau=tau)
     return pairs.select(*LINE, "rank", *[f"nb_{c}" for c in LINE], _r("distance", 9).alias("distance"))
 
 
@@ -272,7 +296,8 @@ def tau_samples(spark, sf):
 def tau_estimate(spark, sf):
     df = embeddings(spark, sf)
     rows = df.count()
-    fit = tau_fit(tau_points(df, VEC, "features", SEED, rows=rows), rows)
+    points = tau_points(df, VEC, "features", SEED, rows=rows)
+    fit = tau_fit(points.withColumn("mean_distance", _r("mean_distance", 9)), rows)
     return fit.select(_r("slope", 4).alias("slope"), _r("intercept", 4).alias("intercept"), _r("tau", 4).alias("tau"))
 
 
@@ -377,18 +402,19 @@ def iteration_errors(spark, sf):
 
 @query
 def residual_counts(spark, sf):
-    """Rows per distinct pseudo-residual."""
+    """The rarest and the commonest pseudo-residual."""
     df = lineitem(spark, sf)
     margin = F.col("features")[1] - F.col("features")[2]
     residual = pseudo_residual(signed_label(F.col("label")), margin)
-    return df.groupBy(_r(residual, 9).alias("residual")).agg(F.count("*").alias("n"))
+    found = residual_profile(df.select(_r(residual, 9).alias("residual")), "residual")
+    return spark.createDataFrame([(end, *c) for end, c in zip(("rarest", "commonest"), found.classes, strict=True)], "of string, residual double, n long")
 
 
 def _boost_draw(spark: SparkSession, sf: str, how: str, perc: float) -> DataFrame:
-    df = events(spark, sf)
-    seed = derive_seed(SEED, "round", 1)
-    copies = drawn_copies(F.col("_u"), F.col("label"), class_profile(df, "label"), how, perc, seed)
-    return df.withColumn("_u", uniform(EVENT, seed, "boost")).select(*EVENT, copies.cast("int").alias("copies"))
+    df = events(spark, sf).withColumns({"_y": F.col("label"), "_weight": F.lit(1.0)})
+    learner = RebalancedGBTClassifier(keyCols=EVENT, resampling=how, percSampling=float(perc), seed=SEED, generator="md5")
+    drawn = learner._rebalance(df, 1, class_profile(df, "label")).select(*EVENT, "_weight")
+    return df.select(*EVENT).join(drawn, EVENT, "left").select(*EVENT, F.coalesce("_weight", F.lit(0.0)).cast("int").alias("copies"))
 
 
 @query

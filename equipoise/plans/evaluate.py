@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -77,17 +79,16 @@ def _run(
 
     The predictions come back cached; the caller unpersists them.
     """
-    train = train.persist()
+    if scale == "fold":
+        bounds = min_max(train, "features")
+        train, test = min_max_scale(train, "features", bounds), min_max_scale(test, "features", bounds)
+    if experiment.weighted:
+        train = class_weights(train, "label", "weight")
+    train_rows, test = train.persist(), test.persist()  # the clocks start with both parts in place
     try:
-        train.count()
+        train_rows.count()
+        test.count()
         started = time.perf_counter_ns()
-        if scale == "fold":
-            bounds = min_max(train, "features")
-            train_rows, test = min_max_scale(train, "features", bounds), min_max_scale(test, "features", bounds)
-        else:
-            train_rows = train
-        if experiment.weighted:
-            train_rows = class_weights(train_rows, "label", "weight")
         indexed, indexer = label_index(train_rows, "label", "label_index")
         sample = _apply(experiment.resample(seed), indexed).persist()  # learners pass over it several times
         try:
@@ -95,16 +96,36 @@ def _run(
         finally:
             sample.unpersist()
         train_time = time.perf_counter_ns() - started
+        started = time.perf_counter_ns()
+        scored = label_decode(model.transform(test), "prediction", indexer.labels, "predicted")
+        scored = scored.select(F.col("label").cast("string").alias("true"), "predicted").persist()
+        rows = scored.count()
+        per_row = (time.perf_counter_ns() - started) // max(1, rows)
     finally:
-        train.unpersist()
-    started = time.perf_counter_ns()
-    scored = label_decode(model.transform(test), "prediction", indexer.labels, "predicted")
-    scored = scored.select(F.col("label").cast("string").alias("true"), "predicted").persist()
-    rows = scored.count()
-    per_row = (time.perf_counter_ns() - started) // max(1, rows)
+        train_rows.unpersist()
+        test.unpersist()
     return scored, train_time, per_row
 
 
+def run_name(
+    dataset: str, experiment: Experiment, key: Sequence[str], label: str, features: Features, folds: int, seed: int, scale: str | None
+) -> str:
+    """Folder of an experiment's runs: readable names and a digest of everything that changes a run."""
+    parts = [dataset, experiment.name, experiment.weighted, list(key), label, features if isinstance(features, str) else list(features)]
+    digest = hashlib.md5(repr([*parts, folds, type(seed).__name__, int(seed), scale]).encode()).hexdigest()[:16]
+    return "-".join([*(re.sub(r"[^A-Za-z0-9_.]", "_", x) for x in (dataset, experiment.name)), digest])
+
+
+def _check_folds(rows: DataFrame, key: Sequence[str], folds: int, seed: int, repetitions: Sequence[int]) -> None:
+    """Every training part has both classes: one count by fold and class for all repetitions."""
+    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), fold_of(key, folds, seed, r).alias("f")) for r in repetitions]))
+    counts = rows.select("label", runs.alias("run")).groupBy("run.r", "run.f", "label").count().collect()  # runs x two classes
+    for r in repetitions:
+        for fold in range(1, folds + 1):
+            if len({c["label"] for c in counts if c["r"] == r and c["f"] != fold}) < 2:
+                raise ValueError(f"the training part of repetition {r}, fold {fold} lacks a class: take fewer folds or another seed")
+
+
 def repeated_cv(
     df: DataFrame,
     experiment: Experiment,
@@ -121,13 +142,16 @@ def repeated_cv(
     fmt: str = "parquet",
     files: int | None = None,
 ) -> DataFrame:
-    """Repeated k-fold evaluation; every finished (repetition, fold) is written under ``out``.
+    """Repeated k-fold evaluation; every finished (repetition, fold) is written under ``out``, below a folder named by
+    :func:`run_name` after the data set, the algorithm and all that changes its runs.
 
-    Runs already written in full are skipped, so an interrupted job continues where it stopped.
+    Runs of the same experiment already written in full are skipped, so an interrupted job continues where it stopped;
+    other experiments under ``out`` are neither skipped for nor returned.  Give ``dataset`` another name for other rows.
+    A training part that lacks a class is refused before anything is trained.
     ``folds=1`` trains and tests on everything.  ``scale`` fits the min-max scaling on each training part
     (``"fold"``), once on the whole table (``"global"``), or not at all (None).
     ``files`` sets the number of files per run; by default Spark's partitions decide.
-    Returns the predictions of all runs, read back from ``out``.
+    Returns the predictions of the runs asked for, read back from ``out``.
     """
     if repetitions < 1 or folds < 1:
         raise ValueError("repetitions and folds must be positive")
@@ -138,10 +162,14 @@ def repeated_cv(
     if scale == "global":
         rows = min_max_scale(rows, "features")
     class_profile(rows, "label").require_binary("an experiment")
+    out = f"{out}/{run_name(dataset, experiment, key, label, features, folds, seed, scale)}"
     done = finished_runs(spark, out, fmt) if resume else set()
-    pending = [(r, f) for r in range(1, repetitions + 1) for f in range(1, folds + 1) if (r, f) not in done]
+    asked = [(r, f) for r in range(1, repetitions + 1) for f in range(1, folds + 1)]
+    pending = [run for run in asked if run not in done]
     rows = rows.persist() if pending else rows
     try:
+        if pending and folds > 1:
+            _check_folds(rows, key, folds, seed, sorted({r for r, _ in pending}))
         for repetition, fold in pending:
             in_test = fold_of(key, folds, seed, repetition) == fold
             train = rows.filter(~in_test) if folds > 1 else rows
@@ -159,4 +187,4 @@ def repeated_cv(
             scored.unpersist()
     finally:
         rows.unpersist()
-    return read_predictions(spark, out, fmt)
+    return read_predictions(spark, out, fmt, asked)

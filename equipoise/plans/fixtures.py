@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from equipoise.sources.tables import read_table
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-EVENT, ORDER, VEC, DOC = ["event_id"], ["o_orderkey"], ["vec_id"], ["doc_id"]
+EVENT, ORDER, VEC, DOC, CUSTOMER = ["event_id"], ["o_orderkey"], ["vec_id"], ["doc_id"], ["c_custkey"]
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,17 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by balance, nation and number, 1 for a debt."""
+    return read_table(
+        spark,
+        f"{sf}/customer.parquet",
+        CUSTOMER,
+        (F.col("c_acctbal") < 0).cast("int"),
+        {"balance": F.col("c_acctbal"), "nation": F.col("c_nationkey"), "number": F.col("c_custkey")},
+    )
+
+
 def embeddings(spark: SparkSession, sf: str, rare: str = "label = 5") -> DataFrame:
     """One class of the vectors against the rest."""
     raw = spark.read.parquet(f"{sf}/embeddings.parquet")

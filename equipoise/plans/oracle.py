@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from equipoise.functions.randomness import derive_seed
 from equipoise.plans.catalog import SEED
 
 LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -156,7 +155,8 @@ ORACLE["random_balance_exact"] = f"""WITH {sizes(EVENTS)}, {_draw(SEED)},
 
 ORACLE["union_missing_columns"] = """SELECT c_custkey, NULL AS s_suppkey, c_nationkey AS nation FROM customer
     UNION ALL SELECT NULL, s_suppkey, s_nationkey FROM supplier"""
-ORACLE["shuffled_rows"] = f"SELECT event_id, label FROM {EVENTS}"
+ORACLE["shuffled_rows"] = f"""SELECT event_id, label,
+    row_number() OVER (ORDER BY {u("shuffle", "event_id")}, event_id) - 1 AS place FROM {EVENTS}"""
 
 # ---- nearest neighbours ---------------------------------------------------------------------------------------------
 
@@ -197,21 +197,43 @@ def _line_neighbours(scale_on: str, k: int) -> str:
     r AS (SELECT * FROM x WHERE rank <= {k})"""
 
 
-ORACLE["knn_regions"] = f"""WITH {_line_neighbours(f"(SELECT * FROM {LINEITEM} WHERE label = 1)", 5)}
-    SELECT {LINE}, rank, {", ".join(f"nb_{c}" for c in LINE_LIST)}, round(distance, 9) AS distance FROM r"""
+ORACLE["knn_regions"] = """WITH m AS (SELECT c_custkey, c_acctbal AS x, c_nationkey AS y, c_custkey AS z FROM customer),
+    s AS (SELECT c_custkey, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x,
+          (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ())::DOUBLE AS y,
+          (z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ())::DOUBLE AS z FROM m),
+    d AS (SELECT a.c_custkey, b.c_custkey AS nb_c_custkey,
+          sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance
+          FROM s AS a, s AS b WHERE a.c_custkey <> b.c_custkey)
+    SELECT c_custkey, CAST(rank AS INTEGER) AS rank, nb_c_custkey, round(distance, 9) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, nb_c_custkey) AS rank FROM d) WHERE rank <= 5"""
+_FAR = "(SELECT vec_id, label, list_transform(features, lambda x: x + 1e8) AS features FROM %s)" % vectors()
+ORACLE["knn_offset"] = f"""SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance
+    FROM ({_ranked(_FAR, _FAR, "a.vec_id <> b.vec_id", 5)})"""
 
 _PIVOT_DRAW = u("pivot", "vec_id", seed=0)
-ORACLE["knn_routed_vectors"] = f"""WITH v AS (SELECT * FROM {vectors()}),
-    p AS (SELECT vec_id AS pid, features AS place FROM v WHERE {_PIVOT_DRAW} < least(1.0, 80.0 / (SELECT count(*) FROM v))
-          ORDER BY {_PIVOT_DRAW} LIMIT 8),
+
+
+def _routed(pivots: int, tau: float, k: int) -> str:
+    """CTE ``r``: the k nearest vectors in the regions that a buffer of ``tau`` reaches."""
+    return f"""v AS (SELECT * FROM {vectors()}),
+    p AS (SELECT vec_id AS pid, features AS place FROM v
+          WHERE {_PIVOT_DRAW} < least(1.0, {8 * pivots + 16}.0 / (SELECT count(*) FROM v)) ORDER BY {_PIVOT_DRAW} LIMIT {pivots}),
     d AS (SELECT vec_id, features, pid, list_distance(features, place) AS reach FROM v, p),
     near AS (SELECT vec_id, min(reach) AS nearest FROM d GROUP BY vec_id),
     home AS (SELECT vec_id, any_value(features) AS features, arg_min(pid, reach) AS pid FROM d GROUP BY vec_id),
-    visit AS (SELECT d.vec_id, features, pid FROM d JOIN near USING (vec_id) WHERE reach - nearest <= 0.05),
+    visit AS (SELECT d.vec_id, features, pid FROM d JOIN near USING (vec_id) WHERE reach - nearest <= {tau}),
     x AS (SELECT a.vec_id, b.vec_id AS nb_vec_id, list_distance(a.features, b.features) AS distance
           FROM visit AS a JOIN home AS b ON a.pid = b.pid),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, nb_vec_id) AS INTEGER) AS rank FROM x)
-    SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 5"""
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, nb_vec_id) AS INTEGER) AS rank,
+          count(*) OVER (PARTITION BY vec_id) AS found FROM x QUALIFY rank <= {k})"""
+
+
+ORACLE["knn_routed_vectors"] = f"""WITH {_routed(8, 0.05, 5)}
+    SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance FROM r"""
+ORACLE["knn_routed_short"] = f"""WITH {_routed(16, 0.0, 40)}
+    SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance FROM r WHERE found >= 40
+    UNION ALL SELECT vec_id, rank, nb_vec_id, round(distance, 6) FROM ({_ranked(vectors(), vectors(), "true", 40)})
+    WHERE vec_id NOT IN (SELECT vec_id FROM r WHERE found >= 40)"""
 
 _TAU_DRAWS = " UNION ALL ".join(
     f"SELECT {i} AS sample, vec_id, features FROM {vectors()} "
@@ -340,12 +362,14 @@ ORACLE["iteration_errors"] = " UNION ALL ".join(
     f"SELECT {i} AS iteration, round(sum(w * {_loss('y', f'({m})')}) / sum(w), 9) AS error FROM {_MARGINS}"
     for i, m in enumerate(("trees[1]", "trees[1] + 0.1 * trees[2]", "trees[1] + 0.1 * trees[2] + 0.1 * trees[3]"), 1)
 )
-ORACLE["residual_counts"] = f"""SELECT residual, count(*) AS n FROM (
+ORACLE["residual_counts"] = f"""WITH c AS (SELECT residual, count(*) AS n FROM (
     SELECT round(4.0 * y / (1.0 + exp(2.0 * y * (l_discount - l_tax))), 9) AS residual
-    FROM (SELECT *, 2.0 * label - 1.0 AS y FROM {LINEITEM})) GROUP BY residual"""
-
-_ROUND = derive_seed(SEED, "round", 1)
+    FROM (SELECT *, 2.0 * label - 1.0 AS y FROM {LINEITEM})) GROUP BY residual)
+    SELECT 'rarest' AS "of", residual, n FROM (SELECT * FROM c ORDER BY n, residual LIMIT 1)
+    UNION ALL SELECT 'commonest', residual, n FROM (SELECT * FROM c ORDER BY n DESC, residual DESC LIMIT 1)"""
+_ROUND = 81708543  # the seed of round 1
 _BOOST_U = u("boost", "event_id", seed=_ROUND)
+
 ORACLE["boost_draw_rus"] = f"""WITH {sizes(EVENTS)} SELECT event_id,
     CASE WHEN label = l_maj THEN CAST({_BOOST_U} < n_min / n_maj AS INTEGER) ELSE 1 END AS copies FROM {EVENTS}, p"""
 ORACLE["boost_draw_ros"] = f"""WITH {sizes(EVENTS)}, {cdf("q", "(n_maj - n_min) / n_min", "p")} SELECT event_id,

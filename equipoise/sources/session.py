@@ -31,17 +31,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def training_table(df: DataFrame, key: Sequence[str]) -> Iterator[DataFrame]:
-    """``df`` cached for repeated passes; a table with fewer partitions than cores is spread over them by key."""
-    cached = df.persist()
+def training_table(df: DataFrame, key: Sequence[str], partitions: int = 0) -> Iterator[DataFrame]:
+    """``df`` cached for repeated passes, in ``partitions`` partitions by key (0: as it comes).
+
+    Tree learners draw the bins of a feature per partition, so a model follows the number given here and not the cluster.
+    """
+    cached = (df.repartition(partitions, *key) if partitions else df).persist()
     try:
         cached.count()
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if cached.rdd.getNumPartitions() < cores:
-            spread = cached.repartition(cores, *key).persist()
-            spread.count()
-            cached.unpersist()
-            cached = spread
         yield cached
     finally:
         cached.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 PREDICTIONS = (
@@ -24,9 +26,11 @@ def write_all_predictions(df: DataFrame, out: str, fmt: str = "parquet") -> None
     df.write.mode("overwrite").partitionBy("repetition", "fold").format(fmt).save(out)
 
 
-def read_predictions(spark: SparkSession, out: str, fmt: str = "parquet") -> DataFrame:
+def read_predictions(spark: SparkSession, out: str, fmt: str = "parquet", runs: Sequence[tuple[int, int]] = ()) -> DataFrame:
+    """All predictions under ``out``, or those of the given (repetition, fold) pairs."""
     names = [c.split()[0] for c in PREDICTIONS.split(", ")]
-    return spark.read.schema(PREDICTIONS).format(fmt).option("basePath", out).load(out).select(*names)
+    paths = [f"{out}/repetition={r}/fold={f}" for r, f in runs] or out
+    return spark.read.schema(PREDICTIONS).format(fmt).option("basePath", out).load(paths).select(*names)
 
 
 def finished_runs(spark: SparkSession, out: str, fmt: str = "parquet") -> set[tuple[int, int]]:

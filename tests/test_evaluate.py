@@ -7,7 +7,7 @@ from equipoise.operators.boost import RebalancedGBTClassifier
 from equipoise.operators.ensemble import RebalancedBaggingClassifier
 from equipoise.operators.stages import NoResampler, RandomBalancer, RandomOversampler, RandomUndersampler, Rose, Smote
 from equipoise.plans.algorithms import experiment, grid
-from equipoise.plans.evaluate import Experiment, experiment_summary, kfold_assign, repeated_cv
+from equipoise.plans.evaluate import Experiment, experiment_summary, kfold_assign, repeated_cv, run_name
 from equipoise.sources.sinks import finished_runs
 from equipoise.sources.tables import read_libsvm, with_row_key
 
@@ -35,7 +35,26 @@ def test_cv_resumes(spark, blobs, rule, tmp_path, fmt):
     again = repeated_cv(named, rule, out, ["id"], repetitions=2, folds=2, seed=3, fmt=fmt)
     summary = experiment_summary(again, "rare").orderBy("repetition", "fold").collect()
     assert summary[:2] == first and len(summary) == 4
-    assert finished_runs(spark, out, fmt) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    name = run_name("dataset", rule, ["id"], "label", "features", 2, 3, "fold")
+    assert finished_runs(spark, f"{out}/{name}", fmt) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_experiments_in_one_folder_do_not_mix(blobs, rule, tmp_path):
+    other = Experiment("none_rf2", lambda seed: RandomForestClassifier(labelCol="label_index", numTrees=1, maxDepth=1, seed=seed))
+    out = str(tmp_path / "runs")
+
+    def runs(experiment, **how):
+        done = repeated_cv(blobs, experiment, out, ["id"], repetitions=1, **how)
+        return done.groupBy("algorithm", "repetition").count().collect()
+
+    for experiment, how in [(rule, {}), (other, {"seed": 4}), (rule, {"seed": 4}), (other, {"folds": 3}), (rule, {"folds": 3, "seed": 4}), (rule, {})]:
+        assert [tuple(r) for r in runs(experiment, **how)] == [(experiment.name, 1, 3400)]
+
+
+def test_training_part_without_a_class_is_refused(spark, rule, tmp_path):
+    df = spark.createDataFrame([(i, int(i == 0), [float(i)]) for i in range(40)], "id long, label int, features array<double>")
+    with pytest.raises(ValueError, match="lacks a class"):
+        repeated_cv(df, rule, str(tmp_path / "runs"), ["id"], repetitions=1, folds=2)
 
 
 @pytest.mark.parametrize("scale", ["global", None])

@@ -144,3 +144,68 @@ def test_vector_columns(spark, blobs):
     out = knn_join(df, df.filter("id < 50"), ["id"], "features", 2, aux_cols=["id", "features"])
     row = out.filter("id = 7").first()
     assert row["neighbors"][0]["features"] == row["features"] and row["neighbors"][0]["id"] == 7
+
+
+@pytest.mark.parametrize("pivots", [1, 16])
+@pytest.mark.parametrize("offset", [1e7, 1e8, 1.7e9])
+def test_exact_far_from_the_origin(spark, tiny_cells, offset, pivots):
+    rng = np.random.default_rng(4)
+    df = table(spark, rng.normal(0, 1, (300, 2)) + offset)
+    got = found(knn_pairs(df, df, ["id"], "features", 5, exclude_self=True, pivots=pivots))
+    assert got == brute(pull(df), pull(df), 5, exclude=True)
+
+
+def test_rows_with_unusable_features_have_no_neighbours(spark, tiny_cells):
+    good = [[float(i), 1.0] for i in range(60)]
+    rows = [*enumerate(good), (100, None), (101, [float("nan"), 1.0]), (102, [float("inf"), 1.0]), (103, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    for pivots in (1, 6):
+        got = found(knn_pairs(df, df, ["id"], "features", 3, exclude_self=True, pivots=pivots))
+        assert got == brute(list(enumerate(good)), list(enumerate(good)), 3, exclude=True)
+    nested = {r["id"]: len(r["neighbors"]) for r in knn_join(df, df, ["id"], "features", 3).collect()}
+    assert nested == {i: 3 if i < 60 else 0 for i, _ in rows}
+
+
+def test_keys_must_be_unique_and_known(spark):
+    twice = spark.createDataFrame([(i // 2, [float(i)]) for i in range(40)], "id long, features array<double>")
+    lost = spark.createDataFrame([(None, [1.0]), (1, [2.0])], "id long, features array<double>")
+    good = table(spark, [[1.0], [2.0]])
+    for query, base, what in [(twice, good, "query.*unique"), (good, twice, "base.*unique"), (lost, good, "query.*null"), (good, lost, "base.*null")]:
+        with pytest.raises(ValueError, match=what):
+            knn_pairs(query, base, ["id"], "features", 1)
+
+
+@pytest.mark.parametrize("k", [5, 90, 400])
+def test_routed_queries_are_never_short(spark, tiny_cells, k):
+    rng = np.random.default_rng(6)
+    df = table(spark, rng.normal(0, 1, (200, 2)))
+    got = found(knn_pairs(df, df, ["id"], "features", k, tau=0.0, pivots=20))
+    assert {len(v) for v in got.values()} == {min(k, 200)}
+    if k > 20:
+        assert sum(got[i] == v for i, v in brute(pull(df), pull(df), k).items()) > 150
+
+
+def test_routing_follows_one_rule_at_every_size():
+    most = knn.most_pivots(2)
+    sizes = [100, 65_535, 65_536, 65_537, 10**6, 10**9]
+    assert [knn.default_pivots(n, 2, routed=True) for n in sizes] == [min(most, max(1, round(math.sqrt(n) / 4))) for n in sizes]
+
+
+def test_too_many_pivots_are_refused(spark):
+    df = table(spark, [[1.0], [2.0]])
+    with pytest.raises(ValueError, match="pivots"):
+        knn_pairs(df, df, ["id"], "features", 1, pivots=knn.MAX_PIVOTS + 1)
+
+
+def test_many_copies_of_one_vector(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_SPARK_LIMITS", 10)
+    df = table(spark, [[1.0, 1.0]] * 300 + [[float(i), 0.0] for i in range(50)])
+    got = found(knn_pairs(df.filter("id < 3"), df, ["id"], "features", 40))
+    assert got == brute([(i, [1.0, 1.0]) for i in range(3)], pull(df), 40)
+
+
+def test_tau_does_not_depend_on_the_unit(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 1, (400, 2))
+    large, small = (estimate_tau(table(spark, points * s), ["id"], "features", samples=(50, 100, 200)) for s in (1.0, 1e-11))
+    assert small == pytest.approx(large * 1e-11, rel=1e-6) and small > 0

@@ -130,3 +130,30 @@ def test_bad_labels(spark, table):
         RebalancedGBTClassifier(keyCols=["id"]).fit(table.withColumn("label", F.col("label") + 1))
     with pytest.raises(ValueError, match="two classes"):
         RebalancedBaggingClassifier(keyCols=["id"], numResamples=1).fit(table.filter("label = 1"))
+
+
+def test_any_resampler_inside_bagging(blobs):
+    from equipoise.functions.vectors import as_vector
+    from equipoise.operators.synth import smote
+
+    df = blobs.withColumn("features", as_vector(blobs, "features"))
+    seen = []
+
+    def grow(boot, seed):
+        keyed = boot.withColumn("label", F.col("label").cast("int"))
+        out = smote(keyed, ["id", "_copy"], seed=seed, perc_over=0)
+        seen.append({r["label"]: r["count"] for r in out.groupBy("label").count().collect()})
+        return out.withColumn("label", F.col("label").cast("double"))
+
+    bagging = RebalancedBaggingClassifier(keyCols=["id"], numResamples=2, maxDepth=3, seed=1).setResampler(grow)
+    model = bagging.fit(df)
+    assert model.getNumTrees == 2 and all(0.9 < n[1] / n[0] < 1.1 for n in seen)
+
+
+def test_models_do_not_follow_the_number_of_cores(spark, blobs):
+    models = []
+    for n in (2, 7):
+        table = blobs.repartition(n)
+        models.append(RebalancedBaggingClassifier(keyCols=["id"], numResamples=3, maxDepth=4, seed=5, partitions=4).fit(table).toDebugString)
+    strip = lambda text: text.split("\n", 1)[1]
+    assert strip(models[0]) == strip(models[1])

@@ -153,3 +153,25 @@ def test_spread_copies_are_the_same_rows(spark, monkeypatch, mode):
     monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 0.5)
     monkeypatch.setattr("equipoise.operators.sampling._BLOCK", 4)
     assert [sorted(map(tuple, run().collect())) for run in runs] == plain
+
+
+def test_very_large_poisson_rates_keep_their_law(spark):
+    from equipoise.functions.randomness import poisson, uniform
+
+    for rate in (9_900.0, 10_100.0, 250_000.0):
+        drawn = spark.range(3000).withColumn("u", uniform(["id"], 5, "law")).select(poisson(F.col("u"), rate).alias("n"))
+        r = drawn.agg(F.avg("n").alias("m"), F.var_samp("n").alias("v")).first()
+        assert abs(r["m"] / rate - 1) < 4 / (rate * 3000) ** 0.5 and abs(r["v"] / rate - 1) < 0.12
+
+
+def test_more_than_ten_thousand_classes(spark):
+    df = spark.range(60_000).select("id", F.when(F.col("id") < 40_000, F.lit(-1)).otherwise(F.floor(F.col("id") / 2)).alias("label"))
+    out = random_undersample(df, ["id"], seed=2, perc_under=0, mode="exact")
+    assert out.count() == 20_000 + 2
+
+
+def test_null_key_parts_draw_apart(spark):
+    from equipoise.functions.randomness import uniform
+
+    df = spark.createDataFrame([(1, None, 2), (1, 2, None)], "a int, b int, c int")
+    assert df.select(uniform(["a", "b", "c"], 7, "x").alias("u")).distinct().count() == 2

@@ -47,7 +47,8 @@ def test_smote_small_classes(spark):
     made = out.filter("c > 0")
     assert out.count() == 80 and made.filter("features[1] <> 1.0").count() == 0
     lonely = df.filter("label = 0 or id = 0")
-    assert smote(lonely, ["id"], perc_over=100).count() == lonely.count()
+    with pytest.raises(ValueError, match="two rows"):
+        smote(lonely, ["id"], perc_over=100)
     even = df.filter("id < 8")
     assert smote(even, ["id"], perc_over=0).count() == 8
     with pytest.raises(ValueError, match="two classes"):
@@ -90,3 +91,32 @@ def test_spread_synthetics_are_the_same_rows(spark, blobs, monkeypatch):
     monkeypatch.setattr("equipoise.operators.sampling.SPREAD_RATE", 0.5)
     monkeypatch.setattr("equipoise.operators.sampling._BLOCK", 4)
     assert both() == plain
+
+
+def test_smote_makes_every_row_it_was_asked_for(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i < 300), [float(x) for x in rng.normal(0, 1, 2)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>").repartition(3)
+    out = smote(df, ["id"], seed=1, perc_over=200, tau=0.0, pivots=40, k=7, copy_col="copy")
+    assert out.filter("copy > 0").count() == 600
+
+
+def test_smote_of_a_class_of_one_row_is_refused(spark):
+    df = spark.createDataFrame([(i, int(i == 0), [float(i)]) for i in range(51)], "id long, label int, features array<double>")
+    with pytest.raises(ValueError, match="two rows"):
+        smote(df, ["id"], perc_over=0)
+
+
+def test_smote_repeats_rows_without_finite_features(spark):
+    rows = [(i, int(i < 10), [float(i), float("nan") if i == 3 else 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    made = smote(df, ["id"], perc_over=100, copy_col="copy").filter("copy > 0").collect()
+    assert len(made) == 10 and next(r["features"][0] for r in made if r["id"] == 3) == 3.0
+
+
+def test_smote_needs_precomputed_pairs_of_all_rows(spark):
+    df = spark.createDataFrame([(i, int(i < 10), [float(i)]) for i in range(40)], "id long, label int, features array<double>")
+    pairs = spark.createDataFrame([(i, 1, [0.5]) for i in range(9)], "id long, rank int, nb_features array<double>")
+    assert smote(df, ["id"], perc_over=100, neighbors=pairs.union(pairs.selectExpr("9L", "1", "array(0.5D)").limit(1))).count() == 50
+    with pytest.raises(Exception, match="precomputed"):
+        smote(df, ["id"], perc_over=100, neighbors=pairs).collect()
