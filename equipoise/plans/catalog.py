@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from equipoise.operators.boost import RebalancedGBTClassifier, evaluate_each_ite
 from equipoise.operators.ensemble import RebalancedBaggingClassifier, soft_vote
 from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, tau_fit, tau_points
 from equipoise.operators.profile import class_counts, class_profile, class_weights, label_decode, label_index
-from equipoise.operators.resample import random_balance, random_oversample, random_undersample
+from equipoise.operators.resample import no_resample, random_balance, random_oversample, random_undersample
 from equipoise.operators.sampling import bernoulli, bootstrap, exact_sample, poisson_copies
 from equipoise.operators.synth import rose, smote
 from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
@@ -449,6 +450,87 @@ def bagging_draw_ros(spark, sf):
     return _bagging_draw(spark, sf, "ros")
 
 
+@query
+def bagging_draw_balance(spark, sf):
+    return _bagging_draw(spark, sf, "balance")
+
+
+def _clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by hour and day: few distinct values, so that trees try every split."""
+    df = events(spark, sf)
+    hour, day = F.col("features")[2], F.col("features")[3]
+    return df.select(*EVENT, F.col("label").cast("double").alias("label"), array_to_vector(F.array(hour, day)).alias("features"))
+
+
+def _stump_scores(model: Transformer, df: DataFrame) -> DataFrame:
+    scored = model.transform(df).select(*EVENT, vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("prediction"))
+    return scored.select(*EVENT, _r("p", 9).alias("probability"), "prediction")
+
+
+def _stump_bagging(spark: SparkSession, sf: str, how: str) -> DataFrame:
+    """Two members of depth 1 over all features."""
+    df = _clock(spark, sf)
+    bagging = RebalancedBaggingClassifier(
+        keyCols=EVENT, resampling=how, numResamples=2, maxDepth=1, maxBins=128, featureSubsetStrategy="all", seed=SEED, generator="md5"
+    )
+    return _stump_scores(bagging.fit(df), df)
+
+
+@query
+def stump_bagging_plain(spark, sf):
+    return _stump_bagging(spark, sf, "none")
+
+
+@query
+def stump_bagging_rus(spark, sf):
+    return _stump_bagging(spark, sf, "rus")
+
+
+@query
+def stump_bagging_ros(spark, sf):
+    return _stump_bagging(spark, sf, "ros")
+
+
+@query
+def stump_bagging_balance(spark, sf):
+    return _stump_bagging(spark, sf, "balance")
+
+
+def _stump_boosting(spark: SparkSession, sf: str, how: str, rate: float = 1.0) -> DataFrame:
+    """Two trees of depth 1; the second sees the residuals of a resampled table."""
+    df = _clock(spark, sf)
+    learner = RebalancedGBTClassifier(
+        keyCols=EVENT, resampling=how, maxIter=2, maxDepth=1, maxBins=128, subsamplingRate=rate, seed=SEED, generator="md5"
+    )
+    return _stump_scores(learner.fit(df), df)
+
+
+@query
+def stump_boosting_rus(spark, sf):
+    return _stump_boosting(spark, sf, "rus")
+
+
+@query
+def stump_boosting_ros(spark, sf):
+    return _stump_boosting(spark, sf, "ros")
+
+
+@query
+def stump_boosting_balance(spark, sf):
+    return _stump_boosting(spark, sf, "balance")
+
+
+@query
+def stump_boosting_subsample(spark, sf):
+    """Each tree sees half of the rows, of their own classes."""
+    return _stump_boosting(spark, sf, "none", 0.5)
+
+
+@query
+def identity_resample(spark, sf):
+    return no_resample(events(spark, sf)).select(*EVENT, "label")
+
+
 @query
 def soft_voting(spark, sf):
     """Three rule-based members vote on each event."""

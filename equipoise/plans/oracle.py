@@ -395,6 +395,84 @@ def _bagging_draw(how: str) -> str:
 
 ORACLE["bagging_draw_rus"] = _bagging_draw("rus")
 ORACLE["bagging_draw_ros"] = _bagging_draw("ros")
+ORACLE["identity_resample"] = f"SELECT event_id, label FROM {EVENTS}"
+_MEMBER_BALANCE = (1797089810, 944847130)  # seeds of the members' random balance
+
+
+def _member(how: str, member: int) -> str:
+    """CTEs up to ``t(event_id, label, x0, x1, w)``: a member's bootstrap with how often each copy is taken."""
+    draw = u(f"resample{member}", "event_id", "i")
+    rest, rate, source = "", "1.0", "p"
+    taken = "1"
+    if how == "rus":
+        taken = f"CASE WHEN label = l_maj THEN CAST({draw} < n_min / n_maj AS INTEGER) ELSE 1 END"
+    if how == "ros":
+        taken, rate = f"CASE WHEN label = l_maj THEN 1 ELSE 1 + {poisson(draw, 'q')} END", "(n_maj - n_min) / n_min"
+    if how == "balance":
+        rest, rate, source = f"{_draw(_MEMBER_BALANCE[member])},", "f_grow", "w"
+        taken = f"CASE WHEN label = grow THEN {poisson(draw, 'q')} ELSE CAST({draw} < f_shrink AS INTEGER) END"
+    return f"""{cdf("b", "1.0", "(SELECT 1)")},
+    d AS (SELECT event_id, label, features[3] AS x0, features[4] AS x1,
+          unnest(range(0, {poisson(u(f"bootstrap{member}", "event_id"), "b")})) AS i FROM {EVENTS}),
+    {sizes("d")}, {rest} {cdf("q", rate, source)},
+    t AS (SELECT event_id, label, x0, x1, {taken} AS w FROM d, {source})"""
+
+
+def _stump(name: str, source: str, target: str) -> str:
+    """CTE ``name(f, cut, low, high, mean)``: the split of x0 or x1 that leaves least variance (for 0/1, least impurity)."""
+    side = "PARTITION BY f ORDER BY x"
+    sums = ", ".join(f"sum({c}) OVER ({side}) AS l{c}, sum({c}) OVER (PARTITION BY f) AS t{c}" for c in ("w", "s", "q"))
+
+    def spread(k: str) -> str:
+        return f"({k}q - {k}s * {k}s / {k}w)"
+
+    return f"""{name}_z AS (SELECT f, x, sum(w)::DOUBLE AS w, sum(w * {target})::DOUBLE AS s, sum(w * {target} * {target})::DOUBLE AS q
+          FROM (SELECT *, unnest([0, 1]) AS f, unnest([x0, x1]) AS x FROM {source} WHERE w > 0) GROUP BY f, x),
+    {name}_c AS (SELECT f, x, lead(x) OVER ({side}) AS nx, {sums} FROM {name}_z),
+    {name}_r AS (SELECT *, tw - lw AS rw, ts - ls AS rs, tq - lq AS rq FROM {name}_c),
+    {name} AS (SELECT f, (x + nx) / 2.0 AS cut, ls / lw AS low, rs / rw AS high, ts / tw AS mean FROM {name}_r
+          WHERE nx IS NOT NULL ORDER BY {spread("l")} + {spread("r")}, f, x LIMIT 1)"""
+
+
+def _stump_bagging(how: str) -> str:
+    # Leaves that predict the same class are merged.
+    one = """SELECT event_id, CASE WHEN (low > 0.5) = (high > 0.5) THEN mean
+        WHEN CASE f WHEN 0 THEN features[3] ELSE features[4] END <= cut THEN low ELSE high END AS p"""
+    members = " UNION ALL ".join(f"SELECT * FROM (WITH {_member(how, m)}, {_stump('cut_at', 't', 'label')} {one} FROM {EVENTS}, cut_at)" for m in (0, 1))
+    return f"""SELECT event_id, round(avg(p), 9) AS probability, CAST(avg(p) > 0.5 AS INTEGER) AS prediction
+    FROM ({members}) GROUP BY event_id"""
+
+
+for _how in ("none", "rus", "ros", "balance"):
+    ORACLE[f"stump_bagging_{'plain' if _how == 'none' else _how}"] = _stump_bagging(_how)
+ORACLE["bagging_draw_balance"] = f"""WITH {_member("balance", 0)}, k AS (SELECT event_id, sum(w) AS copies FROM t GROUP BY event_id)
+    SELECT event_id, CAST(coalesce(copies, 0) AS INTEGER) AS copies FROM events LEFT JOIN k USING (event_id)"""
+
+
+def _stump_boosting(how: str, rate: float = 1.0) -> str:
+    taken = {
+        "none": "1",
+        "rus": f"CASE WHEN label = l_maj THEN CAST({_BOOST_U} < n_min / n_maj AS INTEGER) ELSE 1 END",
+        "ros": f"CASE WHEN label = l_maj THEN 1 ELSE 1 + {poisson(_BOOST_U, 'q')} END",
+        "balance": f"CASE WHEN label = grow THEN {poisson(_BOOST_U, 'q')} ELSE CAST({_BOOST_U} < f_shrink AS INTEGER) END",
+    }[how]
+    table = "w" if how == "balance" else "p"
+    grown = {"ros": "(n_maj - n_min) / n_min", "balance": "f_grow"}.get(how, "1.0")
+    seen = [f"CAST({u(f'subsample{r}', 'event_id')} < {rate} AS INTEGER)" for r in (0, 1)]
+    at = "CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END <= cut THEN low ELSE high END"
+    return f"""WITH {sizes(EVENTS)}, {f"{_draw(_ROUND)}," if how == "balance" else ""} {cdf("q", grown, table)},
+    e AS (SELECT event_id, label, 2.0 * label - 1.0 AS y, features[3] AS x0, features[4] AS x1, {seen[0]} AS w FROM {EVENTS}),
+    {_stump("g0", "e", "y")},
+    m AS (SELECT event_id, label, y, x0, x1, {at} AS margin FROM e, g0),
+    r AS (SELECT *, 4.0 * y / (1.0 + exp(2.0 * y * margin)) AS res, {taken} * {seen[1]} AS w FROM m, {table}),
+    {_stump("g1", "(SELECT x0, x1, res, w FROM r)", "res")},
+    o AS (SELECT event_id, margin + 0.1 * {at} AS margin FROM m, g1)
+    SELECT event_id, round(1.0 / (1.0 + exp(-2.0 * margin)), 9) AS probability, CAST(margin > 0 AS INTEGER) AS prediction FROM o"""
+
+
+for _how in ("rus", "ros", "balance"):
+    ORACLE[f"stump_boosting_{_how}"] = _stump_boosting(_how)
+ORACLE["stump_boosting_subsample"] = _stump_boosting("none", 0.5)
 ORACLE["soft_voting"] = """WITH m AS (SELECT event_id, value / 100.0 AS p FROM events
         UNION ALL SELECT event_id, (user_id % 10) / 10.0 FROM events
         UNION ALL SELECT event_id, hour(ts) / 24.0 FROM events),
