@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Transformer
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from equipoise.operators.sampling import bernoulli, bootstrap, exact_sample, poi
 from equipoise.operators.synth import rose, smote
 from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
 from equipoise.plans.algorithms import experiment
-from equipoise.plans.evaluate import confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv
+from equipoise.plans.evaluate import Experiment, confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv
 from equipoise.plans.fixtures import CUSTOMER, DOC, EVENT, LINE, ORDER, VEC, customers, embeddings, events, labelled_documents, lineitem, orders
 from equipoise.sources.session import scratch_path
 from equipoise.sources.sinks import read_predictions, write_all_predictions
@@ -695,6 +696,37 @@ def _cv(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return experiment_summary(done, "1").drop("train_time", "predict_time")
 
 
+def _stump_cv(spark: SparkSession, sf: str, stump: Experiment) -> DataFrame:
+    done = repeated_cv(_clock(spark, sf), stump, scratch_path(spark, "cv"), EVENT, dataset="events", repetitions=1, seed=SEED, scale=None)
+    return experiment_summary(done, "1.0").drop("train_time", "predict_time")
+
+
+@query
+def cv_stump_resampled(spark, sf):
+    """Two folds; each training part is balanced by under-sampling before a tree of depth 1 learns from it."""
+
+    def learner(seed: int) -> RandomForestClassifier:
+        return RandomForestClassifier(labelCol="label_index", numTrees=1, maxDepth=1, maxBins=128, bootstrap=False, featureSubsetStrategy="all", seed=seed)
+
+    def balance(seed: int) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: random_undersample(df, EVENT, seed=seed, perc_under=0)
+
+    return _stump_cv(spark, sf, Experiment("rus_stump", learner, balance))
+
+
+@query
+def cv_stump_inside(spark, sf):
+    """Two folds; a member of depth 1 balances its own bootstrap."""
+
+    def learner(seed: int) -> RebalancedBaggingClassifier:
+        return RebalancedBaggingClassifier(
+            keyCols=EVENT, labelCol="label_index", resampling="rus", numResamples=1, maxDepth=1, maxBins=128,
+            featureSubsetStrategy="all", seed=seed, generator="md5",
+        )
+
+    return _stump_cv(spark, sf, Experiment("stump_rus", learner))
+
+
 @query
 def cv_resample_then_train(spark, sf):
     return _cv(spark, sf, "smote_wrf")

@@ -399,9 +399,9 @@ ORACLE["identity_resample"] = f"SELECT event_id, label FROM {EVENTS}"
 _MEMBER_BALANCE = (1797089810, 944847130)  # seeds of the members' random balance
 
 
-def _member(how: str, member: int) -> str:
+def _member(how: str, member: int, source_rows: str = EVENTS, seed: int = SEED) -> str:
     """CTEs up to ``t(event_id, label, x0, x1, w)``: a member's bootstrap with how often each copy is taken."""
-    draw = u(f"resample{member}", "event_id", "i")
+    draw = u(f"resample{member}", "event_id", "i", seed=seed)
     rest, rate, source = "", "1.0", "p"
     taken = "1"
     if how == "rus":
@@ -413,7 +413,7 @@ def _member(how: str, member: int) -> str:
         taken = f"CASE WHEN label = grow THEN {poisson(draw, 'q')} ELSE CAST({draw} < f_shrink AS INTEGER) END"
     return f"""{cdf("b", "1.0", "(SELECT 1)")},
     d AS (SELECT event_id, label, features[3] AS x0, features[4] AS x1,
-          unnest(range(0, {poisson(u(f"bootstrap{member}", "event_id"), "b")})) AS i FROM {EVENTS}),
+          unnest(range(0, {poisson(u(f"bootstrap{member}", "event_id", seed=seed), "b")})) AS i FROM {source_rows}),
     {sizes("d")}, {rest} {cdf("q", rate, source)},
     t AS (SELECT event_id, label, x0, x1, {taken} AS w FROM d, {source})"""
 
@@ -500,3 +500,26 @@ ORACLE["summary"] = f"""SELECT 'lineitem' AS dataset, 'price_rule' AS algorithm,
     CAST(0 AS BIGINT) AS train_time, CAST(0 AS BIGINT) AS predict_time FROM ({_RULE}) GROUP BY repetition, fold"""
 ORACLE["libsvm_source"] = """SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(label AS DOUBLE)::VARCHAR) - 1 AS INTEGER)
     AS label, count(*) AS n, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY embeddings.label"""
+_FOLD_SEEDS = (1756459664, 1651806069)  # seeds of the folds of repetition 1
+_EVENT_FOLD = f"CAST(1 + floor({u('fold1', 'event_id')} * 2) AS INTEGER)"
+
+
+def _stump_cv(name: str, inside: bool) -> str:
+    parts = []
+    for fold, seed in enumerate(_FOLD_SEEDS, 1):
+        train = f"(SELECT * FROM {EVENTS} WHERE {_EVENT_FOLD} <> {fold})"
+        if inside:
+            taken = _member("rus", 0, train, seed)
+        else:
+            taken = f"""{sizes(train)}, t AS (SELECT event_id, label, features[3] AS x0, features[4] AS x1,
+                CASE WHEN label = l_maj THEN CAST({u("under", "event_id", seed=seed)} < n_min / n_maj AS INTEGER) ELSE 1 END AS w
+                FROM {train}, p)"""
+        guess = "CASE WHEN CASE f WHEN 0 THEN features[3] ELSE features[4] END <= cut THEN low ELSE high END > 0.5"
+        parts.append(f"""SELECT * FROM (WITH {taken}, {_stump("cut_at", "t", "label")}
+            SELECT {fold} AS fold, label, CAST({guess} AS INTEGER) AS guess FROM {EVENTS}, cut_at WHERE {_EVENT_FOLD} = {fold})""")
+    return f"""SELECT 'events' AS dataset, '{name}' AS algorithm, 1 AS repetition, fold, {_COUNTS}
+        FROM ({" UNION ALL ".join(parts)}) GROUP BY fold"""
+
+
+ORACLE["cv_stump_resampled"] = _stump_cv("rus_stump", False)
+ORACLE["cv_stump_inside"] = _stump_cv("stump_rus", True)
