@@ -151,16 +151,15 @@ def rose(
         raise ValueError("mino_prob must be in (0, 1]")
     if not shrink > 0:
         raise ValueError("shrink must be positive")
-    p = (profile or class_profile(df, label)).require_binary("ROSE")
+    # Sizes and spreads of the classes in one pass; a third class is enough to refuse the table.
+    vectors = df.select(F.col(label).alias("c"), as_vector(df, features).alias("v"))
+    stats = vectors.groupBy("c").agg(F.count("*").alias("n"), Summarizer.variance(F.col("v")).alias("s")).limit(3).collect()
+    if any(r["c"] is None for r in stats) or not stats:
+        class_profile(df, label)  # says what is wrong
+    p = (profile or ClassProfile.of((r["c"], int(r["n"])) for r in stats)).require_binary("ROSE")
     dim = dimension(df, features)
     f_min, f_maj = rose_fractions(p, mino_prob, keep_majo_size)
-    spread = {
-        r["c"]: [math.sqrt(x) for x in r["s"]]
-        for r in df.select(F.col(label).alias("c"), as_vector(df, features).alias("v"))
-        .groupBy("c")
-        .agg(Summarizer.variance(F.col("v")).alias("s"))
-        .collect()
-    }
+    spread = {r["c"]: [math.sqrt(x) for x in r["s"]] for r in stats}
     width = {c: [shrink * rose_bandwidth(dim, n) * s for s in spread[c]] for c, n in p.classes}
     minority = F.col(label) == F.lit(p.minority)
 
