@@ -21,7 +21,7 @@ MAX_HOST_RATE = 0.5
 RULES = ("short", "repeated", "symbols", "dup_lines")
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, also where the body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
 
@@ -48,8 +48,8 @@ def repeated_words(words: str, n_words: str, size: int = 5) -> Column:
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(size), i - a["last"])).alias("n"), i.alias("last"))
         return F.aggregate(places, start, step, lambda a: a["n"])
 
-    exact = _with(F.sort_array(windows), covered)
-    any_twice = _with(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    exact = with_value(F.sort_array(windows), covered)
+    any_twice = with_value(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(F.col(n_words) < size, F.lit(0).cast("long")).when(any_twice, exact).otherwise(F.lit(0).cast("long"))
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.llm.hostrules import split_words
+from equipoise.llm.hostrules import split_words, with_value
 from equipoise.sources.session import checkpoint
 
 #: Words of a block; words of a shard; most shards of a source, whose quotas are found within one row.
@@ -116,13 +116,14 @@ def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
 
     def halve(a: Column, _: Column) -> Column:
         middle = (a["low"] + a["high"]) / 2
-        enough = total(middle) >= F.col("quota")
-        return F.struct(F.when(enough, middle).otherwise(a["low"]).alias("low"), F.when(enough, a["high"]).otherwise(middle).alias("high"))
+        tried = F.struct(middle.alias("q"), (total(middle) >= F.col("quota")).alias("enough"))
+        return with_value(tried, lambda t: F.struct(F.when(t["enough"], t["q"]).otherwise(a["low"]).alias("low"), F.when(t["enough"], a["high"]).otherwise(t["q"]).alias("high")))
 
     # The lowest quotient with a seat lies between 0 and the largest shard; 100 halvings leave neighbouring doubles.
     start = F.struct(F.lit(1e-9).alias("low"), (F.array_max(F.transform("held", lambda h: h["v"])) + 1).alias("high"))
-    rows = rows.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve).alias("bound"))
-    sure = F.transform("held", lambda h: F.struct(h["shard"].alias("shard"), h["shard_size"].alias("shard_size"), h["v"].alias("v"), _seats(h["v"], h["c"], F.col("bound.high")).alias("n"), h["c"].alias("c")))
+    bound = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve)
+    # The bound is found once per row, not once per shard: it is a value before the lambda that uses it.
+    sure = with_value(bound, lambda b: F.transform("held", lambda h: F.struct(h["shard"].alias("shard"), h["shard_size"].alias("shard_size"), h["v"].alias("v"), _seats(h["v"], h["c"], b["high"]).alias("n"), h["c"].alias("c"))))
     rows = rows.select("rank", "quota", sure.alias("held"))
     open_ = F.filter("held", lambda h: h["n"] < h["c"])
     following = F.sort_array(F.transform(open_, lambda h: F.struct((-h["v"] / (2 * h["n"] + 1)).alias("q"), h["shard"].alias("shard"))))

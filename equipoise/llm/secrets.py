@@ -7,11 +7,12 @@ a match begins after all pieces and matches before it. Only texts that can hold
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equipoise.llm.hostrules import with_value
+
 #: Fixed by the contract: the pattern of each kind, the group whose length counts, and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
@@ -26,11 +27,6 @@ SAMPLE, RANDOM = 2_000, 20_000
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, also where the body uses it inside other lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _matches(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans (start, kind, end) in code points of the leftmost matches that do not overlap and whose group is long enough."""
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
@@ -105,7 +101,7 @@ def random_spans(text: str, base: str, ratios: list[float]) -> Column:
     def ratio(run: Column) -> Column:
         places = F.transform(F.split(run, ""), _place)
         pairs = lambda p: F.sequence(F.lit(0), F.size(p) - 2)
-        return _with(places, lambda p: F.aggregate(pairs(p), F.lit(0.0), lambda a, i: a + F.get(table, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1))) / (F.size(p) - 1))
+        return with_value(places, lambda p: F.aggregate(pairs(p), F.lit(0.0), lambda a, i: a + F.get(table, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1))) / (F.size(p) - 1))
 
     def secret(s: Column) -> Column:
         run = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
