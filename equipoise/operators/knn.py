@@ -221,10 +221,24 @@ def _spread(df: DataFrame, sizes: Sequence[tuple[int, int, int]]) -> DataFrame:
 
 
 def _search(
-    routed: DataFrame, base: DataFrame, query_key: Sequence[str], base_cols: Sequence[str], base_rows: dict[int, int], k: int
+    routed: DataFrame,
+    queries: DataFrame,
+    base: DataFrame,
+    query_key: Sequence[str],
+    base_cols: Sequence[str],
+    base_rows: dict[int, int],
+    k: int,
+    several: bool,
 ) -> DataFrame:
-    """The k nearest base rows per (query, cell)."""
+    """The k nearest base rows per (query, cell).
+
+    ``routed`` (key, region, bound) is materialised, so routing runs once for the counts and the search; the
+    vectors of ``queries`` join it after that.
+    """
     spark = base.sparkSession
+    bounded = "_bound" in routed.columns
+    routed = routed.select(*query_key, "_region", *(["_bound"] if bounded else []))
+    routed = checkpoint(routed) if several else routed
     base_key = [c for c in base_cols if c.startswith("nb_")]
     query_rows = _region_sizes(routed)
     wanted = 4 * spark.sparkContext.defaultParallelism
@@ -236,10 +250,11 @@ def _search(
     cells = sum(s * c for _, s, c in sizes)
     partitions = max(1, min(cells, max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
-    bounded = "_bound" in routed.columns
-    q = _spread(routed.select(*query_key, "_v", "_region", *(["_bound"] if bounded else [])), sizes)
+    vectors = queries.select(*query_key, "_v")
+    q = _spread(routed if several else vectors.withColumn("_region", F.lit(next(iter(base_rows), 0))), sizes)
     q = q.withColumn("_chunk", F.pmod(F.xxhash64(*query_key), F.col("_chunks")).cast("int"))
     q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_chunks")
+    q = q.join(vectors, list(query_key)) if several else q
     b = base.select(*base_cols, "_v", "_region")
     repeated = sum(base_rows[r] * c for r, _, c in sizes)
     if repeated > _REPEATED:  # a small base against many queries: share the repetition out over tasks
@@ -431,7 +446,7 @@ def search_index(
     sizes = {i: int(n) for i, n in enumerate(regions.rows) if n}
 
     def search(routed: DataFrame) -> DataFrame:
-        return _search(routed, index.assigned, query_key, base_cols, sizes, keep)
+        return _search(routed, q, index.assigned, query_key, base_cols, sizes, keep, regions.count > 1)
 
     def exact(q: DataFrame) -> DataFrame:
         found = search(_route(q, regions, "home"))
