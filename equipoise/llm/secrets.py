@@ -7,6 +7,7 @@ a match begins after all pieces and matches before it. Only texts that can hold
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def _place(char: Column) -> Column:
 
 def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
     """(string, random): labelled samples. Random ones are digests in base 64 and what the base patterns find; ordinary
-    ones are words of sampled documents, alone, joined by underscores or hyphens, in camel case, and with a number.
+    ones are made of three words each of sampled documents, joined by underscores or hyphens, in camel case, in capitals
+    or with a number, as the hash of the words decides.
     """
     n = max(1, docs.count())
     share = min(1.0, sample / n)
@@ -71,11 +73,12 @@ def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str,
     made = seeds.select(F.expr("substring(base64(unhex(h)), 1, 20 + id % 24)").alias("string"))
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     words = picked.where("size(base) = 0").select(words.alias("w")).where("size(w) >= 3")
-    parts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("p"))
+    parts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.slice("w", i, 3))).alias("p"))
     lower, title = F.transform("p", F.lower), F.transform("p", F.initcap)
     number = F.expr("pmod(xxhash64(p), 1000)").cast("string")
     kinds = [F.array_join(lower, "_"), F.array_join(lower, "-"), F.array_join(title, ""), F.upper(F.array_join("p", "_")), F.concat(F.array_join(lower, "_"), F.lit("_"), number), F.concat(F.array_join(lower, "/"), number)]
-    ordinary = parts.select(F.explode(F.array(*kinds)).alias("string"))
+    kind = F.pmod(F.xxhash64("p"), F.lit(len(kinds)))
+    ordinary = parts.select(reduce(lambda c, k: c.when(kind == k[0], k[1]), enumerate(kinds), F.when(F.lit(False), "")).alias("string"))
     return made.union(values).select("string", F.lit(True).alias("random")).union(ordinary.select("string", F.lit(False).alias("random")))
 
 
