@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equipoise.llm.arrow import column, text_slices
+from equipoise.sources.session import checkpoint
 
 #: Hash buckets of the n-grams, their lengths, and the additive smoothing.
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
@@ -100,6 +101,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BU
 
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
     sums = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = checkpoint(sums)  # counted first, fetched then: the texts are read once
     sizes = sums.where(F.col("bucket") == buckets)
     langs = sizes.count()
     if langs * buckets * 8 > MAX_MATRIX_BYTES:
