@@ -21,7 +21,7 @@ BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 MAX_MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -29,36 +29,40 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def gram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of all n-grams, first n-gram of each text + 1 entries, whether a text has a letter).
+def gram_orders(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: (buckets of its n-grams, first n-gram of each text + 1 entries).
 
-    Letters are lower-cased, all else is a space; runs of spaces count once, and a text begins and ends with one.
+    Letters are lower-cased, all else is a space; runs of spaces count once, and a text begins and ends with one. A text
+    with a letter has n-grams of every length, one without has none.
     """
-    codes = np.frombuffer("".join(f" {t.lower()} " if t else "  " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t.lower()) + 2 if t else 2 for t in texts), np.int64, len(texts))
-    row = np.repeat(np.arange(len(texts)), sizes)
+    low = [f" {t.lower()} " if t else "" for t in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)))
     letter = _letters()[codes]
-    keep = letter | np.append(True, letter[:-1]) | np.append(True, row[1:] != row[:-1])
+    has = np.bincount(row[letter], minlength=len(low)) > 0
+    keep = (letter | np.append(True, letter[:-1]) | np.append(True, row[1:] != row[:-1]))[: len(codes)] & has[row]
     codes = np.where(letter, codes, 32).astype(np.uint64)[keep] + np.uint64(1)
     row = row[keep]
-    has = np.bincount(row[codes != 33], minlength=len(texts)) > 0
     shift = np.uint64(64 - (buckets - 1).bit_length())
-    found, of = [], []
     for n in ORDERS:
-        if len(codes) >= n:
-            mixed = np.zeros(len(codes) - n + 1, np.uint64)
-            for j in range(n):
-                mixed += codes[j : len(codes) - n + 1 + j] * _PRIMES[j]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= _PRIMES[3] + np.uint64(2 * n)
-            whole = row[: len(mixed)] == row[n - 1 :]
-            found.append((mixed >> shift).astype(np.int64)[whole])
-            of.append(row[: len(mixed)][whole])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), has
-    found, of = np.concatenate(found), np.concatenate(of)
+        mixed = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+        for j in range(n):
+            mixed += codes[j : len(mixed) + j] * _PRIMES[j]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _PRIMES[3] + np.uint64(2 * n)
+        mixed >>= shift
+        whole = row[: len(mixed)] == row[n - 1 :]
+        yield mixed.astype(np.int64)[whole], np.searchsorted(row[: len(mixed)][whole], np.arange(len(low) + 1))
+
+
+def gram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of all n-grams of a text, one length after the other, text by text; first of each + 1 entries; whether it has a letter)."""
+    orders = list(gram_orders(texts, buckets))
+    found = np.concatenate([f for f, _ in orders])
+    of = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(at)) for _, at in orders])
     order = np.argsort(of, kind="stable")
-    return found[order], np.searchsorted(of[order], np.arange(len(texts) + 1)), has
+    offsets = np.searchsorted(of[order], np.arange(len(texts) + 1))
+    return found[order], offsets, np.diff(offsets) > 0
 
 
 @dataclass
@@ -91,9 +95,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BU
             texts = column(batch, text).to_pylist()
             for name in sorted(set(names)):
                 mine = [texts[i] for i in np.flatnonzero(names == name)]
-                found, _, _ = gram_buckets(mine, buckets)
                 n = sums.setdefault(name, np.zeros(buckets + 1, np.int64))
-                n[:buckets] += np.bincount(found, minlength=buckets)
+                for found, _ in gram_orders(mine, buckets):
+                    n[:buckets] += np.bincount(found, minlength=buckets)
                 n[buckets] += len(mine)
             if len(sums) > 128:
                 yield from flush()
@@ -135,12 +139,13 @@ def predict(
         m = shared.value
         langs = np.array([*m.langs, UNKNOWN], object)
         for batch in text_slices(batches, text, _STEP):
-            found, offsets, has = gram_buckets(column(batch, text).to_pylist(), m.table.shape[1])
             best, chance = np.full(batch.num_rows, len(m.langs)), np.zeros(batch.num_rows)
-            rows = np.flatnonzero(has)
+            rows, sums = np.zeros(0, np.int64), m.prior[:, None]
+            for found, offsets in gram_orders(column(batch, text).to_pylist(), m.table.shape[1]):
+                rows = np.flatnonzero(np.diff(offsets))  # the texts with a letter, the same for every length
+                if len(rows) and m.langs:
+                    sums = sums + np.stack([np.add.reduceat(logs[found], offsets[rows]) for logs in m.table])
             if len(rows) and m.langs:
-                sums = np.stack([np.add.reduceat(logs[found], offsets[rows]) for logs in m.table]) if len(found) else 0
-                sums = sums + m.prior[:, None]
                 top = sums.argmax(0)
                 best[rows], chance[rows] = top, 1 / np.exp(sums - sums.max(0)).sum(0)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(langs[best], pa.string()), pa.array(chance)], [f.name for f in schema])

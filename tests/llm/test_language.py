@@ -59,3 +59,13 @@ def test_edge_cases_have_defined_results(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "lang_pred", "score"]
     unlabelled = identify(spark, table.withColumn("lang", table["lang"].substr(100, 1)).where("false").unionByName(table.selectExpr("doc_id", "text", "cast(null as string) lang", "lang_pred", "score")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_neighbours_in_a_batch_do_not_count(spark):
+    """A text without letters leaves the scores of the texts around it as they are."""
+    table = spark.createDataFrame([(1, "der hund", "de"), (2, "the dog", "en")], "doc_id long, text string, lang string")
+    model = fit(table, buckets=256)
+    texts = ["hund", "1 2 3", None, "...", "dog", "", "hund"]
+    together = predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
+    alone = [predict(spark.createDataFrame([(i, t)], "doc_id long, text string"), model).first() for i, t in enumerate(texts)]
+    assert together == alone
