@@ -273,11 +273,11 @@ def knn_routed_unbounded(spark, sf):
 
 @query
 def knn_routed(spark, sf):
-    """Approximate search with the estimated buffer, all line items among all."""
-    df = min_max_scale(lineitem(spark, sf), "features")
-    tau = estimate_tau(df, LINE, "features", SEED)
-    pairs = knn_pairs(df, df, LINE, "features", 5, exclude_self=True, tau=tau)
-    return pairs.select(*LINE, "rank", *[f"nb_{c}" for c in LINE], _r("distance", 9).alias("distance"))
+    """Approximate search with the estimated buffer, all orders among all."""
+    df = min_max_scale(orders(spark, sf), "features")
+    tau = estimate_tau(df, ORDER, "features", SEED)
+    pairs = knn_pairs(df, df, ORDER, "features", 5, exclude_self=True, tau=tau)
+    return pairs.select(*ORDER, "rank", *[f"nb_{c}" for c in ORDER], _r("distance", 9).alias("distance"))
 
 
 @query
