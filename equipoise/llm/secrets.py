@@ -18,14 +18,15 @@ from equipoise.llm.hostrules import with_value
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
 NAMES = (*KINDS, "random")
-#: Strings that the models judge: runs of these characters of at least so many, with a digit and a letter.
+#: Strings that the models judge: runs of these characters.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-RUN = "[A-Za-z0-9+/_=-]{20,}"
-#: Natural logarithm of the likelihood ratio per pair of characters above which a string is a secret.
-MIN_RATIO = 1.0
+RUN = "[A-Za-z0-9+/_=-]"
+#: Natural logarithm of the likelihood ratio per pair of characters above which a string is a secret; shorter strings need
+#: the sum that one of so many characters needs.
+MIN_RATIO, LONG = 1.0, 20
 #: Documents (about so many, those whose keys hash lowest) that ordinary identifiers are made from; random strings made.
 SAMPLE, RANDOM = 2_000, 20_000
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_SPAN, _PART = "array<struct<start:int,kind:int,end:int>>", "array<struct<start:int,end:int>>"
 
 
 def _matches(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -85,7 +86,8 @@ def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str,
 def markov_ratios(strings: DataFrame) -> list[float]:
     """Log likelihood ratio, random over ordinary, of every pair of characters: one row of the alphabet after the other.
 
-    Both models are smoothed by one of each pair. A character outside the alphabet ends a string.
+    Both models are smoothed by one of each pair. A character outside the alphabet ends a string. Texts also have rules and
+    fillers of one repeated character, which no sampled identifier shows, so a pair of equal ones never speaks for random.
     """
     chars = strings.withColumn("c", F.split("string", "")).where("size(c) >= 2")
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(_place(F.get("c", i)).alias("a"), _place(F.get("c", i + 1)).alias("b")))
@@ -94,25 +96,63 @@ def markov_ratios(strings: DataFrame) -> list[float]:
     table = {kind: [[1.0] * size for _ in range(size)] for kind in (True, False)}
     for r in counts.where("a >= 0 AND b >= 0").collect():  # two tables of pairs of the alphabet at most
         table[r["random"]][r["a"]][r["b"]] += r["count"]
-    return [math.log(x / sum(xs)) - math.log(y / sum(ys)) for xs, ys in zip(table[True], table[False], strict=True) for x, y in zip(xs, ys, strict=True)]
+    ratios = [math.log(x / sum(xs)) - math.log(y / sum(ys)) for xs, ys in zip(table[True], table[False], strict=True) for x, y in zip(xs, ys, strict=True)]
+    return [min(r, 0.0) if i % (size + 1) == 0 else r for i, r in enumerate(ratios)]
+
+
+def _free(text: str, base: str) -> Column:
+    """The parts (start, end) of a text that no base span covers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PART).alias("parts"))
+
+    def step(a: Column, b: Column) -> Column:
+        part = F.array(F.struct(a["at"].alias("start"), b["start"].alias("end")))
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] > a["at"], F.concat(a["parts"], part)).otherwise(a["parts"]).alias("parts"))
+
+    return F.aggregate(base, start, step, lambda a: F.concat(a["parts"], F.array(F.struct(a["at"].alias("start"), F.length(text).alias("end")))))
 
 
 def random_spans(text: str, base: str, ratios: list[float]) -> Column:
-    """Spans of runs that overlap no base span and whose mean ratio is over ``MIN_RATIO``."""
+    """Spans of runs, cut at the base spans, that the models call random.
+
+    The sum of a run's ratios is over ``MIN_RATIO`` per pair, and over that of ``LONG`` characters where it is shorter.
+    Runs too short for that sum, were all their pairs the likeliest one, are not looked at.
+    """
+    enough = MIN_RATIO * (LONG - 1)
+    if max(ratios) <= 0:
+        return F.array().cast(_SPAN)
+    pattern = f"{RUN}{{{int(enough / max(ratios)) + 2},}}"
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
-    def ratio(run: Column) -> Column:
+    def secret(run: Column) -> Column:
         places = F.transform(F.split(run, ""), _place)
         pairs = lambda p: F.sequence(F.lit(0), F.size(p) - 2)
-        return with_value(places, lambda p: F.aggregate(pairs(p), F.lit(0.0), lambda a, i: a + F.get(table, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1))) / (F.size(p) - 1))
+        total = with_value(places, lambda p: F.aggregate(pairs(p), F.lit(0.0), lambda a, i: a + F.get(table, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1))))
+        # As a mean, the same number as before for a long run.
+        return total / (F.length(run) - 1) > F.greatest(F.lit(MIN_RATIO), F.lit(enough) / (F.length(run) - 1))
+
+    def runs(part: Column, offset: Column) -> Column:
+        rows = F.arrays_zip(F.transform(F.split(part, pattern, -1), F.length).alias("before"), F.regexp_extract_all(part, F.lit(pattern), F.lit(0)).alias("run"))
+
+        def step(a: Column, r: Column) -> Column:
+            begin = a["at"] + r["before"]
+            end = begin + F.coalesce(F.length(r["run"]), F.lit(0))
+            span = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(secret(r["run"]), F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+
+        return F.aggregate(rows, F.struct(offset.alias("at"), F.array().cast(_SPAN).alias("found")), step, lambda a: a["found"])
+
+    return F.flatten(F.transform(_free(text, base), lambda f: runs(F.substring(F.col(text), f["start"] + 1, f["end"] - f["start"]), f["start"])))
+
+
+def long_mixed(text: str, base: str, found: str) -> Column:
+    """Of the random spans, whole runs of ``LONG`` characters or more with a digit and a letter."""
 
-    def secret(s: Column) -> Column:
+    def kept(s: Column) -> Column:
         run = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & run.rlike("[0-9]") & run.rlike("[A-Za-z]") & (ratio(run) > MIN_RATIO)
+        cut = F.exists(base, lambda b: (b["start"] <= s["end"]) & (s["start"] <= b["end"]))
+        return (s["end"] - s["start"] >= LONG) & ~cut & run.rlike("[0-9]") & run.rlike("[A-Za-z]")
 
-    found = F.filter(_matches(text, RUN, 0, 20, len(KINDS)), secret)
-    return F.when(F.col(text).rlike(RUN), found).otherwise(F.array().cast(_SPAN))
+    return F.filter(found, kept)
 
 
 def _written(spans: str) -> Column:
@@ -121,10 +161,11 @@ def _written(spans: str) -> Column:
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", ratios: list[float] | None = None) -> DataFrame:
-    """One row per row of ``df``: (key, n_assign, n_access, n_hex, n_random, base_spans, spans).
+    """One row per row of ``df``: (key, n_assign, n_access, n_hex, n_random, base_spans, random_spans, spans).
 
-    ``base_spans`` and ``spans`` are arrays of (start, kind, end) in code points, kind counting ``NAMES``; ``spans`` adds
-    the runs that the models call random. ``ratios`` are those of :func:`markov_ratios`; without them the models are
+    The spans are arrays of (start, kind, end) in code points, kind counting ``NAMES``. ``random_spans`` are all parts of
+    runs outside base spans that the models call random, and ``n_random`` is their number; ``spans`` has the base spans
+    and, of the random ones, those of :func:`long_mixed`. ``ratios`` are those of :func:`markov_ratios`; without them the models are
     trained on samples from ``df``. A null text is empty. Other columns are not read.
     """
     docs = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -134,10 +175,11 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     found = docs.withColumn("base_spans", base_spans("_text"))
     found = found.withColumn("random_spans", random_spans("_text", "base_spans", ratios))
     counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select(key, *counts, F.size("random_spans").cast("long").alias("n_random"), "base_spans", F.sort_array(F.concat("base_spans", "random_spans")).alias("spans"))
+    spans = F.sort_array(F.concat("base_spans", long_mixed("_text", "base_spans", "random_spans")))
+    return found.select(key, *counts, F.size("random_spans").cast("long").alias("n_random"), "base_spans", "random_spans", spans.alias("spans"))
 
 
 def secret_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_assign, n_access, n_hex, base_sha256, spans): the spans written as kind:start:end, joined by commas."""
+    """(key, n_assign, n_access, n_hex, base_sha256, spans, random_spans): the spans written as kind:start:end, joined by commas."""
     found = find_secrets(df, key, text)
-    return found.select(key, "n_assign", "n_access", "n_hex", F.sha2(_written("base_spans"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+    return found.select(key, "n_assign", "n_access", "n_hex", F.sha2(_written("base_spans"), 256).alias("base_sha256"), _written("spans").alias("spans"), _written("random_spans").alias("random_spans"))

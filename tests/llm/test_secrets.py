@@ -88,3 +88,40 @@ def test_query_against_plain_patterns(spark, ratios):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
         assert r["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest()
         assert r["spans"] == written(sorted(base + plain_random(docs[r["doc_id"]], base, ratios)))
+
+
+def plain_parts(text, base, ratios):
+    """Every run of the text with the base spans blanked, by the sum of its ratios alone."""
+    chars = list(text or "")
+    for a, _, b in base:
+        chars[a:b] = " " * (b - a)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", "".join(chars)):
+        at = [ALPHABET.index(c) for c in m[0]]
+        mean = sum(ratios[a * len(ALPHABET) + b] for a, b in zip(at, at[1:])) / (len(at) - 1)
+        if mean > max(secrets.MIN_RATIO, secrets.MIN_RATIO * 19 / (len(at) - 1)):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_every_run_is_scored(spark, ratios):
+    rng = random.Random(8)
+    letters, digits = ALPHABET[:52], ALPHABET[52:62]
+    drawn = [[(a, n), "".join(rng.choice(a) for _ in range(n))] for a in (letters, letters + digits, digits + ALPHABET[62:]) for n in (8, 16, 17, 24, 40) for _ in range(40)]
+    values = texts() + [f"é {'AKIA' + 'Q7' * 10}={hashed(i, 40)} and secret: {hashed(i)}.x" for i in range(20)] + [s for _, s in drawn]
+    table = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in find_secrets(table, ratios=ratios).collect()}
+    for i, t in enumerate(values):
+        want = plain_parts(t, plain_base(t), ratios)
+        assert [tuple(s) for s in got[i]["random_spans"]] == want and got[i]["n_random"] == len(want)
+    key = len(texts())
+    assert sum(got[i]["n_random"] for i in range(key, key + 20)) >= 19  # what follows an access key in the same run
+    found = {}
+    for i, (kind, _) in enumerate(drawn, key + 20):
+        found[kind] = found.get(kind, 0) + got[i]["n_random"]
+    assert all(found[a, n] >= 36 for a in (letters, letters + digits) for n in (16, 17, 24, 40))
+
+
+def test_rules_are_not_random(spark, ratios):
+    table = spark.createDataFrame([(i, c * n) for i, c in enumerate(ALPHABET) for n in (2, 20, 80)], "doc_id long, text string")
+    assert find_secrets(table, ratios=ratios).where("n_random > 0").count() == 0
