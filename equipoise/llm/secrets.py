@@ -7,7 +7,6 @@ a match begins after all pieces and matches before it. Only texts that can hold
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +60,9 @@ def _place(char: Column) -> Column:
 
 
 def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
-    """(string, random): labelled samples. Random ones are digests in base 64 and what the base patterns find; ordinary
-    ones are made of three words each of sampled documents, joined by underscores or hyphens, in camel case, in capitals
-    or with a number, as the hash of the words decides.
+    """(string, random, times): labelled samples. Random ones are digests in base 64 and what the base patterns find;
+    ordinary ones are made of every three neighbouring words of sampled documents, joined by underscores or hyphens, in
+    camel case, in capitals and with a number, and come in the pieces of :func:`ordinary_pieces`.
     """
     n = max(1, docs.count())
     share = min(1.0, sample / n)
@@ -74,13 +73,30 @@ def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str,
     made = seeds.select(F.expr("substring(base64(unhex(h)), 1, 20 + id % 24)").alias("string"))
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     words = picked.where("size(base) = 0").select(words.alias("w")).where("size(w) >= 3")
-    parts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.slice("w", i, 3))).alias("p"))
-    lower, title = F.transform("p", F.lower), F.transform("p", F.initcap)
+    made = made.union(values).select("string", F.lit(True).alias("random"), F.lit(1).cast("long").alias("times"))
+    return made.union(ordinary_pieces(words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("p"))))
+
+
+def ordinary_pieces(triples: DataFrame) -> DataFrame:
+    """(string, random, times): pieces that hold every pair of characters of all six forms of every triple ``p`` of words.
+
+    A piece is a word with what joins it to its neighbours, or the number of a triple. Equal pieces are counted before they
+    are spelled out, so the work is one row per word of a triple and not one per character of a form.
+    """
+    initial = lambda w: F.upper(F.substring(w, 1, 1))
     number = F.expr("pmod(xxhash64(p), 1000)").cast("string")
-    kinds = [F.array_join(lower, "_"), F.array_join(lower, "-"), F.array_join(title, ""), F.upper(F.array_join("p", "_")), F.concat(F.array_join(lower, "_"), F.lit("_"), number), F.concat(F.array_join(lower, "/"), number)]
-    kind = F.pmod(F.xxhash64("p"), F.lit(len(kinds)))
-    ordinary = parts.select(reduce(lambda c, k: c.when(kind == k[0], k[1]), enumerate(kinds), F.when(F.lit(False), "")).alias("string"))
-    return made.union(values).select("string", F.lit(True).alias("random")).union(ordinary.select("string", F.lit(False).alias("random")))
+    word = lambda i: F.struct(F.get("p", F.lit(i)).alias("word"), (initial(F.get("p", F.lit(i + 1))) if i < 2 else F.lit("")).alias("next"), F.lit(i).alias("at"))
+    end = F.struct(F.lower(F.substring(F.get("p", F.lit(2)), -1, 1)).alias("word"), number.alias("next"), F.lit(3).alias("at"))
+    counted = triples.select(F.explode(F.array(word(0), word(1), word(2), end)).alias("x")).groupBy("x.word", "x.next", "x.at").agg(F.count("*").alias("times"))
+    lower = F.lower("word")
+
+    def joined(w: Column, sign: str, last: str = "") -> Column:
+        return F.concat(F.when(F.col("at") > 0, F.lit(sign)).otherwise(F.lit("")), w, F.when(F.col("at") < 2, F.lit(sign)).otherwise(F.lit(last)))
+
+    forms = F.array(joined(lower, "_"), joined(lower, "-"), F.concat(F.initcap("word"), "next"), joined(F.upper("word"), "_"), joined(lower, "_", "_"), joined(lower, "/"))
+    numbers = F.array(F.concat(F.lit("_"), "next"), F.concat("word", "next"))
+    pieces = F.when(F.col("at") < 3, forms).otherwise(numbers)
+    return counted.select(F.explode(pieces).alias("string"), F.lit(False).alias("random"), "times")
 
 
 def markov_ratios(strings: DataFrame) -> list[float]:
@@ -89,9 +105,10 @@ def markov_ratios(strings: DataFrame) -> list[float]:
     Both models are smoothed by one of each pair. A character outside the alphabet ends a string. Texts also have rules and
     fillers of one repeated character, which no sampled identifier shows, so a pair of equal ones never speaks for random.
     """
+    strings = strings if "times" in strings.columns else strings.withColumn("times", F.lit(1))
     chars = strings.withColumn("c", F.split("string", "")).where("size(c) >= 2")
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(_place(F.get("c", i)).alias("a"), _place(F.get("c", i + 1)).alias("b")))
-    counts = chars.select("random", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").count()
+    counts = chars.select("random", "times", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").agg(F.sum("times").alias("count"))
     size = len(ALPHABET)
     table = {kind: [[1.0] * size for _ in range(size)] for kind in (True, False)}
     for r in counts.where("a >= 0 AND b >= 0").collect():  # two tables of pairs of the alphabet at most

@@ -125,3 +125,24 @@ def test_every_run_is_scored(spark, ratios):
 def test_rules_are_not_random(spark, ratios):
     table = spark.createDataFrame([(i, c * n) for i, c in enumerate(ALPHABET) for n in (2, 20, 80)], "doc_id long, text string")
     assert find_secrets(table, ratios=ratios).where("n_random > 0").count() == 0
+
+
+def test_models_count_all_forms_of_all_triples(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Some words here, and then more of them; the end", "two words", "alpha Beta GAMMA", "alpha Beta GAMMA delta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [[w for w in re.split("[^A-Za-z]+", t) if len(w) >= 2] for t in texts]
+    triples = spark.createDataFrame([(w[i : i + 3],) for w in words for i in range(len(w) - 2)], "p array<string>")
+    want = {}
+    for r in triples.withColumn("n", F.expr("pmod(xxhash64(p), 1000)").cast("string")).collect():
+        low = [w.lower() for w in r["p"]]
+        forms = ["_".join(low), "-".join(low), "".join(w.capitalize() for w in low), "_".join(low).upper(), "_".join(low) + "_" + r["n"], "/".join(low) + r["n"]]
+        for f in forms:
+            for pair in zip(f, f[1:]):
+                want[pair] = want.get(pair, 0) + 1
+    got = {}
+    for r in labelled_strings(spark, docs, "doc_id", "text").where("NOT random").collect():
+        for pair in zip(r["string"], r["string"][1:]):
+            got[pair] = got.get(pair, 0) + r["times"]
+    assert got == want
