@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.llm.arrow import column, flat_words, ragged
@@ -275,6 +275,11 @@ class _Search:
         return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(out[~drop].tobytes()))
 
 
+def unit_of(key: str, text: str, units: int) -> Column:
+    """The unit of a row follows from its key and its text, so rows that share a key, or have none, are spread."""
+    return F.pmod(F.xxhash64(key, text), F.lit(units)).cast("int")
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
     """One row per row of ``df``: (key, n_words, n_removed, spans, kept).
 
@@ -291,8 +296,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     units, ranges = max(-(-size // UNIT), 2 * parts), max(-(-size // UNIT), parts)
     bits = min(61, max(16, size.bit_length()) + 16)  # one chance probe in 65,536 meets a block that is not its own
     search = _Search(window, ranges, bits, "_key", "_text")
-    unit = F.pmod(F.xxhash64("_key"), F.lit(units)).cast("int").alias("unit")
-    docs = docs.select(unit, "_key", "_text").repartition(parts, "unit")  # one exchange, which all three phases read
+    docs = docs.select(unit_of("_key", "_text", units).alias("unit"), "_key", "_text").repartition(parts, "unit")  # one exchange, which all three phases read
 
     asked = docs.groupBy("unit").applyInArrow(lambda k, t: search.ask_blocks(k, t), _MESSAGE)
     live = asked.groupBy("range").applyInArrow(lambda k, t: search.answer_blocks(k, t), _MESSAGE)

@@ -87,3 +87,12 @@ def test_packing_keeps_all_bits():
 def test_even_windows_are_refused(spark):
     with pytest.raises(ValueError):
         remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), window=12)
+
+
+def test_rows_that_share_a_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "UNIT", 200)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, t) for k, t in corpus(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == plain(rows)
+    units = df.where("doc_id = 7 OR doc_id IS NULL").select("doc_id", substrings.unit_of("doc_id", "text", 16).alias("unit")).distinct()
+    assert all(r["count"] >= 8 for r in units.groupBy("doc_id").count().collect())
