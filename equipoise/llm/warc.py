@@ -139,7 +139,7 @@ class _Source:
     """Random access to a file, or to bytes, with one fetched piece kept."""
 
     def __init__(self, read: object, size: int):
-        self.read, self.size, self.at, self.piece = read, size, 0, b""
+        self.read, self.size, self.at, self.piece, self.known = read, size, 0, b"", (0, -1)
 
     def get(self, start: int, n: int) -> bytes:
         n = max(0, min(n, self.size - start))
@@ -147,6 +147,20 @@ class _Source:
             self.at, self.piece = start, self.read(min(max(n, FETCH), self.size - start), start)
         return self.piece[start - self.at : start - self.at + n]
 
+    def blank(self, start: int) -> int:
+        """The next place from ``start`` on where an empty line begins; the end if there is none. What was found is kept."""
+        if not self.known[0] <= start <= self.known[1]:
+            at, width, found = start, 4096, self.size
+            while at < self.size:
+                piece = self.get(at, width)
+                if (i := piece.find(b"\r\n\r\n")) >= 0:
+                    found = at + i
+                    break
+                at += max(1, len(piece) - 3)
+                width = min(4 * width, FETCH)
+            self.known = (start, found)
+        return self.known[1]
+
     def find(self, start: int) -> int:
         """The next place from ``start`` on where a member or a version line may begin; the end if there is none."""
         while start < self.size:
@@ -172,14 +186,12 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
 
 def _record(source: _Source, start: int) -> Record:
     """The record whose version line begins at ``start``."""
-    width = 4096
-    while (stop := (head := source.get(start, width)).find(b"\r\n\r\n")) < 0:
-        if len(head) < width or width > 1 << 20:
-            raise _Bad("header does not end")
-        width *= 4
-    lines = head[:stop].split(b"\r\n")
-    if not lines[0].startswith(VERSION):
+    stop = source.blank(start) - start
+    if start + stop >= source.size:
+        raise _Bad("header does not end")
+    if source.get(start, len(VERSION)) != VERSION:
         raise _Bad("no version line")
+    lines = source.get(start, stop).split(b"\r\n")
     headers = _headers(lines[1:])
     if not headers.get("content-length", "").isdecimal():
         raise _Bad("no content length")
@@ -256,13 +268,14 @@ RECORDS = (
 )
 
 
-def read_archives(paths: DataFrame, path: str = "path", with_payload: bool = True) -> DataFrame:
+def read_archives(paths: DataFrame, path: str = "path", with_payload: bool = True, records: str | None = None) -> DataFrame:
     """One row per valid record, and one per quarantined gap (``error`` says why, the record columns are null).
 
     ``paths`` has a row per archive, packed (``.gz``, a member per record or one for all) or plain. ``record_id`` and
     ``refers_to`` are what :func:`write_archives` was given as keys, or the whole id of a record from elsewhere; for a
     revisit, ``payload_bytes`` and ``payload_digest`` are those of the full payload it stands for. A task holds one
-    record at a time. A missing file or a null path fails.
+    record at a time. A missing file or a null path fails; where a column ``records`` tells how many records an archive
+    has, a gap in it or another number of records fails too.
     """
     schema = T._parse_datatype_string(RECORDS)
     names = [f.name for f in schema if with_payload or f.name != "payload"]
@@ -290,25 +303,34 @@ def read_archives(paths: DataFrame, path: str = "path", with_payload: bool = Tru
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where in column(batch, path).to_pylist():
-                held, size = [], 0
+            told = column(batch, records).to_pylist() if records else [None] * batch.num_rows
+            for where, wanted in zip(column(batch, path).to_pylist(), told, strict=True):
+                held, size, valid = [], 0, 0
                 for row in rows(where):
+                    if wanted is not None and "error" in row:
+                        raise ValueError(f"{where}: {row['error']} at {row['start']}")
+                    valid += "error" not in row
                     held.append(row)
                     size += len(row.get("payload") or b"") if with_payload else 0
                     if len(held) >= 4096 or size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, arrow)
                         held, size = [], 0
+                if wanted is not None and valid != wanted:
+                    raise ValueError(f"{where}: {valid} records of {wanted}")
                 if held:
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return paths.select(path).mapInArrow(read, T.StructType([f for f in schema if f.name in names]))
+    return paths.select(path, *([records] if records else [])).mapInArrow(read, T.StructType([f for f in schema if f.name in names]))
 
 
 def archive_round_trip(spark: SparkSession, df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """Write ``df`` as archives in the shared folder and read them back: (key, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Write ``df`` as archives in the shared folder and read them back: (key, payload_bytes, payload_digest, record_type, refers_to).
+
+    Fails when an archive does not give back every record that was written.
+    """
     kind = df.schema[key].dataType
     archives = write_archives(df, scratch_path(spark, "warc"), key, url, payload)
-    records = read_archives(archives, with_payload=False).where("error IS NULL")
+    records = read_archives(archives, with_payload=False, records="records")
     return records.select(
         F.col("record_id").cast(kind).alias(key), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to")
     )

@@ -120,3 +120,19 @@ def test_query_against_the_table(spark):
         again = first[h] != k
         want[k] = (len(h), digest(h), "revisit" if again else "response", first[h] if again else None)
     assert got == want
+
+
+def test_no_row_is_lost_to_a_long_header(spark, tmp_path):
+    table = pages(spark, [(1, "http://h/" + "漢" * 500_000, "abc", ""), (2, "u", "abcd", "")])
+    got = read_archives(write_archives(table, f"{tmp_path}/w", "page_id", "url", "html")).collect()
+    assert sorted(r["record_id"] or r["error"] for r in got) == ["1", "2"]
+    assert warc.archive_round_trip(spark, table, "page_id", "url", "html").count() == 2
+
+
+@pytest.mark.parametrize("damage", ["gap", "fewer"])
+def test_archives_that_lack_a_record_fail_where_their_number_is_told(spark, tmp_path, packed, damage):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(packed[:5]) + (b"junk" if damage == "gap" else b""))
+    paths = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", 5 if damage == "gap" else 6)], "path string, records long")
+    assert read_archives(paths).where("error IS NULL").count() == 5
+    with pytest.raises(Exception, match="no version line|header does not end|5 records of 6"):
+        read_archives(paths, records="records").collect()
