@@ -183,9 +183,10 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", **how: ob
     """``df`` as mixed: each row as often as its words are taken, to the nearest whole number; all columns stay.
 
     Only the documents at the two ends of a shard's run are taken in part, so rounding moves two documents per shard.
-    Rows that share a key are each repeated as often as the most taken of them.
+    Rows that share a key are each repeated as often as the most taken of them. A null, empty or blank text has no words,
+    and a key with no other text gives no rows.
     """
-    copies = mix(df, key, text, **how).groupBy(F.col(key).alias("_mixed")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    copies = mix(df, key, text, **how).groupBy(F.col(key).alias("_mixed")).agg(F.max(F.round(F.try_divide("taken", "size"))).cast("int").alias("_copies"))
     copies = copies.where("_copies > 0")
     joined = df.join(copies, F.col(key).eqNullSafe(F.col("_mixed")))
     return joined.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

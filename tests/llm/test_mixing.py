@@ -105,3 +105,12 @@ def test_empty_table_and_texts_without_words(spark):
     assert mix(documents(spark, []).limit(0)).count() == 0
     got = mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_mixed_rows_take_texts_without_words(spark):
+    import corpus_pipeline
+
+    rows = [(1, "w " * 200, "a"), (2, "", "a"), (3, None, "a"), (4, " \n\t", "b"), (5, "w " * 200, "b"), (None, "", None)]
+    mixed = corpus_pipeline.mix_sources(spark, documents(spark, rows), "")
+    assert {r["doc_id"] for r in mixed.collect()} == {1, 5}
+    assert corpus_pipeline.mix_sources(spark, documents(spark, rows[1:4]), "").count() == 0
