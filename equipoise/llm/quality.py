@@ -177,21 +177,32 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
+def sampled(known: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(_at, _key, _y, _n, vector): one row per label of ``known`` (_n: how often it is there) whose key has documents.
+
+    The vector is the mean over the documents of that key, however many they are.
+    """
+    counted = known.groupBy("_at", "_key", "_y").agg(F.count("*").alias("_n"))
+    mean = F.array(*(F.avg(F.get("vector", F.lit(i))) for i in range(WIDTH + 3)))
+    return counted.join(vectors, F.col("_key") == F.col(key)).groupBy("_at", "_key", "_y", "_n").agg(mean.alias("vector"))
+
+
 def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per row of ``docs``: (key, held_out, score, predicted).
 
     Word vectors come from all texts. The network learns from at most ``max_train`` labelled rows (those whose keys hash
     lowest) of keys whose crc32 as text is not 0 modulo 5; a key that is null is neither held out nor labelled. ``score``
     is the calibrated probability of label 1, ``predicted`` is 1 from 0.3 on. Empty and null texts are scored too; a key
-    labelled twice counts twice; without labels every score is 0.5. Other columns are not read.
+    labelled twice counts twice, and one on several documents is learned from their mean vector; without labels every score is 0.5. Other columns are not read.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0, F.lit(False))
     vectors = checkpoint(pooled(docs.select(key, text), weighted(*word_vectors(docs, text)), text))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"))
     known = known.withColumn("_at", F.xxhash64("_key")).orderBy("_at", "_key", "_y").limit(max_train)
-    rows = known.join(vectors, F.col("_key") == F.col(key)).select("_at", "_key", "_y", "vector").toArrow().sort_by([("_at", "ascending"), ("_key", "ascending"), ("_y", "ascending")])
+    rows = sampled(known, vectors, key).toArrow().sort_by([("_at", "ascending"), ("_key", "ascending"), ("_y", "ascending")])
+    times = rows.column("_n").to_numpy()
     x = np.array(rows.column("vector").combine_chunks().flatten(), float).reshape(len(rows), WIDTH + 3)
-    net = train(x, rows.column("_y").to_numpy())
+    net = train(np.repeat(x, times, axis=0), np.repeat(rows.column("_y").to_numpy(), times))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # two layers, a few kilobytes
     names = [key, "held_out"]
 

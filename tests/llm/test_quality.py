@@ -74,3 +74,14 @@ def test_training_rows_are_bounded(spark, monkeypatch, most):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assess(docs, labels, max_train=most).count()
     assert seen == [min(most, sum(zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 for r in labels.collect()))]
+
+
+def test_fetched_rows_are_bounded_where_a_key_has_many_documents(spark, monkeypatch):
+    fetched, trained, sampled = [], [], quality.sampled
+    monkeypatch.setattr(quality, "sampled", lambda *a: fetched.append(sampled(*a)) or fetched[0])
+    monkeypatch.setattr(quality, "train", lambda x, y: trained.append(len(x)) or train(x, y))
+    docs = spark.createDataFrame([(1 if i < 400 else i, f"text number {i} of {i % 7}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), *((i, i % 2) for i in range(400, 430))], "doc_id long, quality int")
+    kept = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 1, *range(400, 430)))
+    assert assess(docs, labels).count() == 600
+    assert fetched[0].count() == kept - 1 and trained == [kept]
