@@ -24,7 +24,7 @@ not matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -38,64 +38,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equipoise.functions.randomness import uniform
-from equipoise.functions.vectors import Features, as_array, dimension
+from equipoise.functions.vectors import Features, as_array, euclidean_distance
+from equipoise.operators.regions import Regions, assign, build_regions, default_pivots, matrix, pivot_table, route, slabs
 from equipoise.sources.session import checkpoint
 
-MAX_PIVOTS = 4096
-MAX_PIVOT_BYTES = 32 << 20
 BASE_CELL = 16_384
 QUERY_CELL = 131_072
 MIN_QUERY_CELL = 256
+ROUND, WIDER = 2, 4  # regions per query in the first round after home; how many times more in each further one
+ROUND_WORK = 4_000_000_000  # pairs up to which all regions are visited in one round
+SAMPLE = 400  # queries that recall is estimated from
+MOST_VISITED = 0.5  # share of all pairs beyond which an approximate search is no better than an exact one
 _REPEATED = 1_000_000  # repeated base rows a task writes
-_SLAB = 4_000_000  # pivot distances held at once inside a task
 _CELL_SLAB = 1_000_000  # base distances held at once, about a core's cache
 _PROBE = 2048  # base rows that bound the k-th distance
 _SPARK_LIMITS, _COPY_SALTS = 1000, 64  # rows per group that Spark cuts before a shuffle; groups of a hot vector beyond
 _CELL = ("_region", "_salt", "_chunk")
 
 
-@dataclass(frozen=True)
-class Regions:
-    """Pivots with, per region, its rows and the largest pivot distance among them."""
-
-    pivots: np.ndarray
-    rows: np.ndarray
-    radius: np.ndarray
-
-    @property
-    def count(self) -> int:
-        return len(self.pivots)
-
-    @property
-    def extent(self) -> float:
-        """How far from the pivots' centre a base row can be."""
-        return float((np.sqrt(((self.pivots - self.pivots.mean(0)) ** 2).sum(1)) + np.where(self.rows > 0, self.radius, 0.0)).max())
-
-
-def _matrix(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
-    column = batch.column(name)
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1))
-
-
-def _squares(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Squared distances to the pivots, from their centre: an offset common to all data does not cost digits."""
-    centre = pivots.mean(0)
-    a, b = a - centre, pivots - centre
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
-
-
-def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(_squares(a, pivots))
-
-
-def _slabs(rows: int, width: int, cells: int = 0) -> Iterator[slice]:
-    step = max(1, (cells or _SLAB) // max(1, width))
-    return (slice(i, min(rows, i + step)) for i in range(0, rows, step))
-
-
 def nearest_in_cell(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, distance) of the k nearest, ties by base row order.
 
@@ -113,7 +73,7 @@ def nearest_in_cell(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.n
     probe = np.ascontiguousarray(right[:, :: max(1, n // max(_PROBE, 8 * k))])
     margins = 2e-12 * (b.shape[1] + 4) * (qn + bn.max())
     parts = []
-    for rows in _slabs(len(q), n, _CELL_SLAB):
+    for rows in slabs(len(q), n, _CELL_SLAB):
         margin = margins[rows]
         bound = np.partition(left[rows] @ probe, k - 1, axis=1)[:, k - 1] + margin
         value = left[rows] @ right
@@ -136,130 +96,81 @@ def nearest_in_cell(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot ``_region`` and its distance ``_reach``."""
-    if len(pivots) == 1:
-        return df.withColumns({"_region": F.lit(0), "_reach": F.lit(0.0)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _matrix(batch, "_v")
-            region = np.empty(len(v), dtype=np.int32)
-            reach = np.empty(len(v))
-            for s in _slabs(len(v), len(pivots)):
-                d = _distances(v[s], pivots)
-                region[s] = d.argmin(1)
-                reach[s] = d[np.arange(len(d)), region[s]]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(region), pa.array(reach)], [*batch.schema.names, "_region", "_reach"]
-            )
+@dataclass(frozen=True)
+class Visits:
+    """What a search of some routed queries will do."""
+
+    sizes: DataFrame | tuple[int, int, int]  # (_region, _salts, _chunks) of the visited regions that hold rows
+    cells: int
+    pairs: int  # of a query and a base row
+    copied: int  # base rows, repeated for each chunk of queries
+
+    @staticmethod
+    def of(routed: DataFrame, regions: Regions, wanted: int) -> Visits:
+        """One level: at most MAX_PIVOTS numbers reach the driver and are sent on.  Two: counts stay a table."""
+        counts = routed.groupBy("_region").count()
+        if regions.below is None:
+            rows = [(r["_region"], int(regions.rows[r["_region"]]), r["count"]) for r in counts.collect()]
+            known = [(r, n, q) for r, n, q in rows if n]
+            chunk = _chunk_rows(sum(q for _, _, q in rows), wanted)
+            sized = [(r, math.ceil(n / BASE_CELL), math.ceil(q / chunk)) for r, n, q in known]
+            totals = (sum(s * c for _, s, c in sized), sum(n * q for _, n, q in known), sum(n * c for (_, n, _), (_, _, c) in zip(known, sized, strict=True)))
+            if len(sized) == 1:
+                return Visits(sized[0], *totals)
+            table = pa.table([pa.array(c, t) for c, t in zip(zip(*sized, strict=True) if sized else [()] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_region", "_salts", "_chunks"])
+            return Visits(F.broadcast(routed.sparkSession.createDataFrame(table)), *totals)
+        counts = checkpoint(counts.join(regions.below.select("_region", "_rows"), "_region").filter("_rows > 0"))
+        chunk = _chunk_rows(counts.agg(F.sum("count")).first()[0] or 0, wanted)
+        sized = counts.select("_region", "_rows", "count", F.ceil(F.col("_rows") / BASE_CELL).cast("int").alias("_salts"), F.ceil(F.col("count") / chunk).cast("int").alias("_chunks"))
+        t = sized.agg(F.sum(F.col("_salts").cast("long") * F.col("_chunks")), F.sum(F.col("_rows") * F.col("count")), F.sum(F.col("_rows") * F.col("_chunks"))).first()
+        return Visits(sized.select("_region", "_salts", "_chunks"), *(int(x or 0) for x in t))
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Rows of visited regions, with the (_salts, _chunks) of theirs."""
+        if isinstance(self.sizes, DataFrame):
+            return df.join(self.sizes, "_region")
+        region, salts, chunks = self.sizes
+        return df.filter(F.col("_region") == region).withColumns({"_salts": F.lit(salts), "_chunks": F.lit(chunks)})
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_region", T.IntegerType()), T.StructField("_reach", T.DoubleType())])
-    return df.mapInArrow(run, schema)
 
+def _chunk_rows(queries: int, wanted: int) -> int:
+    return min(QUERY_CELL, max(MIN_QUERY_CELL, math.ceil(queries / wanted)))
 
-def _route(queries: DataFrame, regions: Regions, rule: str, slack: float = 0.0, keep: int = 1) -> DataFrame:
-    """One row per (query, region to visit).
 
-    ``rule="home"``: the nearest pivot with rows.  ``"within"``: every other region that may hold a
-    point nearer than the query's ``_bound``.  ``"tau"``: pivots at most ``slack`` farther than the nearest.
-    """
-    if regions.count == 1:
-        routed = queries.withColumn("_region", F.lit(0))
-        return routed.filter(F.lit(False)) if rule == "within" else routed
-    pivots, rows, radius, extent = regions.pivots, regions.rows, regions.radius, regions.extent
-    centre = pivots.mean(0)
-
-    def visits(v: np.ndarray, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        d = _distances(v, pivots)
-        home = d.argmin(1)
-        nearest = d[np.arange(len(d)), home]
-        if rule == "home":
-            return np.arange(len(v)), home
-        if rule == "tau":
-            return np.nonzero((d - nearest[:, None] <= slack) & (rows > 0))
-        # Both tests are lower bounds on the distance from the query to any row of the region.  A squared distance is
-        # off by no more than ``lost``, which follows from the lengths of the vectors and not from their distance.
-        lost = 1e-15 * (v.shape[1] + 8) * (np.sqrt(((v - centre) ** 2).sum(1)) + extent) ** 2
-        error = 4.0 * np.sqrt(lost)
-        full = np.where(rows >= keep, d + radius, np.inf).min(1)
-        reach = (np.minimum(bound, full) + error)[:, None]
-        gap = np.sqrt(((pivots[home][:, None, :] - pivots[None, :, :]) ** 2).sum(2)) if v.shape[1] * d.size <= _SLAB else _distances(pivots[home], pivots)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            across = (d * d - (nearest * nearest)[:, None] - 8.0 * lost[:, None]) / (2.0 * gap)
-        near = (d - radius[None, :] <= reach) & ~(across > reach) & (rows > 0)
-        near[np.arange(len(d)), home] = False
-        return np.nonzero(near)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in _slabs(batch.num_rows, 4 * len(pivots)):
-                part = batch.slice(s.start, s.stop - s.start)
-                bound = part.column("_bound").to_numpy(zero_copy_only=False) if rule == "within" else None
-                qi, region = visits(_matrix(part, "_v"), bound)
-                out = part.take(pa.array(qi))
-                yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(region.astype(np.int32))], [*out.schema.names, "_region"]
-                )
-
-    return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("_region", T.IntegerType())]))
-
-
-def _region_sizes(df: DataFrame) -> dict[int, int]:
-    """Rows per region; at most MAX_PIVOTS numbers reach the driver."""
-    return {r["_region"]: r["count"] for r in df.groupBy("_region").count().collect()}
-
-
-def _spread(df: DataFrame, sizes: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Attach (_salts, _chunks) of the row's region; the table has at most MAX_PIVOTS rows."""
-    if len(sizes) == 1:
-        region, salts, chunks = sizes[0]
-        return df.filter(F.col("_region") == region).withColumns({"_salts": F.lit(salts), "_chunks": F.lit(chunks)})
-    columns = [pa.array(c, pa.int32()) for c in zip(*sizes, strict=True)] if sizes else [pa.array([], pa.int32())] * 3
-    table = df.sparkSession.createDataFrame(pa.table(columns, names=["_region", "_salts", "_chunks"]))
-    return df.join(F.broadcast(table), "_region")
+def _wanted(df: DataFrame) -> int:
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def _search(
     routed: DataFrame,
     queries: DataFrame,
     base: DataFrame,
+    regions: Regions,
     query_key: Sequence[str],
     base_cols: Sequence[str],
-    base_rows: dict[int, int],
     k: int,
-    several: bool,
+    visits: Visits | None = None,
 ) -> DataFrame:
     """The k nearest base rows per (query, cell).
 
-    ``routed`` (key, region, bound) is materialised, so routing runs once for the counts and the search; the
-    vectors of ``queries`` join it after that.
+    ``routed`` has (key, _region) and maybe a ``_bound`` beyond which nothing counts; it is read twice.  The vectors of
+    ``queries`` join it after the counts.
     """
     spark = base.sparkSession
     bounded = "_bound" in routed.columns
-    routed = routed.select(*query_key, "_region", *(["_bound"] if bounded else []))
-    routed = checkpoint(routed) if several else routed
     base_key = [c for c in base_cols if c.startswith("nb_")]
-    query_rows = _region_sizes(routed)
-    wanted = 4 * spark.sparkContext.defaultParallelism
-    share = math.ceil(sum(query_rows.values()) / wanted) if query_rows else 1
-    chunk_rows = min(QUERY_CELL, max(MIN_QUERY_CELL, share))
-    sizes = [
-        (r, math.ceil(base_rows[r] / BASE_CELL), math.ceil(n / chunk_rows)) for r, n in query_rows.items() if base_rows.get(r)
-    ]
-    cells = sum(s * c for _, s, c in sizes)
-    partitions = max(1, min(cells, max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-
-    vectors = queries.select(*query_key, "_v")
-    q = _spread(routed if several else vectors.withColumn("_region", F.lit(next(iter(base_rows), 0))), sizes)
+    visits = visits or Visits.of(routed, regions, _wanted(base))
+    partitions = max(1, min(visits.cells, max(_wanted(base), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+    q = routed.select(*query_key, "_region", *[c for c in ("_bound", "_v") if c in routed.columns])
+    q = visits.cut(q)
     q = q.withColumn("_chunk", F.pmod(F.xxhash64(*query_key), F.col("_chunks")).cast("int"))
     q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_chunks")
-    q = q.join(vectors, list(query_key)) if several else q
-    b = base.select(*base_cols, "_v", "_region")
-    repeated = sum(base_rows[r] * c for r, _, c in sizes)
-    if repeated > _REPEATED:  # a small base against many queries: share the repetition out over tasks
-        b = b.repartition(math.ceil(repeated / _REPEATED), *base_key)
-    b = _spread(b, sizes)
+    q = q if "_v" in q.columns else q.join(queries.select(*query_key, "_v"), list(query_key))
+    b = base.select(*dict.fromkeys([*base_cols, "_v", "_region"]))
+    if visits.copied > _REPEATED:  # a small base against many queries: share the repetition out over tasks
+        b = b.repartition(math.ceil(visits.copied / _REPEATED), *base_key)
+    b = visits.cut(b)
     b = b.withColumn("_salt", F.pmod(F.xxhash64(*base_key), F.col("_salts")).cast("int"))
     b = b.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_salts", "_chunks")
 
@@ -273,7 +184,7 @@ def _search(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             right = right.sort_by([(c, "ascending") for c in base_key])
-            qi, bi, distance = nearest_in_cell(_matrix(left, "_v"), _matrix(right, "_v"), k)
+            qi, bi, distance = nearest_in_cell(matrix(left, "_v"), matrix(right, "_v"), k)
             if bounded:  # nothing beyond the k-th distance found at home can be in the answer
                 useful = distance <= left.column("_bound").to_numpy()[qi]
                 qi, bi, distance = qi[useful], bi[useful], distance[useful]
@@ -312,44 +223,6 @@ def _distinct_copies(base: DataFrame, base_key: Sequence[str], keep: int) -> Dat
     return ranked.drop("_hash", "_salt")
 
 
-def default_pivots(rows: int, dim: int, routed: bool = False) -> int:
-    """About sqrt(rows) / 4, bounded by the broadcast size.
-
-    An exact search of a small table has one region, since its answer does not depend on them; a routed one follows
-    the same rule at every size.
-    """
-    if rows <= 4 * BASE_CELL and not routed:
-        return 1
-    return min(most_pivots(dim), max(1, round(math.sqrt(rows) / 4)))
-
-
-def most_pivots(dim: int) -> int:
-    """Pivots travel to every task, so their number and bytes are bounded."""
-    return max(1, min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim)))
-
-
-def _choose_pivots(base: DataFrame, base_key: Sequence[str], rows: int, wanted: int, seed: int) -> np.ndarray:
-    """Up to ``wanted`` distinct hash-sampled base vectors (``wanted`` is at most MAX_PIVOTS).
-
-    The sample holds twice as many rows, since a hot vector may fill a third of it.
-    """
-    share = min(1.0, (8.0 * wanted + 16.0) / rows)
-    draws = base.select("_v", uniform(base_key, seed, "pivot").alias("_u")).filter(F.col("_u") < share)
-    sample = draws.orderBy("_u").limit(2 * wanted).collect() or base.select("_v").limit(1).collect()
-    _, first = np.unique(np.array([r["_v"] for r in sample], dtype=float), axis=0, return_index=True)
-    return np.array([sample[i]["_v"] for i in np.sort(first)[:wanted]], dtype=float)
-
-
-def build_regions(base: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Regions]:
-    """Assign base rows to pivots, materialise the assignment, and measure the regions."""
-    assigned = checkpoint(_assign(base, pivots))
-    rows = np.zeros(len(pivots), dtype=np.int64)
-    radius = np.zeros(len(pivots))
-    for r in assigned.groupBy("_region").agg(F.count("*").alias("n"), F.max("_reach").alias("far")).collect():
-        rows[r["_region"]], radius[r["_region"]] = r["n"], r["far"]
-    return assigned, Regions(pivots, rows, radius)
-
-
 @dataclass(frozen=True)
 class NeighbourIndex:
     """A base table assigned to regions, ready for any number of searches."""
@@ -372,14 +245,20 @@ def _finite(vector: str) -> Column:
     return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def check_key(df: DataFrame, key: Sequence[str], what: str) -> None:
-    """Refuse a key that is null or shared; counts are combined before the shuffle."""
+def check_key(df: DataFrame, key: Sequence[str], what: str, vector: str | None = None) -> tuple[int, int]:
+    """Refuse a key that is null or shared; counts are combined before the shuffle.
+
+    With ``vector`` also (rows whose ``vector`` is finite, its length), from the same pass.
+    """
     lost = reduce(or_, [F.col(c).isNull() for c in key])
-    r = df.groupBy(*key).count().agg(F.max("count").alias("most"), F.max(lost).alias("lost")).first()
+    good, size = (_finite(vector), F.size(vector)) if vector else (F.lit(True), F.lit(0))
+    keys = df.groupBy(*key).agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good"), F.max(F.when(good, size)).alias("size"))
+    r = keys.agg(F.max("n").alias("most"), F.max(lost).alias("lost"), F.sum("good").alias("good"), F.max("size").alias("size")).first()
     if r["lost"]:
         raise ValueError(f"the {what} key {list(key)} has nulls")
     if (r["most"] or 0) > 1:
         raise ValueError(f"the {what} key {list(key)} is not unique: {r['most']} rows share one")
+    return r["good"] or 0, r["size"] or 0
 
 
 def build_index(
@@ -393,12 +272,9 @@ def build_index(
     routed: bool = False,
 ) -> NeighbourIndex:
     """Index ``base`` for searches that need at most ``copies`` rows of one identical vector (k, or k + 1
-    when a row must not find itself).  ``pivots`` sets the number of regions, at most :func:`most_pivots`;
-    ``routed`` prepares for a search with ``tau``."""
+    when a row must not find itself).  ``pivots`` sets the number of regions; ``routed`` prepares for a search with ``tau``,
+    which follows one rule at every size.  An exact search of a small table has one region."""
     nb = [f"nb_{c}" for c in key]
-    limit = most_pivots(dimension(base, features))
-    if pivots and pivots > limit:
-        raise ValueError(f"{pivots} pivots are too many for this table, the most is {limit}")
     aux = [c for c in aux_cols if c not in key]
     vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
     b = base.select(
@@ -406,18 +282,17 @@ def build_index(
         *[(vector_to_array(F.col(c)) if c in vectors else F.col(c)).alias(f"aux_{c}") for c in aux],
         as_array(base, features).alias("_v"),
     )
-    check_key(b, nb, "base")
+    rows, dim = check_key(b, nb, "base", "_v")
     b = b.filter(_finite("_v"))
-    rows = b.count()
     if rows == 0:
         raise ValueError("the base table has no row whose features are all finite")
     kept = _distinct_copies(b, nb, copies)
-    wanted = pivots or default_pivots(rows, dimension(base, features), routed)
+    wanted = pivots or default_pivots(rows, 0 if routed else 4 * BASE_CELL)
     if wanted == 1:
         regions = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
-        assigned = _assign(kept, regions.pivots)
+        assigned = assign(kept, regions.pivots)
     else:
-        assigned, regions = build_regions(kept, _choose_pivots(b, nb, rows, wanted, seed))
+        assigned, regions = build_regions(kept, nb, rows, wanted, seed, dim)
     return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies, rows)
 
 
@@ -430,8 +305,15 @@ def search_index(
     max_distance: float = math.inf,
     exclude_self: bool = False,
     tau: float | None = None,
+    checked: bool = False,
+    report: dict[str, int] | None = None,
+    region_col: str | None = None,
 ) -> DataFrame:
-    """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first."""
+    """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first.
+
+    ``checked`` says that the query's key is known to be unique.  ``report`` gets the number of (query, base row) ``pairs``
+    that were visited, and of ``rounds`` after the home regions.  ``region_col`` names the region of each neighbour.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     if not max_distance > 0:
@@ -439,48 +321,108 @@ def search_index(
     keep = k + 1 if exclude_self else k
     if keep > index.copies:
         raise ValueError(f"the index holds {index.copies} copies per vector, this search needs {keep}")
-    query_key, nb, regions = list(key), index.nb, index.regions
-    base_cols = [*nb, *[f"aux_{c}" for c in index.aux]]
-    check_key(query, query_key, "query")
-    q = query.select(*query_key, as_array(query, features).alias("_v")).filter(_finite("_v"))
-    sizes = {i: int(n) for i, n in enumerate(regions.rows) if n}
-
-    def search(routed: DataFrame) -> DataFrame:
-        return _search(routed, q, index.assigned, query_key, base_cols, sizes, keep, regions.count > 1)
-
-    def exact(q: DataFrame) -> DataFrame:
-        found = search(_route(q, regions, "home"))
-        if regions.count == 1:
-            return found
-        home = checkpoint(_best(found, query_key, nb, keep).drop("rank"))
-        reached = home.groupBy(*query_key).agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
-        bound = F.when(F.col("_found") >= keep, F.col("_far")).otherwise(F.lit(math.inf))
-        pending = (
-            q.join(reached, query_key, "left").withColumn("_bound", F.least(bound, F.lit(float(max_distance)))).drop("_found", "_far")
-        )
-        return home.unionByName(search(_route(pending, regions, "within", keep=keep)))
-
-    if tau is None or regions.count == 1:
-        found = exact(q)
-    else:
-        near = checkpoint(_best(search(_route(q, regions, "tau", tau)), query_key, nb, keep).drop("rank"))
-        counts = near.groupBy(*query_key).agg(F.count("*").alias("_found"))
-        enough = F.coalesce("_found", F.lit(0)) >= min(keep, index.rows)
-        short = checkpoint(q.join(counts, query_key, "left").filter(~enough).drop("_found"))
-        found = near
-        if not short.isEmpty():
-            found = near.join(short.select(*query_key), query_key, "left_anti").unionByName(exact(short))
-
+    nb, regions = index.nb, index.regions
+    if not checked:
+        check_key(query, key, "query")
+    asked = query.select(*key, as_array(query, features).alias("_v")).filter(_finite("_v"))
+    names = list(key)
+    if regions.several:  # a number per query is cheaper to carry through the rounds than its key and vector
+        asked = checkpoint(asked.withColumn("_q", F.monotonically_increasing_id()))
+        names = ["_q"]
+    found = _Rounds(asked.select(*names, "_v"), names, index, keep, max_distance, report, region_col).run(tau)
+    if regions.several:
+        found = found.join(asked.drop("_v"), "_q")
     if math.isfinite(max_distance):
         found = found.filter(F.col("distance") <= max_distance)
     if exclude_self:
-        found = found.filter(~_same_key(query_key, nb))
-    best = _best(found, query_key, nb, k)
+        found = found.filter(~_same_key(key, nb))
+    best = _best(found, names, nb, k).drop("_q")
     for c in index.aux:
         if c in index.vectors:
             best = best.withColumn(f"aux_{c}", array_to_vector(f"aux_{c}"))
-        best = best.withColumnRenamed(f"aux_{c}", c if c not in query_key else f"aux_{c}")
-    return best
+        best = best.withColumnRenamed(f"aux_{c}", c if c not in key else f"aux_{c}")
+    return best.select(*key, *[c for c in best.columns if c not in key])
+
+
+class _Rounds:
+    """A search in rounds: the home region of each query, then ever more regions, the most promising first.
+
+    After each round the distance of a query's k-th best is its bound, and regions that cannot hold anything nearer
+    are not visited any more.  A little work is done in one round.
+    """
+
+    def __init__(self, queries: DataFrame, key: Sequence[str], index: NeighbourIndex, keep: int, max_distance: float, report: dict[str, int] | None, region_col: str | None):
+        self.queries, self.key, self.index, self.keep = queries, list(key), index, keep
+        self.regions, self.most, self.report = index.regions, float(max_distance), report if report is not None else {}
+        self.base = index.assigned.withColumn(region_col, F.col("_region")) if region_col else index.assigned
+        self.base_cols = [*index.nb, *[f"aux_{c}" for c in index.aux], *([region_col] if region_col else [])]
+        self.report.update(pairs=0, rounds=0)
+
+    def search(self, routed: DataFrame, visits: Visits | None = None) -> DataFrame:
+        visits = visits or Visits.of(routed, self.regions, _wanted(routed))
+        self.report["pairs"] += visits.pairs
+        return _search(routed, self.queries, self.base, self.regions, self.key, self.base_cols, self.keep, visits)
+
+    def best(self, found: DataFrame) -> DataFrame:
+        return checkpoint(_best(found, self.key, self.index.nb, self.keep).drop("rank"))
+
+    def run(self, tau: float | None) -> DataFrame:
+        if not self.regions.several:
+            return self.search(self.queries.withColumn("_region", F.lit(0).cast("long")))
+        if tau is None:
+            return self.exact(self.queries)
+        near = self.best(self.search(checkpoint(route(self.queries, self.key, self.regions, "tau", tau))))
+        counts = near.groupBy(*self.key).agg(F.count("*").alias("_found"))
+        enough = F.coalesce("_found", F.lit(0)) >= min(self.keep, self.index.rows)
+        short = checkpoint(self.queries.join(counts, self.key, "left").filter(~enough).drop("_found"))
+        if short.isEmpty():
+            return near
+        return near.join(short.select(*self.key), self.key, "left_anti").unionByName(self.exact(short))
+
+    def exact(self, queries: DataFrame) -> DataFrame:
+        home = checkpoint(route(queries, self.key, self.regions, "home"))
+        parts = [checkpoint(self.search(home))]
+        # per query the sorted distances of its k best, a small array; the rows themselves are not rewritten
+        near = queries.select(*self.key).join(self.distances(parts[0]), self.key, "left")
+        asking = queries.join(self.bounded(near).drop("_near"), self.key)
+        pending = checkpoint(route(asking, self.key, self.regions, "within", keep=self.keep, home=home))
+        pending_bounds = asking.select(*self.key, "_bound")
+        visits = Visits.of(pending, self.regions, _wanted(queries))
+        if visits.pairs <= ROUND_WORK:
+            self.report["rounds"] += 1
+            return parts[0].unionByName(self.search(pending.join(pending_bounds, self.key), visits))
+        last, begin, step = pending.agg(F.max("_turn")).first()[0], 0, ROUND
+        near = checkpoint(near)
+        while begin <= last:
+            due = pending.filter((F.col("_turn") >= begin) & (F.col("_turn") < begin + step))
+            now = checkpoint(due.join(self.bounded(near).drop("_near"), self.key).filter(F.col("_lower") <= _loose(F.col("_bound"))))
+            visits = Visits.of(now, self.regions, _wanted(queries))
+            if not visits.cells:  # the nearest regions left are too far for every query, so all others are
+                break
+            self.report["rounds"] += 1
+            parts.append(checkpoint(self.search(now, visits)))
+            begin, step = begin + step, step * WIDER
+            if begin <= last:
+                active = now.select(*self.key).distinct()
+                new = self.distances(parts[-1]).withColumnRenamed("_near", "_new")
+                empty = F.array().cast("array<double>")
+                merged = F.slice(F.array_sort(F.concat(F.coalesce("_near", empty), F.coalesce("_new", empty))), 1, self.keep)
+                near = checkpoint(near.join(active, self.key, "left_semi").join(new, self.key, "left").select(*self.key, merged.alias("_near")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def distances(self, found: DataFrame) -> DataFrame:
+        """(key, _near): the least distances found for each query, in order; a cell gives k at most."""
+        return found.groupBy(*self.key).agg(F.slice(F.array_sort(F.collect_list("distance")), 1, self.keep).alias("_near"))
+
+    def bounded(self, near: DataFrame) -> DataFrame:
+        """With ``_bound``, the k-th distance, or the largest one allowed."""
+        kth = F.coalesce(F.get("_near", F.lit(self.keep - 1)), F.lit(math.inf))
+        return near.withColumn("_bound", F.least(kth, F.lit(self.most)))
+
+
+def _loose(bound: Column) -> Column:
+    """A bound that rounding cannot make too small; bounds are compared with bounds from other arithmetic."""
+    return bound * (1 + 1e-9)
 
 
 def knn_pairs(
@@ -496,16 +438,81 @@ def knn_pairs(
     tau: float | None = None,
     pivots: int | None = None,
     seed: int = 0,
+    recall: float | None = None,
+    report: dict[str, int] | None = None,
 ) -> DataFrame:
     """Long form: (key…, nb_<base key>…, aux…, distance, rank), k nearest first.
 
     ``tau=None`` is exact.  A number routes approximately with that buffer; queries that it leaves short of k are
-    answered exactly.  ``exclude_self`` drops the base row that has the query's own key.  ``pivots`` sets the number
-    of regions.
+    answered exactly.  ``recall`` chooses the buffer that finds that share of the neighbours of a sample of the queries,
+    or an exact search if the buffer visits over half of all pairs.  ``exclude_self`` drops the base row that has the
+    query's own key.  ``pivots`` sets the number of regions.
+    """
+    base_key = list(base_key or key)
+    approximate = tau is not None or recall is not None
+    index = build_index(base, base_key, features, k + 1 if exclude_self else k, aux_cols, pivots, seed, approximate)
+    checked = base_key == list(key) and query.sameSemantics(base)
+    if tau is None and recall is not None:
+        found = routing(query, index, key, features, k, exclude_self, seed, recall=recall)
+        tau = found.tau if found.visited <= MOST_VISITED else None
+    return search_index(query, index, key, features, k, max_distance, exclude_self, tau, checked, report)
+
+
+@dataclass(frozen=True)
+class Routing:
+    """A buffer with what a sample says of it: the share of exact neighbours it finds, and of all pairs it visits."""
+
+    tau: float
+    recall: float
+    visited: float
+    queries: int
+    pairs: int
+
+
+def sampled_buffers(
+    query: DataFrame, index: NeighbourIndex, key: Sequence[str], features: Features, k: int = 5, exclude_self: bool = False, seed: int = 0, sample: int = SAMPLE
+) -> tuple[DataFrame, DataFrame]:
+    """(queries, neighbours): about ``sample`` hash-drawn queries, and their exact neighbours (key…, nb…, distance, rank,
+    buffer), ``buffer`` being the least with which routing visits the neighbour's region."""
+    rows = max(1, query.count())
+    drawn = checkpoint(query.filter(uniform(key, seed, "recall") < min(1.0, sample / rows)))
+    exact = search_index(drawn, index, key, features, k, exclude_self=exclude_self, checked=True, region_col="_nb_region")
+    asked = drawn.select(*key, as_array(drawn, features).alias("_v")).filter(_finite("_v"))
+    if not index.regions.several:
+        return drawn, checkpoint(exact.drop("_nb_region").withColumn("buffer", F.lit(0.0)))
+    home = route(asked, list(key), index.regions, "home").select(*key, F.col("_lower").alias("_least"))
+    places = pivot_table(index.assigned, index.regions).select(F.col("_region").alias("_nb_region"), "_pivot")
+    there = exact.join(places, "_nb_region").join(asked, list(key)).join(home, list(key))
+    extra = euclidean_distance(F.col("_v"), F.col("_pivot")) - F.col("_least")
+    buffer = F.when(extra > 1e-9 * F.col("_least"), extra).otherwise(F.lit(0.0))
+    return drawn, checkpoint(there.withColumn("buffer", buffer).drop("_nb_region", "_pivot", "_v", "_least"))
+
+
+def routing(
+    query: DataFrame, index: NeighbourIndex, key: Sequence[str], features: Features, k: int = 5, exclude_self: bool = False, seed: int = 0,
+    tau: float | None = None, recall: float = 0.9, sample: int = SAMPLE,
+) -> Routing:
+    """What ``tau`` would find and visit, before the run; without it, the least buffer that finds ``recall``.
+
+    A neighbour is found if its region is visited, so one exact search of a sample tells the recall of every buffer.
     """
-    copies = k + 1 if exclude_self else k
-    index = build_index(base, list(base_key or key), features, copies, aux_cols, pivots, seed, tau is not None)
-    return search_index(query, index, key, features, k, max_distance, exclude_self, tau)
+    if not 0 < recall <= 1:
+        raise ValueError("recall must be in (0, 1]")
+    drawn, exact = sampled_buffers(query, index, key, features, k, exclude_self, seed, sample)
+    pairs = exact.count()
+    if tau is None:
+        # the smallest buffer at or under which that share of the neighbours lies
+        at = max(1, math.ceil(recall * pairs - 1e-9))
+        row = exact.orderBy("buffer", *key, "rank").offset(at - 1).limit(1).first() if pairs else None
+        tau = float(row["buffer"]) * (1 + 1e-9) if row else 0.0
+    found = exact.filter(F.col("buffer") <= tau).count()
+    asked = drawn.select(*key, as_array(drawn, features).alias("_v")).filter(_finite("_v"))
+    queries, visited = asked.count(), 1.0
+    if index.regions.several and queries:
+        routed = route(asked, list(key), index.regions, "tau", tau).select("_region").join(pivot_table(index.assigned, index.regions), "_region")
+        there = pivot_table(index.assigned, index.regions).agg(F.sum("_rows")).first()[0]
+        visited = (routed.agg(F.sum("_rows")).first()[0] or 0) / (queries * max(1, there))
+    return Routing(tau, found / pairs if pairs else 1.0, visited, queries, pairs)
 
 
 def _same_key(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -580,9 +587,9 @@ def tau_points(
     drawn = base.select(as_array(base, features).alias("_v"), F.explode(F.filter(sized, lambda s: s["drawn"])).alias("s"))
 
     def run(table: pa.Table) -> pa.Table:
-        v = _matrix(table, "_v")
+        v = matrix(table, "_v")
         nearest = []
-        for rows in _slabs(len(v), len(v)):
+        for rows in slabs(len(v), len(v)):
             square = np.zeros((len(v[rows]), len(v)))
             for j in range(v.shape[1]):
                 gap = v[rows, j][:, None] - v[:, j]

@@ -23,7 +23,7 @@ from equipoise.functions.vectors import (
 )
 from equipoise.operators.boost import RebalancedGBTClassifier, evaluate_each_iteration, residual_profile
 from equipoise.operators.ensemble import RebalancedBaggingClassifier, soft_vote
-from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, tau_fit, tau_points
+from equipoise.operators.knn import build_index, knn_join, knn_pairs, routing, sampled_buffers, tau_fit, tau_points
 from equipoise.operators.profile import class_counts, class_profile, class_weights, label_decode, label_index
 from equipoise.operators.resample import no_resample, random_balance, random_oversample, random_undersample
 from equipoise.operators.sampling import bernoulli, bootstrap, exact_sample, poisson_copies
@@ -271,15 +271,41 @@ def knn_routed_unbounded(spark, sf):
     return pairs.select("vec_id", "rank", "nb_vec_id", _r("distance").alias("distance"))
 
 
+@query
+def knn_lines(spark, sf):
+    """Exact search through regions, all line items among all (the smallest table repeats some keys)."""
+    df = lineitem(spark, sf).groupBy(*LINE).agg(F.min("features").alias("features"))
+    pairs = knn_pairs(min_max_scale(df, "features"), min_max_scale(df, "features"), LINE, "features", 5, exclude_self=True, pivots=64)
+    return pairs.select(*LINE, "rank", *[f"nb_{c}" for c in LINE], _r("distance", 9).alias("distance"))
+
+
 @query
 def knn_routed(spark, sf):
-    """Approximate search with the estimated buffer, all orders among all."""
+    """Approximate search, all orders among all, with the buffer that finds nine tenths of a sample's neighbours."""
     df = min_max_scale(orders(spark, sf), "features")
-    tau = estimate_tau(df, ORDER, "features", SEED)
-    pairs = knn_pairs(df, df, ORDER, "features", 5, exclude_self=True, tau=tau)
+    pairs = knn_pairs(df, df, ORDER, "features", 5, exclude_self=True, seed=SEED, recall=0.9, pivots=64)
     return pairs.select(*ORDER, "rank", *[f"nb_{c}" for c in ORDER], _r("distance", 9).alias("distance"))
 
 
+@query
+def knn_sample(spark, sf):
+    """The exact neighbours of a sample of the orders, which recall is estimated from."""
+    df = min_max_scale(orders(spark, sf), "features")
+    index = build_index(df, ORDER, "features", 6, pivots=64, seed=SEED, routed=True)
+    exact = sampled_buffers(df, index, ORDER, "features", 5, True, SEED)[1]
+    return exact.select(*ORDER, "rank", *[f"nb_{c}" for c in ORDER], _r("distance", 9).alias("distance"))
+
+
+@query
+def knn_recall(spark, sf):
+    """What buffers for several recalls find and visit, said by a sample before any of them is used."""
+    df = min_max_scale(orders(spark, sf), "features")
+    index = build_index(df, ORDER, "features", 6, pivots=64, seed=SEED, routed=True)
+    found = [(r, routing(df, index, ORDER, "features", 5, True, SEED, recall=r)) for r in (0.5, 0.9, 0.99)]
+    rows = [(r, x.tau, x.recall, x.visited, x.queries, x.pairs) for r, x in found]
+    return spark.createDataFrame(rows, "wanted double, tau double, recall double, visited double, queries long, pairs long")
+
+
 @query
 def knn_routed_vectors(spark, sf):
     """Approximate search with a fixed buffer."""

@@ -206,6 +206,17 @@ ORACLE["knn_regions"] = """WITH m AS (SELECT c_custkey, c_acctbal AS x, c_nation
           FROM s AS a, s AS b WHERE a.c_custkey <> b.c_custkey)
     SELECT c_custkey, CAST(rank AS INTEGER) AS rank, nb_c_custkey, round(distance, 9) AS distance FROM (
         SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, nb_c_custkey) AS rank FROM d) WHERE rank <= 5"""
+ORACLE["knn_sample"] = f"""WITH m AS (SELECT o_orderkey, o_custkey AS x, month(o_orderdate) AS y,
+          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS z FROM orders),
+    s AS (SELECT o_orderkey, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())::DOUBLE AS x,
+          (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ())::DOUBLE AS y,
+          (z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ())::DOUBLE AS z FROM m),
+    d AS (SELECT a.o_orderkey, b.o_orderkey AS nb_o_orderkey,
+          sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance
+          FROM s AS a, s AS b WHERE a.o_orderkey <> b.o_orderkey
+          AND {u("recall", "a.o_orderkey")} < least(1.0, 400.0 / (SELECT count(*) FROM orders)))
+    SELECT o_orderkey, CAST(rank AS INTEGER) AS rank, nb_o_orderkey, round(distance, 9) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY distance, nb_o_orderkey) AS rank FROM d) WHERE rank <= 5"""
 _FAR = "(SELECT vec_id, label, list_transform(features, lambda x: x + 1e8) AS features FROM %s)" % vectors()
 ORACLE["knn_offset"] = f"""SELECT vec_id, rank, nb_vec_id, round(distance, 6) AS distance
     FROM ({_ranked(_FAR, _FAR, "a.vec_id <> b.vec_id", 5)})"""

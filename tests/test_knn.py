@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equipoise.functions.vectors import as_vector
-from equipoise.operators import knn
+from equipoise.operators import knn, regions
 from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, search_index
 from equipoise.operators.stages import NearestNeighbors
 
@@ -40,7 +40,7 @@ def tiny_cells(monkeypatch):
     monkeypatch.setattr(knn, "BASE_CELL", 40)
     monkeypatch.setattr(knn, "MIN_QUERY_CELL", 16)
     monkeypatch.setattr(knn, "_REPEATED", 500)
-    monkeypatch.setattr(knn, "_SLAB", 700)
+    monkeypatch.setattr(regions, "_SLAB", 700)
 
 
 @pytest.mark.parametrize("probe", [1, 16, 2048])
@@ -185,16 +185,110 @@ def test_routed_queries_are_never_short(spark, tiny_cells, k):
         assert sum(got[i] == v for i, v in brute(pull(df), pull(df), k).items()) > 150
 
 
-def test_routing_follows_one_rule_at_every_size():
-    most = knn.most_pivots(2)
-    sizes = [100, 65_535, 65_536, 65_537, 10**6, 10**9]
-    assert [knn.default_pivots(n, 2, routed=True) for n in sizes] == [min(most, max(1, round(math.sqrt(n) / 4))) for n in sizes]
+def test_regions_stay_one_size_at_any_number_of_rows():
+    """A million to a hundred thousand million rows: neither a region nor a query's share of pivots follows the table."""
+    for rows in (10**6, 10**7, 10**8, 10**9, 10**10, 10**11):
+        wanted = regions.default_pivots(rows, 4 * knn.BASE_CELL)
+        top, second = regions.levels(wanted, 8)
+        below = math.ceil(wanted / top) if second else 1
+        assert rows / (top * below) <= 1.05 * regions.REGION and regions.REGION <= knn.BASE_CELL
+        assert top <= regions.most_pivots(8) and below <= 3 * regions.MAX_PIVOTS and top + below <= max(regions.MAX_PIVOTS, 3 * math.sqrt(wanted)) + 1
+    assert regions.default_pivots(65_536, 65_536) == 1 and regions.default_pivots(65_537, 65_536) == 32
+    assert [regions.default_pivots(n) for n in (100, 2048, 20_480)] == [1, 1, 10]  # routed: one rule at every size
 
 
-def test_too_many_pivots_are_refused(spark):
-    df = table(spark, [[1.0], [2.0]])
-    with pytest.raises(ValueError, match="pivots"):
-        knn_pairs(df, df, ["id"], "features", 1, pivots=knn.MAX_PIVOTS + 1)
+@pytest.fixture
+def two_levels(monkeypatch):
+    """Few pivots to a level, so that a small table has two."""
+    monkeypatch.setattr(regions, "MAX_PIVOTS", 16)
+    monkeypatch.setattr(regions, "PLACED", 70)
+    monkeypatch.setattr(regions, "_SLAB", 900)
+    monkeypatch.setattr(knn, "BASE_CELL", 40)
+    monkeypatch.setattr(knn, "MIN_QUERY_CELL", 64)
+
+
+@pytest.mark.parametrize("rows", [400, 1200, 3600])
+def test_two_levels_keep_regions_small(spark, two_levels, monkeypatch, rows):
+    rng = np.random.default_rng(rows)
+    points = rng.normal(0, 1, (rows, 3))
+    points[: rows // 3] = rng.normal(4, 0.01, (rows // 3, 3))  # a third of the rows in one dense spot
+    index = knn.build_index(table(spark, points), ["id"], "features", 4, pivots=rows // 20)
+    sizes = [r["_rows"] for r in index.regions.below.collect()]
+    assert sum(sizes) == rows and len(sizes) > 16
+    assert np.median([n for n in sizes if n]) <= 40 and max(sizes) <= 200
+
+
+@pytest.mark.parametrize("work", [0, 10**9])
+@pytest.mark.parametrize("pivots", [12, 60])
+def test_rounds_and_levels_give_the_exact_answer(spark, two_levels, monkeypatch, work, pivots):
+    monkeypatch.setattr(knn, "ROUND_WORK", work)
+    rng = np.random.default_rng(21)
+    grid = rng.integers(0, 9, (400, 2)).astype(float)
+    df = table(spark, np.vstack([np.tile([4.5, 4.5], (150, 1)), grid, rng.normal(60, 1, (20, 2))]))
+    query = table(spark, np.vstack([grid[:60] + 0.25, rng.normal(60, 2, (30, 2)), [[-500.0, 900.0]]]), 5000)
+    report = {}
+    assert found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=pivots, report=report)) == brute(pull(df), pull(df), 4, exclude=True)
+    assert report["rounds"] == 1 if work else report["rounds"] > 1
+    assert found(knn_pairs(query, df, ["id"], "features", 6, pivots=pivots)) == brute(pull(query), pull(df), 6)
+    assert found(knn_pairs(query, df, ["id"], "features", 6, max_distance=0.6, pivots=pivots)) == {k: v for k, v in brute(pull(query), pull(df), 6, limit=0.6).items() if v}
+    wide = found(knn_pairs(query, df, ["id"], "features", 6, tau=math.inf, pivots=pivots))
+    assert wide == brute(pull(query), pull(df), 6)
+
+
+@pytest.mark.parametrize("offset", [1e7, 1.7e9])
+def test_two_levels_far_from_the_origin(spark, two_levels, monkeypatch, offset):
+    monkeypatch.setattr(knn, "ROUND_WORK", 0)
+    df = table(spark, np.random.default_rng(4).normal(0, 1, (300, 2)) + offset)
+    got = found(knn_pairs(df, df, ["id"], "features", 5, exclude_self=True, pivots=40))
+    assert got == brute(pull(df), pull(df), 5, exclude=True)
+
+
+def test_rounds_visit_fewer_pairs(spark, monkeypatch):
+    """On points in the plane; in 64 dimensions no distance to a pivot excludes a region, and rounds visit no more."""
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    rng = np.random.default_rng(9)
+    plane = table(spark, rng.normal(0, 1, (4000, 2)) * rng.exponential(1, (4000, 1)))
+    for df, most in ((vectors, 1.0), (plane, 0.8)):
+        pairs = {}
+        for work in (10**12, 0):
+            monkeypatch.setattr(knn, "ROUND_WORK", work)
+            report = {}
+            pairs[work] = (found(knn_pairs(df, df, ["id"], "features", 5, pivots=64, report=report)), report["pairs"])
+        assert pairs[0][0] == pairs[10**12][0]
+        assert pairs[0][1] <= most * pairs[10**12][1]
+
+
+@pytest.mark.parametrize("pivots", [20, 60])
+def test_sampled_recall_is_that_of_the_run(spark, two_levels, blobs, pivots):
+    """20 pivots are one level in production and two here; the sample is large enough to be the whole table."""
+    index = knn.build_index(blobs, ["id"], "features", 6, pivots=pivots)
+    plan = knn.routing(blobs, index, ["id"], "features", 5, True, recall=0.95, sample=3400)
+    assert plan.queries == 3400 and plan.recall >= 0.95 and 0 < plan.visited < 1
+    exact = found(search_index(blobs, index, ["id"], "features", 5, exclude_self=True))
+    near = found(search_index(blobs, index, ["id"], "features", 5, exclude_self=True, tau=plan.tau))
+    hits = sum(len(set(near[i]) & set(exact[i])) for i in exact)
+    assert hits / 17_000 == pytest.approx(plan.recall, abs=0.01)
+    part = knn.routing(blobs, index, ["id"], "features", 5, True, seed=3, recall=0.99, sample=300)
+    assert 200 < part.queries < 400 and part.recall >= 0.99
+    none = knn.routing(blobs, index, ["id"], "features", 5, True, seed=3, tau=0.0, sample=300)
+    assert none.recall < part.recall and none.visited < part.visited
+
+
+def test_search_to_a_given_recall(spark, blobs, monkeypatch):
+    exact = found(knn_pairs(blobs, blobs, ["id"], "features", 5, pivots=40))
+    near = found(knn_pairs(blobs, blobs, ["id"], "features", 5, pivots=40, recall=0.9))
+    assert sum(len(set(near[i]) & set(exact[i])) for i in exact) / 17_000 >= 0.88
+    monkeypatch.setattr(knn, "MOST_VISITED", 0.0)
+    assert found(knn_pairs(blobs, blobs, ["id"], "features", 5, pivots=40, recall=0.9)) == exact
+    assert found(knn_pairs(blobs, blobs, ["id"], "features", 5, recall=0.5)) == exact  # one region
+    with pytest.raises(ValueError, match="recall"):
+        knn_pairs(blobs, blobs, ["id"], "features", 5, recall=0.0)
+
+
+def test_routes_carry_no_vectors(spark, blobs):
+    index = knn.build_index(blobs, ["id"], "features", 5, pivots=20)
+    routed = regions.route(blobs.select("id", F.col("features").alias("_v")), ["id"], index.regions, "tau", 0.1)
+    assert routed.columns == ["id", "_region", "_lower", "_turn"]
 
 
 def test_many_copies_of_one_vector(spark, monkeypatch):
@@ -209,3 +303,24 @@ def test_tau_does_not_depend_on_the_unit(spark):
     points = rng.normal(0, 1, (400, 2))
     large, small = (estimate_tau(table(spark, points * s), ["id"], "features", samples=(50, 100, 200)) for s in (1.0, 1e-11))
     assert small == pytest.approx(large * 1e-11, rel=1e-6) and small > 0
+
+
+def test_all_line_items_against_brute_force(spark):
+    """The registered query on its whole smallest table."""
+    from equipoise.functions.vectors import min_max_scale
+    from equipoise.plans.catalog import QUERIES
+    from equipoise.plans.fixtures import LINE, lineitem
+
+    sf = "/root/testdata/sf0.001"
+    rows = min_max_scale(lineitem(spark, sf).groupBy(*LINE).agg(F.min("features").alias("features")), "features").orderBy(*LINE).collect()
+    keys, v = [tuple(r[c] for c in LINE) for r in rows], np.array([r["features"] for r in rows])
+    got = {}
+    for r in QUERIES["knn_lines"](spark, sf).collect():
+        got[tuple(r)[:4], r["rank"]] = (tuple(r)[5:9], r["distance"])
+    assert len(got) == 5 * len(rows)
+    for i, key in enumerate(keys):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        d[i] = np.inf
+        order = np.lexsort((np.arange(len(d)), np.round(d, 12)))[:5]  # keys are in order, and so are ties
+        assert [got[key, n][1] for n in range(1, 6)] == pytest.approx(d[order].tolist(), abs=2e-9)
+        assert {got[key, n][0] for n in range(1, 6) if got[key, n][1] < d[order[4]] - 2e-9} == {keys[j] for j in order if d[j] < d[order[4]] - 2e-9}
