@@ -2,8 +2,10 @@
 
 A window of 13 words holds exactly one of the non-overlapping 7-word blocks of its document. The first word of each block
 is an anchor: blocks are indexed by their hash, every rolling window of 7 words of every document probes the index, and
-a block that is met anywhere else is alive. Only the 13-word windows around live blocks can repeat; their digests (96
-bits) meet, each with the smallest document that has it, and runs of repeated windows are the maximal exact repeats.
+a block that is met anywhere else is alive; what collides by chance or design is only looked at in vain. Only the 13-word
+windows around live blocks can repeat. Their words are compared by a cryptographic digest (BLAKE2b, 128 bits) of the words
+themselves; digests meet, each with the smallest document that has it, and runs of repeated windows are the maximal
+exact repeats.
 
 Index and probes travel as sorted, packed sets, one per unit of documents and range of hashes: a passage in a third of
 all documents is sent once per unit. A range answers with one bit per entry. Texts are shuffled once, by unit.
@@ -11,6 +13,8 @@ all documents is sent once per unit. A range answers with one bit per entry. Tex
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,7 +26,7 @@ from equipoise.llm.arrow import column, flat_words, ragged
 #: Text bytes of a unit and of a step within it.
 UNIT, STEP = 8 << 20, 1 << 20
 _LAST = np.iinfo(np.int64).max
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_MULTIPLIER = 0x9E3779B97F4A7C15
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 _MESSAGE = "unit int, range int, kind int, n long, data binary"
 
@@ -35,9 +39,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of the words: a polynomial of the bytes modulo 2**64 from prefix sums, then mixed."""
-    base = _MULTIPLIERS[which]
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, for anchors: a polynomial of the bytes modulo 2**64 from prefix sums, then mixed."""
+    base = _MULTIPLIER
     inverse = pow(base, -1, 1 << 64)
     powers = np.full(len(data) + 1, base, np.uint64)
     powers[0] = 1
@@ -55,7 +59,7 @@ def _rolling(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h = h * np.uint64(_MULTIPLIERS[0]) + words[j : j + n]
+        h = h * np.uint64(_MULTIPLIER) + words[j : j + n]
     return _mixed(h)
 
 
@@ -100,16 +104,34 @@ class _Unit:
         cuts = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1).tolist(), len(ids)]
         self.steps = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
-    def hashes(self, which: tuple[int, ...]) -> list[np.ndarray]:
-        """Hashes of all words for each of ``which``; sets ``first``, the first word of each document."""
+    def hashes(self) -> np.ndarray:
+        """Hashes of all words; sets ``first``, the first word of each document."""
         parts, counts = [], []
         for a, b in self.steps:
             data, starts, ends, first = flat_words(self.texts.slice(a, b - a))
-            parts.append([_word_hashes(data, starts, ends, w) for w in which])
+            parts.append(_word_hashes(data, starts, ends))
             counts.append(np.diff(first))
         self.first = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, np.int64)
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(len(which))]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+    def digests(self, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the digest of the ``size`` words from each of the (sorted) windows on, joined by one space."""
+        parts = [np.zeros((0, 2), np.uint64)]
+        for a, b in self.steps:
+            here = windows[np.searchsorted(windows, self.first[a]) : np.searchsorted(windows, self.first[b])] - self.first[a]
+            if len(here):
+                data, starts, ends, _ = flat_words(self.texts.slice(a, b - a))
+                sizes = ends - starts
+                text = np.append(data, np.uint8(32))[ragged(starts, sizes + 1)]
+                stops = np.cumsum(sizes + 1) - 1
+                text[stops] = 32
+                text, begins = text.tobytes(), stops - sizes
+                digest = hashlib.blake2b
+                found = [digest(text[x:y], digest_size=16).digest() for x, y in zip(begins[here].tolist(), stops[here + size - 1].tolist(), strict=True)]
+                parts.append(np.frombuffer(b"".join(found), "<u8").reshape(-1, 2))
+        both = np.concatenate(parts)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
     def inside(self, size: int, window: int) -> np.ndarray:
         """Words from which ``size`` words of the same document go on, in documents that have a window."""
@@ -148,7 +170,7 @@ class _Search:
     def ask_blocks(self, key: tuple, table: pa.Table) -> pa.Table:
         """Phase 1: index entries and probes of a unit, cut into ranges."""
         unit = _Unit(table, self.key, self.text)
-        distinct, _, _ = self.anchors(unit, unit.hashes((0,))[0])
+        distinct, _, _ = self.anchors(unit, unit.hashes())
         edges = self.edges(distinct >> np.uint64(2), self.bits)
         cut = zip(range(self.ranges), edges[:-1], edges[1:], strict=True)
         return _messages([(key[0].as_py(), r, 0, int(b - a), _pack(distinct[a:b])) for r, a, b in cut if b > a])
@@ -175,19 +197,18 @@ class _Search:
         parts = [np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"]).astype(bool) for r in rows]
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 
-    def candidates(self, unit: _Unit, words: list[np.ndarray], alive: np.ndarray) -> tuple[np.ndarray, ...]:
+    def candidates(self, unit: _Unit, words: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first words of windows around live blocks, digests, checks, order, begins of equal digests in that order)."""
-        distinct, own, hashes = self.anchors(unit, words[0])
+        distinct, own, hashes = self.anchors(unit, words)
         known = (distinct >> np.uint64(2))[alive]
         live = own[np.isin(hashes, known)] if len(known) else own[:0]
         back = np.arange(self.block)
-        near = np.zeros(len(words[0]) + self.block, bool)
+        near = np.zeros(len(words) + self.block, bool)
         for j in back:
             near[np.maximum(live - j, 0)] = True
         windows = unit.inside(self.window, self.window)
         windows = windows[near[windows]]
-        digest = _rolling(words[0], self.window)[windows]
-        check = (_rolling(words[1], self.window)[windows] >> np.uint64(32)).astype(np.uint32)
+        digest, check = unit.digests(windows, self.window)
         order = np.lexsort((windows, check, digest))
         d, c = digest[order], check[order]
         begins = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])]) if len(d) else np.zeros(0, np.int64)
@@ -197,7 +218,7 @@ class _Search:
         """Phase 2: digests of the candidate windows of a unit, each with its smallest document here."""
         unit, me = _Unit(table, self.key, self.text), key[0].as_py()
         alive = self.bits_of(answers, 0)
-        windows, digest, check, order, begins = self.candidates(unit, unit.hashes((0, 1)), alive)
+        windows, digest, check, order, begins = self.candidates(unit, unit.hashes(), alive)
         at = order[begins]  # of equal windows the first one is of the smallest document
         digest, check, least = digest[at], check[at], unit.ids[unit.doc[windows[at]]]
         edges = self.edges(digest, 64)
@@ -217,7 +238,7 @@ class _Search:
         parts: list[list[np.ndarray]] = [[], [], []]
         for data, n in zip(table.column("data").to_pylist(), ns, strict=True):
             at = 0
-            for part, read in zip(parts, (_unpack, lambda d, n: _unplain(d, n, np.uint32), lambda d, n: _unplain(d, n, np.int64)), strict=True):
+            for part, read in zip(parts, (_unpack, lambda d, n: _unplain(d, n, np.uint64), lambda d, n: _unplain(d, n, np.int64)), strict=True):
                 size = int.from_bytes(data[at : at + 4], "little")
                 part.append(read(data[at + 4 : at + 4 + size], n))
                 at += 4 + size
@@ -234,7 +255,7 @@ class _Search:
     def cut_out(self, key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         """Phase 3: the repeats of each document, and its other words."""
         unit = _Unit(table, self.key, self.text)
-        words = unit.hashes((0, 1))
+        words = unit.hashes()
         windows, _, _, order, begins = self.candidates(unit, words, self.bits_of(answers, 0))
         elsewhere = self.bits_of(answers, 1)
         ids = unit.ids[unit.doc[windows]] if len(windows) else np.zeros(0, np.int64)

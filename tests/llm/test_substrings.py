@@ -96,3 +96,15 @@ def test_rows_that_share_a_key_are_spread(spark, monkeypatch):
     assert got(df) == plain(rows)
     units = df.where("doc_id = 7 OR doc_id IS NULL").select("doc_id", substrings.unit_of("doc_id", "text", 16).alias("unit")).distinct()
     assert all(r["count"] >= 8 for r in units.groupBy("doc_id").count().collect())
+
+
+def test_words_that_collide_in_the_anchor_hash_are_kept(spark):
+    """Thue-Morse words: a polynomial modulo 2**64 cannot tell one from its complement, whatever its odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    one, other = substrings._word_hashes(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert one == other
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {a}")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
