@@ -22,9 +22,22 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 #: Natural logarithm of the likelihood ratio per pair of characters above which a string is a secret; shorter strings need
 #: the sum that one of so many characters needs.
-MIN_RATIO, LONG = 1.0, 20
-#: Documents (about so many, those whose keys hash lowest) that ordinary identifiers are made from; random strings made.
-SAMPLE, RANDOM = 2_000, 20_000
+MIN_RATIO, LONG = 0.9, 21
+#: Documents (about so many, those whose keys hash lowest) that ordinary identifiers are made from; strings made of either
+#: kind; pairs that the made ordinary ones, and those of the documents, count as.
+SAMPLE, RANDOM, ORDINARY, WEIGHT = 2_000, 40_000, 20_000, 1_000_000
+#: Characters that random strings are drawn from: base 64, letters and digits, letters, and so on, each as often.
+DRAWN = (ALPHABET[:64], ALPHABET[:62], ALPHABET[:52], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:26], ALPHABET[26:52], ALPHABET[26:62])
+#: Words that identifiers are often made of; with the words of the documents they stand for ordinary strings.
+COMMON = """get set has add new old all any key val max min sum avg num str int map list array table index item value count size length
+name type kind code data date time user account order customer product price total amount balance address number string object class method
+function module package import export config setting option param argument result error warning message event handler listener request response
+client server session token cookie header body content html http https json xml yaml csv sql api url uri path file folder directory
+create read update delete insert remove find search filter sort group merge join split parse format encode decode compress build make
+factory builder manager service controller provider adapter wrapper helper util test mock spec main init start stop open close
+image video audio text line word page view model layout button window screen color style width height left right top bottom
+north south east west john mary smith johnson williams thomas robert michael elizabeth alexander christopher anderson washington
+january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday"""
 _SPAN, _PART = "array<struct<start:int,kind:int,end:int>>", "array<struct<start:int,end:int>>"
 
 
@@ -59,29 +72,62 @@ def _place(char: Column) -> Column:
     return F.instr(F.lit(ALPHABET), char) - 1
 
 
+def drawn_strings(spark: SparkSession, n: int = RANDOM) -> DataFrame:
+    """(string): n strings of 20 to 43 characters, drawn from each of ``DRAWN`` as often."""
+    alphabet = F.get(F.array(*map(F.lit, DRAWN)), (F.col("id") % len(DRAWN)).cast("int"))
+    digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 512)
+    rows = spark.range(n).select(digest.alias("h"), alphabet.alias("a"), (20 + F.floor(F.col("id") / len(DRAWN)) % 24).cast("int").alias("n"))
+    byte = lambda i: F.conv(F.substring("h", 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    return rows.select(F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("a", byte(i) % F.length("a") + 1, F.lit(1))), "").alias("string"))
+
+
+def ordinary_values(spark: SparkSession, n: int = ORDINARY) -> DataFrame:
+    """(string): dates and times in several forms, numbers of 1 to 18 digits, versions, telephone numbers and UUIDs."""
+    digest = F.sha2(F.concat(F.lit("ordinary "), F.col("id").cast("string")), 256)
+    rows = spark.range(n).select(digest.alias("h"), "id")
+    part = lambda i, size: F.conv(F.substring("h", i, size), 16, 10).cast("long")
+    at = F.timestamp_seconds(F.lit(631_152_000) + part(1, 8) % 1_500_000_000)
+    dates = [F.date_format(at, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd'T'HH-mm-ss", "yyyyMMdd'T'HHmmss'Z'", "dd-MMM-yyyy", "yyyy-MM-dd_HH-mm-ss")]
+    number = F.substring(F.lpad(part(9, 15).cast("string"), 18, "7"), F.lit(1), (F.col("id") % 18 + 1).cast("int"))
+    version = F.concat(F.lit("v"), (part(24, 2) % 20).cast("string"), F.lit("-"), (part(26, 2) % 100).cast("string"), F.lit("-"), (part(28, 2) % 100).cast("string"))
+    phone = F.concat(F.lit("+"), (part(30, 2) % 99).cast("string"), F.lit("-"), (part(32, 4) % 1000).cast("string"), F.lit("-"), (part(36, 7) % 10_000_000).cast("string"))
+    uuid = F.concat_ws("-", *(F.substring("h", a, b) for a, b in ((33, 8), (41, 4), (45, 4), (49, 4), (53, 12))))
+    return rows.select(F.explode(F.array(*dates, number, version, phone, uuid)).alias("string"))
+
+
+def common_triples(spark: SparkSession, n: int = ORDINARY) -> DataFrame:
+    """(p): three words of ``COMMON`` each."""
+    words = F.split(F.lit(" ".join(COMMON.split())), " ")
+    pick = lambda i: F.get(words, F.pmod(F.xxhash64(F.lit(i), "id"), F.size(words)).cast("int"))
+    return spark.range(n).select(F.array(pick(1), pick(2), pick(3)).alias("p"))
+
+
 def labelled_strings(spark: SparkSession, docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
-    """(string, random, times): labelled samples. Random ones are digests in base 64 and what the base patterns find;
-    ordinary ones are made of every three neighbouring words of sampled documents, joined by underscores or hyphens, in
-    camel case, in capitals and with a number, and come in the pieces of :func:`ordinary_pieces`.
+    """(string, random, made, times): labelled samples. Random ones are drawn from several alphabets, and what the base
+    patterns find. Ordinary ones are identifiers of every three neighbouring words of sampled documents, in the pieces of
+    :func:`ordinary_pieces`, and, ``made`` by rule, identifiers of common words, dates, numbers and the like.
     """
     n = max(1, docs.count())
     share = min(1.0, sample / n)
     picked = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.coalesce(text, F.lit("")).alias("t"))
     picked = picked.withColumn("base", base_spans("t"))
     values = picked.select(F.explode("base").alias("s"), "t").where("s.kind < 2").select(F.regexp_extract(F.expr("substring(t, s.start + 1, s.end - s.start)"), "[A-Za-z0-9+/_=-]+$", 0).alias("string"))
-    seeds = spark.range(RANDOM).select(F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256).alias("h"), "id")
-    made = seeds.select(F.expr("substring(base64(unhex(h)), 1, 20 + id % 24)").alias("string"))
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     words = picked.where("size(base) = 0").select(words.alias("w")).where("size(w) >= 3")
-    made = made.union(values).select("string", F.lit(True).alias("random"), F.lit(1).cast("long").alias("times"))
-    return made.union(ordinary_pieces(words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("p"))))
+    triples = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("p"))
+    once = lambda df, random, made: df.select("string", F.lit(random).alias("random"), F.lit(made).alias("made"), F.lit(1).cast("long").alias("times"))
+    pieces = lambda p, made: ordinary_pieces(p).select("string", "random", F.lit(made).alias("made"), "times")
+    made = once(drawn_strings(spark).union(values), True, True).union(once(ordinary_values(spark), False, True))
+    return made.union(pieces(common_triples(spark), True)).union(pieces(triples, False))
 
 
 def ordinary_pieces(triples: DataFrame) -> DataFrame:
-    """(string, random, times): pieces that hold every pair of characters of all six forms of every triple ``p`` of words.
+    """(string, random, times): pieces that hold every pair of characters of all eight forms of every triple ``p`` of words.
 
-    A piece is a word with what joins it to its neighbours, or the number of a triple. Equal pieces are counted before they
-    are spelled out, so the work is one row per word of a triple and not one per character of a form.
+    The forms are joined by underscores, hyphens or strokes, in capitals, with a number, and in camel case with the first
+    word also in small letters or in capitals. A piece is a word with what joins it to its neighbours, or the number of a
+    triple. Equal pieces are counted before they are spelled out, so the work is one row per word of a triple and not one
+    per character of a form.
     """
     initial = lambda w: F.upper(F.substring(w, 1, 1))
     number = F.expr("pmod(xxhash64(p), 1000)").cast("string")
@@ -93,7 +139,13 @@ def ordinary_pieces(triples: DataFrame) -> DataFrame:
     def joined(w: Column, sign: str, last: str = "") -> Column:
         return F.concat(F.when(F.col("at") > 0, F.lit(sign)).otherwise(F.lit("")), w, F.when(F.col("at") < 2, F.lit(sign)).otherwise(F.lit(last)))
 
-    forms = F.array(joined(lower, "_"), joined(lower, "-"), F.concat(F.initcap("word"), "next"), joined(F.upper("word"), "_"), joined(lower, "_", "_"), joined(lower, "/"))
+    def camel(first: Column) -> Column:
+        return F.concat(F.when(F.col("at") == 0, first).otherwise(F.initcap("word")), "next")
+
+    forms = F.array(
+        joined(lower, "_"), joined(lower, "-"), camel(F.initcap("word")), joined(F.upper("word"), "_"), joined(lower, "_", "_"), joined(lower, "/"),
+        camel(lower), camel(F.upper("word")),
+    )
     numbers = F.array(F.concat(F.lit("_"), "next"), F.concat("word", "next"))
     pieces = F.when(F.col("at") < 3, forms).otherwise(numbers)
     return counted.select(F.explode(pieces).alias("string"), F.lit(False).alias("random"), "times")
@@ -102,17 +154,19 @@ def ordinary_pieces(triples: DataFrame) -> DataFrame:
 def markov_ratios(strings: DataFrame) -> list[float]:
     """Log likelihood ratio, random over ordinary, of every pair of characters: one row of the alphabet after the other.
 
-    Both models are smoothed by one of each pair. A character outside the alphabet ends a string. Texts also have rules and
+    Both models are smoothed by one of each pair. Ordinary pairs that are ``made`` and those of documents count alike, as
+    ``WEIGHT`` each, however large the sample is. A character outside the alphabet ends a string. Texts also have rules and
     fillers of one repeated character, which no sampled identifier shows, so a pair of equal ones never speaks for random.
     """
-    strings = strings if "times" in strings.columns else strings.withColumn("times", F.lit(1))
     chars = strings.withColumn("c", F.split("string", "")).where("size(c) >= 2")
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(_place(F.get("c", i)).alias("a"), _place(F.get("c", i + 1)).alias("b")))
-    counts = chars.select("random", "times", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").agg(F.sum("times").alias("count"))
+    counts = chars.select("random", "made", "times", F.explode(pairs).alias("p")).groupBy("random", "made", "p.a", "p.b").agg(F.sum("times").alias("count"))
     size = len(ALPHABET)
     table = {kind: [[1.0] * size for _ in range(size)] for kind in (True, False)}
-    for r in counts.where("a >= 0 AND b >= 0").collect():  # two tables of pairs of the alphabet at most
-        table[r["random"]][r["a"]][r["b"]] += r["count"]
+    rows = counts.where("a >= 0 AND b >= 0").collect()  # a few tables of pairs of the alphabet at most
+    total = {(False, made): sum(r["count"] for r in rows if not r["random"] and r["made"] == made) for made in (True, False)}
+    for r in rows:
+        table[r["random"]][r["a"]][r["b"]] += r["count"] if r["random"] else r["count"] * WEIGHT / total[False, r["made"]]
     ratios = [math.log(x / sum(xs)) - math.log(y / sum(ys)) for xs, ys in zip(table[True], table[False], strict=True) for x, y in zip(xs, ys, strict=True)]
     return [min(r, 0.0) if i % (size + 1) == 0 else r for i, r in enumerate(ratios)]
 
@@ -161,17 +215,6 @@ def random_spans(text: str, base: str, ratios: list[float]) -> Column:
     return F.flatten(F.transform(_free(text, base), lambda f: runs(F.substring(F.col(text), f["start"] + 1, f["end"] - f["start"]), f["start"])))
 
 
-def long_mixed(text: str, base: str, found: str) -> Column:
-    """Of the random spans, whole runs of ``LONG`` characters or more with a digit and a letter."""
-
-    def kept(s: Column) -> Column:
-        run = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
-        cut = F.exists(base, lambda b: (b["start"] <= s["end"]) & (s["start"] <= b["end"]))
-        return (s["end"] - s["start"] >= LONG) & ~cut & run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-
-    return F.filter(found, kept)
-
-
 def _written(spans: str) -> Column:
     names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
@@ -181,8 +224,8 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     """One row per row of ``df``: (key, n_assign, n_access, n_hex, n_random, base_spans, random_spans, spans).
 
     The spans are arrays of (start, kind, end) in code points, kind counting ``NAMES``. ``random_spans`` are all parts of
-    runs outside base spans that the models call random, and ``n_random`` is their number; ``spans`` has the base spans
-    and, of the random ones, those of :func:`long_mixed`. ``ratios`` are those of :func:`markov_ratios`; without them the models are
+    runs outside base spans that the models call random, and ``n_random`` is their number; ``spans`` has them and the base
+    spans. ``ratios`` are those of :func:`markov_ratios`; without them the models are
     trained on samples from ``df``. A null text is empty. Other columns are not read.
     """
     docs = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -192,7 +235,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     found = docs.withColumn("base_spans", base_spans("_text"))
     found = found.withColumn("random_spans", random_spans("_text", "base_spans", ratios))
     counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    spans = F.sort_array(F.concat("base_spans", long_mixed("_text", "base_spans", "random_spans")))
+    spans = F.sort_array(F.concat("base_spans", "random_spans"))
     return found.select(key, *counts, F.size("random_spans").cast("long").alias("n_random"), "base_spans", "random_spans", spans.alias("spans"))
 
 
