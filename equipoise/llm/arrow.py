@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes that one step of a task works on; a longer text makes a step of its own.
 STEP_BYTES = 4 << 20
@@ -22,6 +23,17 @@ def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of ``df``'s columns, whatever their case."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``step`` text bytes, so that memory does not follow the batch size."""
     for batch in batches:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.llm.arrow import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +56,7 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sal
 
 def drop_exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
     """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay."""
-    kept = exact_duplicates(df, key, text, salts).where("kept").select(F.col(key).alias("_kept"), F.col("text_sha256").alias("_digest")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_kept")) & (F.sha2(ascii_lower(text), 256) == F.col("_digest"))
+    best, digest = unused(df, "_kept", "_digest")
+    kept = exact_duplicates(df, key, text, salts).where("kept").select(F.col(key).alias(best), F.col("text_sha256").alias(digest)).distinct()
+    same = F.col(key).eqNullSafe(F.col(best)) & (F.sha2(ascii_lower(text), 256) == F.col(digest))
     return df.join(kept, same, "left_semi")

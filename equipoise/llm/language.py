@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.arrow import column, text_slices
+from equipoise.llm.arrow import column, text_slices, unused
 from equipoise.sources.session import checkpoint
 
 #: Hash buckets of the n-grams, their lengths, and the additive smoothing.
@@ -174,5 +174,6 @@ def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang
     The model is learned from the rows of ``df`` that are not held out.
     """
     model = fit(df.where(~held_out(key)), text, lang)
-    found = predict(df, model, text, "_lang", "_score", keep_text=True)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*df.columns)
+    pred, score = unused(df, "_lang", "_score")
+    found = predict(df, model, text, pred, score, keep_text=True)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*df.columns)

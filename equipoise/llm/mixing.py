@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equipoise.llm.arrow import unused
 from equipoise.llm.hostrules import split_words, with_value
 from equipoise.sources.session import checkpoint
 
@@ -186,7 +187,8 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", **how: ob
     Rows that share a key are each repeated as often as the most taken of them. A null, empty or blank text has no words,
     and a key with no other text gives no rows.
     """
-    copies = mix(df, key, text, **how).groupBy(F.col(key).alias("_mixed")).agg(F.max(F.round(F.try_divide("taken", "size"))).cast("int").alias("_copies"))
-    copies = copies.where("_copies > 0")
-    joined = df.join(copies, F.col(key).eqNullSafe(F.col("_mixed")))
-    return joined.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    mixed, times, copy = unused(df, "_mixed", "_copies", "_copy")
+    copies = mix(df, key, text, **how).groupBy(F.col(key).alias(mixed)).agg(F.max(F.round(F.try_divide("taken", "size"))).cast("int").alias(times))
+    copies = copies.where(F.col(times) > 0)
+    joined = df.join(copies, F.col(key).eqNullSafe(F.col(mixed)))
+    return joined.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

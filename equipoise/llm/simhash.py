@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.arrow import column, flat_words, ragged, text_slices
+from equipoise.llm.arrow import column, flat_words, ragged, text_slices, unused
 from equipoise.llm.components import connected_components
 from equipoise.sources.session import checkpoint
 
@@ -198,5 +198,6 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how: int)
     Rows that share a key stay or go together: they stay if the key is the smallest of any of their groups.
     """
     kept = near_duplicates(df, key, text, **how).where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    (least,) = unused(df, "_kept")
+    kept = kept.select(F.col(key).alias(least)).distinct()
+    return df.join(kept, F.col(key).eqNullSafe(F.col(least)), "left_semi")

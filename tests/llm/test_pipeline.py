@@ -48,3 +48,15 @@ def test_stages_take_odd_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=lambda f: f.__name__)
+def test_columns_with_the_names_of_helpers_stay(spark, stage):
+    """Every stage before the last keeps all columns and their values, whatever they are called."""
+    names = "_key _text _digest _kept _copy _copies _COPY2 _mixed _lang _score __kept _salt kept rank size taken target fingerprint component_id".split()
+    rows = [(i, f"{'some words here and there ' * 9} number {i}", "en", "a", 3, *(f"{n}{i}" for n in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert kept and {tuple(r) for r in kept} <= set(rows)
