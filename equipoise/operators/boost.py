@@ -9,8 +9,11 @@ executor recomputes its rows from the input with a single ensemble score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.param import TypeConverters
@@ -25,10 +28,14 @@ from equipoise.functions.vectors import as_vector
 from equipoise.operators.assemble import boosted_classifier, boosted_margin
 from equipoise.operators.ensemble import drawn_copies
 from equipoise.operators.params import LabelledRows, param
+from equipoise.operators.plain import SummedModel
 from equipoise.operators.profile import ClassProfile, class_profile
 from equipoise.sources.session import training_table
 
 
+_MARGINS = 1_000_000  # running margins held at once
+
+
 def residual_profile(rows: DataFrame, residual: str) -> ClassProfile:
     """The rarest and the commonest pseudo-residual value (ties by value); two rows reach the driver."""
     cells = rows.groupBy(residual).count().select(F.struct("count", residual).alias("c"))
@@ -65,6 +72,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
     featureSubsetStrategy = param("featureSubsetStrategy", "features tried per split", TypeConverters.toString)
     partitions = param("partitions", "partitions of the training table, 0 leaves them as they are", TypeConverters.toInt)
     lossType = param("lossType", "logistic", TypeConverters.toString)
+    plain = param("plain", "fit to a model that sums its trees, without the JVM gateway", TypeConverters.toBoolean)
 
     def __init__(self, **kwargs: Any) -> None:
         super().__init__()
@@ -72,7 +80,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             resampling="rus", percSampling=0.0, balanceOn="class", validationTol=0.01, maxIter=20, stepSize=0.1,
             subsamplingRate=1.0, maxDepth=5, maxBins=32, minInstancesPerNode=1, minWeightFractionPerNode=0.0,
             minInfoGain=0.0, maxMemoryInMB=256, cacheNodeIds=False, checkpointInterval=10, featureSubsetStrategy="all",
-            lossType="logistic", partitions=0,
+            lossType="logistic", partitions=0, plain=False,
         )
         self._set(**kwargs)
 
@@ -121,7 +129,7 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
             drawn = drawn.filter(F.col("_copies") > 0)
         return drawn.withColumn("_weight", F.col("_weight") * F.col("_copies"))
 
-    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel | SummedModel:
         v = self.value
         if v("lossType") != "logistic":
             raise ValueError("only the logistic loss is supported")
@@ -144,6 +152,8 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
                 trees, weights = self._boost(base, margins, validate)
             finally:
                 margins[-1].unpersist()
+        if v("plain"):
+            return SummedModel(trees, weights, "margin").setFeaturesCol(v("featuresCol"))
         out = boosted_classifier(trees, weights).setFeaturesCol(v("featuresCol"))
         return out._set(labelCol=v("labelCol"))
 
@@ -161,8 +171,8 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
         def state() -> DataFrame:
             if folded == len(trees):
                 return margins[-1]
-            newest = boosted_margin(trees[folded:], weights[folded:]).setFeaturesCol("features").setPredictionCol("_new")
-            return newest.transform(margins[-1]).withColumn("_margin", F.col("_margin") + F.col("_new")).drop("_new")
+            newest = self._scored(margins[-1], trees[folded:], weights[folded:], "_new")
+            return newest.withColumn("_margin", F.col("_margin") + F.col("_new")).drop("_new")
 
         for round_ in range(v("maxIter")):
             train = state().filter(~F.col("_held_out"))
@@ -180,13 +190,19 @@ class RebalancedGBTClassifier(Estimator, LabelledRows, DefaultParamsReadable, De
                 elif best - error < v("validationTol") * max(error, 0.01):
                     break
             if len(trees) - folded >= v("checkpointInterval") > 0:
-                whole = boosted_margin(trees, weights).setFeaturesCol("features").setPredictionCol("_margin")
-                margins.append(whole.transform(base).persist())
+                margins.append(self._scored(base, trees, weights, "_margin").persist())
                 margins.pop(0).unpersist()
                 folded = len(trees)
         keep = best_size if validate else len(trees)
         return trees[:keep], weights[:keep]
 
+    def _scored(self, rows: DataFrame, trees: list[DecisionTreeRegressionModel], weights: list[float], out: str) -> DataFrame:
+        """The weighted sum of the trees as a column."""
+        if not self.value("plain"):
+            return boosted_margin(trees, weights).setFeaturesCol("features").setPredictionCol(out).transform(rows)
+        scored, total, names = SummedModel(trees, weights, "margin").score(rows)
+        return scored.withColumn(out, total).drop(*names)
+
     @staticmethod
     def _error(rows: DataFrame) -> float:
         return rows.agg(weighted_mean(log_loss(F.col("_y"), F.col("_margin")), F.col("_weight")).alias("e")).first()["e"]
@@ -197,16 +213,24 @@ def evaluate_each_iteration(
 ) -> DataFrame:
     """Weighted log-loss of the first i trees, for every i, from an array column of per-tree scores.
 
-    One pass: each row unfolds its running margins, and the sums are partially aggregated before the shuffle.
+    One pass, whose work per row grows with the number of trees: a batch adds up its running margins side by side, and
+    sends the sums of its losses, one row per iteration.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    steps = F.zip_with(F.col(tree_scores), F.lit([float(t) for t in tree_weights]), lambda s, t: s * t)
-    running = F.aggregate(
-        steps,
-        F.array().cast("array<double>"),
-        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + s)),
-    )
-    unfolded = scores.select(F.col(y).alias("_y"), w.alias("_w"), F.posexplode(running).alias("_i", "_margin"))
-    return unfolded.groupBy((F.col("_i") + 1).alias("iteration")).agg(
-        weighted_mean(log_loss(F.col("_y"), F.col("_margin")), F.col("_w")).alias("error")
-    )
+    steps = np.array(tree_weights, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, mass = np.zeros(len(steps)), 0.0
+        for batch in batches:
+            n = max(1, _MARGINS // max(1, len(steps)))
+            for i in range(0, batch.num_rows, n):
+                part = batch.slice(i, n)
+                y_, w_ = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
+                margins = np.cumsum(part.column("_s").flatten().to_numpy(zero_copy_only=False).reshape(len(y_), -1) * steps, axis=1)
+                total += w_ @ (2.0 * np.logaddexp(0.0, -2.0 * y_[:, None] * margins))  # the log-loss of losses.log_loss
+                mass += w_.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(steps) + 1, dtype=np.int32)), pa.array(total), pa.array(np.full(len(steps), mass))], ["iteration", "loss", "mass"])
+
+    rows = scores.select(F.col(y).cast("double").alias("_y"), w.alias("_w"), F.col(tree_scores).cast("array<double>").alias("_s"))
+    sums = rows.mapInArrow(run, "iteration int, loss double, mass double").groupBy("iteration")
+    return sums.agg((F.sum("loss") / F.nullif(F.sum("mass"), F.lit(0.0))).alias("error"))

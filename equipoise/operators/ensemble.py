@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.param import TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from equipoise.functions.randomness import derive_seed, poisson, uniform
 from equipoise.functions.vectors import as_vector, dimension
 from equipoise.operators.assemble import forest
 from equipoise.operators.params import LabelledRows, param
+from equipoise.operators.plain import SummedModel
 from equipoise.operators.profile import ClassProfile, class_profile
 from equipoise.operators.resample import random_balance_sizes
 from equipoise.operators.sampling import balanced_fraction, repeat_rows
@@ -55,7 +56,8 @@ def drawn_copies(u: Column, label: Column, profile: ClassProfile, how: str, perc
 
 
 class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable, DefaultParamsWritable):
-    """Soft-voting forest over rebalanced bootstraps; fits to Spark's own forest model.
+    """Soft-voting forest over rebalanced bootstraps; fits to Spark's own forest model, or to a
+    :class:`~equipoise.operators.plain.SummedModel` with ``plain=True``.
 
     ``resampling`` is none, rus, ros or balance; ``perc`` is the percentage of rus (kept) or ros (added), 0 balances.
     ``memberBootstrap=True`` also lets each member's forest bootstrap its sample a second time.
@@ -78,24 +80,30 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
     memberBootstrap = param("memberBootstrap", "bootstrap again inside each member", TypeConverters.toBoolean)
     partitions = param("partitions", "partitions of the training table, 0 leaves them as they are", TypeConverters.toInt)
     parallelism = param("parallelism", "members trained at the same time", TypeConverters.toInt)
+    plain = param("plain", "fit to a model that sums its members, without the JVM gateway", TypeConverters.toBoolean)
 
     def __init__(self, **kwargs: Any) -> None:
         super().__init__()
         self._setDefault(
             resampling="rus", perc=0.0, numResamples=100, numTrees=1, subsamplingRate=1.0, maxDepth=5, maxBins=32,
             minInstancesPerNode=1, minInfoGain=0.0, maxMemoryInMB=256, cacheNodeIds=False, checkpointInterval=10,
-            featureSubsetStrategy="auto", memberBootstrap=False, parallelism=4, partitions=0,
+            featureSubsetStrategy="auto", memberBootstrap=False, parallelism=4, partitions=0, plain=False,
         )
         self._set(**kwargs)
         self.resampler: Callable[[DataFrame, int], DataFrame] | None = None
 
     def setResampler(self, resampler: Callable[[DataFrame, int], DataFrame] | None) -> RebalancedBaggingClassifier:
         """Any resampling in place of ``resampling``: gets a member's bootstrap (key columns, label, features as a vector,
-        ``_copy`` numbering a row's repeats) and a seed, and returns rows with at least label and features. Not saved."""
+        ``_copy`` numbering a row's repeats) and a seed, and returns rows with at least label and features. An estimator with one cannot be saved."""
         self.resampler = resampler
         return self
 
-    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+    def write(self) -> MLWriter:
+        if self.resampler:
+            raise ValueError("a resampler given as a function cannot be saved: call setResampler(None) first, and again after loading")
+        return super().write()
+
+    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel | SummedModel:
         key, v = self.getKeyCols(), self.value
         label = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
         table = dataset.select(
@@ -113,6 +121,8 @@ class RebalancedBaggingClassifier(Estimator, LabelledRows, DefaultParamsReadable
                 models = pool.map(train, range(v("numResamples")), chunksize=1)
             finally:
                 pool.close()
+        if v("plain"):
+            return SummedModel(models).setFeaturesCol(v("featuresCol"))
         out = forest(models, size).setFeaturesCol(v("featuresCol"))
         return out._set(labelCol=v("labelCol"))
 

@@ -47,7 +47,7 @@ def random_undersample(
     majority = F.col(label) == F.lit(p.majority)
     if mode == "exact":
         kept = p.minority_size if perc_under == 0 else math.floor(p.majority_size * fraction)
-        return df.filter(~majority | exact_cutoff(df.filter(majority), kept, key, seed, "under"))
+        return df.filter(~majority | exact_cutoff(df.filter(majority), kept, key, seed, "under", p.majority_size))
     return df.filter(~majority | (uniform(key, seed, "under") < fraction))
 
 
@@ -72,7 +72,7 @@ def random_oversample(
     if mode == "exact":
         total = p.majority_size - p.minority_size if perc_over == 0 else math.floor(p.minority_size * rate)
         each, rest = whole_copies(total, p.minority_size)
-        extra = F.lit(each) + exact_cutoff(df.filter(minority), rest, key, seed, "over").cast("int")
+        extra = F.lit(each) + exact_cutoff(df.filter(minority), rest, key, seed, "over", p.minority_size).cast("int")
     else:
         extra = poisson(F.col("_u"), rate)
     # Only rows of the rarest class unfold; the others pass through a filter.
@@ -115,8 +115,8 @@ def random_balance(
     grows = F.col(label) == F.lit(grow)
     if mode == "exact":
         each, rest = whole_copies(grow_new, grow_old)
-        more = F.lit(each) + exact_cutoff(df.filter(grows), rest, key, seed, "grow").cast("int")
-        kept = exact_cutoff(df.filter(~grows), shrink_new, key, seed, "shrink").cast("int")
+        more = F.lit(each) + exact_cutoff(df.filter(grows), rest, key, seed, "grow", grow_old).cast("int")
+        kept = exact_cutoff(df.filter(~grows), shrink_new, key, seed, "shrink", shrink_old).cast("int")
     else:
         more = poisson(F.col("_u"), grow_new / grow_old)
         kept = (F.col("_u") < shrink_new / shrink_old).cast("int")

@@ -30,7 +30,7 @@ from equipoise.operators.sampling import bernoulli, bootstrap, exact_sample, poi
 from equipoise.operators.synth import rose, smote
 from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
 from equipoise.plans.algorithms import experiment
-from equipoise.plans.evaluate import Experiment, confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv
+from equipoise.plans.evaluate import Experiment, confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv, stratified_folds
 from equipoise.plans.fixtures import CUSTOMER, DOC, EVENT, LINE, ORDER, VEC, customers, embeddings, events, labelled_documents, lineitem, orders
 from equipoise.sources.session import scratch_path
 from equipoise.sources.sinks import read_predictions, write_all_predictions
@@ -578,6 +578,13 @@ def kfold_assignment(spark, sf):
     return kfold_assign(lineitem(spark, sf), LINE, folds=5, repetitions=2, seed=SEED).select(*LINE, "fold_1", "fold_2")
 
 
+@query
+def kfold_stratified(spark, sf):
+    """Folds that hold each class in equal parts, for two repetitions."""
+    df = lineitem(spark, sf).groupBy(*LINE).agg(F.max("label").alias("label"))  # the smallest table repeats some keys
+    return stratified_folds(df, LINE, folds=5, repetitions=2, seed=SEED).select(*LINE, "label", "fold_1", "fold_2")
+
+
 def _rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem(spark, sf)
     price, rep = F.col("features")[0], F.explode(F.sequence(F.lit(1), F.lit(2))).alias("repetition")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from equipoise.functions.randomness import derive_seed, uniform
 from equipoise.functions.vectors import Features, as_vector, min_max, min_max_scale
 from equipoise.operators.profile import class_profile, class_weights, label_decode, label_index
+from equipoise.operators.sampling import class_places
 from equipoise.sources.sinks import finished_runs, read_predictions, write_fold_predictions
 
 Resampler = Transformer | Callable[[DataFrame], DataFrame] | None
@@ -30,6 +31,17 @@ def kfold_assign(df: DataFrame, key: Sequence[str], folds: int, repetitions: int
     return df.withColumns({f"fold_{r}": fold_of(key, folds, seed, r) for r in range(1, repetitions + 1)})
 
 
+def stratified_folds(
+    df: DataFrame, key: Sequence[str], folds: int, label: str = "label", repetitions: int = 1, seed: int = 0
+) -> DataFrame:
+    """Add ``fold_1`` … ``fold_<repetitions>``: in each, the rows of a class in the order of their draws go to the folds
+    in turn, so the folds of a class differ by one row at most.  A null label is a class."""
+    for r in range(1, repetitions + 1):
+        df = class_places(df, label, key, seed, f"fold{r}", "_place")
+        df = df.withColumn(f"fold_{r}", (F.lit(1) + F.col("_place") % folds).cast("int")).drop("_place")
+    return df
+
+
 def _confusion(true: str, predicted: str, positive: object) -> list[Column]:
     actual, guess = F.col(true) == F.lit(positive), F.col(predicted) == F.lit(positive)
     cells = {"tp": actual & guess, "tn": ~actual & ~guess, "fp": ~actual & guess, "fn": actual & ~guess}
@@ -108,22 +120,23 @@ def _run(
 
 
 def run_name(
-    dataset: str, experiment: Experiment, key: Sequence[str], label: str, features: Features, folds: int, seed: int, scale: str | None
-) -> str:
+    dataset: str, experiment: Experiment, key: Sequence[str], label: str, features: Features, folds: int, seed: int, scale: str | None,
+    stratified: bool = False,
+) -> str:
     """Folder of an experiment's runs: readable names and a digest of everything that changes a run."""
     parts = [dataset, experiment.name, experiment.weighted, list(key), label, features if isinstance(features, str) else list(features)]
-    digest = hashlib.md5(repr([*parts, folds, type(seed).__name__, int(seed), scale]).encode()).hexdigest()[:16]
+    digest = hashlib.md5(repr([*parts, folds, type(seed).__name__, int(seed), scale, *(["stratified"] if stratified else [])]).encode()).hexdigest()[:16]
     return "-".join([*(re.sub(r"[^A-Za-z0-9_.]", "_", x) for x in (dataset, experiment.name)), digest])
 
 
-def _check_folds(rows: DataFrame, key: Sequence[str], folds: int, seed: int, repetitions: Sequence[int]) -> None:
+def _check_folds(rows: DataFrame, fold: Callable[[int], Column], folds: int, repetitions: Sequence[int]) -> None:
     """Every training part has both classes: one count by fold and class for all repetitions."""
-    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), fold_of(key, folds, seed, r).alias("f")) for r in repetitions]))
+    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), fold(r).alias("f")) for r in repetitions]))
     counts = rows.select("label", runs.alias("run")).groupBy("run.r", "run.f", "label").count().collect()  # runs x two classes
     for r in repetitions:
-        for fold in range(1, folds + 1):
-            if len({c["label"] for c in counts if c["r"] == r and c["f"] != fold}) < 2:
-                raise ValueError(f"the training part of repetition {r}, fold {fold} lacks a class: take fewer folds or another seed")
+        for f in range(1, folds + 1):
+            if len({c["label"] for c in counts if c["r"] == r and c["f"] != f}) < 2:
+                raise ValueError(f"the training part of repetition {r}, fold {f} lacks a class: take fewer folds or another seed")
 
 
 def repeated_cv(
@@ -141,6 +154,7 @@ def repeated_cv(
     resume: bool = True,
     fmt: str = "parquet",
     files: int | None = None,
+    stratified: bool = False,
 ) -> DataFrame:
     """Repeated k-fold evaluation; every finished (repetition, fold) is written under ``out``, below a folder named by
     :func:`run_name` after the data set, the algorithm and all that changes its runs.
@@ -151,6 +165,7 @@ def repeated_cv(
     ``folds=1`` trains and tests on everything.  ``scale`` fits the min-max scaling on each training part
     (``"fold"``), once on the whole table (``"global"``), or not at all (None).
     ``files`` sets the number of files per run; by default Spark's partitions decide.
+    ``stratified`` deals each class to the folds in turn (:func:`stratified_folds`).
     Returns the predictions of the runs asked for, read back from ``out``.
     """
     if repetitions < 1 or folds < 1:
@@ -162,18 +177,21 @@ def repeated_cv(
     if scale == "global":
         rows = min_max_scale(rows, "features")
     class_profile(rows, "label").require_binary("an experiment")
-    out = f"{out}/{run_name(dataset, experiment, key, label, features, folds, seed, scale)}"
+    out = f"{out}/{run_name(dataset, experiment, key, label, features, folds, seed, scale, stratified)}"
     done = finished_runs(spark, out, fmt) if resume else set()
     asked = [(r, f) for r in range(1, repetitions + 1) for f in range(1, folds + 1)]
     pending = [run for run in asked if run not in done]
-    rows = rows.persist() if pending else rows
+    place = (lambda r: F.col(f"fold_{r}")) if stratified else (lambda r: fold_of(key, folds, seed, r))
+    dealt = stratified_folds(rows, key, folds, "label", repetitions, seed) if stratified and pending and folds > 1 else rows
+    rows = dealt.persist() if pending else rows
+    extra = [c for c in rows.columns if c.startswith("fold_") and c not in key]
     try:
         if pending and folds > 1:
-            _check_folds(rows, key, folds, seed, sorted({r for r, _ in pending}))
+            _check_folds(rows, place, folds, sorted({r for r, _ in pending}))
         for repetition, fold in pending:
-            in_test = fold_of(key, folds, seed, repetition) == fold
-            train = rows.filter(~in_test) if folds > 1 else rows
-            test = rows.filter(in_test) if folds > 1 else rows
+            in_test = place(repetition) == fold if folds > 1 else F.lit(True)
+            train = rows.filter(~in_test).drop(*extra) if folds > 1 else rows
+            test = rows.filter(in_test).drop(*extra) if folds > 1 else rows
             scored, train_time, per_row = _run(experiment, train, test, scale, derive_seed(seed, repetition, fold))
             stamped = scored.select(
                 F.lit(dataset).alias("dataset"),

@@ -498,6 +498,10 @@ def _fold(folds: int, repetition: int) -> str:
 
 
 ORACLE["kfold_assignment"] = f"SELECT {LINE}, {_fold(5, 1)} AS fold_1, {_fold(5, 2)} AS fold_2 FROM lineitem"
+_DEALT = ", ".join(
+    f"CAST(1 + (row_number() OVER (PARTITION BY label ORDER BY {u(f'fold{r}', *LINE_LIST)}, {LINE}) - 1) % 5 AS INTEGER) AS fold_{r}" for r in (1, 2)
+)
+ORACLE["kfold_stratified"] = f"""WITH d AS (SELECT {LINE}, max(label) AS label FROM {LINEITEM} GROUP BY ALL) SELECT {LINE}, label, {_DEALT} FROM d"""
 _COUNTS = """sum(CAST(label = 1 AND guess = 1 AS BIGINT))::BIGINT AS tp, sum(CAST(label = 0 AND guess = 0 AS BIGINT))::BIGINT AS tn,
     sum(CAST(label = 0 AND guess = 1 AS BIGINT))::BIGINT AS fp, sum(CAST(label = 1 AND guess = 0 AS BIGINT))::BIGINT AS fn"""
 _RULE = " UNION ALL ".join(

@@ -7,7 +7,7 @@ from equipoise.operators.boost import RebalancedGBTClassifier
 from equipoise.operators.ensemble import RebalancedBaggingClassifier
 from equipoise.operators.stages import NoResampler, RandomBalancer, RandomOversampler, RandomUndersampler, Rose, Smote
 from equipoise.plans.algorithms import experiment, grid
-from equipoise.plans.evaluate import Experiment, experiment_summary, kfold_assign, repeated_cv, run_name
+from equipoise.plans.evaluate import Experiment, experiment_summary, kfold_assign, repeated_cv, run_name, stratified_folds
 from equipoise.sources.sinks import finished_runs
 from equipoise.sources.tables import read_libsvm, with_row_key
 
@@ -19,6 +19,25 @@ def test_folds_partition_the_rows(blobs):
     assert 0.15 < df.filter("fold_1 = fold_2").count() / 3400 < 0.35
 
 
+def test_stratified_folds_hold_classes_in_equal_parts(blobs):
+    df = stratified_folds(blobs, ["id"], 7, repetitions=2, seed=1)
+    for r in (1, 2):
+        sizes = {(x["label"], x[f"fold_{r}"]): x["count"] for x in df.groupBy("label", f"fold_{r}").count().collect()}
+        for label, rows in ((1, 200), (0, 3200)):
+            mine = [sizes[label, f] for f in range(1, 8)]
+            assert sum(mine) == rows and max(mine) - min(mine) <= 1
+    assert df.count() == 3400 and 0.05 < df.filter("fold_1 = fold_2").count() / 3400 < 0.25
+
+
+def test_stratified_runs(spark, blobs, rule, tmp_path):
+    few = blobs.filter("id < 6 OR id >= 3300")  # six rare rows: a plain split may well leave a fold without any
+    done = repeated_cv(few, rule, str(tmp_path), ["id"], repetitions=1, folds=3, seed=3, stratified=True)
+    counts = {(r["fold"], r["true"]): r["count"] for r in done.groupBy("fold", "true").count().collect()}
+    assert [counts[f, "1"] for f in (1, 2, 3)] == [2, 2, 2] and sum(counts.values()) == 106
+    plain, dealt = (run_name("d", rule, ["id"], "label", "features", 3, 3, "fold", s) for s in (False, True))
+    assert plain != dealt and plain == run_name("d", rule, ["id"], "label", "features", 3, 3, "fold")
+
+
 @pytest.fixture
 def rule():
     return Experiment("none_rf", lambda seed: RandomForestClassifier(labelCol="label_index", numTrees=2, maxDepth=3, seed=seed))

@@ -13,6 +13,7 @@ from equipoise.functions.losses import log_loss, signed_label
 from equipoise.functions.vectors import as_vector
 from equipoise.operators.boost import RebalancedGBTClassifier, evaluate_each_iteration
 from equipoise.operators.ensemble import RebalancedBaggingClassifier
+from equipoise.operators.plain import SummedModel
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +158,50 @@ def test_models_do_not_follow_the_number_of_cores(spark, blobs):
         models.append(RebalancedBaggingClassifier(keyCols=["id"], numResamples=3, maxDepth=4, seed=5, partitions=4).fit(table).toDebugString)
     strip = lambda text: text.split("\n", 1)[1]
     assert strip(models[0]) == strip(models[1])
+
+
+def scores(model, df):
+    rows = model.transform(df).select("id", vector_to_array("rawPrediction").alias("r"), vector_to_array("probability").alias("p"), "prediction").orderBy("id").collect()
+    return np.array([[*r["r"], *r["p"], r["prediction"]] for r in rows])
+
+
+def test_plain_forest_scores_as_the_assembled_one(table, tmp_path):
+    base = dict(keyCols=["id"], numResamples=4, numTrees=2, maxDepth=3, seed=5, partitions=2)
+    assembled, plain = (RebalancedBaggingClassifier(**base, plain=p).fit(table) for p in (False, True))
+    part = table.filter("id % 13 = 0").withColumn("other", F.lit("kept"))
+    assert isinstance(plain, SummedModel) and len(plain.trees) == 8
+    assert np.allclose(scores(plain, part), scores(assembled, part), atol=1e-12)
+    assert set(plain.transform(part).columns) == {*part.columns, "rawPrediction", "probability", "prediction"}
+    plain.write().overwrite().save(str(tmp_path / "plain"))
+    again = SummedModel.load(str(tmp_path / "plain"))
+    assert again.uid == plain.uid and np.allclose(scores(again, part), scores(plain, part), atol=0)
+
+
+@pytest.mark.parametrize("interval", [2, 10])
+def test_plain_boosting_scores_as_the_assembled_one(table, tmp_path, interval):
+    base = dict(keyCols=["id"], resampling="rus", maxIter=5, maxDepth=3, seed=2, checkpointInterval=interval, partitions=2)
+    assembled, plain = (RebalancedGBTClassifier(**base, plain=p).fit(table) for p in (False, True))
+    part = table.filter("id % 13 = 0")
+    assert np.allclose(scores(plain, part), scores(assembled, part), atol=1e-9)
+    assert plain.treeWeights == list(assembled.treeWeights)
+    plain.write().save(str(tmp_path / "plain"))
+    assert np.allclose(scores(SummedModel.load(str(tmp_path / "plain")), part), scores(plain, part), atol=0)
+
+
+def test_a_resampler_function_is_not_lost_in_silence(table, tmp_path):
+    learner = RebalancedBaggingClassifier(keyCols=["id"], numResamples=1).setResampler(lambda df, seed: df)
+    with pytest.raises(ValueError, match="resampler"):
+        learner.write().save(str(tmp_path / "learner"))
+    learner.setResampler(None).write().save(str(tmp_path / "learner"))
+
+
+def test_losses_of_many_trees(spark):
+    rng = np.random.default_rng(3)
+    steps, y, w = rng.normal(0, 1, (40, 500)), rng.choice([-1.0, 1.0], 40), rng.uniform(0.5, 2, 40)
+    weights = [1.0] + [0.1] * 499
+    rows = [(float(a), float(b), [float(x) for x in s]) for a, b, s in zip(y, w, steps, strict=True)]
+    df = spark.createDataFrame(rows, "y double, w double, trees array<double>").repartition(3)
+    got = [r["error"] for r in evaluate_each_iteration(df, "y", "trees", weights, "w").orderBy("iteration").collect()]
+    margin = np.cumsum(steps * weights, 1)
+    want = (w[:, None] * 2 * np.logaddexp(0, -2 * y[:, None] * margin)).sum(0) / w.sum()
+    assert len(got) == 500 and np.allclose(got, want)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from equipoise.functions.randomness import FastSeed, gaussians, normal_sources, normals_from, poisson, uniform
 from equipoise.operators.profile import class_profile, class_weights
 from equipoise.operators.resample import random_balance, random_balance_sizes, random_oversample, random_undersample
+from equipoise.operators import sampling
 from equipoise.operators.sampling import exact_sample
 from equipoise.operators.tables import shuffle_rows
 
@@ -73,6 +74,46 @@ def test_exact_sample_narrows_until_few_rows_share_a_bucket(spark, monkeypatch):
     assert got == {r["id"] for r in ranked.collect()}
 
 
+@pytest.mark.parametrize("n", [1, 40, 777, 2999])
+@pytest.mark.parametrize("reach", [6.0, 0.0])
+def test_exact_sample_of_a_known_size_reads_one_window(spark, monkeypatch, n, reach):
+    """The window holds the cut-off: no pass over buckets of the whole table. Without reach it misses, and they are read."""
+    asked, plain = [], sampling._edge_by_buckets
+    monkeypatch.setattr(sampling, "_DEVIATIONS", reach)
+    monkeypatch.setattr(sampling, "_PER_BUCKET", 4)
+    monkeypatch.setattr(sampling, "_edge_by_buckets", lambda *a: asked.append(1) or plain(*a))
+    df = spark.range(3000)
+    got = {r["id"] for r in exact_sample(df, n, ["id"], 2, rows=3000).collect()}
+    ranked = df.select("id", uniform(["id"], 2, "exact").alias("u")).orderBy("u", "id").limit(n)
+    assert got == {r["id"] for r in ranked.collect()}
+    assert not asked if reach else True
+
+
+def test_exact_sample_reads_the_table_twice(spark):
+    """Once for the window, once for the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        seen.add(1)
+        yield from batches
+
+    df = spark.range(0, 4000, 1, 1).mapInArrow(read, "id long")
+    assert exact_sample(df, 1500, ["id"], 4, rows=4000).count() == 1500 and seen.value == 2
+
+
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_places_within_classes(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sampling, "_RANKED_ROWS", bucket)
+    rows = [(i, None if i % 50 == 0 else "rare" if i % 9 == 0 else "usual", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, label string, _place int").repartition(5)
+    placed = sampling.class_places(df.drop("_place"), "label", ["id"], 3, "fold1", "place")
+    got = {r["id"]: r["place"] for r in placed.collect()}
+    draws = {r["id"]: r["u"] for r in df.select("id", uniform(["id"], 3, "fold1").alias("u")).collect()}
+    for label in (None, "rare", "usual"):
+        mine = sorted((i for i, c, _ in rows if c == label), key=lambda i: (draws[i], i))
+        assert [got[i] for i in mine] == list(range(len(mine)))
+
+
 @settings(max_examples=5, deadline=None)
 @given(seed=st.integers(0, 10**6), fast=st.booleans())
 def test_sizes_and_partition_invariance(spark, seed, fast):
