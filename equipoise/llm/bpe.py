@@ -24,8 +24,8 @@ from equipoise.llm.arrow import column, ragged, text_slices
 
 #: White_Space of Unicode, which the file's ``\s`` stands for (Python's own also has U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Pieces between white space that a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 400_000
+#: Pieces between white space that a worker remembers, and their characters and ids; beyond either, it starts afresh.
+REMEMBERED, REMEMBERED_SIZE = 200_000, 4 << 20
 #: Text bytes encoded at a time.
 STEP = 1 << 20
 _NONE = np.int64(1) << 62
@@ -87,7 +87,7 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Numbered()
+        self.known, self.size = _Numbered(), 0
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +147,7 @@ class Bpe:
         lengths = count[of]
         ids = symbols[ragged(first[of], lengths)].astype(np.int32)
         edges = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(per)]]
+        self.size += sum(map(len, chunks)) + len(ids)
         base = len(self.ids)
         self.ids = np.r_[self.ids, ids]
         self.first = np.r_[self.first, base + edges[:-1]]
@@ -163,7 +164,7 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of texts + 1 entries). A null is an empty text."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.size > REMEMBERED_SIZE:
             self.forget()
         told, know, parts = len(self.first), self.known.__getitem__, []
 
