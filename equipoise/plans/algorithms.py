@@ -17,6 +17,7 @@ from equipoise.operators.ensemble import RebalancedBaggingClassifier
 from equipoise.operators.stages import NoResampler, RandomOversampler, RandomUndersampler, Rose, Smote
 from equipoise.plans.evaluate import Experiment
 
+# The names of the grid.
 BEFORE = ("none", "ros", "rus", "smote", "rose")
 LEARNERS = ("bag", "rf", "gbt", "wbag", "wrf", "wgbt")
 INSIDE = ("ros", "rus", "ranbal")
