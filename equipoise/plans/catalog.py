@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Transformer
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,11 +32,12 @@ from equipoise.operators.tables import shuffle_rows, union_with_missing_columns
 from equipoise.plans.algorithms import experiment
 from equipoise.plans.evaluate import Experiment, confusion_counts, experiment_summary, fold_of, kfold_assign, repeated_cv, stratified_folds
 from equipoise.plans.fixtures import CUSTOMER, DOC, EVENT, LINE, ORDER, VEC, customers, embeddings, events, labelled_documents, lineitem, orders
-from equipoise.sources.session import scratch_path
+from equipoise.sources.session import checkpoint, scratch_path
 from equipoise.sources.sinks import read_predictions, write_all_predictions
 from equipoise.sources.tables import read_libsvm
 
 SEED = 7
+STOP_TOL = 0.001
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -553,6 +554,70 @@ def stump_boosting_subsample(spark, sf):
     return _stump_boosting(spark, sf, "none", 0.5)
 
 
+@query
+def stump_boosting_residual(spark, sf):
+    """The second tree sees fewer rows of the commonest residual."""
+    df = _clock(spark, sf)
+    learner = RebalancedGBTClassifier(keyCols=EVENT, resampling="rus", balanceOn="residual", maxIter=2, maxDepth=1, maxBins=128, seed=SEED, generator="md5")
+    return _stump_scores(learner.fit(df), df)
+
+
+@query
+def stump_boosting_early_stop(spark, sf):
+    """Up to six trees of depth 1, as many as the loss of the held-out events asks for."""
+    df = _clock(spark, sf).withColumn("held_out", uniform(EVENT, SEED, "held-out") < 0.3)
+    learner = RebalancedGBTClassifier(
+        keyCols=EVENT, resampling="none", maxIter=6, maxDepth=1, maxBins=128, seed=SEED, generator="md5",
+        validationIndicatorCol="held_out", validationTol=STOP_TOL,
+    )
+    return _stump_scores(learner.fit(df), df)
+
+
+def _stump_forest(spark: SparkSession, sf: str, **weight: str) -> DataFrame:
+    """A forest of depth 1 without rebalancing; its trees see all rows and features."""
+    df = class_weights(_clock(spark, sf), "label", "weight")
+    forest = RandomForestClassifier(numTrees=3, maxDepth=1, maxBins=128, bootstrap=False, featureSubsetStrategy="all", seed=SEED, **weight)
+    return _stump_scores(forest.fit(df), df)
+
+
+@query
+def stump_forest_plain(spark, sf):
+    return _stump_forest(spark, sf)
+
+
+@query
+def stump_forest_weighted(spark, sf):
+    return _stump_forest(spark, sf, weightCol="weight")
+
+
+def _stump_gbt(spark: SparkSession, sf: str, **weight: str) -> DataFrame:
+    """Three trees of depth 1 without rebalancing."""
+    df = class_weights(_clock(spark, sf), "label", "weight")
+    return _stump_scores(GBTClassifier(maxIter=3, maxDepth=1, maxBins=128, seed=SEED, **weight).fit(df), df)
+
+
+@query
+def stump_gbt_plain(spark, sf):
+    return _stump_gbt(spark, sf)
+
+
+@query
+def stump_gbt_weighted(spark, sf):
+    return _stump_gbt(spark, sf, weightCol="weight")
+
+
+@query
+def stump_bagging_loaded(spark, sf):
+    """The under-sampled members, written, read back, and scored."""
+    df, path = _clock(spark, sf), scratch_path(spark, "model")
+    bagging = RebalancedBaggingClassifier(
+        keyCols=EVENT, resampling="rus", numResamples=2, maxDepth=1, maxBins=128, featureSubsetStrategy="all", seed=SEED, generator="md5"
+    )
+    model = bagging.fit(df)
+    model.write().overwrite().save(path)
+    return _stump_scores(type(model).load(path), df)
+
+
 @query
 def identity_resample(spark, sf):
     return no_resample(events(spark, sf)).select(*EVENT, "label")
@@ -729,14 +794,14 @@ def _cv(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return experiment_summary(done, "1").drop("train_time", "predict_time")
 
 
-def _stump_cv(spark: SparkSession, sf: str, stump: Experiment) -> DataFrame:
-    done = repeated_cv(_clock(spark, sf), stump, scratch_path(spark, "cv"), EVENT, dataset="events", repetitions=1, seed=SEED, scale=None)
+def _stump_cv(spark: SparkSession, sf: str, stump: Experiment, **how: int) -> DataFrame:
+    options = {"repetitions": 1, "seed": SEED, "scale": None, **how}
+    done = repeated_cv(_clock(spark, sf), stump, scratch_path(spark, "cv"), EVENT, dataset="events", **options)
     return experiment_summary(done, "1.0").drop("train_time", "predict_time")
 
 
-@query
-def cv_stump_resampled(spark, sf):
-    """Two folds; each training part is balanced by under-sampling before a tree of depth 1 learns from it."""
+def _rus_stump() -> Experiment:
+    """A tree of depth 1 that learns from an under-sampled training part."""
 
     def learner(seed: int) -> RandomForestClassifier:
         return RandomForestClassifier(labelCol="label_index", numTrees=1, maxDepth=1, maxBins=128, bootstrap=False, featureSubsetStrategy="all", seed=seed)
@@ -744,7 +809,31 @@ def cv_stump_resampled(spark, sf):
     def balance(seed: int) -> Callable[[DataFrame], DataFrame]:
         return lambda df: random_undersample(df, EVENT, seed=seed, perc_under=0)
 
-    return _stump_cv(spark, sf, Experiment("rus_stump", learner, balance))
+    return Experiment("rus_stump", learner, balance)
+
+
+@query
+def cv_stump_resampled(spark, sf):
+    """Two folds; each training part is balanced by under-sampling before a tree of depth 1 learns from it."""
+    return _stump_cv(spark, sf, _rus_stump())
+
+
+@query
+def cv_stump_resubstitution(spark, sf):
+    """One fold: trained and tested on all rows."""
+    return _stump_cv(spark, sf, _rus_stump(), folds=1)
+
+
+@query
+def cv_stump_resumed(spark, sf):
+    """One repetition, then two under the same name: ``kept`` says which runs are still those of the first call."""
+    df, out = _clock(spark, sf), scratch_path(spark, "cv")
+    how = {"dataset": "events", "seed": SEED, "scale": None}
+    before = checkpoint(experiment_summary(repeated_cv(df, _rus_stump(), out, EVENT, repetitions=1, **how), "1.0"))
+    before = before.select("repetition", "fold", F.col("train_time").alias("first_time"))
+    after = experiment_summary(repeated_cv(df, _rus_stump(), out, EVENT, repetitions=2, **how), "1.0")
+    kept = F.coalesce(F.col("train_time") == F.col("first_time"), F.lit(False))
+    return after.join(before, ["repetition", "fold"], "left").withColumn("kept", kept).drop("train_time", "predict_time", "first_time")
 
 
 @query

@@ -484,6 +484,53 @@ def _stump_boosting(how: str, rate: float = 1.0) -> str:
 for _how in ("rus", "ros", "balance"):
     ORACLE[f"stump_boosting_{_how}"] = _stump_boosting(_how)
 ORACLE["stump_boosting_subsample"] = _stump_boosting("none", 0.5)
+
+
+def _plain_boosting(rounds: int, weight: str = "1.0", held: str = "false", tol: float = 0.0) -> str:
+    """Boosting without draws, its rounds one after the other; with held-out rows, as many trees as the rule keeps."""
+    at = "CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END <= cut THEN low ELSE high END"
+    steps = [f"""WITH {sizes(EVENTS)}, s0 AS MATERIALIZED (SELECT event_id, 2.0 * label - 1.0 AS y, features[3] AS x0, features[4] AS x1,
+        ({weight})::DOUBLE AS w, {held} AS held, 0.0::DOUBLE AS margin FROM {EVENTS}, p)"""]
+    for r in range(rounds):
+        res = "y" if r == 0 else "4.0 * y / (1.0 + exp(2.0 * y * margin))"
+        steps.append(_stump(f"g{r}", f"(SELECT x0, x1, w, {res} AS res FROM s{r} WHERE NOT held)", "res"))
+        steps.append(f"s{r + 1} AS MATERIALIZED (SELECT s{r}.* REPLACE (margin + {1.0 if r == 0 else 0.1} * {at} AS margin) FROM s{r}, g{r})")
+    losses = " UNION ALL ".join(f"SELECT {r} AS r, sum(w * 2.0 * ln(1.0 + exp(-2.0 * y * margin))) / sum(w) AS loss FROM s{r} WHERE held" for r in range(1, rounds + 1))
+    steps.append(f"v AS (SELECT r, loss, lag(loss) OVER (ORDER BY r) AS last FROM ({losses}))")
+    steps.append(f"k AS (SELECT coalesce(min(r) - 1, {rounds}) AS k FROM v WHERE last - loss < {tol} * greatest(loss, 0.01))")
+    ends = " UNION ALL ".join(f"SELECT event_id, margin FROM s{r}, k WHERE k = {r}" for r in range(1, rounds + 1))
+    return f"""{", ".join(steps)}
+    SELECT event_id, round(1.0 / (1.0 + exp(-2.0 * margin)), 9) AS probability, CAST(margin > 0 AS INTEGER) AS prediction FROM ({ends})"""
+
+
+_BALANCED = "(n_maj + n_min) / 2.0 / CASE WHEN label = l_maj THEN n_maj ELSE n_min END"
+ORACLE["stump_gbt_plain"] = _plain_boosting(3)
+ORACLE["stump_gbt_weighted"] = _plain_boosting(3, _BALANCED)
+ORACLE["stump_boosting_early_stop"] = _plain_boosting(6, held=f"{u('held-out', 'event_id')} < 0.3", tol=0.001)
+
+
+def _stump_forest(weight: str) -> str:
+    return f"""WITH {sizes(EVENTS)}, t AS (SELECT label, features[3] AS x0, features[4] AS x1, ({weight})::DOUBLE AS w FROM {EVENTS}, p),
+    {_stump("cut_at", "t", "label")},
+    o AS (SELECT event_id, CASE WHEN (low > 0.5) = (high > 0.5) THEN mean
+        WHEN CASE f WHEN 0 THEN features[3] ELSE features[4] END <= cut THEN low ELSE high END AS p FROM {EVENTS}, cut_at)
+    SELECT event_id, round(p, 9) AS probability, CAST(p > 0.5 AS INTEGER) AS prediction FROM o"""
+
+
+ORACLE["stump_forest_plain"] = _stump_forest("1.0")
+ORACLE["stump_forest_weighted"] = _stump_forest(_BALANCED)
+ORACLE["stump_bagging_loaded"] = ORACLE["stump_bagging_rus"]
+_RESIDUAL_U = u("boost", "event_id", seed=1598980084)  # the seed of every round
+ORACLE["stump_boosting_residual"] = f"""WITH e AS (SELECT event_id, 2.0 * label - 1.0 AS y, features[3] AS x0, features[4] AS x1, 1 AS w FROM {EVENTS}),
+    {_stump("g0", "e", "y")},
+    m AS (SELECT event_id, y, x0, x1, CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END <= cut THEN low ELSE high END AS margin FROM e, g0),
+    r AS (SELECT *, 4.0 * y / (1.0 + exp(2.0 * y * margin)) AS res FROM m),
+    c AS (SELECT res, count(*) AS n FROM r GROUP BY res),
+    a AS (SELECT min(n) / max(n) AS rate, arg_max(res, n) AS maj FROM c),
+    d AS (SELECT x0, x1, res, CASE WHEN res = maj THEN CAST({_RESIDUAL_U} < rate AS INTEGER) ELSE 1 END AS w FROM r, a),
+    {_stump("g1", "d", "res")},
+    o AS (SELECT event_id, margin + 0.1 * CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END <= cut THEN low ELSE high END AS margin FROM m, g1)
+    SELECT event_id, round(1.0 / (1.0 + exp(-2.0 * margin)), 9) AS probability, CAST(margin > 0 AS INTEGER) AS prediction FROM o"""
 ORACLE["soft_voting"] = """WITH m AS (SELECT event_id, value / 100.0 AS p FROM events
         UNION ALL SELECT event_id, (user_id % 10) / 10.0 FROM events
         UNION ALL SELECT event_id, hour(ts) / 24.0 FROM events),
@@ -515,14 +562,14 @@ ORACLE["summary"] = f"""SELECT 'lineitem' AS dataset, 'price_rule' AS algorithm,
     CAST(0 AS BIGINT) AS train_time, CAST(0 AS BIGINT) AS predict_time FROM ({_RULE}) GROUP BY repetition, fold"""
 ORACLE["libsvm_source"] = """SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(label AS DOUBLE)::VARCHAR) - 1 AS INTEGER)
     AS label, count(*) AS n, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY embeddings.label"""
-_FOLD_SEEDS = (1756459664, 1651806069)  # seeds of the folds of repetition 1
-_EVENT_FOLD = f"CAST(1 + floor({u('fold1', 'event_id')} * 2) AS INTEGER)"
+_FOLD_SEEDS = {1: (1756459664, 1651806069), 2: (1913876576, 181427221)}  # seeds of the folds of each repetition
 
 
-def _stump_cv(name: str, inside: bool) -> str:
+def _stump_cv(name: str, inside: bool, repetitions: int = 1, folds: int = 2, more: str = "") -> str:
     parts = []
-    for fold, seed in enumerate(_FOLD_SEEDS, 1):
-        train = f"(SELECT * FROM {EVENTS} WHERE {_EVENT_FOLD} <> {fold})"
+    for r, f in [(r, f) for r in range(1, repetitions + 1) for f in range(1, folds + 1)]:
+        seed, place = _FOLD_SEEDS[r][f - 1], f"CAST(1 + floor({u(f'fold{r}', 'event_id')} * {folds}) AS INTEGER)"
+        train = f"(SELECT * FROM {EVENTS} WHERE {place} <> {f})" if folds > 1 else EVENTS
         if inside:
             taken = _member("rus", 0, train, seed)
         else:
@@ -531,10 +578,12 @@ def _stump_cv(name: str, inside: bool) -> str:
                 FROM {train}, p)"""
         guess = "CASE WHEN CASE f WHEN 0 THEN features[3] ELSE features[4] END <= cut THEN low ELSE high END > 0.5"
         parts.append(f"""SELECT * FROM (WITH {taken}, {_stump("cut_at", "t", "label")}
-            SELECT {fold} AS fold, label, CAST({guess} AS INTEGER) AS guess FROM {EVENTS}, cut_at WHERE {_EVENT_FOLD} = {fold})""")
-    return f"""SELECT 'events' AS dataset, '{name}' AS algorithm, 1 AS repetition, fold, {_COUNTS}
-        FROM ({" UNION ALL ".join(parts)}) GROUP BY fold"""
+            SELECT {r} AS repetition, {f} AS fold, label, CAST({guess} AS INTEGER) AS guess FROM {EVENTS}, cut_at WHERE {place} = {f})""")
+    return f"""SELECT 'events' AS dataset, '{name}' AS algorithm, repetition, fold, {_COUNTS}{more}
+        FROM ({" UNION ALL ".join(parts)}) GROUP BY repetition, fold"""
 
 
 ORACLE["cv_stump_resampled"] = _stump_cv("rus_stump", False)
 ORACLE["cv_stump_inside"] = _stump_cv("stump_rus", True)
+ORACLE["cv_stump_resubstitution"] = _stump_cv("rus_stump", False, folds=1)
+ORACLE["cv_stump_resumed"] = _stump_cv("rus_stump", False, repetitions=2, more=", repetition = 1 AS kept")
