@@ -17,8 +17,8 @@ from equipoise.llm.arrow import unused
 from equipoise.llm.hostrules import split_words, with_value
 from equipoise.sources.session import checkpoint
 
-#: Words of a block; words of a shard; most shards of a source, whose quotas are found within one row.
-BLOCK, SHARD_WORDS, MAX_SHARDS = 32, 100_000, 4096
+#: Words of a block; words of a shard; shards, or groups of them, whose quotas are found within one row.
+BLOCK, SHARD_WORDS, FAN = 32, 100_000, 4096
 #: Sources that one task ranks; quotients that are sorted at the end of the search; candidates tried in one pass.
 RANKED, SORTED, TRIED = 100_000, 10_000, 31
 SEED = 11
@@ -107,8 +107,29 @@ def source_quotas(table: DataFrame, blocks: int) -> DataFrame:
     return base.join(picked, "rank", "left").select("rank", quota.alias("quota"))
 
 
+def nested_quotas(shards: DataFrame, quotas: DataFrame, widest: int) -> DataFrame:
+    """(rank, shard, shard_size, blocks): a source's quota over its shards, ``widest`` at most.
+
+    More than ``FAN`` shards are dealt in levels: a source's quota goes to groups of shards, a group's to smaller ones,
+    each level by the same rule, so that no row holds more than ``FAN`` parts at any number of shards.
+    """
+    spans = [1]
+    while spans[-1] * FAN < widest:
+        spans.append(spans[-1] * FAN)
+    parents = [F.col("rank"), F.lit(0).cast("long").alias("above")]
+    given = quotas.select(F.struct(*parents).alias("rank"), "quota")
+    for span in reversed(spans):
+        part = F.floor(F.col("shard") / span).cast("long")
+        parts = shards.select("rank", part.alias("shard"), "shard_size", "room").groupBy("rank", "shard").agg(F.sum("shard_size").alias("shard_size"), F.sum("room").alias("room"))
+        above = F.floor(F.col("shard") / FAN).cast("long").alias("above")
+        given = shard_quotas(parts.withColumn("rank", F.struct("rank", above)), given)
+        if span > 1:
+            given = checkpoint(given.select(F.struct("rank.rank", F.col("shard").alias("above")).alias("rank"), F.col("blocks").alias("quota")))
+    return given.withColumn("rank", F.col("rank.rank"))
+
+
 def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(rank, shard, shard_size, blocks): a source's quota over its shards by the same rule, within one row per source."""
+    """(rank, shard, shard_size, blocks): the quota of a rank over its shards by the same rule, within one row per rank."""
     held = F.sort_array(F.collect_list(F.struct("shard", "shard_size", F.col("shard_size").cast("double").alias("v"), F.col("room").cast("double").alias("c"))))
     rows = shards.groupBy("rank").agg(held.alias("held")).join(quotas, "rank")
 
@@ -144,29 +165,30 @@ def mix(
     ``size`` counts the words ``[^\\x20\\x09-\\x0D]+`` of the whole text (null: none). The mix has ``share`` times all
     words; sources, ordered by code point and a null source last, weigh ``weights`` in turn, and none is taken more than
     ``cap`` times. ``taken`` counts the words that the document gives, repeats included: ``cap`` x size at most. A source
-    misses its target by a block, and where it is taken ``cap`` times by a block per shard. An empty table gives no
-    rows, documents without words give none. The draw follows from ``seed`` and the keys; rows that share a key are
-    ordered by their size.
+    misses its target by a block, and where it is taken ``cap`` times by a block per shard; a shard of less than a block
+    has one that ends with it. An empty table gives no rows, documents without words give none. The draw follows from
+    ``seed``, keys and texts, so that rows that share a key or have none are spread; rows equal in both give in turn.
     """
-    sizes = df.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.size(split_words(text)).cast("long").alias("size"))
+    tag = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    sizes = df.select(F.col(key).alias("_key"), tag.alias("_tag"), F.col(source).alias("source"), F.size(split_words(text)).cast("long").alias("size"))
     sizes = checkpoint(sizes)  # the only reading of the texts
     found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = targets(checkpoint(ranked_sources(checkpoint(found))), share, weights, cap)
-    cuts = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(MAX_SHARDS))
+    cuts = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     table = checkpoint(table.withColumn("shards", cuts))
-    name = F.coalesce(F.col("_key").cast("string"), F.lit(""))
     docs = sizes.join(table.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).select(
-        "_key", "size", "source_size", "target", "rank", F.pmod(_draw(F.lit(f"shard {seed}"), name), F.col("shards")).alias("shard")
+        "_key", "_tag", "size", "source_size", "target", "rank", F.pmod(_draw(F.lit(f"shard {seed}"), F.col("_tag")), F.col("shards")).alias("shard")
     )
     shards = checkpoint(docs.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")))
-    shards = shards.withColumn("room", F.floor(F.col("shard_size") * cap / block))
+    some = (F.col("shard_size") * cap > 0).cast("long")
+    shards = shards.withColumn("room", F.greatest(F.floor(F.col("shard_size") * cap / block), some))
     room = shards.groupBy("rank").agg(F.sum("room").alias("capacity"))
     table = checkpoint(table.join(room, "rank"))
-    sums = table.agg(F.sum("source_size"), F.sum("capacity")).first()
+    sums = table.agg(F.sum("source_size"), F.sum("capacity"), F.max("shards")).first()
     blocks = min(int(share * (sums[0] or 0) / block + 0.5), sums[1] or 0)
-    quotas = shard_quotas(shards, source_quotas(table, blocks))
+    quotas = nested_quotas(shards, source_quotas(table, blocks), sums[2] or 1)
     rows = docs.withColumnRenamed("size", "_size").join(quotas, ["rank", "shard"])
-    order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), name))
+    order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.col("_tag")))
     ring = Window.partitionBy("rank", "shard").orderBy(order, "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("first", F.sum("_size").over(ring) - F.col("_size"))
     length = F.greatest("shard_size", F.lit(1))
@@ -176,7 +198,8 @@ def mix(
         """Words of the document among the first x words of the endless ring."""
         return F.floor(x / length) * F.col("_size") + F.least(F.greatest(F.pmod(x, length) - F.col("first"), F.lit(0)), F.col("_size"))
 
-    taken = before(start + F.col("blocks") * block) - before(start)
+    run = F.least(F.col("blocks") * block, F.col("shard_size") * cap)
+    taken = before(start + run) - before(start)
     return rows.select(F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 

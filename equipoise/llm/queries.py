@@ -136,7 +136,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d""",
     "op7_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+WITH d AS (SELECT doc_id, source, md5(doc_id || ':' || md5(coalesce(text, ''))) AS tag, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
            FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s0),
@@ -146,10 +146,10 @@ s3 AS (SELECT *, sum(most) OVER w - most AS below, sum(weight) OVER () - sum(wei
 level AS (SELECT (1.5::DOUBLE * total::DOUBLE - below::DOUBLE) / open::DOUBLE AS level FROM s3
           WHERE weight * ((1.5::DOUBLE * total::DOUBLE - below::DOUBLE) / open::DOUBLE) <= most ORDER BY most / weight, rank LIMIT 1),
 t AS (SELECT s2.*, CASE WHEN weight * level > most THEN most::DOUBLE ELSE weight * level END AS target,
-        least(greatest(ceil(source_size / 100000.0), 1), 4096)::BIGINT AS shards FROM s2, level),
-p AS (SELECT doc_id, size, source_size, target, rank, ('0x' || md5('shard 11:' || doc_id)[1:8])::BIGINT % shards AS shard
+        greatest(ceil(source_size / 100000.0), 1)::BIGINT AS shards FROM s2, level),
+p AS (SELECT doc_id, tag, size, source_size, target, rank, ('0x' || md5('shard 11:' || tag)[1:8])::BIGINT % shards AS shard
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-h AS (SELECT rank, shard, sum(size)::BIGINT AS shard_size, floor(sum(size) * 2 / 32)::BIGINT AS room FROM p GROUP BY ALL),
+h AS (SELECT rank, shard, sum(size)::BIGINT AS shard_size, greatest(floor(sum(size) * 2 / 32), (sum(size) > 0)::INT)::BIGINT AS room FROM p GROUP BY ALL),
 c AS (SELECT t.rank, target, sum(room)::BIGINT AS capacity, any_value(source_size) AS source_size FROM t JOIN h USING (rank) GROUP BY ALL),
 n AS (SELECT least(floor(1.5 * sum(source_size) / 32 + 0.5), sum(capacity)) AS blocks FROM c),
 a AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rank) AS place
@@ -158,12 +158,12 @@ q AS (SELECT rank, count(*) AS quota FROM a, n WHERE place <= blocks GROUP BY ra
 b AS (SELECT rank, shard, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * k - 1) DESC, shard) AS place
       FROM (SELECT rank, shard, shard_size, unnest(range(1, room + 1)) AS k FROM h)),
 u AS (SELECT b.rank, shard, count(*) AS blocks FROM b JOIN q USING (rank) WHERE place <= quota GROUP BY ALL),
-r AS (SELECT p.*, greatest(shard_size, 1) AS len, coalesce(blocks, 0) AS blocks,
-        sum(size) OVER (PARTITION BY p.rank, p.shard ORDER BY md5('order 11:' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - size AS first,
+r AS (SELECT p.*, greatest(shard_size, 1) AS len, least(coalesce(blocks, 0) * 32, shard_size * 2) AS run,
+        sum(size) OVER (PARTITION BY p.rank, p.shard ORDER BY md5('order 11:' || tag), doc_id ROWS UNBOUNDED PRECEDING) - size AS first,
         ('0x' || md5('start 11:' || p.rank || ':' || p.shard)[1:8])::BIGINT % greatest(shard_size, 1) AS start
       FROM p JOIN h USING (rank, shard) LEFT JOIN u ON u.rank = p.rank AND u.shard = p.shard)
 SELECT doc_id, size, source_size, target,
-       (((start + blocks * 32) // len * size + least(greatest((start + blocks * 32) % len - first, 0), size))
+       (((start + run) // len * size + least(greatest((start + run) % len - first, 0), size))
         - (start // len * size + least(greatest(start % len - first, 0), size)))::BIGINT AS taken
 FROM r""",
     "op11_hard_negatives": """

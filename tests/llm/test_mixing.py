@@ -101,6 +101,38 @@ def test_mixed_rows_repeat_whole_documents(spark):
     assert all(n[k] == round(t / 40) for k, t in taken.items() if t % 40 != 20)
 
 
+def test_a_source_of_a_few_words_is_taken(spark):
+    rows = [(1, "one two three four five", "tiny"), (2, "six", "tiny"), (3, "w " * 9, "tiny"), *((k, "w " * 200, "big") for k in range(10, 40))]
+    got = mix(documents(spark, rows)).collect()
+    tiny = [r for r in got if r["source_size"] == 15]
+    assert {r["target"] for r in tiny} == {30.0} and sum(r["taken"] for r in tiny) == 30
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_quotas_in_levels(spark, monkeypatch, fan):
+    rows = [(k, "w " * (20 + k % 80), "a" if k % 3 else "b") for k in range(400)]
+    flat = mix(documents(spark, rows), shard_words=900).collect()
+    monkeypatch.setattr(mixing, "FAN", fan)
+    deep = mix(documents(spark, rows), shard_words=900).collect()
+    assert {r["target"] for r in deep} == {r["target"] for r in flat}
+    for found in (flat, deep):
+        for t in {r["target"] for r in found}:
+            mine = [r for r in found if r["target"] == t]
+            shards = -(-mine[0]["source_size"] // 900)
+            assert shards > 2 * fan and abs(sum(r["taken"] for r in mine) - t) <= 32 * (shards + 2)
+            assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+
+
+def test_rows_without_a_key_are_spread_over_shards(spark):
+    rows = [(None, f"a{k} " + "w " * 50, "a") for k in range(300)] + [(7, f"b{k} " + "w " * 50, "a") for k in range(300)]
+    got = mix(documents(spark, rows), share=0.5, shard_words=1000).collect()
+    assert len(got) == 600
+    # A shard's run cuts the documents at its two ends: one shard would cut two of those that share a key.
+    for key in (None, 7):
+        assert sum(0 < r["taken"] < r["size"] for r in got if r["doc_id"] == key) > 10
+
+
 def test_empty_table_and_texts_without_words(spark):
     assert mix(documents(spark, []).limit(0)).count() == 0
     got = mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()
