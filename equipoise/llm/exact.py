@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.llm.arrow import unused
+from equipoise.sources.session import checkpoint
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,8 +56,26 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sal
 
 
 def drop_exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
-    """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay."""
+    """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay.
+
+    Rows that repeat the staying key and text leave one of them, whatever their other columns.
+    """
     best, digest = unused(df, "_kept", "_digest")
-    kept = exact_duplicates(df, key, text, salts).where("kept").select(F.col(key).alias(best), F.col("text_sha256").alias(digest)).distinct()
+    kept = exact_duplicates(df, key, text, salts).where("kept").groupBy(F.col(key).alias(best), F.col("text_sha256").alias(digest)).count()
     same = F.col(key).eqNullSafe(F.col(best)) & (F.sha2(ascii_lower(text), 256) == F.col(digest))
-    return df.join(kept, same, "left_semi")
+    return one_of_each(df, kept, same, [best, digest])
+
+
+def one_of_each(df: DataFrame, kept: DataFrame, same: Column, names: list[str]) -> DataFrame:
+    """The rows of ``df`` that meet a row of ``kept`` (``names``, count), one for each row of ``kept``.
+
+    Only rows that ``kept`` counts more than once are grouped, each task merging its own first.
+    """
+    kept = checkpoint(kept)
+    alone = df.join(kept.where("count = 1").select(*names), same, "left_semi")
+    repeated = kept.where("count > 1").select(*names)
+    if repeated.isEmpty():
+        return alone
+    (row,) = unused(df, "_row")
+    firsts = df.join(repeated, same).groupBy(*names).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(row))
+    return alone.union(firsts.select(*(F.col(row).getField(c).alias(c) for c in df.columns)))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from equipoise.llm.arrow import column, flat_words, ragged, text_slices, unused
 from equipoise.llm.components import connected_components
+from equipoise.llm.exact import one_of_each
 from equipoise.sources.session import checkpoint
 
 #: Fingerprints of a cell on average, of a chunk at most on average, and candidate pairs compared in one step.
@@ -195,9 +196,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """``df`` with the row of the smallest key of each near-duplicate group; all columns stay.
 
-    Rows that share a key stay or go together: they stay if the key is the smallest of any of their groups.
+    Rows that share a key stay or go together where their texts differ: they stay if the key is the smallest of any of
+    their groups. Rows that repeat key and text leave one of them, whatever their other columns.
     """
-    kept = near_duplicates(df, key, text, **how).where(F.col(key).eqNullSafe(F.col("component_id")))
-    (least,) = unused(df, "_kept")
-    kept = kept.select(F.col(key).alias(least)).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col(least)), "left_semi")
+    least, digest = unused(df, "_kept", "_digest")
+    found = near_duplicates(df, key, text, **how).select(F.col(key).alias(least), F.col(key).eqNullSafe(F.col("component_id")).alias("stays"))
+    kept = found.groupBy(least).agg(F.count("*").alias("count"), F.bool_or("stays").alias("stays")).where("stays")
+    content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    same = F.col(key).eqNullSafe(F.col(least))
+    kept = checkpoint(kept)
+    alone = df.join(kept.where("count = 1").select(least), same, "left_semi")
+    shared = kept.where("count > 1").select(least)
+    if shared.isEmpty():
+        return alone
+    rows = df.join(shared, same, "left_semi")
+    texts = rows.groupBy(F.col(key).alias(least), content.alias(digest)).count()
+    return alone.union(one_of_each(rows, texts, same & (content == F.col(digest)), [least, digest]))

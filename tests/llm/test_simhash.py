@@ -126,3 +126,14 @@ def test_query_against_all_pairs(spark):
     for k, p in prints.items():
         least[root[p]] = min(k, least.get(root[p], k))
     assert got == {k: (f"{p:016x}", least[root[p]]) for k, p in prints.items()}
+
+
+def test_rows_that_repeat_leave_one(spark):
+    one, two = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    rows = [*[(7, one, "x")] * 30, (9, one, "x"), (3, two, "y"), *[(3, one.upper() + " A90", "y")] * 5, *[(None, "alone " * 20, "z")] * 4]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _kept string").repartition(5)
+    got = keep_one(table, distance=0)
+    assert got.columns == table.columns
+    got = [tuple(r) for r in got.collect()]
+    assert set(got) <= set(rows) and len(got) == len(set(got))
+    assert {k for k, _, _ in got} == {7, 3, None}
