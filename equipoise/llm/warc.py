@@ -12,7 +12,9 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import NamedTuple
 from urllib.parse import quote, unquote
 
@@ -30,6 +32,8 @@ VERSION, MAGIC = b"WARC/", b"\x1f\x8b\x08"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archive bytes after which a task begins the next file; bytes that a reader fetches at once; salts of equal payloads.
 FILE_BYTES, FETCH, SALTS = 256 << 20, 1 << 20, 32
+#: Packed bytes that are inflated at once; content bytes between two states that a long member is inflated again from.
+PIECE, SPACING = 1 << 16, 8 << 20
 #: The date of records whose table has none, so that reruns write the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -184,8 +188,8 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def _record(source: _Source, start: int) -> Record:
-    """The record whose version line begins at ``start``."""
+def _record(source: _Source, start: int, proof: bool) -> Record:
+    """The record whose version line begins at ``start``; ``proof`` asks for a digest of its own content."""
     stop = source.blank(start) - start
     if start + stop >= source.size:
         raise _Bad("header does not end")
@@ -215,39 +219,113 @@ def _record(source: _Source, start: int) -> Record:
         stored = len(payload)
         if headers.get("warc-payload-digest", f"sha1:{digest32(payload)}") != f"sha1:{digest32(payload)}":
             raise _Bad("payload digest differs")
+    if proof and "warc-block-digest" not in headers and ("warc-payload-digest" not in headers or headers.get("warc-type") == "revisit"):
+        raise _Bad("no digest")
     return Record(start, begin + n + 4, headers, payload, stored)
 
 
-def _member(source: _Source, start: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``start``; its checksum holds."""
-    unpacker, parts, at = zlib.decompressobj(wbits=31), [], start
-    try:
-        while not unpacker.eof:
-            piece = source.get(at, FETCH if parts else 1 << 16)
-            if not piece:
-                raise _Bad("member is cut off")
-            parts.append(unpacker.decompress(piece))
-            at += len(piece)
-    except zlib.error as e:
-        raise _Bad(f"member: {e}") from e
-    return b"".join(parts), at - len(unpacker.unused_data)
+def _inflate(source: _Source, at: int, unpacker: object) -> Iterator[tuple[int, bytes, object, str | None]]:
+    """(place after a piece, its content, the state then, what failed) of a gzip member, up to its end or to where it fails.
 
+    The piece that fails is taken byte by byte, so that all before the fault is there.
+    """
+    while not unpacker.eof:
+        piece = source.get(at, PIECE)
+        if not piece:
+            yield at, b"", unpacker, "member is cut off"
+            return
+        before = unpacker.copy()
+        try:
+            content = unpacker.decompress(piece)
+        except zlib.error as e:
+            parts = []
+            with suppress(zlib.error):
+                for i in range(len(piece)):
+                    parts.append(before.decompress(piece[i : i + 1]))
+            yield at + len(parts), b"".join(parts), before, f"member: {e}"
+            return
+        at += len(piece)
+        yield at - len(unpacker.unused_data), content, unpacker, None
+
+
+class _Member:
+    """The content of the gzip member at ``start``, by place; ``reason`` says what failed, if its checksum does not hold.
+
+    A short content is kept. Of a long one, states are kept (40 KB each, one per ``SPACING`` bytes) from which it is
+    inflated again, so that memory does not follow its length.
+    """
 
-def salvage(source: _Source) -> Iterator[Record | Gap]:
-    """Valid records and the gaps between them, in order. Offsets are those of the file (of the member, where packed)."""
+    def __init__(self, source: _Source, start: int):
+        self.packed, self.start, self.size, self.reason, self.end = source, start, 0, None, start
+        self.states, self.places, parts = [(0, start, zlib.decompressobj(wbits=31))], [], []
+        for at, content, state, self.reason in _inflate(source, start, self.states[0][2].copy()):
+            self.size, self.end = self.size + len(content), at
+            self.places.append((self.size, at))
+            if parts is not None:
+                parts.append(content)
+                parts = parts if self.size <= FETCH else None
+            if self.reason is None and self.size - self.states[-1][0] >= SPACING:
+                self.states.append((self.size, at, state.copy()))
+        self.content = None if parts is None else b"".join(parts)
+        self.stream, self.held, self.at = iter(()), b"", self.size
+
+    def read(self, n: int, i: int) -> bytes:
+        if self.content is not None:
+            return self.content[i : i + n]
+        if not self.at <= i <= self.at + len(self.held) + SPACING:
+            begin, at, state = self.states[bisect_right(self.states, i, key=lambda s: s[0]) - 1]
+            self.stream, self.held, self.at = _inflate(self.packed, at, state.copy()), b"", begin
+        past = max(0, min(i - self.at - FETCH, len(self.held)))  # a little of what is behind is kept for a step back
+        self.held, self.at = self.held[past:], self.at + past
+        parts, have = [self.held], self.at + len(self.held)
+        while have < i + n and (found := next(self.stream, None)) is not None:
+            if have <= i:  # nothing before i is asked for
+                parts, self.at = [], have
+            parts.append(found[1])
+            have += len(found[1])
+        self.held = b"".join(parts)
+        return self.held[i - self.at : i - self.at + n]
+
+    def after(self, used: int) -> int:
+        """A place in the file behind which all content from ``used`` on lies."""
+        i = bisect_right(self.places, used, key=lambda p: p[0])
+        return max(self.start + 1, self.places[i - 1][1] if i else 0)
+
+
+def salvage(source: _Source, proof: bool = False) -> Iterator[Record | Gap]:
+    """Valid records and the gaps between them, in order. Offsets are those of the file (of the member, where packed).
+
+    A member that is cut or ends wrongly gives the records before the fault whose digests hold, and a gap from the last
+    place on that they do not need. ``proof`` takes only records that carry a digest of their own.
+    """
     at, lost, reason = 0, None, ""
     while at < source.size:
-        found: list[Record | Gap] = []
         try:
             if source.get(at, len(MAGIC)) == MAGIC:
-                content, end = _member(source, at)
-                inner = _Source(lambda n, i, c=content: c[i : i + n], len(content))
-                found = [x._replace(start=at, end=end) for x in salvage(inner)]
-                if not any(isinstance(x, Record) for x in found):
-                    raise _Bad(found[0].reason if found else "member is empty")
-            else:
-                found = [_record(source, at)]
-                end = found[0].end
+                member = _Member(source, at)
+                used, waiting, seen = 0, [], False
+                for x in salvage(_Source(member.read, member.size), proof or member.reason is not None):
+                    here = x._replace(start=at, end=member.end)
+                    if isinstance(x, Gap):
+                        waiting.append(here)
+                        continue
+                    if lost is not None:
+                        yield Gap(lost, at, reason)
+                        lost = None
+                    if member.reason is None:
+                        yield from waiting
+                    used, waiting, seen = x.end, [], True
+                    yield here
+                if not seen:
+                    raise _Bad(member.reason or (waiting[0].reason if waiting else "member is empty"))
+                if member.reason is None:
+                    yield from waiting
+                    at = member.end
+                else:
+                    lost, reason = member.after(used), member.reason
+                    at = source.find(lost)
+                continue
+            found = _record(source, at, proof)
         except _Bad as e:
             if lost is None:
                 lost, reason = at, str(e)
@@ -256,10 +334,10 @@ def salvage(source: _Source) -> Iterator[Record | Gap]:
         if lost is not None:
             yield Gap(lost, at, reason)
             lost = None
-        yield from found
-        at = end
+        yield found
+        at = found.end
     if lost is not None:
-        yield Gap(lost, source.size, reason)
+        yield Gap(min(lost, source.size - 1), source.size, reason)
 
 
 RECORDS = (
@@ -274,7 +352,7 @@ def read_archives(paths: DataFrame, path: str = "path", with_payload: bool = Tru
     ``paths`` has a row per archive, packed (``.gz``, a member per record or one for all) or plain. ``record_id`` and
     ``refers_to`` are what :func:`write_archives` was given as keys, or the whole id of a record from elsewhere; for a
     revisit, ``payload_bytes`` and ``payload_digest`` are those of the full payload it stands for. A task holds one
-    record at a time. A missing file or a null path fails; where a column ``records`` tells how many records an archive
+    record at a time, also where one member packs them all; what such a member holds before a fault is recovered. A missing file or a null path fails; where a column ``records`` tells how many records an archive
     has, a gap in it or another number of records fails too.
     """
     schema = T._parse_datatype_string(RECORDS)

@@ -3,6 +3,9 @@
 import base64
 import gzip
 import hashlib
+import random
+import re
+import zlib
 
 import pytest
 
@@ -136,3 +139,34 @@ def test_archives_that_lack_a_record_fail_where_their_number_is_told(spark, tmp_
     assert read_archives(paths).where("error IS NULL").count() == 5
     with pytest.raises(Exception, match="no version line|header does not end|5 records of 6"):
         read_archives(paths, records="records").collect()
+
+
+@pytest.mark.parametrize("spacing", [1 << 23, 3000])
+def test_one_member_for_all_records(monkeypatch, spacing):
+    """What lies before a cut, a wrong byte or a wrong trailer comes back, from content that is kept or inflated again."""
+    monkeypatch.setattr(warc, "SPACING", spacing)
+    if spacing == 3000:
+        monkeypatch.setattr(warc, "FETCH", 2000)
+        monkeypatch.setattr(warc, "PIECE", 500)
+    rng = random.Random(1)
+    bodies = [rng.randbytes(rng.choice([10, 900, 5000])) for _ in range(20)]
+    plain = [record_bytes(str(i), "http://h/", body, None) for i, body in enumerate(bodies)]
+    packed = gzip.compress(b"".join(plain))
+    want = [f"<urn:row:{i}>" for i in range(20)]
+    assert ids(found(packed)) == want and not gaps(packed)
+    cut = packed[: len(packed) * 9 // 10]
+    got = zlib.decompressobj(wbits=31).decompress(cut)
+    whole = sum(sum(map(len, plain[: i + 1])) <= len(got) for i in range(20))
+    assert 15 <= whole < 20 and ids(found(cut)) == want[:whole]
+    assert [g.reason for g in gaps(cut)] == ["member is cut off"] and gaps(cut)[0].end == len(cut)
+    assert ids(found(packed[:-8] + bytes(8))) == want and len(gaps(packed[:-8] + bytes(8))) == 1
+    next_ = gzip.compress(record_bytes("next", None, b"more", None))
+    assert ids(found(cut + next_)) == [*want[:whole], "<urn:row:next>"]
+    assert ids(found(packed[:-8] + bytes(8) + next_)) == [*want, "<urn:row:next>"]
+    bare = [re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", p) for p in plain]
+    assert ids(found(gzip.compress(b"".join(bare)))) == want
+    assert ids(found(gzip.compress(b"".join(bare))[:-8] + bytes(8))) == []  # nothing vouches for them
+
+
+def gaps(data):
+    return [x for x in found(data) if isinstance(x, Gap)]
