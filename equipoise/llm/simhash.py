@@ -10,11 +10,13 @@ task sees more than two chunks; the rest of the walk happens inside a task, on s
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +30,66 @@ from equipoise.sources.session import checkpoint
 #: Fingerprints of a cell on average, of a chunk at most on average, and candidate pairs compared in one step.
 CELL, CHUNK, STEP = 1024, 4096, 1 << 21
 SALTS = 32
+#: Bytes of a text whose shingles are counted at once.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints_of(texts: pa.Array, words: int, seed: int) -> np.ndarray:
-    """One unsigned 64-bit SimHash per text. No words: zero; fewer than ``words``: the whole sequence is one shingle."""
+def _pieces(text: memoryview, words: int) -> Iterator[bytes]:
+    """A long text in pieces of about ``PIECE`` bytes, cut between words, whose shingles together are those of the text."""
+    start = 0
+    while len(text) - start > PIECE:
+        cut = start + PIECE
+        while (found := _SPACE.search(text, cut)) and len(bytes(text[start : found.start()]).split(None, words)) < words:
+            cut = start + 2 * (found.end() - start)
+        if not found or found.end() == len(text):
+            break
+        piece = bytes(text[start : found.start()])
+        yield piece
+        # The next piece begins with the last words of this one, whose shingles it continues.
+        start = start + len(piece.rsplit(None, words - 1)[0]) if words > 1 else found.end()
+    if start == 0 or len(bytes(text[start:]).split(None, words)) >= words:
+        yield bytes(text[start:])
+
+
+def _bit_counts(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many shingles set each bit: text x 64; shingles of each text)."""
     data, starts, ends, first = flat_words(texts)
     per = np.diff(first)
-    out = np.zeros(len(per), np.uint64)
+    shingles = np.where(per > 0, np.maximum(per - words + 1, 1), 0)
+    sums = np.zeros((len(per), 64), np.int64)
     if not len(starts):
-        return out
+        return sums, shingles
     sizes = ends - starts
     joined = _LOWER[np.append(data, np.uint8(32))[ragged(starts, sizes + 1)]]
     stops = np.cumsum(sizes + 1) - 1
     joined[stops] = 32
     begins = stops - sizes
-    shingles = np.where(per > 0, np.maximum(per - words + 1, 1), 0)
     a = ragged(first[:-1], shingles)
     b = np.minimum(a + words - 1, np.repeat(first[1:] - 1, shingles))
     text, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.array([digest(text[x:y], seed) for x, y in zip(begins[a].tolist(), stops[b].tolist(), strict=True)], np.uint64)
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     rows = np.flatnonzero(shingles)
-    sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[rows], axis=0, dtype=np.int32)
-    out[rows] = np.packbits(2 * sums > shingles[rows, None], axis=1).view(">u8")[:, 0]
-    return out
+    sums[rows] = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[rows], axis=0, dtype=np.int32)
+    return sums, shingles
+
+
+def fingerprints_of(texts: pa.Array, words: int, seed: int) -> np.ndarray:
+    """One unsigned 64-bit SimHash per text. No words: zero; fewer than ``words``: the whole sequence is one shingle.
+
+    A text of over ``PIECE`` bytes is counted piece by piece, so that memory does not follow its length.
+    """
+    long = pc.fill_null(pc.greater(pc.binary_length(texts), PIECE), False)
+    sums, shingles = _bit_counts(pc.if_else(long, "", texts) if long.true_count else texts, words, seed)
+    for i in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
+        for piece in _pieces(memoryview(texts[i].as_buffer()), words):
+            more, n = _bit_counts(pa.array([piece], pa.binary()), words, seed)
+            sums[i] += more[0]
+            shingles[i] += n[0]
+    return np.packbits(2 * sums > shingles[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int = 42, out: str = "fingerprint") -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash fingerprints and their trie join against brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -137,3 +138,17 @@ def test_rows_that_repeat_leave_one(spark):
     got = [tuple(r) for r in got.collect()]
     assert set(got) <= set(rows) and len(got) == len(set(got))
     assert {k for k, _, _ in got} == {7, 3, None}
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5])
+def test_long_texts_in_pieces(monkeypatch, words):
+    rng = random.Random(words)
+    texts = []
+    for _ in range(120):
+        some = [rng.choice(["a", "Bc", "ü漢", "x" * rng.randint(1, 90)]) + rng.choice([" ", "  ", "\n\t", "\x0b"]) for _ in range(rng.randint(0, 40))]
+        texts.append(rng.choice(["", "  ", "\n" * 70]) + "".join(some) + rng.choice(["", "z", " " * 90]))
+    texts = pa.array([*texts, None, "y" * 500, " " * 500, "p q" + " " * 300])
+    whole = fingerprints_of(texts, words, 42)
+    monkeypatch.setattr(simhash, "PIECE", 37)
+    assert (fingerprints_of(texts, words, 42) == whole).all()
+    assert [int(x) for x in whole] == [plain_fingerprint(t, words) for t in texts.to_pylist()]
