@@ -2,7 +2,8 @@
 
 Encoding works on many words at once: the symbols of all new words of a batch lie in one flat array; a round looks the
 neighbouring pairs up by binary search over the sorted pair keys, takes the lowest rank of each word, and merges all of
-its occurrences. Words without a known pair leave the array; the rest goes on to the next round.
+its occurrences. Words without a known pair leave the array; the rest goes on to the next round. Long words have an array
+of their own, whose rounds touch the places of one rank and their neighbours only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -28,7 +30,11 @@ SPACE = "\t-\r \x85\xa0  -     　"
 REMEMBERED, REMEMBERED_SIZE = 200_000, 4 << 20
 #: Text bytes encoded at a time.
 STEP = 1 << 20
+#: Words of more bytes are merged rank by rank: rounds over whole words would cost their length times their ranks.
+LONG = 4096
 _NONE = np.int64(1) << 62
+#: A symbol in no pair: the guard at the end of words, and merged places.
+_GUARD = np.int64(1) << 30
 
 
 def byte_symbols() -> list[str]:
@@ -92,6 +98,12 @@ class Bpe:
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols after all merges, and the word (ascending numbers) of each."""
+        far = np.bincount(word)[word] > LONG
+        if far.any():
+            parts = self.merge_long(symbols[far], word[far]), self.merge(symbols[~far], word[~far])
+            symbols, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(word, kind="stable")
+            return symbols[order], word[order]
         done = []
         while len(symbols) > 1:
             pair = symbols[:-1] << 32 | symbols[1:]
@@ -125,6 +137,54 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def merge_long(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, a round for each rank in turn: the places of the lowest rank merge, and only their new pairs are looked up.
+
+        Words do not touch each other, so all of them share the rounds.
+        """
+        n = len(symbols)
+        symbols = np.append(symbols, _GUARD)
+        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        after[edge], before[edge + 1], before[0] = n, n, n
+        by_rank = self.keys[np.argsort(self.rank)]
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            pair = symbols[at] << 32 | symbols[after[at]]
+            found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            known = self.keys[found] == pair
+            at, rank = at[known], self.rank[found[known]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, places in zip(rank[np.r_[0, cuts]].tolist() if len(rank) else (), np.split(at, cuts), strict=False):
+                if r not in waiting:
+                    heappush(ranks, r)
+                    waiting[r] = []
+                waiting[r].append(places)
+
+        look_up(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            at = places = places[symbols[places] << 32 | symbols[after[places]] == by_rank[r]]  # still there
+            if not len(at):
+                continue
+            # Of overlapping occurrences (aaa) every other one counts, from the left.
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            if self.single[r]:
+                at = at[:1]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[r], _GUARD
+            after[at] = after[gone]
+            before[after[at]] = at
+            look_up(np.r_[at, before[at], places if self.single[r] else at[:0]])
+        keep = symbols[:n] != _GUARD
+        return symbols[:n][keep], word[keep]
+
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks (without white space) and remember their ids."""
         pieces: dict[str, int] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +29,9 @@ def texts():
     return [*out, "a" * 5000, "ab" * 3000 + "c", "", None, "   ", "<|ENDOFTEXT|>", "word " * 20_000]
 
 
-def test_ids_and_texts_are_those_of_the_library(library):
+@pytest.mark.parametrize("long", [0, 7, bpe.LONG])
+def test_ids_and_texts_are_those_of_the_library(library, monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long)
     own = Bpe(PATH)
     ids, offsets = own.encode(texts())
     for k, text in enumerate(texts()):
@@ -46,7 +49,19 @@ def test_forgetting_changes_nothing(library, monkeypatch, name, limit):
         assert len(own.known) < 12 and own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_merges_that_feed_earlier_ones_go_left_to_right():
+def test_long_words_take_time_in_proportion(library):
+    rng = random.Random(5)
+    word = "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=1_000_000))
+    own, begin = Bpe(PATH), time.process_time()
+    ids, _ = own.encode([word, word[:9_000] + " " + word[5:8_000], "aa" * 70_000 + "b"])
+    assert time.process_time() - begin < 30
+    want = [library.encode(t, add_special_tokens=False).ids for t in (word, word[:9_000] + " " + word[5:8_000], "aa" * 70_000 + "b")]
+    assert ids.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("long", [0, bpe.LONG])
+def test_merges_that_feed_earlier_ones_go_left_to_right(monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long)
     own = Bpe(PATH)
     a, b, c = (own.inner[ord(x)] for x in "abc")
     ab, bc = 1000, 1001
