@@ -29,6 +29,17 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def _hashed(codes: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Buckets of the ``n``-grams that begin at each code."""
+    mixed = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    for j in range(n):
+        mixed += codes[j : len(mixed) + j] * _PRIMES[j]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _PRIMES[3] + np.uint64(2 * n)
+    mixed >>= np.uint64(64 - (buckets - 1).bit_length())
+    return mixed.astype(np.int64)
+
+
 def gram_orders(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length: (buckets of its n-grams, first n-gram of each text + 1 entries).
 
@@ -43,16 +54,36 @@ def gram_orders(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tup
     keep = (letter | np.append(True, letter[:-1]) | np.append(True, row[1:] != row[:-1]))[: len(codes)] & has[row]
     codes = np.where(letter, codes, 32).astype(np.uint64)[keep] + np.uint64(1)
     row = row[keep]
-    shift = np.uint64(64 - (buckets - 1).bit_length())
     for n in ORDERS:
-        mixed = np.zeros(max(0, len(codes) - n + 1), np.uint64)
-        for j in range(n):
-            mixed += codes[j : len(mixed) + j] * _PRIMES[j]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _PRIMES[3] + np.uint64(2 * n)
-        mixed >>= shift
+        mixed = _hashed(codes, n, buckets)
         whole = row[: len(mixed)] == row[n - 1 :]
-        yield mixed.astype(np.int64)[whole], np.searchsorted(row[: len(mixed)][whole], np.arange(len(low) + 1))
+        yield mixed[whole], np.searchsorted(row[: len(mixed)][whole], np.arange(len(low) + 1))
+
+
+def gram_pieces(text: str, buckets: int = BUCKETS, step: int = _STEP) -> Iterator[np.ndarray]:
+    """The buckets that :func:`gram_orders` gives for one text, all lengths mixed, of about ``step`` characters at a time.
+
+    A piece begins with the last codes of the piece before it, and its n-grams end in what is new.
+    """
+    low = f" {text.lower()} "
+    tail, space, lettered = np.zeros(0, np.uint64), False, False
+    lead = []  # the space before the first letter waits for one
+    for at in range(0, len(low), step):
+        codes = np.frombuffer(low[at : at + step].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        keep = letter | ~np.append(space, ~letter[:-1])
+        space = not letter[-1]
+        fresh = np.where(letter, codes, 32).astype(np.uint64)[keep] + np.uint64(1)
+        lettered = lettered or bool(letter.any())
+        if not lettered:
+            lead.append(fresh)
+            continue
+        fresh = np.concatenate([*lead, fresh])
+        lead = []
+        known = np.concatenate([tail, fresh])
+        for n in ORDERS:
+            yield _hashed(known[max(0, len(tail) - n + 1) :], n, buckets)
+        tail = known[len(known) - min(len(known), max(ORDERS) - 1) :]
 
 
 def gram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,6 +96,14 @@ def gram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.nd
     return found[order], offsets, np.diff(offsets) > 0
 
 
+def _grams(texts: list[str | None], buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of the texts, a long text in pieces."""
+    yield from (found for found, _ in gram_orders([t for t in texts if len(t or "") <= _STEP], buckets))
+    for t in texts:
+        if len(t or "") > _STEP:
+            yield from gram_pieces(t, buckets)
+
+
 @dataclass
 class LanguageModel:
     """Languages in order, their log priors, and the log probability of each bucket (language x bucket)."""
@@ -96,7 +135,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BU
             for name in sorted(set(names)):
                 mine = [texts[i] for i in np.flatnonzero(names == name)]
                 n = sums.setdefault(name, np.zeros(buckets + 1, np.int64))
-                for found, _ in gram_orders(mine, buckets):
+                for found in _grams(mine, buckets):
                     n[:buckets] += np.bincount(found, minlength=buckets)
                 n[buckets] += len(mine)
             if len(sums) > 128:
@@ -140,12 +179,21 @@ def predict(
         langs = np.array([*m.langs, UNKNOWN], object)
         for batch in text_slices(batches, text, _STEP):
             best, chance = np.full(batch.num_rows, len(m.langs)), np.zeros(batch.num_rows)
-            rows, sums = np.zeros(0, np.int64), m.prior[:, None]
-            for found, offsets in gram_orders(column(batch, text).to_pylist(), m.table.shape[1]):
+            texts, buckets = column(batch, text).to_pylist(), m.table.shape[1]
+            long = [i for i, t in enumerate(texts) if len(t or "") > _STEP]
+            sums, known = np.repeat(m.prior[:, None], len(texts), 1), np.zeros(len(texts), bool)
+            for found, offsets in gram_orders([None if len(t or "") > _STEP else t for t in texts], buckets):
                 rows = np.flatnonzero(np.diff(offsets))  # the texts with a letter, the same for every length
+                known[rows] = True
                 if len(rows) and m.langs:
-                    sums = sums + np.stack([np.add.reduceat(logs[found], offsets[rows]) for logs in m.table])
+                    sums[:, rows] += np.stack([np.add.reduceat(logs[found], offsets[rows]) for logs in m.table])
+            for i in long:
+                for found in gram_pieces(texts[i], buckets):
+                    known[i] = True
+                    sums[:, i] += m.table @ np.bincount(found, minlength=buckets)
+            rows = np.flatnonzero(known)
             if len(rows) and m.langs:
+                sums = sums[:, rows]
                 top = sums.argmax(0)
                 best[rows], chance[rows] = top, 1 / np.exp(sums - sums.max(0)).sum(0)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(langs[best], pa.string()), pa.array(chance)], [f.name for f in schema])

@@ -1,11 +1,14 @@
 """Language identification: held-out accuracy, the counts behind the model, and edge cases."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pytest
 
-from equipoise.llm.language import fit, gram_buckets, identify, keep_identified, predict
+from equipoise.llm import language
+from equipoise.llm.language import fit, gram_buckets, gram_pieces, identify, keep_identified, predict
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,6 +49,36 @@ def test_whole_texts_count():
     assert np.diff(offsets).tolist()[0] > 900_000 and len(found) == offsets[-1]
 
 
+@pytest.mark.parametrize("text", ["", "a", "9", " ab  9 cd. ", "..  ..", "Ende ΑΣ ΑΣΑ 中文 İx", "   \n 12 x", "x" * 50, "  7 " * 20 + "q"])
+@pytest.mark.parametrize("step", [1, 2, 3, 5, 64])
+def test_pieces_have_the_same_grams(text, step):
+    whole, _, _ = gram_buckets([text], 256)
+    pieces = np.concatenate([np.zeros(0, np.int64), *gram_pieces(text, 256, step)])
+    assert np.array_equal(np.bincount(whole, minlength=256), np.bincount(pieces, minlength=256))
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    texts = [("der hund und die katze 42, " * 60, "de"), ("the dog and the cat; " * 60, "en"), ("9 " * 900, None), ("a" * 1500, None), ("der hund", None)]
+    table = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    whole_model = fit(table, buckets=256)
+    whole = predict(table, whole_model).orderBy("doc_id").collect()
+    monkeypatch.setattr(language, "_STEP", 1000)
+    model = fit(table, buckets=256)
+    assert np.array_equal(model.table, whole_model.table) and model.langs == whole_model.langs
+    cut = predict(table, model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in cut] == [r["lang_pred"] for r in whole] and cut[2]["lang_pred"] == "und"
+    assert np.allclose([r["score"] for r in cut], [r["score"] for r in whole])
+
+
+def test_memory_for_a_long_text_does_not_follow_its_grams():
+    text = "the quick brown fox " * 1_000_000
+    tracemalloc.start()
+    n = sum(len(found) for found in gram_pieces(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3 * (len(text) + 1) - 3 and peak < 5 * len(text)
+
+
 def test_edge_cases_have_defined_results(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 $$ \n", "en"), (4, "hello there", "en"), (None, "hello there", "en"), (4, "hello there", "en"), (5, "ß", None), (6, "hello " * 50_000, "en")]
     table = spark.createDataFrame([(*r, "c", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
