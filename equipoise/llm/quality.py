@@ -39,7 +39,7 @@ def token_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every token, first token of rows + 1 entries). Case counts, digits are all alike; nulls are empty."""
     data, starts, ends, first = flat_tokens(texts, _KINDS)
     data = np.where(_KINDS[data] == 2, np.uint8(48), data)
-    return (_word_hashes(data, starts, ends, 0) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), first
+    return (_word_hashes(data, starts, ends) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), first
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
