@@ -215,6 +215,11 @@ def random_spans(text: str, base: str, ratios: list[float]) -> Column:
     return F.flatten(F.transform(_free(text, base), lambda f: runs(F.substring(F.col(text), f["start"] + 1, f["end"] - f["start"]), f["start"])))
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of a kind; a second parameter of the lambda would be the span's place, given by Spark."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def _written(spans: str) -> Column:
     names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
@@ -234,7 +239,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     # The base spans are used more than once, so that Spark keeps them as a column.
     found = docs.withColumn("base_spans", base_spans("_text"))
     found = found.withColumn("random_spans", random_spans("_text", "base_spans", ratios))
-    counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [_of_kind("base_spans", i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     spans = F.sort_array(F.concat("base_spans", "random_spans"))
     return found.select(key, *counts, F.size("random_spans").cast("long").alias("n_random"), "base_spans", "random_spans", spans.alias("spans"))
 

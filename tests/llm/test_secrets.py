@@ -71,6 +71,14 @@ def test_spans_are_those_of_the_patterns(spark, ratios):
     assert seen == sorted(want)
 
 
+def test_counts_are_those_of_the_kinds(spark, ratios):
+    values = [*texts(), "token=abcdefgh token=abcdefgh", "AKIA" + "Q7" * 8, "0123456789abcdef" * 2 + " secret: abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in find_secrets(docs, ratios=ratios).collect()}
+    want = {i: tuple(sum(k == kind for _, k, _ in plain_base(t)) for kind in range(3)) for i, t in enumerate(values)}
+    assert got == want and len(set(want.values())) > 5
+
+
 def test_models_tell_unseen_strings_apart(spark, ratios):
     drawn = [hashed(f"unseen {i}", 24) for i in range(200)]
     names = ["request_handler_timeout_seconds2", "getAccountBalanceForUser42", "max_retry_count_per_host_10", "src/main/java/org/example/App1", "content-security-policy-report-2"] * 10
