@@ -39,16 +39,19 @@ from pyspark.sql import types as T
 
 from equipoise.functions.randomness import uniform
 from equipoise.functions.vectors import Features, as_array, euclidean_distance
-from equipoise.operators.regions import Regions, assign, build_regions, default_pivots, matrix, pivot_table, route, slabs
-from equipoise.sources.session import checkpoint
+from equipoise.operators.regions import REGION, Regions, assign, build_regions, default_pivots, homes, matrix, pivot_table, refine, route, slabs, top_of
+from equipoise.sources.session import checkpoint, stored
 
 BASE_CELL = 16_384
 QUERY_CELL = 131_072
 MIN_QUERY_CELL = 256
 ROUND, WIDER = 2, 4  # regions per query in the first round after home; how many times more in each further one
-ROUND_WORK = 4_000_000_000  # pairs up to which all regions are visited in one round
+ROUND_WORK = 4_000_000_000  # pairs up to which all regions are visited in one round, for each _ROUND_QUERIES
 SAMPLE = 400  # queries that recall is estimated from
 MOST_VISITED = 0.5  # share of all pairs beyond which an approximate search is no better than an exact one
+_ROUND_QUERIES = 262_144
+LARGE = 65_536  # base rows from which a sample of the queries says whether regions exclude anything
+WIDE_CELL, WIDE_BYTES = 131_072, 64 << 20  # rows and bytes of a base cell where nothing is excluded
 _REPEATED = 1_000_000  # repeated base rows a task writes
 _CELL_SLAB = 1_000_000  # base distances held at once, about a core's cache
 _PROBE = 2048  # base rows that bound the k-th distance
@@ -96,6 +99,21 @@ def nearest_in_cell(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def nearest_in_blocks(queries: np.ndarray, base: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a base of any size: the k best of each block of it, merged."""
+    if len(base) <= block:
+        return nearest_in_cell(queries, base, k)
+    parts = []
+    for start in range(0, len(base), block):
+        qi, bi, distance = nearest_in_cell(queries, base[start : start + block], k)
+        parts.append((qi, bi + start, distance))
+    qi, bi, distance = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.lexsort((bi, distance, qi))
+    qi, bi, distance = qi[order], bi[order], distance[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return qi[best], bi[best], distance[best]
+
+
 @dataclass(frozen=True)
 class Visits:
     """What a search of some routed queries will do."""
@@ -104,26 +122,31 @@ class Visits:
     cells: int
     pairs: int  # of a query and a base row
     copied: int  # base rows, repeated for each chunk of queries
+    queries: int
 
     @staticmethod
-    def of(routed: DataFrame, regions: Regions, wanted: int) -> Visits:
+    def of(routed: DataFrame, regions: Regions, wanted: int, cell: int = 0) -> Visits:
         """One level: at most MAX_PIVOTS numbers reach the driver and are sent on.  Two: counts stay a table."""
+        cell = cell or BASE_CELL
         counts = routed.groupBy("_region").count()
         if regions.below is None:
             rows = [(r["_region"], int(regions.rows[r["_region"]]), r["count"]) for r in counts.collect()]
             known = [(r, n, q) for r, n, q in rows if n]
-            chunk = _chunk_rows(sum(q for _, _, q in rows), wanted)
-            sized = [(r, math.ceil(n / BASE_CELL), math.ceil(q / chunk)) for r, n, q in known]
-            totals = (sum(s * c for _, s, c in sized), sum(n * q for _, n, q in known), sum(n * c for (_, n, _), (_, _, c) in zip(known, sized, strict=True)))
+            asked = sum(q for _, _, q in rows)
+            # the base is repeated for each chunk, so a region of several cells is cut into fewer of them
+            chunk = _chunk_rows(asked, max(1, wanted // math.ceil(known[0][1] / cell)) if len(known) == 1 else wanted)
+            sized = [(r, math.ceil(n / cell), math.ceil(q / chunk)) for r, n, q in known]
+            totals = (sum(s * c for _, s, c in sized), sum(n * q for _, n, q in known), sum(n * c for (_, n, _), (_, _, c) in zip(known, sized, strict=True)), asked)
             if len(sized) == 1:
                 return Visits(sized[0], *totals)
             table = pa.table([pa.array(c, t) for c, t in zip(zip(*sized, strict=True) if sized else [()] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_region", "_salts", "_chunks"])
             return Visits(F.broadcast(routed.sparkSession.createDataFrame(table)), *totals)
         counts = checkpoint(counts.join(regions.below.select("_region", "_rows"), "_region").filter("_rows > 0"))
-        chunk = _chunk_rows(counts.agg(F.sum("count")).first()[0] or 0, wanted)
-        sized = counts.select("_region", "_rows", "count", F.ceil(F.col("_rows") / BASE_CELL).cast("int").alias("_salts"), F.ceil(F.col("count") / chunk).cast("int").alias("_chunks"))
+        asked = counts.agg(F.sum("count")).first()[0] or 0
+        chunk = _chunk_rows(asked, wanted)
+        sized = counts.select("_region", "_rows", "count", F.ceil(F.col("_rows") / cell).cast("int").alias("_salts"), F.ceil(F.col("count") / chunk).cast("int").alias("_chunks"))
         t = sized.agg(F.sum(F.col("_salts").cast("long") * F.col("_chunks")), F.sum(F.col("_rows") * F.col("count")), F.sum(F.col("_rows") * F.col("_chunks"))).first()
-        return Visits(sized.select("_region", "_salts", "_chunks"), *(int(x or 0) for x in t))
+        return Visits(sized.select("_region", "_salts", "_chunks"), *(int(x or 0) for x in t), asked)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Rows of visited regions, with the (_salts, _chunks) of theirs."""
@@ -179,12 +202,12 @@ def _search(
         + [T.StructField(f.name, f.dataType) for f in b.select(*base_cols).schema]
         + [T.StructField("distance", T.DoubleType())]
     )
-    names = schema.fieldNames()
+    names, block = schema.fieldNames(), BASE_CELL
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             right = right.sort_by([(c, "ascending") for c in base_key])
-            qi, bi, distance = nearest_in_cell(matrix(left, "_v"), matrix(right, "_v"), k)
+            qi, bi, distance = nearest_in_blocks(matrix(left, "_v"), matrix(right, "_v"), k, block)
             if bounded:  # nothing beyond the k-th distance found at home can be in the answer
                 useful = distance <= left.column("_bound").to_numpy()[qi]
                 qi, bi, distance = qi[useful], bi[useful], distance[useful]
@@ -234,6 +257,12 @@ class NeighbourIndex:
     vectors: frozenset[str]
     copies: int
     rows: int
+    fine: Regions | None = None  # where ``regions`` are large: two levels, ``regions`` on top; ``assigned`` has theirs
+
+    @property
+    def coarse(self) -> DataFrame:
+        """``assigned`` by ``regions``."""
+        return self.assigned.withColumn("_region", top_of()) if self.fine else self.assigned
 
     @property
     def nb(self) -> list[str]:
@@ -272,8 +301,9 @@ def build_index(
     routed: bool = False,
 ) -> NeighbourIndex:
     """Index ``base`` for searches that need at most ``copies`` rows of one identical vector (k, or k + 1
-    when a row must not find itself).  ``pivots`` sets the number of regions; ``routed`` prepares for a search with ``tau``,
-    which follows one rule at every size.  An exact search of a small table has one region."""
+    when a row must not find itself).  ``pivots`` sets the number of regions; large ones have regions of ``REGION`` rows below
+    them.  ``routed`` prepares for a search with ``tau``, which follows one rule at every size.  An exact search of a small
+    table has one region."""
     nb = [f"nb_{c}" for c in key]
     aux = [c for c in aux_cols if c not in key]
     vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
@@ -293,6 +323,9 @@ def build_index(
         assigned = assign(kept, regions.pivots)
     else:
         assigned, regions = build_regions(kept, nb, rows, wanted, seed, dim)
+        if regions.below is None and regions.rows.max() > 2 * REGION:  # regions of a given number grow with the table
+            assigned, fine = refine(assigned, nb, regions, REGION, seed, dim)
+            return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies, rows, fine)
     return NeighbourIndex(assigned, regions, tuple(key), tuple(aux), frozenset(vectors), copies, rows)
 
 
@@ -327,7 +360,7 @@ def search_index(
     asked = query.select(*key, as_array(query, features).alias("_v")).filter(_finite("_v"))
     names = list(key)
     if regions.several:  # a number per query is cheaper to carry through the rounds than its key and vector
-        asked = checkpoint(asked.withColumn("_q", F.monotonically_increasing_id()))
+        asked = stored(asked.withColumn("_q", F.monotonically_increasing_id()))
         names = ["_q"]
     found = _Rounds(asked.select(*names, "_v"), names, index, keep, max_distance, report, region_col).run(tau)
     if regions.several:
@@ -353,61 +386,114 @@ class _Rounds:
 
     def __init__(self, queries: DataFrame, key: Sequence[str], index: NeighbourIndex, keep: int, max_distance: float, report: dict[str, int] | None, region_col: str | None):
         self.queries, self.key, self.index, self.keep = queries, list(key), index, keep
-        self.regions, self.most, self.report = index.regions, float(max_distance), report if report is not None else {}
-        self.base = index.assigned.withColumn(region_col, F.col("_region")) if region_col else index.assigned
+        self.regions, self.most, self.report = index.fine or index.regions, float(max_distance), report if report is not None else {}
+        top = top_of() if index.fine else F.col("_region")
+        self.base = index.assigned.withColumn(region_col, top) if region_col else index.assigned
         self.base_cols = [*index.nb, *[f"aux_{c}" for c in index.aux], *([region_col] if region_col else [])]
         self.report.update(pairs=0, rounds=0)
 
+    def visits(self, routed: DataFrame) -> Visits:
+        return Visits.of(routed, self.regions, _wanted(routed))
+
     def search(self, routed: DataFrame, visits: Visits | None = None) -> DataFrame:
-        visits = visits or Visits.of(routed, self.regions, _wanted(routed))
+        visits = visits or self.visits(routed)
         self.report["pairs"] += visits.pairs
         return _search(routed, self.queries, self.base, self.regions, self.key, self.base_cols, self.keep, visits)
 
     def best(self, found: DataFrame) -> DataFrame:
-        return checkpoint(_best(found, self.key, self.index.nb, self.keep).drop("rank"))
+        return stored(_best(found, self.key, self.index.nb, self.keep).drop("rank"))
 
     def run(self, tau: float | None) -> DataFrame:
         if not self.regions.several:
-            return self.search(self.queries.withColumn("_region", F.lit(0).cast("long")))
+            return self.whole(self.queries)
         if tau is None:
-            return self.exact(self.queries)
-        near = self.best(self.search(checkpoint(route(self.queries, self.key, self.regions, "tau", tau))))
+            return self.all_nearest(self.queries)
+        near = self.best(self.routed(tau))
         counts = near.groupBy(*self.key).agg(F.count("*").alias("_found"))
         enough = F.coalesce("_found", F.lit(0)) >= min(self.keep, self.index.rows)
-        short = checkpoint(self.queries.join(counts, self.key, "left").filter(~enough).drop("_found"))
+        short = stored(self.queries.join(counts, self.key, "left").filter(~enough).drop("_found"))
         if short.isEmpty():
             return near
-        return near.join(short.select(*self.key), self.key, "left_anti").unionByName(self.exact(short))
-
-    def exact(self, queries: DataFrame) -> DataFrame:
-        home = checkpoint(route(queries, self.key, self.regions, "home"))
-        parts = [checkpoint(self.search(home))]
+        return near.join(short.select(*self.key), self.key, "left_anti").unionByName(self.all_nearest(short))
+
+    def all_nearest(self, queries: DataFrame) -> DataFrame:
+        if self.index.rows > LARGE and self.excludes_little(queries, None):
+            return self.whole(queries)
+        return self.exact(queries)
+
+    def routed(self, tau: float) -> DataFrame:
+        """Candidates from the regions that ``tau`` visits; large ones are searched through the regions below them."""
+        coarse = self.index.regions
+        if self.index.fine and coarse.rows.all() and not (self.index.rows > LARGE and self.excludes_little(self.queries, tau)):
+            return self.exact(self.queries, tau)
+        visited = stored(route(self.queries, self.key, coarse, "tau", tau))
+        visits = Visits.of(visited, coarse, _wanted(visited))
+        self.report["pairs"] += visits.pairs
+        base = self.base.withColumn("_region", top_of()) if self.index.fine else self.base
+        return _search(visited, self.queries, base, coarse, self.key, self.base_cols, self.keep, visits)
+
+    def whole(self, queries: DataFrame) -> DataFrame:
+        """Every query against every base row, in cells as large as a task holds."""
+        one = Regions(np.zeros((1, 1)), np.array([int(self.index.regions.rows.sum())]), np.array([math.inf]))
+        routed = queries.withColumn("_region", F.lit(0).cast("long"))
+        cell = BASE_CELL
+        if self.regions.several:
+            size = self.queries.select(F.size("_v")).first()[0]
+            cell = max(BASE_CELL, min(WIDE_CELL, WIDE_BYTES // (8 * size)))
+        visits = Visits.of(routed, one, _wanted(routed), cell)
+        self.report["pairs"] += visits.pairs
+        base = self.base.withColumn("_region", F.lit(0).cast("long")) if self.regions.several else self.base
+        return _search(routed, self.queries, base, one, self.key, self.base_cols, self.keep, visits)
+
+    def excludes_little(self, queries: DataFrame, tau: float | None) -> bool:
+        """Whether a sample of the queries visits most of the pairs that a search without the regions would."""
+        n = max(1, queries.count())
+        few = stored(queries.filter(F.pmod(F.xxhash64(F.lit("few"), *self.key), F.lit(n)) < SAMPLE))
+        home = stored(homes(few, self.key, self.regions))
+        pending, _ = self.pending(home.drop("_reach"), self.distances(self.search(home.drop("_reach"))), tau)
+        visited = self.visits(home).pairs + self.visits(pending).pairs
+        if tau is None:
+            every = few.count() * int(self.index.regions.rows.sum())
+        else:
+            every = Visits.of(route(few, self.key, self.index.regions, "tau", tau), self.index.regions, 1).pairs
+        self.report["pairs"] = 0
+        return visited > MOST_VISITED * every
+
+    def pending(self, home: DataFrame, near: DataFrame, tau: float | None) -> tuple[DataFrame, DataFrame]:
+        """(regions to visit after home, the bounds of the queries)."""
+        asking = self.bounded(home.select(*self.key, "_v", F.col("_region").alias("_home")).join(near, self.key, "left")).drop("_near")
+        if self.regions.below is None:
+            asking = asking.drop("_home")
+        slack = math.inf if tau is None else tau
+        return stored(route(asking, self.key, self.regions, "within", slack, keep=self.keep)), asking.select(*self.key, "_bound")
+
+    def exact(self, queries: DataFrame, tau: float | None = None) -> DataFrame:
+        """The nearest of all rows, or of those whose top region ``tau`` visits."""
+        home = stored(homes(queries, self.key, self.regions).drop("_reach"))
+        parts = [stored(self.search(home))]
         # per query the sorted distances of its k best, a small array; the rows themselves are not rewritten
-        near = queries.select(*self.key).join(self.distances(parts[0]), self.key, "left")
-        asking = queries.join(self.bounded(near).drop("_near"), self.key)
-        pending = checkpoint(route(asking, self.key, self.regions, "within", keep=self.keep, home=home))
-        pending_bounds = asking.select(*self.key, "_bound")
-        visits = Visits.of(pending, self.regions, _wanted(queries))
-        if visits.pairs <= ROUND_WORK:
+        near = stored(queries.select(*self.key).join(self.distances(parts[0]), self.key, "left"))
+        pending, bounds = self.pending(home, near, tau)
+        visits = self.visits(pending)
+        if visits.pairs <= ROUND_WORK * max(1.0, visits.queries / _ROUND_QUERIES):
             self.report["rounds"] += 1
-            return parts[0].unionByName(self.search(pending.join(pending_bounds, self.key), visits))
+            return parts[0].unionByName(self.search(pending.join(bounds, self.key), visits))
         last, begin, step = pending.agg(F.max("_turn")).first()[0], 0, ROUND
-        near = checkpoint(near)
         while begin <= last:
             due = pending.filter((F.col("_turn") >= begin) & (F.col("_turn") < begin + step))
-            now = checkpoint(due.join(self.bounded(near).drop("_near"), self.key).filter(F.col("_lower") <= _loose(F.col("_bound"))))
-            visits = Visits.of(now, self.regions, _wanted(queries))
+            now = stored(due.join(self.bounded(near).drop("_near"), self.key).filter(F.col("_lower") <= _loose(F.col("_bound"))))
+            visits = self.visits(now)
             if not visits.cells:  # the nearest regions left are too far for every query, so all others are
                 break
             self.report["rounds"] += 1
-            parts.append(checkpoint(self.search(now, visits)))
+            parts.append(stored(self.search(now, visits)))
             begin, step = begin + step, step * WIDER
             if begin <= last:
                 active = now.select(*self.key).distinct()
                 new = self.distances(parts[-1]).withColumnRenamed("_near", "_new")
                 empty = F.array().cast("array<double>")
                 merged = F.slice(F.array_sort(F.concat(F.coalesce("_near", empty), F.coalesce("_new", empty))), 1, self.keep)
-                near = checkpoint(near.join(active, self.key, "left_semi").join(new, self.key, "left").select(*self.key, merged.alias("_near")))
+                near = stored(near.join(active, self.key, "left_semi").join(new, self.key, "left").select(*self.key, merged.alias("_near")))
         return reduce(DataFrame.unionByName, parts)
 
     def distances(self, found: DataFrame) -> DataFrame:

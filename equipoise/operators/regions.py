@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equipoise.functions.randomness import uniform
-from equipoise.sources.session import checkpoint
+from equipoise.sources.session import checkpoint, stored
 
 MAX_PIVOTS = 4096
 MAX_PIVOT_BYTES = 32 << 20
@@ -136,12 +136,15 @@ def build_regions(base: DataFrame, key: Sequence[str], rows: int, wanted: int, s
     """Assign base rows to ``wanted`` regions, materialise the assignment, and measure the regions."""
     top, second = levels(wanted, dim)
     pivots = choose_pivots(base, key, rows, top, seed)
-    assigned = checkpoint(assign(base, pivots))
+    assigned = stored(assign(base, pivots))
     regions = measured(assigned, pivots)
-    if not second:
-        return assigned, regions
-    below = pivots_below(assigned, key, regions, rows / wanted, seed, dim)
-    placed = checkpoint(place(assigned, key, regions, below))
+    return refine(assigned, key, regions, rows / wanted, seed, dim) if second else (assigned, regions)
+
+
+def refine(assigned: DataFrame, key: Sequence[str], regions: Regions, region_rows: float, seed: int, dim: int) -> tuple[DataFrame, Regions]:
+    """The same regions on top, and below each of them regions of about ``region_rows`` rows."""
+    below = pivots_below(assigned, key, regions, region_rows, seed, dim)
+    placed = stored(place(assigned, key, regions, below))
     sizes = placed.groupBy("_region").agg(F.count("*").alias("_rows"), F.max("_reach").alias("_radius"))
     below = below.join(sizes, "_region", "left").select("_top", "_region", "_pivot", F.coalesce("_rows", F.lit(0)).alias("_rows"), F.coalesce("_radius", F.lit(0.0)).alias("_radius"))
     return placed, replace(regions, below=checkpoint(below))
@@ -181,6 +184,25 @@ def _in_groups(rows: DataFrame, key: Sequence[str], counts: Sequence[int], below
     return left, right
 
 
+def top_of(region: str = "_region") -> Column:
+    """The top region of a region below it."""
+    return F.shiftright(region, _BELOW.bit_length() - 1)
+
+
+def homes(queries: DataFrame, key: Sequence[str], regions: Regions) -> DataFrame:
+    """Queries with the nearest region that holds rows (with two levels, below the nearest top pivot) and its ``_reach``."""
+    held = np.flatnonzero(regions.rows > 0)
+    top = assign(queries, regions.pivots[held])
+    if len(held) < len(regions.pivots):
+        top = top.withColumn("_region", _of_top(held.tolist(), "long", "_region"))
+    if regions.below is None:
+        return top
+    counts = np.zeros(len(regions.pivots), np.int64)
+    for r in top.groupBy("_region").count().collect():
+        counts[r["_region"]] = r["count"]
+    return place(top, key, replace(regions, rows=counts), regions.below.filter("_rows > 0"))
+
+
 def place(assigned: DataFrame, key: Sequence[str], regions: Regions, below: DataFrame) -> DataFrame:
     """Rows with a top ``_region`` go to the nearest pivot below it."""
     names = assigned.columns
@@ -205,7 +227,7 @@ def visits(
     """(query, region, lower bound on what it may find there) by query and then that bound.
 
     ``home``: the nearest pivot with rows, at its distance.  ``within``: regions that may hold a point at most ``bound``
-    away.  ``reach``: regions that may hold a point at most ``bound + slack`` away, by their radius alone.  ``tau``: pivots
+    away, among those that ``tau`` visits with a finite ``slack``.  ``reach``: regions that may hold a point at most ``bound + slack`` away, by their radius alone.  ``tau``: pivots
     at most ``slack`` farther than ``bound``, or than the nearest pivot without one.
     """
     pivots, rows, radius = area.pivots, area.rows, area.radius
@@ -229,12 +251,13 @@ def visits(
         centre = pivots.mean(0)
         lost = 1e-15 * (v.shape[1] + 8) * (np.sqrt(((v - centre) ** 2).sum(1)) + area.extent) ** 2
         error = 4.0 * np.sqrt(lost)
-        reach = np.minimum(bound, np.where(rows >= keep, d + radius, np.inf).min(1) + error)
+        open_ = (d - near[:, None] <= slack) & (rows > 0)
+        reach = np.minimum(bound, np.where(open_ & (rows >= keep), d + radius, np.inf).min(1) + error)
         gap = np.sqrt(((pivots[home][:, None, :] - pivots[None, :, :]) ** 2).sum(2)) if v.shape[1] * d.size <= _SLAB else distances(pivots[home], pivots)
         with np.errstate(divide="ignore", invalid="ignore"):
             across = (d * d - (near * near)[:, None] - 8.0 * lost[:, None]) / (2.0 * gap)
         far = np.fmax(d - radius, across) - error[:, None]
-        hit = ~(far > reach[:, None]) & (rows > 0)
+        hit = ~(far > reach[:, None]) & open_
         if skip_home:
             hit[every, np.where(rows > 0, d, np.inf).argmin(1)] = False
     qi, region = np.nonzero(hit)
@@ -268,7 +291,7 @@ def _from_driver(queries: DataFrame, key: Sequence[str], regions: Regions, rule:
 
 def _from_table(queries: DataFrame, key: Sequence[str], tops: DataFrame, regions: Regions, rule: str, slack: float, keep: int) -> DataFrame:
     """(key, _region, _lower) by the pivots below the top regions that ``tops`` names for each query."""
-    tops = checkpoint(tops.select(*key, F.col("_region").alias("_top")))
+    tops = stored(tops.select(*key, F.col("_region").alias("_top")))
     counts = np.zeros(len(regions.pivots), np.int64)
     for r in tops.groupBy("_top").count().collect():
         counts[r["_top"]] = r["count"]
@@ -283,7 +306,7 @@ def _from_table(queries: DataFrame, key: Sequence[str], tops: DataFrame, regions
             for s in slabs(asking.num_rows, 4 * len(ids)):
                 part = asking.slice(s.start, s.stop - s.start)
                 bound = numbers(part, "_bound") if "_bound" in part.column_names else None
-                qi, region, lower = visits(matrix(part, "_v"), area, rule, bound, slack, keep)
+                qi, region, lower = visits(matrix(part, "_v"), area, rule, bound, math.inf if rule == "within" else slack, keep)
                 if "_home" in part.column_names:
                     other = ids[region] != numbers(part, "_home")[qi]
                     qi, region, lower = qi[other], region[other], lower[other]
@@ -301,8 +324,8 @@ def route(queries: DataFrame, key: Sequence[str], regions: Regions, rule: str, s
     """(key, _region, _lower, _turn): the regions to visit, the most promising first.
 
     ``rule="home"``: the nearest pivot with rows (with two levels, below the nearest top pivot).  ``"within"``: every other
-    region that may hold a point nearer than the query's ``_bound``; ``home`` is the answer for ``"home"``.  ``"tau"``:
-    pivots at most ``slack`` farther than the home one.
+    region that may hold a point nearer than the query's ``_bound``, with two levels below the top pivots at most ``slack``
+    farther than the nearest one; queries have their ``_home``.  ``"tau"``: pivots at most ``slack`` farther than the home one.
     """
     if regions.below is None:
         return _from_driver(queries, key, regions, rule, slack, keep, skip_home=True)
@@ -315,8 +338,7 @@ def route(queries: DataFrame, key: Sequence[str], regions: Regions, rule: str, s
         queries = queries.join(home.select(*key, F.col("_lower").alias("_bound")), list(key))
         tops = _from_driver(queries, key, regions, "reach", slack, 1, False)
     else:
-        queries = queries.join(home.select(*key, F.col("_region").alias("_home")), list(key))
-        tops = _from_driver(queries.drop("_home"), key, regions, "within", 0.0, keep, False)
+        tops = _from_driver(queries.drop("_home"), key, regions, "within", slack, keep, False)
     found = _from_table(queries, key, tops, regions, rule, slack, keep)
     order = Window.partitionBy(*key).orderBy("_lower", "_region")
     return found.withColumn("_turn", (F.row_number().over(order) - 1).cast("long"))

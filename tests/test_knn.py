@@ -325,3 +325,41 @@ def test_all_line_items_against_brute_force(spark):
         order = np.lexsort((np.arange(len(d)), np.round(d, 12)))[:5]  # keys are in order, and so are ties
         assert [got[key, n][1] for n in range(1, 6)] == pytest.approx(d[order].tolist(), abs=2e-9)
         assert {got[key, n][0] for n in range(1, 6) if got[key, n][1] < d[order[4]] - 2e-9} == {keys[j] for j in order if d[j] < d[order[4]] - 2e-9}
+
+
+def test_large_regions_have_regions_below_them(spark, monkeypatch):
+    """A given number of regions does not make them grow with the table; no answer depends on it, a routed one neither."""
+    rng = np.random.default_rng(31)
+    df = table(spark, np.vstack([rng.normal(0, 1, (900, 2)), np.round(rng.normal(0, 1, (200, 2))), np.tile([0.5, 0.5], (100, 1))]))
+    routed = {tau: found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, tau=tau)) for tau in (0.0, 0.3)}
+    report = {}
+    knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, report=report)
+    monkeypatch.setattr(knn, "REGION", 30)
+    index = knn.build_index(df, ["id"], "features", 5, pivots=6)
+    assert index.fine.below.count() > 20 and index.fine.below.agg(F.max("_rows")).first()[0] < 200
+    fewer = {}
+    assert found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, report=fewer)) == brute(pull(df), pull(df), 4, exclude=True)
+    assert fewer["pairs"] < 0.5 * report["pairs"]
+    for tau, want in routed.items():
+        assert found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, tau=tau)) == want
+
+
+@pytest.mark.parametrize("tau", [None, 0.2])
+def test_regions_that_exclude_nothing_are_not_searched_one_by_one(spark, monkeypatch, tau):
+    rng = np.random.default_rng(32)
+    df = table(spark, rng.normal(0, 1, (500, 48)))
+    want = found(knn_pairs(df, df, ["id"], "features", 3, pivots=10, tau=tau))
+    monkeypatch.setattr(knn, "LARGE", 100)
+    monkeypatch.setattr(knn, "REGION", 20)
+    monkeypatch.setattr(knn, "BASE_CELL", 64)
+    report = {}
+    assert found(knn_pairs(df, df, ["id"], "features", 3, pivots=10, tau=tau, report=report)) == want
+    assert report["rounds"] == 0 and (tau is not None or report["pairs"] == 250_000)
+
+
+def test_blocks_of_a_base_give_the_same_nearest():
+    rng = np.random.default_rng(33)
+    base, query = np.round(8 * rng.normal(0, 1, (300, 3))) / 8, np.round(8 * rng.normal(0, 1, (40, 3))) / 8  # squares are exact
+    one = knn.nearest_in_cell(query, base, 6)
+    for block in (5, 64, 299, 300):
+        assert all(np.array_equal(a, b) for a, b in zip(one, knn.nearest_in_blocks(query, base, 6, block), strict=True))
