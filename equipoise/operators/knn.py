@@ -434,12 +434,13 @@ class _Rounds:
 
     def whole(self, queries: DataFrame) -> DataFrame:
         """Every query against every base row, in cells as large as a task holds."""
-        one = Regions(np.zeros((1, 1)), np.array([int(self.index.regions.rows.sum())]), np.array([math.inf]))
+        rows = int(self.index.regions.rows.sum())
+        one = Regions(np.zeros((1, 1)), np.array([rows]), np.array([math.inf]))
         routed = queries.withColumn("_region", F.lit(0).cast("long"))
         cell = BASE_CELL
-        if self.regions.several:
+        if self.regions.several:  # as many cells on one side as on the other repeat the least
             size = self.queries.select(F.size("_v")).first()[0]
-            cell = max(BASE_CELL, min(WIDE_CELL, WIDE_BYTES // (8 * size)))
+            cell = max(BASE_CELL, min(WIDE_CELL, WIDE_BYTES // (8 * size), math.ceil(rows / math.sqrt(_wanted(queries)))))
         visits = Visits.of(routed, one, _wanted(routed), cell)
         self.report["pairs"] += visits.pairs
         base = self.base.withColumn("_region", F.lit(0).cast("long")) if self.regions.several else self.base
