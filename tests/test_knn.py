@@ -363,3 +363,13 @@ def test_blocks_of_a_base_give_the_same_nearest():
     one = knn.nearest_in_cell(query, base, 6)
     for block in (5, 64, 299, 300):
         assert all(np.array_equal(a, b) for a, b in zip(one, knn.nearest_in_blocks(query, base, 6, block), strict=True))
+
+
+def test_search_to_a_recall_through_regions_below(spark, blobs, monkeypatch):
+    """The buffer and its answer are those of the given regions."""
+    few = blobs.filter("id < 1200")
+    want = found(knn_pairs(few, few, ["id"], "features", 4, exclude_self=True, pivots=8, recall=0.7))
+    monkeypatch.setattr(knn, "REGION", 40)
+    report = {}
+    assert found(knn_pairs(few, few, ["id"], "features", 4, exclude_self=True, pivots=8, recall=0.7, report=report)) == want
+    assert 0 < report["pairs"] < 1200 * 1200 / 3 and report["rounds"] > 0
