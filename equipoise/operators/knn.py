@@ -15,6 +15,9 @@ never be among the k nearest, so the answer is unchanged.
 
 A routed query that finds fewer than k rows although the base has them is answered exactly.
 
+Large tables of few features are searched exactly through boxes instead (:mod:`equipoise.operators.boxes`): one shuffle
+answers nearly all queries, and only those whose k-th distance reaches into other boxes go on to them.
+
 Equal distances are ordered by base key, so the result is deterministic.  Keys must be unique and not null on either
 side.  A row with a null, NaN or infinite feature is nobody's neighbour and has none.  Distances to pivots are taken
 from the pivots' centre, and their bounds allow for rounding by the size of the numbers, so an offset of all data does
@@ -31,6 +34,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +43,8 @@ from pyspark.sql import types as T
 
 from equipoise.functions.randomness import uniform
 from equipoise.functions.vectors import Features, as_array, euclidean_distance
-from equipoise.operators.regions import REGION, Regions, assign, build_regions, default_pivots, homes, matrix, pivot_table, refine, route, slabs, top_of
+from equipoise.operators import boxes
+from equipoise.operators.regions import REGION, Regions, _of_top, assign, build_regions, default_pivots, homes, matrix, numbers, pivot_table, refine, route, slabs, top_of
 from equipoise.sources.session import checkpoint, stored
 
 BASE_CELL = 16_384
@@ -50,6 +55,9 @@ ROUND_WORK = 4_000_000_000  # pairs up to which all regions are visited in one r
 SAMPLE = 400  # queries that recall is estimated from
 MOST_VISITED = 0.5  # share of all pairs beyond which an approximate search is no better than an exact one
 _ROUND_QUERIES = 262_144
+MOST_MET = 16_384  # base rows that a query meets in boxes, beyond which regions are searched
+BOX_QUERIES, _LOOKED_AT = 131_072, 8  # queries of a box in one group; boxes that a sample of the queries is taken from
+_BOX_KEYS = (T.IntegralType, T.StringType, T.DateType)  # equal and ordered alike in Spark and in Arrow
 LARGE = 65_536  # base rows from which a sample of the queries says whether regions exclude anything
 WIDE_CELL, WIDE_BYTES = 131_072, 64 << 20  # rows and bytes of a base cell where nothing is excluded
 _REPEATED = 1_000_000  # repeated base rows a task writes
@@ -290,6 +298,18 @@ def check_key(df: DataFrame, key: Sequence[str], what: str, vector: str | None =
     return r["good"] or 0, r["size"] or 0
 
 
+def _base_rows(base: DataFrame, key: Sequence[str], features: Features, aux_cols: Sequence[str]) -> tuple[DataFrame, list[str], set[str]]:
+    """(rows (nb_<key>…, aux_…, _v), the further columns, those of them that are vectors)."""
+    aux = [c for c in aux_cols if c not in key]
+    vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
+    rows = base.select(
+        *[F.col(c).alias(f"nb_{c}") for c in key],
+        *[(vector_to_array(F.col(c)) if c in vectors else F.col(c)).alias(f"aux_{c}") for c in aux],
+        as_array(base, features).alias("_v"),
+    )
+    return rows, aux, vectors
+
+
 def build_index(
     base: DataFrame,
     key: Sequence[str],
@@ -299,20 +319,15 @@ def build_index(
     pivots: int | None = None,
     seed: int = 0,
     routed: bool = False,
+    counted: tuple[int, int] | None = None,
 ) -> NeighbourIndex:
     """Index ``base`` for searches that need at most ``copies`` rows of one identical vector (k, or k + 1
     when a row must not find itself).  ``pivots`` sets the number of regions; large ones have regions of ``REGION`` rows below
     them.  ``routed`` prepares for a search with ``tau``, which follows one rule at every size.  An exact search of a small
-    table has one region."""
+    table has one region.  ``counted`` is what :func:`check_key` said of the base."""
     nb = [f"nb_{c}" for c in key]
-    aux = [c for c in aux_cols if c not in key]
-    vectors = {c for c in aux if isinstance(base.schema[c].dataType, VectorUDT)}  # Arrow carries them as arrays
-    b = base.select(
-        *[F.col(c).alias(n) for c, n in zip(key, nb, strict=True)],
-        *[(vector_to_array(F.col(c)) if c in vectors else F.col(c)).alias(f"aux_{c}") for c in aux],
-        as_array(base, features).alias("_v"),
-    )
-    rows, dim = check_key(b, nb, "base", "_v")
+    b, aux, vectors = _base_rows(base, key, features, aux_cols)
+    rows, dim = counted or check_key(b, nb, "base", "_v")
     b = b.filter(_finite("_v"))
     if rows == 0:
         raise ValueError("the base table has no row whose features are all finite")
@@ -369,14 +384,160 @@ def search_index(
         found = found.filter(F.col("distance") <= max_distance)
     if exclude_self:
         found = found.filter(~_same_key(key, nb))
-    best = _best(found, names, nb, k).drop("_q")
-    for c in index.aux:
-        if c in index.vectors:
+    return _named(_best(found, names, nb, k).drop("_q"), key, index.aux, index.vectors)
+
+
+def _named(best: DataFrame, key: Sequence[str], aux: Sequence[str], vectors: frozenset[str] | set[str]) -> DataFrame:
+    for c in aux:
+        if c in vectors:
             best = best.withColumn(f"aux_{c}", array_to_vector(f"aux_{c}"))
         best = best.withColumnRenamed(f"aux_{c}", c if c not in key else f"aux_{c}")
     return best.select(*key, *[c for c in best.columns if c not in key])
 
 
+class _Boxes:
+    """An exact search through boxes.
+
+    Queries and base rows meet in the query's box once; a query's k-th distance there tells which other boxes it reaches.
+    Those are few, and only for them rows are met again and merged.  A query's neighbours travel as one row.
+    """
+
+    def __init__(self, asked: DataFrame, base: DataFrame, key: Sequence[str], nb: Sequence[str], k: int, max_distance: float, exclude_self: bool, same: bool, report: dict[str, int] | None):
+        self.asked, self.base, self.key, self.nb, self.k = asked, base, list(key), list(nb), k
+        self.most, self.exclude_self, self.same = float(max_distance), exclude_self, same
+        self.keep, self.report = k + 1 if exclude_self else k, report if report is not None else {}
+        self.kept = [c for c in base.columns if c != "_v"]
+
+    def run(self, rows: int, dim: int) -> DataFrame | None:
+        """(key…, nb…, aux…, distance, rank), or nothing where a sample says that boxes exclude too little."""
+        size = min(boxes.ROWS, max(boxes.LEAST_ROWS, rows // _wanted(self.base)))
+        drawn = boxes.DRAWN * min(boxes.MOST_BOXES, math.ceil(rows / size))
+        sample = matrix(self.base.filter(F.pmod(F.xxhash64(F.lit("box"), *self.nb), F.lit(rows)) < drawn).filter(_finite("_v")).select("_v").toArrow(), "_v")
+        if not len(sample):
+            return None
+        tree = boxes.cut_sample(sample, boxes.DRAWN * 3 // 2)
+        base = stored(boxes.boxed(self.base, tree))
+        sizes, around = boxes.box_sizes(base, dim)
+        self.tree = boxes.bounded(tree, around)
+        if self.same:
+            asked, counts = base.select(*[F.col(n).alias(c) for n, c in zip(self.nb, self.key, strict=True)], "_v", "_box"), sizes
+        else:
+            asked = stored(boxes.boxed(self.asked, tree))
+            counts = self.counts(asked)
+        full = [box for box, n in sizes.items() if n > max(4 * size, 4 * rows // boxes.MOST_BOXES)]
+        if full:  # of a hot vector, whose copies no cut parts
+            few = stored(_distinct_copies(base.filter(F.col("_box").isin(full)), self.nb, self.keep))
+            base = base.filter(~F.col("_box").isin(full)).unionByName(few)
+        if not self.worthwhile(asked, base, counts):
+            return None
+        home = stored(self.search(asked, base, counts, True, whole=self.same))
+        reaching = home.filter(F.size("_others") > 0)
+        settled = home.filter(F.size("_others") == 0).select(*self.key, F.posexplode("_found").alias("_place", "_row"))
+        found = settled.select(*self.key, "_row.*", (F.col("_place") + 1).alias("rank"))
+        self.report.update(pairs=home.agg(F.sum("_met")).first()[0] or 0, rounds=0)
+        pending = reaching.select(*self.key, "_v", "_bound", F.explode("_others").alias("_box"))
+        counts = self.counts(pending)
+        if not counts:
+            return found
+        visited = stored(self.search(pending, base, counts, False))
+        self.report["pairs"] += visited.agg(F.sum("_met")).first()[0] or 0
+        self.report["rounds"] += 1
+        both = reaching.select(*self.key, "_found").unionByName(visited.select(*self.key, "_found"))
+        merged = both.select(*self.key, F.explode("_found").alias("_row")).select(*self.key, "_row.*")
+        return found.unionByName(_best(merged, self.key, self.nb, self.k))
+
+    def counts(self, asked: DataFrame) -> dict[int, int]:
+        """Queries of each box: at most MOST_BOXES lines reach the driver."""
+        return {r["_box"]: r["count"] for r in asked.groupBy("_box").count().collect()}
+
+    def worthwhile(self, asked: DataFrame, base: DataFrame, counts: dict[int, int]) -> bool:
+        """Whether a sample of the queries meets few rows; it is taken from some boxes, drawn by their queries."""
+        ids, n = np.array(sorted(counts)), np.array([counts[b] for b in sorted(counts)], float)
+        if not len(ids):
+            return True
+        drawn = np.random.default_rng(0).choice(ids, min(_LOOKED_AT, len(ids)), replace=False, p=n / n.sum()).tolist()
+        share = max(1, sum(counts[b] for b in drawn) // SAMPLE)
+        few = stored(asked.filter(F.col("_box").isin(drawn) & (F.pmod(F.xxhash64(F.lit("few"), *self.key), F.lit(share)) == 0)))
+        r = self.search(few, base, self.counts(few), True).agg(F.avg("_met").alias("met"), F.avg(F.size("_others")).alias("others")).first()
+        return (r["met"] or 0.0) * (1.0 + (r["others"] or 0.0)) <= MOST_MET
+
+    def search(self, asked: DataFrame, base: DataFrame, counts: dict[int, int], home: bool, whole: bool = False) -> DataFrame:
+        """(key…, _found: the k nearest in the box, _others: boxes to visit after ``home``, with _bound and _v, _met: rows met).
+
+        ``whole`` says that all base rows are asked for: then a box of one group is read once for both sides.
+        """
+        key, nb, kept, k, keep = self.key, self.nb, self.kept, self.k, self.keep
+        most, exclude_self, tree = self.most, self.exclude_self, self.tree
+        queries = min(BOX_QUERIES, 2 * max(boxes.LEAST_ROWS, math.ceil(sum(counts.values()) / _wanted(asked))))
+        chunks = [math.ceil(counts.get(i, 0) / queries) for i in range(len(tree.dim))]
+        of_box = _of_top(chunks, "int", "_box")
+        group = ["_box", "_chunk"]
+        left = asked.filter(of_box > 1) if whole else asked
+        left = left.withColumn("_chunk", F.pmod(F.xxhash64(*key), of_box).cast("int"))
+        right = base.withColumn("_n", of_box).filter("_n > 1" if whole else "_n > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        row = T.StructType([*[base.schema[c] for c in kept], T.StructField("distance", T.DoubleType())])
+        more = [T.StructField("_found", T.ArrayType(row)), *T.StructType.fromDDL("_others array<int>, _bound double, _v array<double>, _met long").fields]
+        schema = T.StructType([*[asked.schema[c] for c in key], *more])
+
+        def lists(at: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(rows + 1)), pa.int32()), values)
+
+        def by_key(rows: pa.Table) -> pa.Table:
+            return rows.sort_by([(c, "ascending") for c in nb])
+
+        def alone(rows: pa.Table) -> pa.Table:
+            rows = by_key(rows)
+            return answer(rows.select([*nb, "_v", "_box"]).rename_columns([*key, "_v", "_box"]), rows)
+
+        def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not home and left.num_rows and right.num_rows:  # a few queries reach into a small part of the box
+                v = matrix(left, "_v")
+                right = right.filter(pa.array(boxes.reached(matrix(right, "_v"), v, numbers(left, "_bound"), tree.end(v))))
+            return answer(left, by_key(right))
+
+        def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+            v, b, n = matrix(left, "_v"), matrix(right, "_v"), left.num_rows
+            bound = np.minimum(numbers(left, "_bound"), most) if "_bound" in left.column_names else np.full(n, most)
+            qi, bi, distance, met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(n, np.int64)
+            if n and len(b):
+                first = boxes.few_copies(b, keep)
+                qi, bi, distance, met = boxes.Points(b[first], keep).nearest(v, keep, bound)
+                bi = first[bi]
+            if exclude_self:
+                keys = (pc.equal(left.column(a).take(pa.array(qi)), right.column(c).take(pa.array(bi))) for a, c in zip(key, nb, strict=True))
+                others = ~reduce(pc.and_, keys).to_numpy().astype(bool)
+                qi, bi, distance = qi[others], bi[others], distance[others]
+                best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+                qi, bi, distance = qi[best], bi[best], distance[best]
+            rows = right.select(kept).take(pa.array(bi)).combine_chunks()
+            found = pa.StructArray.from_arrays([*[c.combine_chunks() for c in rows.columns], pa.array(distance)], [*kept, "distance"])
+            at = box = np.zeros(0, np.int64)
+            if home and n:
+                whole = np.flatnonzero(np.bincount(qi, minlength=n) == k)
+                bound[whole] = np.minimum(bound[whole], distance[np.searchsorted(qi, whole, side="right") - 1])
+                at, box = tree.met(v, bound)
+                other = box != numbers(left, "_box")[at]
+                at, box = at[other], box[other]
+                order = np.argsort(at, kind="stable")
+                at, box = at[order], box[order]
+            pending = pa.array(np.isin(np.arange(n), at))
+            vectors = left.column("_v").combine_chunks()
+            made = [lists(qi, n, found), lists(at, n, pa.array(box.astype(np.int32))), pa.array(bound), pc.if_else(pending, vectors, pa.scalar(None, vectors.type)), pa.array(met)]
+            return pa.table([*left.select(key).columns, *made], names=schema.fieldNames())
+
+        def partitions(cells: int) -> int:
+            return max(1, min(4 * cells, 8 * _wanted(asked)), min(cells, 1024), cells // 4)
+
+        cut = sum(n for n in chunks if n > 1 or not whole)
+        parts = []
+        if cut or not whole:
+            left, right = (side.repartition(partitions(cut), *group).groupBy(*group) for side in (left, right))
+            parts.append(left.cogroup(right).applyInArrow(visit, schema))
+        if whole and 1 in chunks:
+            parts.append(base.filter(of_box == 1).repartition(partitions(chunks.count(1)), "_box").groupBy("_box").applyInArrow(alone, schema))
+        return reduce(DataFrame.unionByName, parts)
+
+
 class _Rounds:
     """A search in rounds: the home region of each query, then ever more regions, the most promising first.
 
@@ -537,8 +698,22 @@ def knn_pairs(
     """
     base_key = list(base_key or key)
     approximate = tau is not None or recall is not None
-    index = build_index(base, base_key, features, k + 1 if exclude_self else k, aux_cols, pivots, seed, approximate)
     checked = base_key == list(key) and query.sameSemantics(base)
+    counted = None
+    if not approximate:
+        rows, aux, vectors = _base_rows(base, base_key, features, aux_cols)
+        nb = [f"nb_{c}" for c in base_key]
+        counted = check_key(rows, nb, "base", "_v")
+        kinds = [(query.schema[a].dataType, base.schema[b].dataType) for a, b in zip(key, base_key, strict=True)]
+        plain = all(a == b and isinstance(a, _BOX_KEYS) for a, b in kinds)
+        if plain and counted[0] > LARGE and counted[1] <= boxes.MOST_FEATURES and 0 < k <= boxes.MOST_NEAREST and max_distance > 0:
+            if not checked:
+                check_key(query, key, "query")
+            asked = query.select(*key, as_array(query, features).alias("_v"))
+            found = _Boxes(asked, rows, key, nb, k, max_distance, exclude_self, checked, report).run(*counted)
+            if found is not None:
+                return _named(found, key, aux, vectors)
+    index = build_index(base, base_key, features, k + 1 if exclude_self else k, aux_cols, pivots, seed, approximate, counted)
     if tau is None and recall is not None:
         found = routing(query, index, key, features, k, exclude_self, seed, recall=recall)
         tau = found.tau if found.visited <= MOST_VISITED else None

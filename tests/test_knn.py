@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equipoise.functions.vectors import as_vector
-from equipoise.operators import knn, regions
+from equipoise.operators import boxes, knn, regions
 from equipoise.operators.knn import estimate_tau, knn_join, knn_pairs, search_index
 from equipoise.operators.stages import NearestNeighbors
 
@@ -373,3 +373,88 @@ def test_search_to_a_recall_through_regions_below(spark, blobs, monkeypatch):
     report = {}
     assert found(knn_pairs(few, few, ["id"], "features", 4, exclude_self=True, pivots=8, recall=0.7, report=report)) == want
     assert 0 < report["pairs"] < 1200 * 1200 / 3 and report["rounds"] > 0
+
+
+@pytest.fixture
+def small_boxes(monkeypatch):
+    """Boxes of a few rows, so that a small table has many, some cut into groups."""
+    monkeypatch.setattr(knn, "LARGE", 100)
+    monkeypatch.setattr(boxes, "LEAST_ROWS", 40)
+    monkeypatch.setattr(boxes, "ROWS", 40)
+    monkeypatch.setattr(knn, "BOX_QUERIES", 60)
+
+
+def lines(rng, n):
+    """A price and three features of few values, as line items have them."""
+    return np.column_stack([np.round(rng.random(n), 4), rng.integers(0, 4, n) / 10, rng.integers(0, 3, n) / 8, rng.integers(0, 3, n) / 6])
+
+
+@pytest.mark.parametrize("shape", ["lines", "spread", "grid", "far"])
+def test_boxes_give_the_exact_answer(spark, small_boxes, shape):
+    """With a hot vector, a far group and ties; all rows among all, and other rows among them."""
+    rng = np.random.default_rng(41)
+    points = {"lines": lines(rng, 400), "spread": rng.normal(0, 1, (400, 3)), "grid": rng.integers(0, 20, (400, 2)).astype(float), "far": rng.normal(0, 1, (400, 2)) + 1e8}[shape]
+    points = np.vstack([points, np.tile(points[:1], (200, 1)), points[1:20] + 50])
+    df, query = table(spark, points), table(spark, np.vstack([points[::15] + 0.01, points[:1] - 40, points[1:9]]), 5000)
+    report = {}
+    assert found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, report=report)) == brute(pull(df), pull(df), 4, exclude=True)
+    assert report["rounds"] == 1 and 0 < report["pairs"] < 0.6 * len(points) ** 2
+    assert found(knn_pairs(query, df, ["id"], "features", 6)) == brute(pull(query), pull(df), 6)
+    near = {k: v for k, v in brute(pull(query), pull(df), 6, limit=0.05).items() if v}
+    assert found(knn_pairs(query, df, ["id"], "features", 6, max_distance=0.05)) == near
+
+
+def test_boxes_with_odd_rows_columns_and_keys(spark, small_boxes):
+    rng = np.random.default_rng(42)
+    good = [(i, f"k{i:04}", i % 7, [float(x) for x in v]) for i, v in enumerate(lines(rng, 400))]
+    odd = [(1000, "x", 1, None), (1001, "y", 1, [float("nan"), 0.0, 0.0, 0.0]), (1002, "z", 1, [None, 0.0, 0.0, 0.0]), (1003, "é", 1, [math.inf, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(good + odd, "id long, name string, part int, features array<double>").repartition(5)
+    df = df.withColumn("kept", F.struct("part", F.col("name").alias("n")))
+    rows = [(r["id"], r["features"]) for r in df.filter("id < 1000").collect()]
+    out = knn_join(df, df, ["id", "name"], "features", 3, aux_cols=["id", "kept", "features"], exclude_self=True, distance_col="d").collect()
+    want = brute(rows, rows, 3, exclude=True)
+    assert {r["id"]: [(n["id"], round(d, 9)) for n, d in zip(r["neighbors"], r["d"], strict=True)] for r in out} == {**want, **{i: [] for i in range(1000, 1004)}}
+    assert all(n["kept"]["n"] == f"k{n['id']:04}" and n["kept"]["part"] == n["id"] % 7 for r in out for n in r["neighbors"])
+    vectors = df.filter("id < 1000").select("id", as_vector(df, "features").alias("features"))
+    first = knn_join(vectors, vectors, ["id"], "features", 1, aux_cols=["id", "features"]).filter("id = 7").first()
+    assert first["neighbors"][0]["features"] == first["features"]
+    with pytest.raises(ValueError, match="query.*unique"):
+        knn_pairs(df.select(F.lit(1).cast("long").alias("id"), "features"), df, ["id"], "features", 1)
+
+
+def test_boxes_meet_few_rows_at_any_size(spark, small_boxes, monkeypatch):
+    """Ten times as many line items: a query meets about as many rows, and nearly all are answered by one box."""
+    monkeypatch.setattr(boxes, "ROWS", 400)
+    monkeypatch.setattr(boxes, "LEAST_ROWS", 400)
+    monkeypatch.setattr(knn, "BOX_QUERIES", 10_000)
+    met = {}
+    for n in (1500, 15_000):
+        df, report = table(spark, lines(np.random.default_rng(43), n)), {}
+        pairs = knn_pairs(df, df, ["id"], "features", 5, exclude_self=True, pivots=6, report=report)
+        assert pairs.count() == 5 * n
+        met[n] = report["pairs"] / n
+    assert met[15_000] < 1.5 * met[1500] and met[15_000] < 500
+
+
+def test_boxes_that_exclude_little_are_left(spark, small_boxes, monkeypatch):
+    monkeypatch.setattr(knn, "MOST_MET", 10)
+    monkeypatch.setattr(knn, "MOST_VISITED", 1.0)
+    df, report = table(spark, lines(np.random.default_rng(44), 600)), {}
+    assert found(knn_pairs(df, df, ["id"], "features", 4, exclude_self=True, pivots=6, report=report)) == brute(pull(df), pull(df), 4, exclude=True)
+
+
+@pytest.mark.parametrize("keep", [1, 6, 40])
+def test_points_in_small_boxes_equal_brute_force(monkeypatch, keep):
+    monkeypatch.setattr(boxes, "ENDS", 8)
+    monkeypatch.setattr(boxes, "_SLAB", 500)
+    monkeypatch.setattr(boxes, "_PAIRS", 300)
+    rng = np.random.default_rng(45)
+    for base in (lines(rng, 500), rng.normal(0, 1, (500, 3)), rng.integers(0, 5, (500, 2)) * 1.0, np.zeros((3, 2)), rng.normal(0, 1, (1, 2)) + 1e9):
+        first = boxes.few_copies(base, keep)
+        v = np.vstack([base[::5], base[::7] + 0.3])
+        bound = np.where(np.arange(len(v)) % 3 == 0, 0.2, math.inf)
+        qi, bi, distance, met = boxes.Points(base[first], keep).nearest(v, keep, bound)
+        got = [[(first[b], d) for b, d in zip(bi[qi == i], distance[qi == i], strict=True)] for i in range(len(v))]
+        exact = [np.sqrt(sum((v[i, j] - base[:, j]) ** 2 for j in range(base.shape[1]))) for i in range(len(v))]
+        assert got == [[(b, d[b]) for b in np.lexsort((np.arange(len(d)), d))[:keep] if d[b] <= bound[i]] for i, d in enumerate(exact)]
+        assert (met > 0).all()
