@@ -27,9 +27,9 @@ MOST_NEAREST = 128  # neighbours of a query; small boxes hold twice as many rows
 MOST_BOXES = 16_384
 ROWS, LEAST_ROWS = 65_536, 16_384  # base rows of a box, on average
 DRAWN = 32  # rows drawn for each box
-ENDS = 48  # rows of a small box
+ENDS = 32  # rows of a small box
 _PAIRS = 1_000_000  # pairs of a query and a box held at once
-_SLAB = 262_144  # distances held at once, about a core's cache
+_SLAB = 65_536  # distances held at once, about a core's cache
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Tree:
         columns = np.ascontiguousarray(v.T)
         row, node, found = np.arange(len(v)), np.zeros(len(v), np.int64), []
         while len(row):
-            if len(row) > _PAIRS and len(v) > 1:  # regions exclude little: the rows are taken in two halves
+            if len(row) > _PAIRS and len(v) > 1:  # boxes exclude little: the rows are taken in two halves
                 half = len(v) // 2
                 first, second = self.met(v[:half], bound[:half]), self.met(v[half:], bound[half:])
                 return np.concatenate([first[0], second[0] + half]), np.concatenate([first[1], second[1]])

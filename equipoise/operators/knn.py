@@ -424,7 +424,7 @@ class _Boxes:
         else:
             asked = stored(boxes.boxed(self.asked, tree))
             counts = self.counts(asked)
-        full = [box for box, n in sizes.items() if n > max(4 * size, 4 * rows // boxes.MOST_BOXES)]
+        self.full = full = [box for box, n in sizes.items() if n > max(4 * size, 4 * rows // boxes.MOST_BOXES)]
         if full:  # of a hot vector, whose copies no cut parts
             few = stored(_distinct_copies(base.filter(F.col("_box").isin(full)), self.nb, self.keep))
             base = base.filter(~F.col("_box").isin(full)).unionByName(few)
@@ -470,6 +470,9 @@ class _Boxes:
         most, exclude_self, tree = self.most, self.exclude_self, self.tree
         queries = min(BOX_QUERIES, 2 * max(boxes.LEAST_ROWS, math.ceil(sum(counts.values()) / _wanted(asked))))
         chunks = [math.ceil(counts.get(i, 0) / queries) for i in range(len(tree.dim))]
+        if whole:  # a box whose copies are cut has fewer base rows than queries
+            for box in self.full:
+                chunks[box] = max(2, chunks[box])
         of_box = _of_top(chunks, "int", "_box")
         group = ["_box", "_chunk"]
         left = asked.filter(of_box > 1) if whole else asked
